@@ -122,8 +122,13 @@ def payload_fields(content: Column, raw_key: str = "msg", flatten: bool = True)
     return bind(parse_object(content), unpack)
 
 
+def event_time(cri: Column) -> Column:
+    """The time the container runtime wrote, as a timestamp; finer than microseconds is cut."""
+    return text_of(cri[names.KEY_TIME]).try_cast("timestamp")
+
+
 def parsed_line(line: Column, line_format: Column, raw_key: str = "msg", flatten: bool = True) -> Column:
-    """Struct of ``user``, ``cri`` and ``parse_error``; a broken line is kept whole as raw text."""
+    """Struct of ``user``, ``cri``, ``parse_error`` and ``event_time``; a broken line is kept as raw text."""
     return bind(
         line_parts(line, line_format),
         lambda parts: F.struct(
@@ -132,5 +137,6 @@ def parsed_line(line: Column, line_format: Column, raw_key: str = "msg", flatten
             .alias("user"),
             parts["cri"].alias("cri"),
             parts["error"].alias("parse_error"),
+            event_time(parts["cri"]).alias("event_time"),
         ),
     )

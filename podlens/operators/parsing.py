@@ -23,23 +23,25 @@ def parse_user_payload(rows: DataFrame, options: ParseOptions = ParseOptions())
 
 
 def _parse(lines: DataFrame, line_format: Column, options: ParseOptions) -> DataFrame:
-    return add_fields(lines, parsed_line(F.col("value"), line_format, options.raw_key, options.flatten))
+    fields = parsed_line(F.col("value"), line_format, options.raw_key, options.flatten)
+    return add_fields(lines.drop("event_time"), fields)
 
 
 def parse_docker_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Docker JSON lines to ``user``, ``cri`` and ``parse_error``."""
+    """Docker JSON lines to ``user``, ``cri``, ``parse_error`` and ``event_time``."""
     return _parse(lines, F.lit(names.FORMAT_DOCKER), options)
 
 
 def parse_cri_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """CRI lines to ``user``, ``cri`` (time and stream) and ``parse_error``."""
+    """CRI lines to the same columns; ``cri`` holds time and stream."""
     return _parse(lines, F.lit(names.FORMAT_CRI), options)
 
 
 def parse_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """Parse every line by its ``format``; no line is ever dropped.
 
-    Adds ``user``, ``cri`` and ``parse_error`` (NULL where the line had the right shape).
+    Adds ``user``, ``cri``, ``parse_error`` (NULL where the line had the right shape) and
+    ``event_time`` (the time the runtime wrote).
     """
     return _parse(lines, F.col("format"), options)
 
