@@ -132,13 +132,13 @@ def usable_services(validated: DataFrame, on_invalid: str = "skip") -> DataFrame
 def explode_service_domains(services: DataFrame, default_domain: str) -> DataFrame:
     """One row per host with ``service`` and ``paths``; for a host named twice the later service counts.
 
-    ``ord`` is the position in the catalog. The choice is an aggregate, so partial results are
+    ``ord`` is the position in the catalog; the name decides between equal positions. The choice is an aggregate, so partial results are
     combined before anything is shuffled.
     """
     hosts = F.flatten(F.transform("domains", lambda d: with_default(d, default_domain)))
     return (
         services.select("ord", "name", "paths", F.explode(hosts).alias("host"))
         .groupBy("host")
-        .agg(F.max_by(F.struct(F.col("name").alias("service"), "paths"), "ord").alias("_last"))
+        .agg(F.max_by(F.struct(F.col("name").alias("service"), "paths"), F.struct("ord", "name")).alias("_last"))
         .select("host", "_last.service", "_last.paths")
     )

@@ -150,14 +150,14 @@ def label_path(matched: DataFrame, rules: list[Row] | None = None) -> DataFrame:
     """Column ``path`` with the label of the URI, in the order of the rules; ``""`` for a miss.
 
     With ``rules`` the patterns are literals, which Spark compiles once per task; without, they
-    come from the ``paths`` column of each row.
+    come from the ``paths`` column of each row. A file ``path`` of the lines gives way to the label.
     """
     uri = F.col("uri")
     if rules is None:
         label = first_label(uri, F.col("paths"))
     else:
         label = literal_label(uri, F.col("paths_key"), rules)
-    return add_column(matched, "path", label).drop("paths", "paths_key")
+    return add_column(matched.drop("path"), "path", label).drop("paths", "paths_key")
 
 
 def indicators(requests: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def read_list(spark: SparkSession, path: str, wrapper: str | None = None) -> lis
 
     The top level must be a list; ``wrapper`` names a key under which the list may also stand.
     """
-    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"expected one config file at {path}")
     entries = _load(rows[0]["value"])

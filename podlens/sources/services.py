@@ -20,9 +20,12 @@ def load_service_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, ANNOTATED)
 
 
-def load_exported_services(spark: SparkSession, path: str) -> DataFrame:
-    """The same from an exported list of cluster services; the name is that of the object."""
-    exported = spark.read.schema(EXPORT).option("multiLine", True).json(path)
+def load_exported_services(spark: SparkSession, path: str, single_document: bool = True) -> DataFrame:
+    """The same from an exported list of cluster services; the name is that of the object.
+
+    A file is one JSON document, or holds one list per line with ``single_document=False``.
+    """
+    exported = spark.read.schema(EXPORT).option("multiLine", single_document).json(path)
     items = exported.select(F.posexplode("items").alias("ord", "item"))
     return items.select(
         F.col("ord").cast("long").alias("ord"),

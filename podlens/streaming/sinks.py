@@ -7,8 +7,11 @@ batch carries a key that stays the same when a task or a micro-batch is repeated
 from __future__ import annotations
 
 import importlib
+import os
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from typing import NamedTuple, Protocol
 
 import pyarrow as pa
@@ -99,6 +102,24 @@ def deliver_batches(
     return counts.agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0]
 
 
+class FileSink:
+    """Writes every batch to a file named by its key, so a repeated batch replaces itself."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        os.makedirs(folder, exist_ok=True)
+
+    def deliver(self, messages: list[str], key: DeliveryKey) -> None:
+        name = f"{key.job}-{key.batch}-{key.partition}-{key.chunk}.txt"
+        temporary = os.path.join(self.folder, f".{name}.{uuid.uuid4().hex}")
+        with open(temporary, "w", encoding="utf-8", newline="\n") as file:
+            file.writelines(f"{message}\n" for message in messages)
+        os.replace(temporary, os.path.join(self.folder, name))
+
+    def close(self) -> None:
+        """Nothing is held open."""
+
+
 class _Sent(WriterCommitMessage):
     def __init__(self, sent: int) -> None:
         self.sent = sent
@@ -107,6 +128,7 @@ class _Sent(WriterCommitMessage):
 class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
     def __init__(self, options: dict[str, str]) -> None:
         self.factory = options["sink"]
+        self.target = options.get("target")
         self.job = options.get("job", "sink")
         self.delivery = DeliveryOptions(
             batch_size=int(options.get("batchsize", DeliveryOptions.batch_size)),
@@ -120,7 +142,8 @@ class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
         batch = int(context.getLocalProperty("streaming.sql.batchId") or 0)
         job = context.getLocalProperty("sql.streaming.queryId") or self.job
         module, _, name = self.factory.partition(":")
-        open_sink = getattr(importlib.import_module(module), name)
+        factory = getattr(importlib.import_module(module), name)
+        open_sink = partial(factory, self.target) if self.target else factory
         texts = (row["value"] for row in iterator)
         return _Sent(send(open_sink, texts, job, batch, context.partitionId(), self.delivery))
 
@@ -132,7 +155,10 @@ class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
 
 
 class SinkSource(DataSource):
-    """Format ``podlens_sink``: option ``sink`` is ``module:factory``, rows have a ``value``."""
+    """Format ``podlens_sink`` for rows with a ``value``.
+
+    Option ``sink`` is ``module:factory``; the factory gets the option ``target`` if there is one.
+    """
 
     @classmethod
     def name(cls) -> str:
