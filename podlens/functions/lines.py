@@ -1,8 +1,4 @@
-"""Parsing of one line, as expressions over its text.
-
-Everything a line needs is one expression tree, in which shared intermediate values are bound
-once; the JSON documents are therefore parsed once per line.
-"""
+"""Parts of one line, as expressions over its text."""
 
 from __future__ import annotations
 
@@ -11,8 +7,7 @@ from pyspark.sql import functions as F
 
 from podlens import names
 from podlens.functions.maps import extend_map, flatten_entries
-from podlens.functions.upstream import upstream_time_last, upstream_time_total
-from podlens.functions.variants import FIELDS, bind, parse_object, text_of
+from podlens.functions.variants import no_fields, text_of
 
 # Fixed value: time, stream, tag and the blank before the content. The greedy start makes the
 # last " stdout X " or " stderr X " of the line the split point.
@@ -20,72 +15,28 @@ CRI_HEAD = r"(?s)^(.+ (?:stdout|stderr) . )"
 # Length of " stdout X ", the part of the head that follows the time.
 CRI_TAIL = 10
 
-ERROR_FORMAT = "unknown message log format"
-ERROR_OUTER = "outer json unmarshalling"
-ERROR_NO_LOG = "line does not contain user log field"
-ERROR_LOG_TYPE = "user log field does not contain string"
-ERROR_CRI = "unable to parse containerd line"
-
-
-def _parts(content: Column, cri: Column, error: Column) -> Column:
-    return F.struct(
-        content.cast("string").alias("content"),
-        cri.cast(FIELDS).alias("cri"),
-        error.cast("string").alias("error"),
-    )
-
-
-def _failure(error: Column | str) -> Column:
-    error = F.lit(error) if isinstance(error, str) else error
-    return _parts(F.lit(None), F.lit(None), error)
-
-
-def docker_parts(line: Column) -> Column:
-    """Struct of ``content`` (the text under ``log``), ``cri`` (the other fields) and ``error``."""
 
-    def split(outer: Column) -> Column:
-        log = outer[names.KEY_LOG]
-        rest = F.map_filter(outer, lambda key, _: key != names.KEY_LOG)
-        missing = F.lit(ERROR_NO_LOG)
-        # A line that is JSON null parses, but holds no log field.
-        unparsed = F.when(F.trim(line) == "null", missing).otherwise(F.lit(ERROR_OUTER))
-        return bind(
-            text_of(log),
-            lambda content: F.when(content.isNotNull(), _parts(content, rest, F.lit(None)))
-            .when(outer.isNull(), _failure(unparsed))
-            .when(log.isNull(), _failure(missing))
-            .otherwise(_failure(ERROR_LOG_TYPE)),
-        )
+def cri_head(line: Column) -> Column:
+    """Everything before the content of a CRI line, ``""`` when the line has another shape."""
+    return F.regexp_extract(line, CRI_HEAD, 1)
 
-    return bind(parse_object(line), split)
 
+def cri_content(line: Column, head: Column) -> Column:
+    return F.when(F.length(head) > 0, F.substring(line, F.length(head) + 1, F.length(line)))
 
-def cri_parts(line: Column) -> Column:
-    """Struct of ``content``, ``cri`` (time and stream) and ``error`` of a CRI line.
 
-    The tag is matched and ignored; partial lines are not joined again.
-    """
+def cri_time(head: Column) -> Column:
+    return F.substring(head, F.lit(1), F.length(head) - CRI_TAIL)
 
-    def split(head: Column) -> Column:
-        size = F.length(head)
-        fields = F.create_map(
-            F.lit(names.KEY_TIME),
-            head.substr(F.lit(1), size - CRI_TAIL).cast("variant"),
-            F.lit(names.KEY_STREAM),
-            head.substr(size - (CRI_TAIL - 2), F.lit(6)).cast("variant"),
-        )
-        content = line.substr(size + 1, F.length(line))
-        return F.when(size > 0, _parts(content, fields, F.lit(None))).otherwise(_failure(ERROR_CRI))
 
-    return bind(F.regexp_extract(line, CRI_HEAD, 1), split)
-
-
-def line_parts(line: Column, line_format: Column) -> Column:
-    """The parts of a line by its format; a format that is not known is an error."""
-    return (
-        F.when(line_format == names.FORMAT_DOCKER, docker_parts(line))
-        .when(line_format == names.FORMAT_CRI, cri_parts(line))
-        .otherwise(_failure(ERROR_FORMAT))
+def cri_fields(head: Column) -> Column:
+    """Time and stream. The tag is ignored; partial lines are not joined again."""
+    stream = F.substring(head, F.length(head) - (CRI_TAIL - 2), F.lit(6))
+    return F.create_map(
+        F.lit(names.KEY_TIME),
+        cri_time(head).cast("variant"),
+        F.lit(names.KEY_STREAM),
+        stream.cast("variant"),
     )
 
 
@@ -94,49 +45,30 @@ def raw_fields(text: Column, raw_key: str) -> Column:
     return F.create_map(F.lit(raw_key), F.make_valid_utf8(text).cast("variant"))
 
 
-def with_upstream_times(fields: Column) -> Column:
-    """Add the last and the total upstream time where the fields hold one."""
-    source = fields[names.KEY_UPSTREAM_TIME]
-    derived = F.map_filter(
-        F.create_map(
-            F.lit(names.KEY_UPSTREAM_LAST),
-            upstream_time_last(source),
-            F.lit(names.KEY_UPSTREAM_TOTAL),
-            upstream_time_total(source),
-        ),
-        lambda _, value: value.isNotNull(),
+def derived_times(last: Column, total: Column) -> Column:
+    """The upstream times that exist. There is a total wherever there is a last time."""
+    total_part = (F.lit(names.KEY_UPSTREAM_TOTAL), total)
+    both = F.create_map(F.lit(names.KEY_UPSTREAM_LAST), last, *total_part)
+    return (
+        F.when(last.isNotNull(), both).when(total.isNotNull(), F.create_map(*total_part)).otherwise(no_fields())
     )
-    return F.when(source.isNotNull(), extend_map(fields, derived)).otherwise(fields)
 
 
-def payload_fields(content: Column, raw_key: str = "msg", flatten: bool = True) -> Column:
-    """User fields of a payload: a JSON object's fields, any other text under the raw key.
+def with_derived(fields: Column, last: Column, total: Column) -> Column:
+    """Fields with the upstream times, where there are any."""
+    return F.when(total.isNotNull(), extend_map(fields, derived_times(last, total))).otherwise(fields)
 
-    Upstream times come from the top level of the payload, before it is flattened.
-    """
 
-    def unpack(fields: Column) -> Column:
-        full = bind(with_upstream_times(fields), flatten_entries) if flatten else with_upstream_times(fields)
-        return F.when(fields.isNotNull(), full).otherwise(raw_fields(content, raw_key))
+def user_fields(timed: Column, content: Column, raw_key: str = "msg", flatten: bool = True) -> Column:
+    """User fields of a payload: those of an object, flattened; any other text under the raw key."""
+    full = flatten_entries(timed) if flatten else timed
+    return F.when(timed.isNotNull(), full).otherwise(raw_fields(content, raw_key))
 
-    return bind(parse_object(content), unpack)
 
-
-def event_time(cri: Column) -> Column:
+def event_time(time: Column) -> Column:
     """The time the container runtime wrote, as a timestamp; finer than microseconds is cut."""
-    return text_of(cri[names.KEY_TIME]).try_cast("timestamp")
-
-
-def parsed_line(line: Column, line_format: Column, raw_key: str = "msg", flatten: bool = True) -> Column:
-    """Struct of ``user``, ``cri``, ``parse_error`` and ``event_time``; a broken line is kept as raw text."""
-    return bind(
-        line_parts(line, line_format),
-        lambda parts: F.struct(
-            F.when(parts["content"].isNull(), raw_fields(line, raw_key))
-            .otherwise(payload_fields(parts["content"], raw_key, flatten))
-            .alias("user"),
-            parts["cri"].alias("cri"),
-            parts["error"].alias("parse_error"),
-            event_time(parts["cri"]).alias("event_time"),
-        ),
-    )
+    return time.try_cast("timestamp")
+
+
+def docker_time(outer: Column) -> Column:
+    return text_of(outer[names.KEY_TIME])

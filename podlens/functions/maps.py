@@ -11,9 +11,13 @@ from podlens import names
 from podlens.functions.variants import bind, fields_of, no_fields, text_of
 
 
-def extend_map(left: Column, right: Column) -> Column:
-    """Both maps together; entries of ``right`` win."""
-    return F.map_concat(left, right)
+# Rounds that are tried before the exact depth of a record is looked up.
+SHALLOW_ROUNDS = 4
+
+
+def extend_map(*maps: Column) -> Column:
+    """All maps together; entries of a later one win."""
+    return F.map_concat(*maps)
 
 
 def project_keys(record: Column, keys: Iterable[str]) -> Column:
@@ -85,8 +89,12 @@ def _has_object(entries: Column) -> Column:
 def flatten_entries(record: Column) -> Column:
     """Nested objects become dotted keys, at any depth; arrays and nulls stay as they are.
 
-    Each round of the fold opens one level. The number of ``{`` in the record bounds the depth,
-    and a round that finds nothing left to open only passes the state on.
+    Where a nested field and a plain one come to the same key, the nested field counts.
+
+    Only the entries that hold objects are opened, by a fold whose every round opens one level; a
+    round that finds nothing to open passes its state on. A few rounds suffice for all but the
+    deepest records. What they leave open is folded again, with as many rounds as the objects
+    have opening braces.
     """
 
     def round_of(state: Column, _: Column) -> Column:
@@ -96,13 +104,21 @@ def flatten_entries(record: Column) -> Column:
         )
         return F.when(state["open"], opened).otherwise(state)
 
-    def unnest(entries: Column) -> Column:
-        text = F.to_json(F.to_variant_object(record))
-        depth = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-        start = F.struct(entries.alias("entries"), F.lit(True).alias("open"))
-        return F.map_from_entries(
-            F.aggregate(F.sequence(F.lit(1), depth), start, round_of, lambda state: state["entries"])
-        )
+    def fold(state: Column, rounds: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), rounds), state, round_of)
+
+    def opened(objects: Column) -> Column:
+        start = F.struct(F.map_entries(objects).alias("entries"), F.lit(True).alias("open"))
+
+        def finish(state: Column) -> Column:
+            text = F.to_json(F.to_variant_object(objects))
+            depth = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+            return F.when(state["open"], fold(state, depth)).otherwise(state)
+
+        return F.map_from_entries(bind(fold(start, F.lit(SHALLOW_ROUNDS)), finish)["entries"])
+
+    def unnest(objects: Column) -> Column:
+        plain = F.map_filter(record, lambda _, value: fields_of(value).isNull())
+        return F.when(F.size(objects) > 0, extend_map(plain, opened(objects))).otherwise(record)
 
-    nested = F.exists(F.map_values(record), lambda value: fields_of(value).isNotNull())
-    return F.when(nested, unnest(F.map_entries(record))).otherwise(record)
+    return bind(F.map_filter(record, lambda _, value: fields_of(value).isNotNull()), unnest)

@@ -12,7 +12,8 @@ INTEGER_SYNTAX = r"^[+-]?[0-9]+$"
 
 
 def finite(value: Column) -> Column:
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    """The value, NULL for infinities and NaN: zero times these is NaN."""
+    return F.nanvl(value + value * 0, F.lit(None).cast("double"))
 
 
 def float_text(text: Column, specials: bool = False) -> Column:

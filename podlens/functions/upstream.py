@@ -24,9 +24,14 @@ def last_time_text(text: Column) -> Column:
 
 def total_time_text(text: Column) -> Column:
     """The sum of the parts that are numbers, to 3 places; NULL when there is none."""
-    times = F.filter(F.transform(_parts(text), lambda part: float_text(part)), lambda t: t.isNotNull())
-    total = F.aggregate(times, F.lit(0.0), lambda total, t: total + t)
-    return F.when(F.size(times) > 0, finite(F.round(total * 1000) / 1000))
+    none = F.lit(None).cast("double")
+    total = F.aggregate(
+        F.transform(_parts(text), lambda part: float_text(part)),
+        none,
+        lambda total, time: F.coalesce(total + time, total, time),
+    )
+    single = float_text(F.replace(text, F.lit(" "), F.lit("")))
+    return finite(F.round(F.when(F.contains(text, F.lit(",")), total).otherwise(single) * 1000) / 1000)
 
 
 def upstream_time_last(value: Column) -> Column:

@@ -39,7 +39,11 @@ def text_of(value: Column) -> Column:
 
 def number_of(value: Column) -> Column:
     """The number inside ``value`` as DOUBLE, NULL for every other type."""
-    return F.when(is_number(value), F.try_variant_get(value, "$", "double"))
+    # A whole number is read as it is stored; the conversion of other types costs more.
+    whole = F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    return F.when(whole.isNotNull(), whole.cast("double")).when(
+        is_number(value), F.try_variant_get(value, "$", "double")
+    )
 
 
 def flag_of(value: Column) -> Column:
@@ -56,27 +60,5 @@ def no_fields() -> Column:
     return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
 
 
-def _sealed(text: Column, use: Callable[[Column], Column]) -> Column:
-    """Hand the parsed ``text`` to ``use`` as the first element of an array; NULL for broken text.
-
-    The JSON parser stops after the first value and ignores what follows, so ``{"a":1} x`` would
-    pass as an object. The text is therefore parsed as ``[text, seal]``, where anything but
-    whitespace behind the value either breaks the array or displaces the seal.
-    """
-    seal = F.xxhash64(text)
-    document = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), seal.cast("string"), F.lit("]")))
-    return bind(document, lambda doc: F.when(F.try_variant_get(doc, "$[1]", "bigint") == seal, use(doc)))
-
-
-def parse_object(text: Column) -> Column:
-    """Fields of the JSON object in ``text``; NULL when the whole text is not one object."""
-    return _sealed(text, lambda doc: F.try_variant_get(doc, "$[0]", FIELDS))
-
-
-def parse_document(text: Column) -> Column:
-    """VARIANT of the JSON value in ``text``; NULL when the whole text is not one value."""
-    return _sealed(text, lambda doc: F.try_variant_get(doc, "$[0]", "variant"))
-
-
 def is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))

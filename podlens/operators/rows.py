@@ -6,17 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def add_fields(df: DataFrame, fields: Column, optional: bool = False) -> DataFrame:
-    """Add the fields of a struct to every row; with ``optional``, a row whose struct is NULL is dropped.
+def settle(df: DataFrame, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:
+    """Add columns to every row, or only to the rows to ``keep``; the others are dropped.
 
     A filter above a projection is pushed below it, which evaluates a costly expression once for
-    the filter and once more for its value. It is not pushed below a generator, so the struct is
-    emitted by one.
+    the filter and once more for its value. It is not pushed below a generator, so the columns are
+    emitted by one. ``keep`` is tested before the columns are evaluated.
     """
-    row = F.array(fields)
-    return df.select("*", F.inline(F.array_compact(row) if optional else row))
-
-
-def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """As :func:`add_fields`, for a single column."""
-    return add_fields(df, F.struct(value.alias(name)))
+    row = F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))
+    return df.select("*", F.inline(row if keep is None else F.when(keep, row)))

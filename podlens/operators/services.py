@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from podlens import names
 from podlens.functions.domains import split_domains, trimmed, with_default
 from podlens.functions.regexes import java_patterns
-from podlens.functions.variants import bind, fields_of, parse_document, text_of
+from podlens.functions.documents import parse_document
+from podlens.functions.variants import bind, fields_of, text_of
 from podlens.options import ServiceOptions
-from podlens.operators.rows import add_column
+from podlens.operators.rows import settle
 
 NO_DOMAINS = "no domains annotation"
 EMPTY_DOMAINS = "no domain names in the domains annotation"
@@ -90,7 +91,7 @@ def validate_services(annotated: DataFrame, options: ServiceOptions = ServiceOpt
             "skipped", ~F.coalesce(annotations[options.enable].isin(*names.ENABLE_VALUES), F.lit(False))
         )
     )
-    rows = add_column(rows, "_rules", _path_rules(trimmed(F.col("_text"))))
+    rows = settle(rows, {"_rules": _path_rules(trimmed(F.col("_text")))})
     rows = rows.withColumn(
         "_java", java_patterns(F.transform(F.col("_rules"), lambda rule: rule["regexps"]))
     )

@@ -8,55 +8,71 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from podlens import names
-from podlens.functions.lines import event_time, line_parts
+from podlens.functions.documents import document, document_value, struct_type
+from podlens.functions.lines import cri_time, docker_time, event_time
 from podlens.functions.numbers import float_text, integer_text
-from podlens.functions.upstream import upstream_time_total
-from podlens.functions.variants import bind, flag_of, is_object, number_of, parse_document, text_of
-from podlens.operators.rows import add_column, add_fields
+from podlens.functions.upstream import total_time_text
+from podlens.functions.variants import flag_of, is_object, number_of, text_of
+from podlens.operators.parsing import line_content
+from podlens.operators.rows import settle
 from podlens.options import ParseOptions
 from podlens.session import small_side
 
 # Up to this many path patterns are spelled out as literals, which Spark compiles once per task.
 LITERAL_PATTERNS = 200
 
+# The fields of a request next to its mark.
+FIELDS = (
+    names.KEY_HOST,
+    names.KEY_METHOD,
+    names.KEY_URI,
+    names.KEY_STATUS,
+    names.KEY_REQUEST_TIME,
+    names.KEY_UPSTREAM_POD,
+    names.KEY_UPSTREAM_TOTAL,
+)
+MARKED = (names.KEY_SLA, *FIELDS)
 
-def _status(value: Column) -> Column:
-    number = number_of(value)
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < F.lit(9.2e18)), number.try_cast("bigint"))
-    return F.coalesce(whole, integer_text(text_of(value)))
 
+def _marked(rows: DataFrame, field: Callable[[str], Column], more: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with a true mark, with the other fields as VARIANT columns named ``_<key>``.
 
-def _request_time(value: Column) -> Column:
-    return F.coalesce(number_of(value), float_text(text_of(value), specials=True))
-
-
-def _filled(value: Column) -> Column:
-    return F.nullif(text_of(value), F.lit(""))
-
-
-def sli_message(field: Callable[[str], Column], upstream_total: Column) -> Column:
-    """Struct of one request, NULL when the record is no indicator.
-
-    The ``sla`` mark is looked at first, so unmarked records cost one field access.
+    The mark is tested first, so other rows cost one field.
     """
-    message = F.struct(
-        _filled(field(names.KEY_HOST)).alias("host"),
-        F.coalesce(text_of(field(names.KEY_UPSTREAM_POD)), F.lit("")).alias("pod_name"),
-        _filled(field(names.KEY_METHOD)).alias("method"),
-        _filled(field(names.KEY_URI)).alias("uri"),
-        _status(field(names.KEY_STATUS)).alias("status"),
-        _request_time(field(names.KEY_REQUEST_TIME)).alias("request_time"),
-        number_of(upstream_total).alias("upstream_total"),
-    )
-    required = ("host", "method", "uri", "status", "request_time")
-
-    def complete(m: Column) -> Column:
-        found = m[required[0]].isNotNull()
-        for name in required[1:]:
-            found = found & m[name].isNotNull()
-        return F.when(found, m)
-
-    return F.when(flag_of(field(names.KEY_SLA)), bind(message, complete))
+    columns = {f"_{key}": field(key) for key in FIELDS}
+    return settle(rows, columns | (more or {}), keep=flag_of(field(names.KEY_SLA)))
+
+
+def _requests(marked: DataFrame, upstream_total: Column) -> DataFrame:
+    """The marked rows that have all required fields, as typed request columns."""
+
+    def raw(key: str) -> Column:
+        return F.col(f"_{key}")
+
+    status = raw(names.KEY_STATUS)
+    typed = {
+        "host": text_of(raw(names.KEY_HOST)),
+        "pod_name": F.coalesce(text_of(raw(names.KEY_UPSTREAM_POD)), F.lit("")),
+        "method": text_of(raw(names.KEY_METHOD)),
+        "uri": text_of(raw(names.KEY_URI)),
+        "_code": number_of(status),
+        "_code_text": text_of(status),
+        # Numbers and number texts are read alike, so the type of the time does not matter.
+        "_time": F.try_variant_get(raw(names.KEY_REQUEST_TIME), "$", "string"),
+        "upstream_total": upstream_total,
+    }
+    kept = [c for c in marked.columns if not c.startswith("_")]
+    rows = marked.select(*kept, *[column.alias(name) for name, column in typed.items()])
+    code = F.col("_code")
+    whole = F.when((code == F.floor(code)) & (F.abs(code) < F.lit(9.2e18)), code.try_cast("bigint"))
+    numbers = {
+        "status": F.coalesce(whole, integer_text(F.col("_code_text"))),
+        "request_time": float_text(F.col("_time"), specials=True),
+    }
+    filled = (F.col("host") != "") & (F.col("method") != "") & (F.col("uri") != "")
+    found = settle(rows, numbers, keep=filled).where(F.col("status").isNotNull() & F.col("request_time").isNotNull())
+    order = ("host", "pod_name", "method", "uri", "status", "request_time", "upstream_total")
+    return found.select(*kept, *order)
 
 
 def extract_sli(records: DataFrame, user_key: str = "") -> DataFrame:
@@ -68,46 +84,38 @@ def extract_sli(records: DataFrame, user_key: str = "") -> DataFrame:
             return F.try_variant_get(record[user_key], f"$.{key}", "variant")
         return record[key]
 
-    return add_fields(records, sli_message(field, field(names.KEY_UPSTREAM_TOTAL)), optional=True).drop("record")
+    marked = _marked(records, field).drop("record")
+    return _requests(marked, number_of(F.col(f"_{names.KEY_UPSTREAM_TOTAL}")))
 
 
 def extract_sli_from_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """The same requests straight from raw lines, without building records.
+    """The same requests straight from raw lines, without building records; adds ``event_time``.
 
-    Only the few indicator fields are read from the parsed payload; nothing is flattened or
-    merged. A nested object under one of those names has no place in a flat record, so it counts
-    as absent there.
+    Only the few request fields are read out of each payload; nothing is flattened or merged. A
+    nested object under one of those names has no place in a flat record, so it counts as absent.
     """
-    merges_cri = not options.user_key and not options.cri_key
+    own_keys = (*MARKED, names.KEY_UPSTREAM_TIME)
+    outer_keys = (names.KEY_LOG, names.KEY_TIME, *MARKED)
+    content, own, outer = F.col("content"), F.col("_own"), F.col("_outer")
+    docker = F.col("format") == names.FORMAT_DOCKER
 
-    def message(parts: Column) -> Column:
-        def from_payload(payload: Column) -> Column:
-            def own(key: str) -> Column:
-                return F.try_variant_get(payload, f"$.{key}", "variant")
+    rows = line_content(lines.drop("event_time"), F.col("format"), struct_type(outer_keys))
+    rows = rows.drop("value").select("*", document(content, struct_type(own_keys)).alias("_doc"))
+    rows = rows.select("*", document_value(F.col("_doc"), content).alias("_own")).drop("_doc")
 
-            def field(key: str) -> Column:
-                value = own(key)
-                if options.flatten:
-                    value = F.when(~is_object(value), value)
-                return F.coalesce(value, parts["cri"][key]) if merges_cri else value
-
-            total = upstream_time_total(own(names.KEY_UPSTREAM_TIME))
-            return sli_message(field, F.coalesce(total, field(names.KEY_UPSTREAM_TOTAL)))
-
-        return bind(parse_document(parts["content"]), from_payload)
-
-    def timed(parts: Column) -> Column:
-        return bind(
-            message(parts),
-            lambda m: F.when(
-                m.isNotNull(), F.struct(m.alias("request"), event_time(parts["cri"]).alias("event_time"))
-            ),
-        )
+    def field(key: str) -> Column:
+        if options.user_key or options.cri_key:
+            return own[key]
+        # A field of the outer line shows where the payload has none, or one that is flattened away.
+        absent = own[key].isNull() | (is_object(own[key]) if options.flatten else F.lit(False))
+        return F.when(outer[key].isNotNull() & content.isNotNull() & absent, outer[key]).otherwise(own[key])
 
-    requests = bind(line_parts(F.col("value"), F.col("format")), timed)
-    found = add_fields(lines.drop("event_time"), requests, optional=True)
-    others = [c for c in found.columns if c not in ("value", "request")]
-    return found.select(*others, "request.*")
+    time = F.when(docker, docker_time(outer)).otherwise(cri_time(F.col("_head")))
+    more = {"_upstream": own[names.KEY_UPSTREAM_TIME], "event_time": event_time(time)}
+    marked = _marked(rows, field, more).drop("content", "_own", "_outer", "_head")
+    source = F.col("_upstream")
+    given = number_of(F.col(f"_{names.KEY_UPSTREAM_TOTAL}"))
+    return _requests(marked, F.coalesce(number_of(source), total_time_text(text_of(source)), given))
 
 
 def with_path_keys(hosts: DataFrame) -> DataFrame:
@@ -157,7 +165,7 @@ def label_path(matched: DataFrame, rules: list[Row] | None = None) -> DataFrame:
         label = first_label(uri, F.col("paths"))
     else:
         label = literal_label(uri, F.col("paths_key"), rules)
-    return add_column(matched.drop("path"), "path", label).drop("paths", "paths_key")
+    return settle(matched.drop("path"), {"path": label}).drop("paths", "paths_key")
 
 
 def indicators(requests: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from podlens.functions.maps import (
     project_keys,
 )
 from podlens.functions.upstream import last_time_text, total_time_text
-from podlens.functions.variants import number_of, parse_object, text_of
+from podlens.functions.documents import parse_object
+from podlens.functions.variants import number_of, text_of
 from podlens.operators.enrich import enrich_cri_by_path, enrich_with_metadata, with_ext
 from podlens.operators.filters import drop_suppressed, strip_reserved
 from podlens.operators.journal import normalise_journal
@@ -44,7 +45,7 @@ from podlens.operators.parsing import (
     parse_user_payload,
 )
 from podlens.operators.rates import attach_rate, resolve_rate, throttle_delay, throttling_total
-from podlens.operators.rows import add_column
+from podlens.operators.rows import settle
 from podlens.operators.services import explode_service_domains, usable_services, validate_services
 from podlens.operators.sli import (
     extract_sli,
@@ -412,7 +413,7 @@ def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.concat(
         F.lit('{"a":{"b":'), "props", F.lit(',"e":{},"d":{"x":{"y":{"z":null}}}},"l":[{"x":8}],"t":"'), "event_type", F.lit('"}')
     )
-    rows = add_column(events, "fields", parse_object(nested))
+    rows = settle(events, {"fields": parse_object(nested)})
     return rows.select("event_id", json_text(flatten_entries(F.col("fields"))).alias("flat"))
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podlens.functions.lines import parsed_line
-from podlens.functions.variants import bind
 from podlens.operators.filters import deliverable, without_reserved
 from podlens.operators.output import json_text
-from podlens.operators.parsing import ext_column, record_column
+from podlens.operators.parsing import assemble_record, parse_lines
 from podlens.options import ParseOptions
 from podlens.session import configure
 
@@ -17,19 +15,12 @@ from podlens.session import configure
 def record_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """The JSON record of every line that may be delivered, as ``value``.
 
-    The same as parsing, assembling, filtering, stripping and writing one after the other, as one
-    expression per line: the maps in between never become rows, and nothing is shuffled.
+    Parse, assemble, filter, strip and write in one narrow stage; nothing is shuffled. A
+    suppressed record is recognised before it is written.
     """
     configure(lines.sparkSession)
-
-    def text(record: Column) -> Column:
-        return F.when(
-            deliverable(record, options.user_key), json_text(without_reserved(record, options.user_key))
-        )
-
-    ext = ext_column(lines)
-    value = bind(
-        parsed_line(F.col("value"), F.col("format"), options.raw_key, options.flatten),
-        lambda p: bind(record_column(p["user"], p["cri"], ext, options), text),
-    )
-    return lines.select(F.explode(F.array_compact(F.array(value))).alias("value"))
+    columns = [c for c in ("value", "format", "ext") if c in lines.columns]
+    records = assemble_record(parse_lines(lines.select(*columns), options), options)
+    record = F.col("record")
+    text = json_text(without_reserved(record, options.user_key))
+    return records.select(F.explode(F.when(deliverable(record, options.user_key), F.array(text))).alias("value"))

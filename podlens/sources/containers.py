@@ -18,7 +18,11 @@ CONFIG_SCHEMA = (
 
 def local_path(uri: Column) -> Column:
     """A file name without the scheme that Spark puts before it."""
-    return F.regexp_replace(uri, r"^file:/+", "/")
+    return (
+        F.when(F.startswith(uri, F.lit("file:///")), F.substring(uri, 8, 1 << 30))
+        .when(F.startswith(uri, F.lit("file:/")), F.substring(uri, 6, 1 << 30))
+        .otherwise(uri)
+    )
 
 
 def _label(name: str) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podlens import names
+from podlens.functions.documents import document, document_fields
 from podlens.functions.maps import drop_keys, extend_map
-from podlens.functions.variants import bind, parse_object
-from podlens.operators.rows import add_fields
+from podlens.operators.rows import settle
 
 # The field that holds the time of a row in the usual export, in microseconds as text.
 EXPORT_TIME = "__REALTIME_TIMESTAMP"
@@ -19,17 +19,15 @@ def journal_rows(text: DataFrame) -> DataFrame:
 
     The export time becomes ``time``, as the journal reader names it.
     """
-    parsed = bind(
-        parse_object(F.col("value")),
-        lambda fields: F.when(fields.isNotNull(), F.struct(fields.alias("row"))),
-    )
-    rows = add_fields(text, parsed, optional=True)
+    value = F.col("value")
+    parsed = settle(text, {"_doc": document(value)})
+    rows = parsed.select("*", document_fields(F.col("_doc"), value).alias("row")).where(F.col("row").isNotNull())
     moved = extend_map(
         drop_keys(F.col("row"), [EXPORT_TIME]),
         F.create_map(F.lit(names.KEY_TIME), F.col("row")[EXPORT_TIME]),
     )
     stamped = F.when(F.map_contains_key("row", EXPORT_TIME), moved).otherwise(F.col("row"))
-    return rows.withColumn("row", stamped).drop("value")
+    return rows.withColumn("row", stamped).drop("value", "_doc")
 
 
 def scan_journal_export(spark: SparkSession, glob: str | list[str]) -> DataFrame:
