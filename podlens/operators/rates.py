@@ -65,13 +65,17 @@ def resolve_rate(
 
 
 def attach_rate(
-    lines: DataFrame,
-    rules: list[RateRule],
-    options: RateOptions = RateOptions(),
+    lines: DataFrame, catalog: DataFrame, rules: list[RateRule], options: RateOptions = RateOptions()
 ) -> DataFrame:
-    """Rates for lines, resolved once per distinct pod and joined back."""
-    pods = lines.select("namespace", "pod").distinct()
-    return lines.join(small_side(resolve_rate(pods, rules, options)), ["namespace", "pod"], "left")
+    """Rates for lines, resolved once per pod of the container catalog and joined on.
+
+    Only lines of a pod that the catalog does not know are matched with the rules one by one.
+    """
+    pods = resolve_rate(catalog.select("namespace", "pod").distinct(), rules, options)
+    known = pods.withColumnRenamed("rate", "_rate")
+    joined = lines.join(small_side(known), ["namespace", "pod"], "left")
+    own = rate_column(F.col("namespace"), F.col("pod"), rules, options)
+    return joined.withColumn("rate", F.coalesce("_rate", own)).drop("_rate")
 
 
 def throttle_delay(

@@ -655,7 +655,7 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = workload.read_lines(spark, sf_dir)
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / REPLAY_SPEED
     narrow = lines.select("namespace", "pod", "container", F.col("event_id").alias("seq"), seconds.alias("arrival"))
-    rated = attach_rate(narrow, check_rules(workload.RULES))
+    rated = attach_rate(narrow, workload.catalog(spark, sf_dir), check_rules(workload.RULES))
     return throttle_delay(rated, slice_width=1000)
 
 

@@ -6,6 +6,8 @@ of its rows as a Docker or CRI line; a reader of the specification knows every f
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +155,12 @@ SERVICES = (
 
 
 def hosts(spark: SparkSession) -> DataFrame:
-    """The host catalog of the three services the lines ask for."""
+    """The host catalog of the three services the lines ask for, stored once per application."""
+    return spark.read.parquet(_stored_hosts(spark, spark.sparkContext.applicationId))
+
+
+@lru_cache(maxsize=1)
+def _stored_hosts(spark: SparkSession, application: str) -> str:
     annotated = [
         (
             i,
@@ -171,4 +178,4 @@ def hosts(spark: SparkSession) -> DataFrame:
     )
     stored = scratch_dir(spark, "hosts")
     explode_service_domains(services, DEFAULT_DOMAIN).write.parquet(stored)
-    return spark.read.parquet(stored)
+    return stored
