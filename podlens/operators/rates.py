@@ -96,11 +96,14 @@ def throttle_delay(
     Rank and maximum are running values over a container that may hold a large part of all
     lines. They are therefore built from slices of ``slice_width`` positions, each at most that
     many rows: first within the slices, then over one summary row per slice, then added up.
-    Lines are shuffled once, by container and slice.
+    Lines are shuffled once, by container and slice: with keys that cannot be NULL, the join back
+    adds no filters to either side, so both read the same shuffle.
     """
     keys = list(container)
     rate = F.col("rate")
-    rows = lines.withColumn("_slice", F.floor(F.col(seq) / F.lit(slice_width)).cast("long"))
+    named = {key: F.coalesce(key, F.lit("")) for key in keys}
+    place = F.floor(F.col(seq) / F.lit(slice_width)).cast("long")
+    rows = lines.withColumns({**named, "_slice": F.coalesce(place, F.lit(0))})
     inside = Window.partitionBy(*keys, "_slice").orderBy(seq)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumn("_n", F.row_number().over(inside)).withColumn(

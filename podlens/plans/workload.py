@@ -65,6 +65,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, value, format, path, namespace, pod, container, id, ts)``; also the empty lines."""
+    return _rendered(requests(spark, sf_dir))
+
+
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as a scan gives them, without the empty ones."""
+    return _rendered(requests(spark, sf_dir).where(F.col("kind") != "empty"))
+
+
+def _rendered(rows: DataFrame) -> DataFrame:
     payload = F.to_json(
         F.struct(
             "host",
@@ -98,7 +107,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("kind") == "plain", F.concat(F.lit("event "), F.col("event_id").cast("string")))
         .otherwise(line)
     )
-    return requests(spark, sf_dir).select(
+    return rows.select(
         "event_id",
         value.alias("value"),
         "format",
@@ -118,11 +127,6 @@ def log_path():
     return F.when(F.col("format") == names.FORMAT_DOCKER, docker).otherwise(cri)
 
 
-def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines as a scan gives them, without the empty ones."""
-    return log_lines(spark, sf_dir).where(F.col("value") != "")
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containers of the lines."""
     rows = requests(spark, sf_dir).select("format", "id", "namespace", "pod", "container")
