@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +11,6 @@ from podlens import names
 from podlens.functions.variants import bind, fields_of, no_fields, text_of
 
 
-# Rounds that are tried before the exact depth of a record is looked up.
-SHALLOW_ROUNDS = 4
-
-
 def extend_map(*maps: Column) -> Column:
     """All maps together; entries of a later one win."""
     return F.map_concat(*maps)
@@ -89,36 +85,27 @@ def _has_object(entries: Column) -> Column:
 def flatten_entries(record: Column) -> Column:
     """Nested objects become dotted keys, at any depth; arrays and nulls stay as they are.
 
-    Where a nested field and a plain one come to the same key, the nested field counts.
-
-    Only the entries that hold objects are opened, by a fold whose every round opens one level; a
-    round that finds nothing to open passes its state on. A few rounds suffice for all but the
-    deepest records. What they leave open is folded again, with as many rounds as the objects
-    have opening braces.
+    Where two fields come to the same key, the later one counts. Most records nest one or two
+    levels, which are opened one after the other. Deeper ones go through a fold whose every round
+    opens one level, with as many rounds as the record has opening braces; a round that finds
+    nothing to open passes its state on.
     """
 
-    def round_of(state: Column, _: Column) -> Column:
-        opened = bind(
-            _expand(state["entries"]),
-            lambda entries: F.struct(entries.alias("entries"), _has_object(entries).alias("open")),
-        )
-        return F.when(state["open"], opened).otherwise(state)
-
-    def fold(state: Column, rounds: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), rounds), state, round_of)
-
-    def opened(objects: Column) -> Column:
-        start = F.struct(F.map_entries(objects).alias("entries"), F.lit(True).alias("open"))
+    def state(entries: Column) -> Column:
+        return F.struct(entries.alias("entries"), _has_object(entries).alias("open"))
 
-        def finish(state: Column) -> Column:
-            text = F.to_json(F.to_variant_object(objects))
-            depth = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-            return F.when(state["open"], fold(state, depth)).otherwise(state)
+    def round_of(current: Column, _: Column) -> Column:
+        return F.when(current["open"], bind(_expand(current["entries"]), state)).otherwise(current)
 
-        return F.map_from_entries(bind(fold(start, F.lit(SHALLOW_ROUNDS)), finish)["entries"])
+    def fold(entries: Column) -> Column:
+        text = F.to_json(F.to_variant_object(record))
+        depth = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+        start = F.struct(entries.alias("entries"), F.lit(True).alias("open"))
+        return F.aggregate(F.sequence(F.lit(1), depth), start, round_of)["entries"]
 
-    def unnest(objects: Column) -> Column:
-        plain = F.map_filter(record, lambda _, value: fields_of(value).isNull())
-        return F.when(F.size(objects) > 0, extend_map(plain, opened(objects))).otherwise(record)
+    def opened(entries: Column, deeper: Callable[[Column], Column]) -> Column:
+        return bind(_expand(entries), lambda once: F.when(_has_object(once), deeper(once)).otherwise(once))
 
-    return bind(F.map_filter(record, lambda _, value: fields_of(value).isNotNull()), unnest)
+    levels = opened(F.map_entries(record), lambda once: opened(once, fold))
+    nested = F.exists(F.map_values(record), lambda value: fields_of(value).isNotNull())
+    return F.when(nested, F.map_from_entries(levels)).otherwise(record)

@@ -168,8 +168,10 @@ def test_flatten(spark):
         },
         '{"e":{"e":{}}}': {},
         "{}": {},
-        # The nested field counts where two come to one key.
+        # The later field counts where two come to one key.
         '{"a.b":1,"a":{"b":2}}': {"a.b": 2},
+        '{"a":{"b":2},"a.b":1}': {"a.b": 1},
+        '{"a":{"b":{"c":{"d":1}}},"l":[]}': {"a.b.c.d": 1, "l": []},
         '{"k":1,"k":2}': {"k": 2},
     }
     depth = 40
