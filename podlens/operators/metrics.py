@@ -173,26 +173,37 @@ def request_samples(
     return base.select(*by, F.inline(samples)).groupBy(*keys).agg(value.alias("value"))
 
 
-def container_samples(values: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """Samples of a metric whose labels are namespace, pod and container."""
-    labels = [F.col(n) if n in CONTAINER_LABELS else F.lit(None).cast("string").alias(n) for n in ALL_LABELS]
-    return values.select(*by, F.lit(metric).alias("metric"), *labels, F.col("value").cast("double").alias("value"))
+def container_samples(
+    delayed: DataFrame, options: MetricOptions = MetricOptions(), running: DataFrame | None = None
+) -> DataFrame:
+    """Samples of the two container metrics out of one pass over the lines with their ``delay``.
+
+    Given the running containers, only theirs have a throttling sample.
+    """
+    keys = list(CONTAINER_LABELS)
+    totals = delayed.groupBy(*keys).agg(
+        F.count("*").alias("_lines"), duration_sum(F.col("delay"), options.sum_scale).alias("_delay")
+    )
+    live = F.lit(True)
+    if running is not None:
+        alive = running.where("running").select(*keys).distinct().withColumn("_live", F.lit(True))
+        totals, live = totals.join(alive, keys, "left"), F.col("_live")
+    labels = {name: F.col(name) for name in keys}
+    messages = F.array(_sample(names.M_MESSAGES, F.col("_lines"), **labels))
+    throttled = F.array(_sample(names.M_THROTTLE, F.col("_delay"), **labels))
+    return totals.select(F.inline(F.when(live, F.concat(messages, throttled)).otherwise(messages)))
 
 
 def metric_samples(
     matched: DataFrame,
-    lines: DataFrame,
     delayed: DataFrame,
     options: MetricOptions = MetricOptions(),
     running: DataFrame | None = None,
 ) -> DataFrame:
-    """All six metrics as ``(metric, labels, value)``; histograms as bucket, sum and count samples."""
-    from podlens.operators.rates import throttling_total
-
-    throttled = throttling_total(delayed, running, sum_scale=options.sum_scale)
-    samples = (
-        request_samples(matched, options)
-        .unionByName(container_samples(log_message_count(lines), names.M_MESSAGES))
-        .unionByName(container_samples(throttled, names.M_THROTTLE))
-    )
+    """All six metrics as ``(metric, labels, value)``; histograms as bucket, sum and count samples.
+
+    ``matched`` are the requests, ``delayed`` all lines with their throttling delay. Each is read
+    in one pass.
+    """
+    samples = request_samples(matched, options).unionByName(container_samples(delayed, options, running))
     return samples.select("metric", labels_column(ALL_LABELS).alias("labels"), "value")

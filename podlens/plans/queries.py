@@ -65,7 +65,7 @@ from podlens.options import (
 )
 from podlens.plans import workload
 from podlens.plans.records import record_lines
-from podlens.session import configure, scratch_dir
+from podlens.session import configure, configure_state, scratch_dir
 from podlens.sources.containers import (
     container_catalog_cri,
     container_catalog_docker,
@@ -285,7 +285,7 @@ def journal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_rules_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules from a file with one entry per nation, in force for every customer."""
     root = scratch_dir(spark, "rules")
-    nations = workload.table(spark, sf_dir, "nation").orderBy("n_nationkey")
+    nations = workload.table(spark, sf_dir, "nation")
     entry = F.format_string("- namespace: '^%s$'\n  rate: %d", "n_name", F.col("n_nationkey") + 1)
     text = nations.agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("value"))
     text.coalesce(1).write.text(root)
@@ -662,7 +662,7 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_samples = metric_samples(
-        _matched(spark, sf_dir), workload.read_lines(spark, sf_dir), _rounded(_replay(spark, sf_dir)), METRICS
+        _matched(spark, sf_dir), _rounded(_replay(spark, sf_dir)), METRICS
     )
     return all_samples.select(sample_text(F.col("metric"), F.col("labels")).alias("sample"), "value")
 
@@ -701,14 +701,14 @@ def _delivered(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def delivered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_dir(spark, "delivered").removeprefix("file:")
+    folder = scratch_dir(spark, "delivered")
     deliver_batches(record_lines(_enriched(spark, sf_dir)), partial(FileSink, folder), DeliveryOptions(batch_size=100))
     return _delivered(spark, folder)
 
 
 @query
 def written_to_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_dir(spark, "sink").removeprefix("file:")
+    folder = scratch_dir(spark, "sink")
     register_sink(spark)
     writer = record_lines(_enriched(spark, sf_dir)).write.format("podlens_sink").mode("append")
     writer.option("sink", "podlens.streaming.sinks:FileSink").option("target", folder).save()
@@ -719,7 +719,7 @@ def written_to_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments to JSON records in a sink, with the catalog read again at its interval."""
     root = workload.write_segments(spark, sf_dir)
-    folder = scratch_dir(spark, "records").removeprefix("file:")
+    folder = scratch_dir(spark, "records")
     catalog = RefreshingTable(spark, lambda: _segment_catalog(spark, root), RefreshOptions().containers)
     job = stream_records(stream_log_lines(spark, root), catalog.current, emit_to_sink(partial(FileSink, folder)))
     checkpoint = scratch_dir(spark, "checkpoint")
@@ -745,6 +745,7 @@ def _segment_catalog(spark: SparkSession, root: str) -> DataFrame:
 @query
 def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live counter of one run over all segments, as its last update of every series."""
+    configure_state(spark)
     root = workload.write_segments(spark, sf_dir)
     lines = stream_log_lines(spark, root).withColumn("format", F.regexp_extract("path", "format=([^/]*)", 1))
     matched = stream_indicators(lines, workload.hosts(spark), watermark="60 days", metric_options=METRICS)

@@ -14,13 +14,29 @@ REQUIRED_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Live metrics may have many label sets, so their state lives outside the heap.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 # Sides with at most this many rows are broadcast; larger ones use a shuffle join.
 BROADCAST_ROWS = 200_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the two settings that record building relies on."""
-    for key, value in REQUIRED_CONF.items():
+    return _set(spark, REQUIRED_CONF)
+
+
+def configure_state(spark: SparkSession) -> SparkSession:
+    """Keep the state of streaming metrics in RocksDB; to be set before a query starts."""
+    return _set(spark, STATE_CONF)
+
+
+def _set(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    for key, value in conf.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

@@ -14,7 +14,8 @@ class RefreshingTable:
     """Keeps a stored snapshot of a small table and renews it when it is older than ``seconds``.
 
     The snapshot is a table in the shared scratch folder, so it survives lost executors and every
-    use within the interval sees the same rows. When loading fails, the old snapshot stays.
+    use within the interval sees the same rows. When loading fails, the old snapshot stays. Two
+    folders take turns, so a long job leaves no trail of old snapshots.
     """
 
     def __init__(
@@ -26,7 +27,8 @@ class RefreshingTable:
         clock: Callable[[], float] = time.monotonic,
     ) -> None:
         self._spark, self._load, self._seconds = spark, load, seconds
-        self._label, self._clock = label, clock
+        self._folder, self._clock = scratch_dir(spark, label), clock
+        self._turn = 0
         self._taken: float | None = None
         self._current: DataFrame | None = None
         self.last_error: Exception | None = None
@@ -39,9 +41,10 @@ class RefreshingTable:
 
     def _renew(self, now: float) -> None:
         try:
-            path = scratch_dir(self._spark, self._label)
-            self._load().write.parquet(path)
+            path = f"{self._folder}/{self._turn}"
+            self._load().write.mode("overwrite").parquet(path)
             self._current = self._spark.read.parquet(path)
+            self._turn = 1 - self._turn
             self.last_error = None
         except Exception as error:
             if self._current is None:

@@ -7,7 +7,6 @@ batch carries a key that stays the same when a task or a micro-batch is repeated
 from __future__ import annotations
 
 import importlib
-import os
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +14,7 @@ from functools import partial
 from typing import NamedTuple, Protocol
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -103,18 +103,21 @@ def deliver_batches(
 
 
 class FileSink:
-    """Writes every batch to a file named by its key, so a repeated batch replaces itself."""
+    """Writes every batch to a file named by its key, so a repeated batch replaces itself.
+
+    The folder may be a path or a URI of any file system that Arrow knows.
+    """
 
     def __init__(self, folder: str) -> None:
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
+        self._files, self._folder = fs.FileSystem.from_uri(folder)
+        self._files.create_dir(self._folder, recursive=True)
 
     def deliver(self, messages: list[str], key: DeliveryKey) -> None:
         name = f"{key.job}-{key.batch}-{key.partition}-{key.chunk}.txt"
-        temporary = os.path.join(self.folder, f".{name}.{uuid.uuid4().hex}")
-        with open(temporary, "w", encoding="utf-8", newline="\n") as file:
-            file.writelines(f"{message}\n" for message in messages)
-        os.replace(temporary, os.path.join(self.folder, name))
+        temporary = f"{self._folder}/.{name}.{uuid.uuid4().hex}"
+        with self._files.open_output_stream(temporary) as file:
+            file.write("".join(f"{message}\n" for message in messages).encode())
+        self._files.move(temporary, f"{self._folder}/{name}")
 
     def close(self) -> None:
         """Nothing is held open."""
