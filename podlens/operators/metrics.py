@@ -52,7 +52,8 @@ def http_request_total_count(matched: DataFrame, by: Sequence[str] = ()) -> Data
 
 
 def _bucket_counts(value: Column, buckets: Sequence[float]) -> list[Column]:
-    return [F.count_if(value <= F.lit(bound)) for bound in buckets]
+    # A plain conditional count: count_if first computes one column per bucket for every row.
+    return [F.count(F.when(value <= F.lit(bound), 1)) for bound in buckets]
 
 
 def _histogram(
@@ -123,17 +124,16 @@ def _sample(metric: str, value: Column, **labels: Column) -> Column:
     return F.struct(*fields, value.cast("double").alias("value"))
 
 
-def _histogram_samples(metric: str, prefix: str, options: MetricOptions, labels: dict[str, Column]) -> list[Column]:
-    bounds = [bound_text(b) for b in options.buckets]
-    samples = [
-        _sample(f"{metric}_bucket", F.col(f"{prefix}_buckets")[i], le=F.lit(bound), **labels)
-        for i, bound in enumerate(bounds)
-    ]
-    count = F.col(f"{prefix}_count")
-    samples.append(_sample(f"{metric}_bucket", count, le=F.lit("+Inf"), **labels))
-    samples.append(_sample(f"{metric}_sum", F.col(f"{prefix}_sum"), **labels))
-    samples.append(_sample(f"{metric}_count", count, **labels))
-    return samples
+def _histogram_series(metric: str, options: MetricOptions) -> list[tuple[str, str | None]]:
+    """Sample names of a histogram with their ``le``: the buckets, then sum and count."""
+    bounds = [*(bound_text(b) for b in options.buckets), "+Inf"]
+    return [*((f"{metric}_bucket", bound) for bound in bounds), (f"{metric}_sum", None), (f"{metric}_count", None)]
+
+
+def _histogram_values(prefix: str) -> Column:
+    """The values that go with :func:`_histogram_series`."""
+    total, count = F.col(f"{prefix}_sum"), F.col(f"{prefix}_count").cast("double")
+    return F.concat(F.col(f"{prefix}_buckets").cast("array<double>"), F.array(count, total, count))
 
 
 def request_samples(
@@ -145,32 +145,47 @@ def request_samples(
     small result.
     """
     finest = [*by, "method", "service", "path", "status", "upstream_pod_name"]
-    aggregates = [F.count("*").alias("n")]
+    aggregates = [F.count("*").cast("double").alias("n")]
     for prefix, name in (("time", "request_time"), ("upstream", "upstream_total")):
         value = F.col(name)
-        total = duration_sum(value, options.sum_scale)
         aggregates += [
             F.array(*_bucket_counts(value, options.buckets)).alias(f"{prefix}_buckets"),
-            total.alias(f"{prefix}_sum"),
+            duration_sum(value, options.sum_scale).alias(f"{prefix}_sum"),
             F.count(value).alias(f"{prefix}_count"),
         ]
     base = _labelled(matched).groupBy(*finest).agg(*aggregates)
-    request = {name: F.col(name) for name in REQUEST_LABELS}
-    hit = F.col("path") != ""
-    total = F.array(_sample(names.M_TOTAL, F.col("n"), service=F.col("service")))
-    counted = F.array(_sample(names.M_REQUESTS, F.col("n"), status=F.col("status"), **request))
-    times = F.array(*_histogram_samples(names.M_TIME, "time", options, request))
-    upstream = F.array(*_histogram_samples(names.M_UPSTREAM, "upstream", options, request))
-    none = F.filter(total, lambda _: F.lit(False))
-    samples = F.concat(
-        total,
-        F.when(hit, F.concat(counted, times)).otherwise(none),
-        F.when(hit & (F.col("upstream_count") > 0), upstream).otherwise(none),
+    series = [
+        (names.M_TOTAL, None),
+        (names.M_REQUESTS, None),
+        *_histogram_series(names.M_TIME, options),
+        *_histogram_series(names.M_UPSTREAM, options),
+    ]
+    samples = F.arrays_zip(
+        F.array(*[F.lit(metric) for metric, _ in series]).alias("metric"),
+        F.array(*[F.lit(bound).cast("string") for _, bound in series]).alias("le"),
+        F.concat(
+            F.array("n", "n"), _histogram_values("time"), _histogram_values("upstream")
+        ).alias("value"),
     )
-    keys = [*by, "metric", *ALL_LABELS]
-    # Sums of durations are rounded to the exact scale again, as they are added as doubles here.
+    rows = base.select(*finest, "upstream_count", F.inline(samples).alias("metric", "le", "value"))
+    metric = F.col("metric")
+    total = metric == names.M_TOTAL
+    observed = ~F.startswith(metric, F.lit(names.M_UPSTREAM)) | (F.col("upstream_count") > 0)
+    status = F.when(metric == names.M_REQUESTS, F.col("status").cast("string"))
+    labels = {
+        "method": F.when(~total, F.col("method")),
+        "service": F.col("service"),
+        "path": F.when(~total, F.col("path")),
+        "status": status,
+        "upstream_pod_name": F.when(~total, F.col("upstream_pod_name")),
+        "le": F.col("le"),
+    }
+    none = F.lit(None).cast("string")
+    columns = [labels.get(name, none).alias(name) for name in ALL_LABELS]
+    found = rows.where(total | ((F.col("path") != "") & observed)).select(*by, "metric", *columns, "value")
+    # The exact sums are added once more here, with the same scale.
     value = duration_sum(F.col("value"), options.sum_scale)
-    return base.select(*by, F.inline(samples)).groupBy(*keys).agg(value.alias("value"))
+    return found.groupBy(*by, "metric", *ALL_LABELS).agg(value.alias("value"))
 
 
 def container_samples(

@@ -65,7 +65,7 @@ from podlens.options import (
 )
 from podlens.plans import workload
 from podlens.plans.records import record_lines
-from podlens.session import configure, configure_state, scratch_dir
+from podlens.session import configure, configure_state, ensure_parallel, scratch_dir
 from podlens.sources.containers import (
     container_catalog_cri,
     container_catalog_docker,
@@ -246,7 +246,7 @@ def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _journal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export lines: a unit for every type but clicks, and a time that is no number for errors."""
-    events = workload.table(spark, sf_dir, "events")
+    events = ensure_parallel(workload.table(spark, sf_dir, "events"), "event_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
     return events.select(
         F.to_json(
