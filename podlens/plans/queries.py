@@ -65,7 +65,7 @@ from podlens.options import (
 )
 from podlens.plans import workload
 from podlens.plans.records import record_lines
-from podlens.session import configure, configure_state, ensure_parallel, scratch_dir
+from podlens.session import configure, configure_state, ensure_parallel, scratch_dir, ship_package
 from podlens.sources.containers import (
     container_catalog_cri,
     container_catalog_docker,
@@ -97,6 +97,7 @@ REGISTRY: dict[str, Query] = {}
 def query(run: Query) -> Query:
     def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark).conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return run(spark, sf_dir)
 
     REGISTRY[run.__name__] = prepared
@@ -161,7 +162,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = workload.write_segments(spark, sf_dir).removeprefix("file:")
-    stream = stream_tail(spark, f"{root}/**/*.txt", chunk_bytes=64 * 1024)
+    stream = stream_tail(spark, f"{root}/**/*.txt", chunk_bytes=1024 * 1024)
     return _by_folder(_run_to_parquet(spark, stream))
 
 

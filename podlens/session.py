@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from functools import lru_cache
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import podlens
+
 # A later map entry replaces an earlier one, and so does a repeated JSON key.
 REQUIRED_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
@@ -56,6 +62,34 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for jobs started without it on their Python path."""
+    _ship(spark, spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=1)
+def _ship(spark: SparkSession, application: str) -> None:
+    folder = scratch_dir(spark, "package").removeprefix("file:")
+    if "://" in folder:
+        # The archive is only read by the driver, which hands it to the executors.
+        folder = tempfile.mkdtemp(prefix="podlens-")
+    package = os.path.dirname(os.path.abspath(__file__))
+    os.makedirs(folder, exist_ok=True)
+    archive = f"{folder}/podlens.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for parent, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(parent, name)
+                    target.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+
+
+def pickle_by_value() -> None:
+    """Let data sources travel with their code: Spark plans them in processes of their own."""
+    cloudpickle.register_pickle_by_value(podlens)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows

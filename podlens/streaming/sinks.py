@@ -26,6 +26,7 @@ from pyspark.sql.datasource import (
 )
 
 from podlens.options import DeliveryOptions
+from podlens.session import pickle_by_value
 
 
 class DeliveryKey(NamedTuple):
@@ -178,6 +179,7 @@ class SinkSource(DataSource):
 
 
 def register_sink(spark: SparkSession) -> None:
+    pickle_by_value()
     spark.dataSource.register(SinkSource)
 
 

@@ -11,11 +11,14 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from podlens.session import pickle_by_value
+
 SCHEMA = "value string, path string"
 ARROW = pa.schema([("value", pa.string()), ("path", pa.string())])
 LINES_PER_BATCH = 10_000
@@ -84,13 +87,40 @@ def _find(path: str, key: str) -> str | None:
     return None
 
 
-class ByteRange(InputPartition):
-    """The lines that start in ``[start, stop)`` of a file; the last may run on to ``limit``."""
+class ByteRange(NamedTuple):
+    """The lines that start in ``[start, stop)`` of a file; the last may run on to ``limit``.
+
+    ``first`` is where the range of the whole file begins.
+    """
+
+    path: str
+    key: str
+    first: int
+    start: int
+    stop: int
+    limit: int
+
+
+class Ranges(InputPartition):
+    """What one task reads, in this order."""
+
+    def __init__(self, parts: list[ByteRange]) -> None:
+        super().__init__(None)
+        self.parts = [tuple(part) for part in parts]
+
 
-    def __init__(self, path: str, key: str, first: int, start: int, stop: int, limit: int) -> None:
-        super().__init__((path, key, start))
-        self.path, self.key = path, key
-        self.first, self.start, self.stop, self.limit = first, start, stop, limit
+def packed(parts: list[ByteRange], chunk_bytes: int) -> list[Ranges]:
+    """Small ranges share a task, as long as they have no more bytes than one large range."""
+    packs: list[list[ByteRange]] = []
+    size = 0
+    for part in parts:
+        length = part.stop - part.start
+        if not packs or size + length > chunk_bytes:
+            packs.append([])
+            size = 0
+        packs[-1].append(part)
+        size += length
+    return [Ranges(pack) for pack in packs]
 
 
 def ranges(path: str, key: str, start: int, end: int, chunk_bytes: int) -> list[ByteRange]:
@@ -170,7 +200,7 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802 (interface name)
         return {key: [path, last_line_end(path)] for key, path in self._files().items()}
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         parts: list[ByteRange] = []
         for key, (path, done) in start.items():
             if key not in end:
@@ -182,10 +212,11 @@ class TailReader(DataSourceStreamReader):
             done = start[key][1] if key in start else 0
             # A file that became shorter was emptied and holds new lines.
             parts += ranges(path, key, done if done <= stop else 0, stop, self.chunk_bytes)
-        return parts
+        return packed(parts, self.chunk_bytes)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from read_range(ByteRange(*part))
 
 
 class TailSource(DataSource):
@@ -214,6 +245,7 @@ def stream_tail(
     ``positions`` maps paths to stored cursors for the first run; one counts only while inode and
     device match, and then wins over ``from_tail``. Later runs resume from the checkpoint.
     """
+    pickle_by_value()
     spark.dataSource.register(TailSource)
     reader = spark.readStream.format("podlens_tail").option("path", pattern)
     reader = reader.option("fromTail", str(from_tail).lower()).option("chunkBytes", chunk_bytes)

@@ -12,7 +12,7 @@ from podlens.sources.lines import stream_log_lines
 from podlens.streaming.jobs import emit_to_sink, stream_records
 from podlens.streaming.refresh import RefreshingTable, RefreshingValue
 from podlens.streaming.sinks import DeliveryKey, FileSink, chunked, deliver_batches, register_sink, send
-from podlens.streaming.tail import Cursor, TailReader, last_line_end, parse_cursor, read_range, stream_tail
+from podlens.streaming.tail import Cursor, TailReader, last_line_end, parse_cursor, stream_tail
 
 
 def test_cursor():
@@ -39,7 +39,7 @@ def reader(tmp_path, **options):
 
 def lines_between(r, start, end):
     parts = r.partitions(start, end)
-    return [value for part in parts for batch in read_range(part) for value in batch.column(0).to_pylist()]
+    return [value for part in parts for batch in r.read(part) for value in batch.column(0).to_pylist()]
 
 
 def test_tail_appends(tmp_path):
@@ -83,7 +83,7 @@ def test_tail_removed_file_fails(tmp_path):
     parts = r.partitions(r.initialOffset(), r.latestOffset())
     file.unlink()
     with pytest.raises(FileNotFoundError):
-        list(read_range(parts[0]))
+        list(r.read(parts[0]))
 
 
 def test_tail_start_positions(tmp_path):
@@ -112,6 +112,15 @@ def test_tail_chunks_give_every_line_once(tmp_path, chunk):
     assert lines_between(r, r.initialOffset(), r.latestOffset()) == [line for line in lines if line]
 
 
+def test_small_files_share_a_task(tmp_path):
+    for i in range(10):
+        (tmp_path / f"{i}.log").write_text("line\n" * 4)
+    r = reader(tmp_path, chunkbytes="100")
+    parts = r.partitions(r.initialOffset(), r.latestOffset())
+    assert [len(p.parts) for p in parts] == [5, 5]
+    assert len(lines_between(r, r.initialOffset(), r.latestOffset())) == 40
+
+
 def run(writer, checkpoint):
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
