@@ -25,7 +25,6 @@ from podlens.operators.enrich import enrich_cri_by_path, enrich_with_metadata, w
 from podlens.operators.filters import drop_suppressed, strip_reserved
 from podlens.operators.journal import normalise_journal
 from podlens.operators.metrics import (
-    ALL_LABELS,
     http_request_count,
     http_request_time,
     http_request_total_count,
@@ -52,9 +51,7 @@ from podlens.operators.sli import (
     extract_sli_from_lines,
     indicators,
     label_path,
-    literal_rules,
     match_service,
-    with_path_keys,
 )
 from podlens.options import (
     DeliveryOptions,
