@@ -9,7 +9,7 @@ from types import ModuleType
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_DOCUMENTS = 2 << 20, (1 << 16) - 1
 
 _POLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,12 +57,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about ``limit`` bytes; a longer document has a range of its own."""
+    """Ranges of up to 65,535 documents and about ``limit`` bytes; a longer document has a range of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        yield first, min(last, n)
-        first = min(last, n)
+        last = min(last, n, first + SLICE_DOCUMENTS)
+        yield first, last
+        first = last
 
 
 def runs(counts: np.ndarray) -> np.ndarray:

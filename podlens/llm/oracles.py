@@ -3,3 +3,25 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+# Words are runs of other than the six ASCII white-space characters. A window is known by its words.
+ORACLES["op5_fm_index_dedup"] = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), starts AS (
+    SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13
+), windows AS (
+    SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM starts
+), firsts AS (
+    SELECT k, min(doc_id) AS first_doc FROM windows GROUP BY k HAVING count(*) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i
+    FROM windows JOIN firsts USING (k) WHERE first_doc < doc_id
+), lost AS (
+    SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+    sha256(array_to_string(CASE WHEN places IS NULL THEN w
+        ELSE [x FOR x, i IN w IF NOT list_contains(places, i)] END, ' ')) AS kept_sha256
+FROM words LEFT JOIN lost USING (doc_id)
+"""

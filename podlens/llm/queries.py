@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from podlens.llm.fingerprints import edited_fingerprints
+from podlens.llm.near_dedup import near_duplicates
 from podlens.llm.packing import packed_pieces
+from podlens.llm.quality_rules import judge
+from podlens.llm.substring_dedup import remove_repeats
 from podlens.llm.tables import documents
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +31,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @register
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(documents(spark, sf_dir), tokenizer_path())
+
+
+@register
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+@register
+def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
+@register
+def op5_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
