@@ -28,9 +28,10 @@ SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
-# Distances are judged from this many words on; a shorter text is too small a sample.
+# Distances are judged from this many words on; a shorter text is too small a sample. A sample of n words
+# strays from its source in proportion to 1 / sqrt(n), so the limits are (base, noise): base + noise / sqrt(n).
 GUARD_WORDS = 20
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.6
+CHAR_LIMIT, WORD_LIMIT = (0.12, 1.4), (0.2, 1.2)
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other", "beyond_ascii")
 N_COMMON = 21
@@ -209,7 +210,9 @@ def judge(docs: DataFrame) -> DataFrame:
             "word_distance": jensen_shannon_distance("common_shares", "common_reference"),
         }
     )
-    far = (F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
+    noise = 1 / F.sqrt("n_words")
+    far = F.col("char_distance") > CHAR_LIMIT[0] + CHAR_LIMIT[1] * noise
+    far = far | (F.col("word_distance") > WORD_LIMIT[0] + WORD_LIMIT[1] * noise)
     rejected = F.col("base_failed") | ((F.col("n_words") >= GUARD_WORDS) & F.coalesce(far, F.lit(False)))
     return joined.select(
         "doc_id", *_COUNTS, "base_failed", (~rejected).alias("kept"), "char_distance", "word_distance"
