@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podlens.llm.fingerprints import edited_fingerprints
+from podlens.llm.mixing import mix
 from podlens.llm.near_dedup import near_duplicates
 from podlens.llm.packing import packed_pieces
 from podlens.llm.quality_rules import judge
+from podlens.llm.sharding import shard_documents
 from podlens.llm.substring_dedup import remove_repeats
 from podlens.llm.tables import documents
 
@@ -52,3 +54,13 @@ def op5_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+@register
+def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir))
+
+
+@register
+def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
