@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from podlens.llm.license_scan import EQUIVALENT_WORDS, KNOWN_LICENSES
+
 ORACLES: dict[str, str] = {}
 
 # Words are runs of other than the six ASCII white-space characters. A window is known by its words.
@@ -25,3 +27,42 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
         ELSE [x FOR x, i IN w IF NOT list_contains(places, i)] END, ' ')) AS kept_sha256
 FROM words LEFT JOIN lost USING (doc_id)
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spelled(form: str) -> str:
+    for variant, usual in EQUIVALENT_WORDS.items():
+        form = f"replace({form}, ' {variant} ', ' {usual} ')"
+    return form
+
+
+# Licences and documents are brought to the canonical form side by side.
+ORACLES["op8_license_digests"] = rf"""
+WITH raw AS (
+    SELECT doc_id, NULL AS license_id, coalesce(text, '') AS text FROM documents
+    UNION ALL
+    SELECT NULL, * FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in KNOWN_LICENSES.items())})
+), plain AS (
+    SELECT doc_id, license_id, regexp_replace(regexp_replace(lower(text),
+        '(^|\n)[ \t]*(copyright|©|\(c\))[^\n]*', chr(10), 'g'),
+        '(^|\n)[ \t]*all rights reserved\.?[ \t]*(\n|$)', chr(10), 'g') AS t FROM raw
+), forms AS (
+    SELECT doc_id, license_id, ' ' || regexp_replace(regexp_replace(t,
+        '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n[ \n]*', ' ' || chr(10) || ' ', 'g') || ' ' AS f FROM plain
+), spelled AS (
+    SELECT doc_id, license_id, {_spelled("f")} AS f FROM forms
+), digests AS (
+    SELECT doc_id, license_id, sha256(trim(replace(f, ' ' || chr(10) || ' ', ' '))) AS digest,
+        [sha256(trim(x)) FOR x IN string_split(f, chr(10)) IF trim(x) <> ''] AS lines FROM spelled
+), known AS (
+    SELECT digest, min(license_id) AS license_id FROM digests
+    WHERE license_id IS NOT NULL AND digest <> sha256('') GROUP BY digest
+)
+SELECT d.doc_id, d.digest, k.license_id,
+    (SELECT coalesce(list_sort(list(DISTINCT known.license_id)), []) FROM known WHERE list_contains(d.lines, known.digest))
+        AS line_licenses
+FROM digests d LEFT JOIN known k USING (digest) WHERE d.license_id IS NULL
+"""

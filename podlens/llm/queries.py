@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podlens.llm.fingerprints import edited_fingerprints
+from podlens.llm.license_scan import known_licenses, scan_licenses
 from podlens.llm.mixing import mix
 from podlens.llm.near_dedup import near_duplicates
 from podlens.llm.packing import packed_pieces
@@ -64,3 +65,8 @@ def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
+
+
+@register
+def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir), known_licenses(spark))
