@@ -14,6 +14,7 @@ from podlens.llm.near_dedup import near_duplicates
 from podlens.llm.packing import packed_pieces
 from podlens.llm.quality_rules import judge
 from podlens.llm.sharding import shard_documents
+from podlens.llm.site_quality import classify
 from podlens.llm.substring_dedup import remove_repeats
 from podlens.llm.tables import documents
 
@@ -70,3 +71,10 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir), known_licenses(spark))
+
+
+@register
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = classify(documents(spark, sf_dir), labels, F.col("source"), F.col("lang"))
+    return found.withColumnRenamed("carried_doc_id", "doc_id")
