@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from podlens.llm.fingerprints import edited_fingerprints
 from podlens.llm.license_scan import known_licenses, scan_licenses
+from podlens.llm.lm_scoring import score_texts
 from podlens.llm.mixing import mix
 from podlens.llm.near_dedup import near_duplicates
 from podlens.llm.packing import packed_pieces
@@ -78,3 +79,9 @@ def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = classify(documents(spark, sf_dir), labels, F.col("source"), F.col("lang"))
     return found.withColumnRenamed("carried_doc_id", "doc_id")
+
+
+@register
+def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return score_texts(documents(spark, sf_dir), held_out)
