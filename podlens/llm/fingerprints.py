@@ -114,7 +114,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id())
-    lows = np.array(sorted(row[0] for row in ranged.agg(F.min("key")).collect()), np.int64)
+    lows = np.array(sorted(row[1] for row in ranged.agg(F.min("key")).collect()), np.int64)
 
     @F.pandas_udf("array<int>")
     def parts(keys: pd.Series) -> pd.Series:
