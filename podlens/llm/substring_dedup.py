@@ -189,7 +189,7 @@ def _search(window: int):
     return search
 
 
-def _remove(window: int, carry: tuple[str, ...]):
+def _remove(window: int, carry: tuple[str, ...], join_all: bool):
     """In a block: drop the words that lie in a window known from a smaller document id."""
 
     def remove(docs, known):
@@ -207,6 +207,7 @@ def _remove(window: int, carry: tuple[str, ...]):
                 earlier = (hashes[place] == found) & (first_docs[place] < ids[doc]) & given[doc]
                 gone = covered(at[earlier], window, len(words.starts))
             raw = words.data.tobytes()
+            whole = words.offsets.tolist()
             for k, (first, last) in enumerate(zip(words.first.tolist(), words.first[1:].tolist())):
                 left = ~gone[first:last]
                 n_words.append(last - first)
@@ -214,9 +215,10 @@ def _remove(window: int, carry: tuple[str, ...]):
                 if n_removed[-1]:
                     some = np.flatnonzero(left) + first
                     parts = [raw[a:b] for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist())]
+                    kept.append(b" ".join(parts))
                 else:
-                    parts = raw[words.offsets[k] : words.offsets[k + 1]].split()
-                kept.append(b" ".join(parts))
+                    text = raw[whole[k] : whole[k + 1]]
+                    kept.append(b" ".join(text.split()) if join_all else text)
         columns = [docs["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
         columns += [pa.array(kept, pa.binary()).cast(pa.string()), *[docs[f"carried_{name}"] for name in carry]]
         names = ["doc_id", "n_words", "n_removed", "kept", *[f"carried_{name}" for name in carry]]
@@ -255,12 +257,15 @@ def indexed_matches(stretches: DataFrame, window: int = WINDOW, route_limit: int
     return routed.groupBy("shard").applyInArrow(_search(window), _FOUND)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), join_all: bool = True
+) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a document with a smaller id.
 
     ``docs`` has ``doc_id`` (integer) and ``text``; ``carry`` names columns to hand through, which come
     back as ``carried_<name>``. Returns ``doc_id``, ``n_words``, ``n_removed`` and ``kept``, the kept
-    words joined by one space. Windows are judged on the input. A null text has no words; a text
+    words joined by one space (without ``join_all`` only if words are removed: other texts come back as
+    they are, null as empty). Windows are judged on the input. A null text has no words; a text
     shorter than a window loses none. Rows that share an id are one document in this: they take
     nothing from each other. A row without an id neither loses words nor takes any from others. An
     empty table gives no rows.
@@ -280,4 +285,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     known = wanted.join(found, "stretch").select("block", "hashes", "docs")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
     schema += "".join(f", carried_{name} {t.simpleString()}" for name, t in kinds.items())
-    return table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_remove(window, carry), schema)
+    return table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+        _remove(window, carry, join_all), schema
+    )
