@@ -12,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podlens.llm.tables import prepare, store
+from podlens.llm.tables import pieces, prepare, store
 from podlens.session import small_side
 
 # Fixed by the contract: weights of the sources in their order, share of all tokens, largest repetition.
 SOURCE_WEIGHTS, TOTAL_SHARE, MAX_COPIES = (5, 2, 1), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
-# Newton stops once every group is within this part of its target.
-TOLERANCE = 1e-9
+# Newton steps for one family of groups; several families take turns until all are this near to their targets.
+STEPS, TOLERANCE = 60, 1e-9
+# Tables with a row for each group are kept in pieces of so many rows.
+GROUPS_EACH = 100_000
 # The documents of a source are ordered in so many parts, which are summed before any is sorted.
 PARTS = 4096
 
@@ -53,41 +55,53 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.coalesce(target, F.col("limit")).alias("target"))
 
 
+def newton(mass: Column, target: Column) -> Column:
+    """The multiplier that minimises mass * exp(multiplier) - target * multiplier, from 0 by Newton steps.
+
+    Gradient: mass * exp(multiplier) - target; Hessian: mass * exp(multiplier). A step is 1 at most.
+    """
+
+    def step(multiplier: Column, _: Column) -> Column:
+        tilted = mass * F.exp(multiplier)
+        return multiplier + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(target - tilted, tilted)))
+
+    usable = (mass > 0) & (target > 0)
+    return F.when(usable, F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step)).otherwise(F.lit(0.0))
+
+
 def balance(cells: DataFrame, targets: DataFrame, families: list[str], rounds: int = 50) -> DataFrame:
     """Multipliers of the exponentially tilted rates: ``family``, ``group``, ``multiplier``.
 
     ``cells`` has the ``size`` of all documents with the same groups: one column for each family of
-    groups. ``targets`` has ``family``, ``group``, ``target``. Each Newton step solves one family with
-    the others held: within a family the groups share no document, so the Hessian of the dual is
-    diagonal there, and every group takes its own step. A group without tokens keeps the multiplier 0.
+    groups. ``targets`` has ``family``, ``group``, ``target``. Within a family the groups share no
+    document, so the Hessian of the dual is diagonal there, and all groups take their Newton steps side
+    by side. Families take turns, each with the others held, until all groups are at their targets. A
+    group without tokens keeps the multiplier 0.
     """
     state = store(targets.withColumn("multiplier", F.lit(0.0)), "multipliers")
-    for number in range(rounds):
-        family = families[number % len(families)]
-        tilted = cells
-        for name in families:
-            own = state.filter(F.col("family") == name).select(F.col("group").alias(f"{name}_of"), F.col("multiplier").alias(f"{name}_by"))
-            tilted = tilted.join(small_side(own), F.col(name).eqNullSafe(F.col(f"{name}_of")), "left")
-        exponent = sum((F.coalesce(f"{name}_by", F.lit(0.0)) for name in families), F.lit(0.0))
-        gained = tilted.select(F.col(family).alias("tilted_group"), (F.col("size") * F.exp(exponent)).alias("mass"))
-        gained = gained.groupBy("tilted_group").agg(F.sum("mass").alias("mass"))
-        # Gradient of the dual: mass - target; Hessian: mass. The step is kept within 1 either way.
-        own = F.col("family") == family
-        stepped = state.join(small_side(gained), own & F.col("group").eqNullSafe(F.col("tilted_group")), "left")
-        usable = own & (F.col("mass") > 0) & (F.col("target") > 0)
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - F.col("mass")) / F.col("mass")))
-        gap = F.abs(F.col("mass") - F.col("target")) / F.col("target")
-        stepped = stepped.select(
-            "family",
-            "group",
-            "target",
-            (F.col("multiplier") + F.when(usable, step).otherwise(F.lit(0.0))).alias("multiplier"),
-            F.when(usable, gap).alias("gap"),
-        )
-        stepped = store(stepped, "multipliers")
-        worst = stepped.agg(F.max("gap")).first()[0]
-        state = stepped.drop("gap")
-        if len(families) == 1 and (worst is None or worst <= TOLERANCE):
+    n = pieces(state.count(), GROUPS_EACH)
+    for _ in range(rounds):
+        worst = 0.0
+        for family in families:
+            tilted, exponent = cells, F.lit(0.0)
+            for name in families:
+                if name == family:
+                    continue
+                own = state.filter(F.col("family") == name)
+                own = own.select(F.col("group").alias(f"{name}_of"), F.col("multiplier").alias(f"{name}_by"))
+                tilted = tilted.join(small_side(own), F.col(name).eqNullSafe(F.col(f"{name}_of")), "left")
+                exponent = exponent + F.coalesce(f"{name}_by", F.lit(0.0))
+            gained = tilted.select(F.col(family).alias("tilted_group"), (F.col("size") * F.exp(exponent)).alias("mass"))
+            gained = gained.groupBy("tilted_group").agg(F.sum("mass").alias("mass")).coalesce(n)
+            own = F.col("family") == family
+            joined = state.join(small_side(gained), own & F.col("group").eqNullSafe(F.col("tilted_group")), "left")
+            gap = F.try_divide(F.abs(F.col("mass") * F.exp("multiplier") - F.col("target")), F.col("target"))
+            solved = F.when(own, newton(F.col("mass"), F.col("target"))).otherwise(F.col("multiplier"))
+            columns = ["family", "group", "target", F.coalesce(solved, F.lit(0.0)).alias("multiplier")]
+            joined = store(joined.select(*columns, F.when(F.col("target") > 0, gap).alias("gap")).coalesce(n), "multipliers")
+            worst = max(worst, joined.agg(F.max("gap")).first()[0] or 0.0)
+            state = joined.drop("gap")
+        if len(families) == 1 or worst <= TOLERANCE:
             break
     return state.select("family", "group", "multiplier")
 
@@ -144,13 +158,15 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     rows = store(rows.withColumn("draw", F.xxhash64(F.lit("copies"), "doc_id", "digest")), "sizes")
     cells = store(rows.groupBy(F.col("group").alias("source")).agg(F.sum("size").alias("size")), "cells")
-    targets = store(source_targets(cells.withColumnRenamed("size", "source_size")), "targets")
+    n = pieces(cells.count(), GROUPS_EACH)
+    cells = cells.coalesce(n)
+    targets = store(source_targets(cells.withColumnRenamed("size", "source_size")).coalesce(n), "targets")
     wanted = targets.select(F.lit("source").alias("family"), F.col("source").alias("group"), "target")
     found = balance(cells, wanted, ["source"]).select(F.col("group").alias("of_group"), "multiplier")
     known = targets.join(small_side(found), F.col("source").eqNullSafe(F.col("of_group"))).drop("of_group")
     # Newton ends within rounding errors of its target; a rate that is whole but for that is whole.
     rate = F.least(F.round(F.exp("multiplier"), 7), F.lit(float(MAX_COPIES)))
-    known = store(known.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(F.lit(0.0))), "rates")
+    known = store(known.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(F.lit(0.0))).coalesce(n), "rates")
     rated = rows.join(small_side(known), F.col("group").eqNullSafe(F.col("source")))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return rounded_copies(rated).select("doc_id", "size", "source_size", "target", "rate", "copies", taken, "digest")

@@ -198,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
     empty table gives no pieces. ``ids`` holds the piece's ids as little-endian 32-bit numbers.
     """
     prepare(docs.sparkSession)
-    rows = store(tokenised(docs, tokenizer), "tokens")
+    rows = store(tokenised(docs, tokenizer), "tokens", "zstd")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,14 +159,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def _shares(counts: str) -> Column:
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
-    return F.transform(counts, lambda n: F.when(total > 0, n / total).otherwise(F.lit(0.0)))
+    return F.transform(counts, lambda n: F.coalesce(F.try_divide(n, total), F.lit(0.0)))
 
 
 def jensen_shannon_distance(p: str, q: str) -> Column:
     """The square root of the divergence, in bits, of two arrays of shares: from 0 to 1."""
 
     def term(x: Column, y: Column) -> Column:
-        return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
+        return F.when(x > 0, x * F.log2(F.try_divide(2 * x, x + y))).otherwise(F.lit(0.0))
 
     parts = F.zip_with(p, q, lambda x, y: (term(x, y) + term(y, x)) / 2)
     total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
@@ -210,7 +210,7 @@ def judge(docs: DataFrame) -> DataFrame:
             "word_distance": jensen_shannon_distance("common_shares", "common_reference"),
         }
     )
-    noise = 1 / F.sqrt("n_words")
+    noise = 1 / F.sqrt(F.greatest("n_words", F.lit(1)))
     far = F.col("char_distance") > CHAR_LIMIT[0] + CHAR_LIMIT[1] * noise
     far = far | (F.col("word_distance") > WORD_LIMIT[0] + WORD_LIMIT[1] * noise)
     rejected = F.col("base_failed") | ((F.col("n_words") >= GUARD_WORDS) & F.coalesce(far, F.lit(False)))

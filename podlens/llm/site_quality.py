@@ -35,8 +35,8 @@ TARGETS = ("low", "toxic")
 MAX_LOGIT = 12.0
 # A document goes only if its odds are clear: a wrong rejection weighs more than a missed one.
 REJECT_ABOVE = 0.9
-# Pseudo-documents of a prior whose sites do not differ beyond chance.
-NO_DIFFERENCE = 1e9
+# Pseudo-documents of a prior: at least, and where sites do not differ beyond chance.
+LEAST_PRIOR, NO_DIFFERENCE = 0.01, 1e9
 
 
 def _letters() -> np.ndarray:
@@ -217,7 +217,7 @@ def _strength(groups: DataFrame, name: str, n_parents: Column | int) -> float:
     within = row["within"] / (row["n"] - row["groups"])
     spread = row["between"] - (row["groups"] - n_parents) * within
     variance = spread / max(row["n"] - row["squares"] / row["n"], 1e-9)
-    return min(within / variance, NO_DIFFERENCE) if variance > 0 else NO_DIFFERENCE
+    return min(max(within / variance, LEAST_PRIOR), NO_DIFFERENCE) if variance > 0 else NO_DIFFERENCE
 
 
 def site_posteriors(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tuple[float, float, float]]]:
@@ -256,7 +256,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, car
     counts = store(feature_counts(sample), "feature-counts")
     given = [F.sum(name).alias(name) for name in TARGETS] + [F.count(name).alias(f"{name}_of") for name in TARGETS]
     evidence = Evidence(counts, sample.agg(*given).first())
-    rows = store(document_evidence(docs, evidence, carry), "evidence")
+    rows = store(document_evidence(docs, evidence, carry), "evidence", "zstd")
     paths, hosts, levels = site_posteriors(rows)
     hosts = hosts.select(F.col("host").alias("of_host"), F.col("n").alias("host_n"), *[F.col(f"{name}_s").alias(f"{name}_host") for name in TARGETS])
     paths = paths.select(

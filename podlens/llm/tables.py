@@ -28,11 +28,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: later steps do not repeat it."""
+def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: later steps do not repeat it.
+
+    Tables with whole texts or ids are worth ``zstd``, which takes memory outside the heap.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
