@@ -85,9 +85,10 @@ def main() -> None:
     def replay() -> DataFrame:
         seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / queries.REPLAY_SPEED
         narrow = workload.requests(spark, SF_DIR).select(
-            "namespace", "pod", "container", F.col("event_id").alias("seq"), seconds.alias("arrival")
+            workload.log_path().alias("path"), "namespace", "pod", F.col("event_id").alias("seq"), seconds.alias("arrival")
         )
-        return throttle_delay(attach_rate(narrow, catalog, rules))
+        # Narrow slices, so that a file has many, as it would at scale.
+        return throttle_delay(attach_rate(narrow, catalog, rules), slice_width=1000)
 
     jobs = {
         "scan": lambda: drain(lines()),

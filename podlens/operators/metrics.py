@@ -7,7 +7,9 @@ columns, for instance a reset period.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,18 @@ def duration_sum(value: Column, scale: int | None) -> Column:
 
 
 def bound_text(bound: float) -> str:
-    """How a bucket bound is written in the ``le`` label."""
-    return f"{bound:g}"
+    """How a bucket bound is written in the ``le`` label: the shortest digits that read back to it.
+
+    With an exponent from 1e+06 on and below 1e-04.
+    """
+    if not math.isfinite(bound):
+        return {math.inf: "+Inf", -math.inf: "-Inf"}.get(bound, "NaN")
+    digits = Decimal(repr(float(bound))).normalize()
+    if digits and not -5 < digits.adjusted() < 6:
+        return f"{digits:.{len(digits.as_tuple().digits) - 1}e}".replace("e+", "e+0" if digits.adjusted() < 10 else "e+").replace(
+            "e-", "e-0" if digits.adjusted() > -10 else "e-"
+        )
+    return f"{digits:f}"
 
 
 def _labelled(matched: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ from podlens.functions.variants import FIELDS, is_number, no_fields, text_of
 from podlens.operators.rows import settle
 from podlens.options import ParseOptions
 
-ERROR_FORMAT = "unknown message log format"
-ERROR_OUTER = "outer json unmarshalling"
-ERROR_NO_LOG = "line does not contain user log field"
-ERROR_LOG_TYPE = "user log field does not contain string"
-ERROR_CRI = "unable to parse containerd line"
+ERROR_FORMAT = "line format is not known"
+ERROR_OUTER = "line is not a JSON object"
+ERROR_NO_LOG = "line has no payload field"
+ERROR_LOG_TYPE = "payload field is not text"
+ERROR_CRI = "line does not have the CRI shape"
 
 
 def line_content(lines: DataFrame, line_format: Column, outer_type: str = FIELDS) -> DataFrame:

@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podlens.options import RateOptions
-from podlens.session import small_side
+from podlens.session import scratch_dir, small_side
 from podlens.sources.rules import RateRule
 
-# Up to this many rules become one expression; longer lists are searched as an array.
-LITERAL_RULES = 500
-
 
 def _ordered(rules: list[RateRule]) -> list[RateRule]:
     """Rules with both patterns first, then pod rules, then namespace rules; each in list order."""
@@ -33,28 +30,19 @@ def _matches(rule: RateRule, namespace: Column, pod: Column) -> Column:
 def rate_column(
     namespace: Column, pod: Column, rules: list[RateRule], options: RateOptions = RateOptions()
 ) -> Column:
-    """The rate of the first rule that matches, else the default.
+    """The rate of the first rule that matches, else the default. A NULL name matches no pattern.
 
     The rules are configuration, so they are written into the expression: no join, and every
     pattern is compiled once per task.
     """
-    if options.default_rate <= 0:
-        raise ValueError("rate must be greater than zero")
-    ordered = _ordered(rules)
+    if options.default_rate < 1:
+        raise ValueError("rate must be at least one line per second")
     default = F.lit(float(options.default_rate))
-    if len(ordered) > LITERAL_RULES:
-        entries = F.array(
-            *[
-                F.struct(F.lit(r.namespace).alias("n"), F.lit(r.pod).alias("p"), F.lit(r.rate).alias("r"))
-                for r in ordered
-            ]
-        )
-        hits = F.filter(entries, lambda e: F.rlike(namespace, e["n"]) & F.rlike(pod, e["p"]))
-        return F.coalesce(F.get(hits, F.lit(0))["r"], default)
-    rate = default
-    for rule in reversed(ordered):
-        rate = F.when(_matches(rule, namespace, pod), F.lit(float(rule.rate))).otherwise(rate)
-    return rate
+    # One case with a branch for each rule: it gets longer with the list, not deeper.
+    rate = F
+    for rule in _ordered(rules):
+        rate = rate.when(_matches(rule, namespace, pod), F.lit(float(rule.rate)))
+    return default if rate is F else rate.otherwise(default)
 
 
 def resolve_rate(
@@ -80,26 +68,26 @@ def attach_rate(
 
 def throttle_delay(
     lines: DataFrame,
-    container: tuple[str, ...] = ("namespace", "pod", "container"),
+    limiter: tuple[str, ...] = ("path",),
     seq: str = "seq",
     arrival: str = "arrival",
     slice_width: int = 1_000_000,
 ) -> DataFrame:
-    """Column ``delay``: how long each line would have waited in a token bucket of its container.
+    """Column ``delay``: how long each line would have waited in the token bucket of its log file.
 
-    ``seq`` is the unique integer position of a line in its container (line number or byte
-    offset), ``arrival`` its time in seconds, ``rate`` the lines per second; the burst is the
+    ``limiter`` names what has a bucket of its own. ``seq`` is the unique integer position of a line
+    in it (line number or byte offset), ``arrival`` its time in seconds, ``rate`` the lines per second; the burst is the
     whole part of the rate. With n the rank of a line and a its arrival, a token is free at
     ``n/r + max over earlier lines j of (a_j - (j-1)/r)``, and the burst lets a line in
     ``burst/r`` sooner.
 
-    Rank and maximum are running values over a container that may hold a large part of all
+    Rank and maximum are running values over a file that may hold a large part of all
     lines. They are therefore built from slices of ``slice_width`` positions, each at most that
     many rows: first within the slices, then over one summary row per slice, then added up.
-    Lines are shuffled once, by container and slice: with keys that cannot be NULL, the join back
-    adds no filters to either side, so both read the same shuffle.
+    Lines are shuffled and sorted once, by file and slice; with their places they are stored in the
+    shared scratch folder, and the summary of the slices is joined to that by its measured size.
     """
-    keys = list(container)
+    keys = list(limiter)
     rate = F.col("rate")
     named = {key: F.coalesce(key, F.lit("")) for key in keys}
     place = F.floor(F.col(seq) / F.lit(slice_width)).cast("long")
@@ -109,19 +97,22 @@ def throttle_delay(
     local = rows.withColumn("_n", F.row_number().over(inside)).withColumn(
         "_lead", F.max(F.col(arrival) - (F.col("_n") - 1) / rate).over(upto)
     )
+    spark, stored = lines.sparkSession, scratch_dir(lines.sparkSession, "throttle")
+    local.write.parquet(stored)
+    local = spark.read.schema(local.schema).parquet(stored)
     summary = local.groupBy(*keys, "_slice").agg(
         F.max("_n").alias("_rows"), F.max("_lead").alias("_top"), F.max("rate").alias("_rate")
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = summary.withColumn("_skip", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     offsets = offsets.withColumn("_carry", F.max(F.col("_top") - F.col("_skip") / F.col("_rate")).over(before))
-    joined = local.join(offsets.select(*keys, "_slice", "_skip", "_carry"), [*keys, "_slice"])
+    joined = local.join(small_side(offsets.select(*keys, "_slice", "_skip", "_carry")), [*keys, "_slice"])
     lead = F.greatest(F.col("_lead") - F.col("_skip") / rate, F.col("_carry"))
     ready = (F.col("_skip") + F.col("_n") - F.floor(rate)) / rate + lead
     delay = F.greatest(F.lit(0.0), ready - F.col(arrival))
-    # A rate below one line per second has no burst, so no line would ever pass.
-    checked = F.when(rate < 1, F.raise_error(F.lit("rate must be at least one line per second"))).otherwise(delay)
-    return joined.withColumn("delay", checked.cast("double")).drop("_slice", "_n", "_lead", "_skip", "_carry")
+    # A rate below one line per second has no burst, so no line would ever pass: the delay is NULL.
+    # Rules and defaults with such a rate are refused when they are loaded.
+    return joined.withColumn("delay", F.when(rate >= 1, delay).cast("double")).drop("_slice", "_n", "_lead", "_skip", "_carry")
 
 
 def throttling_total(
@@ -130,7 +121,7 @@ def throttling_total(
     container: tuple[str, ...] = ("namespace", "pod", "container"),
     sum_scale: int | None = None,
 ) -> DataFrame:
-    """Total ``value`` of the delays per container.
+    """Total ``value`` of the delays per container, over all its files.
 
     Given the running containers, only theirs are reported: a series ends with its container.
     """

@@ -144,14 +144,12 @@ def literal_rules(hosts: DataFrame) -> list[Row] | None:
 
 def literal_label(uri: Column, paths_key: Column, rules: list[Row]) -> Column:
     """As :func:`first_label`, with the patterns as literals, chosen by ``paths_key``."""
-    chosen = F.lit("")
+    label = F
     for row in rules:
-        label = F.lit("")
-        for path in reversed(row["paths"]):
-            for regexp in reversed(path["regexps"]):
-                label = F.when(uri.rlike(regexp), F.lit(path["label"])).otherwise(label)
-        chosen = F.when(paths_key == row["paths_key"], label).otherwise(chosen)
-    return chosen
+        for path in row["paths"]:
+            for regexp in path["regexps"]:
+                label = label.when((paths_key == row["paths_key"]) & uri.rlike(regexp), F.lit(path["label"]))
+    return F.lit("") if label is F else label.otherwise(F.lit(""))
 
 
 def label_path(matched: DataFrame, rules: list[Row] | None = None) -> DataFrame:

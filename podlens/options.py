@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from podlens import names
 
+BOUND_SYNTAX = r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))"
+
 
 def parse_buckets(text: str) -> tuple[float, ...]:
     """Bucket bounds from a single-space-separated list; any bad token is an error."""
-    return tuple(float(token) for token in text.split(" "))
+    tokens = text.split(" ")
+    bad = [token for token in tokens if not re.fullmatch(BOUND_SYNTAX, token)]
+    if bad:
+        raise ValueError(f"not a bucket bound: {bad[0]!r}")
+    return tuple(float(token) for token in tokens)
 
 
 @dataclass(frozen=True)

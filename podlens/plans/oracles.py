@@ -6,9 +6,7 @@ parsing shows as a difference.
 
 from __future__ import annotations
 
-from podlens.options import MetricOptions
-from podlens.operators.metrics import bound_text
-from podlens.plans.workload import RULES, SPEC
+from podlens.plans.workload import SPEC
 
 MICROS = "CAST(epoch_us(ts) AS BIGINT)"
 
@@ -90,8 +88,8 @@ x AS (SELECT *, error IS NULL AND NOT skipped AS usable FROM v)"""
 _PARSED = f"""
 SELECT event_id,
   CASE WHEN kind = 'json' THEN NULL
-    WHEN format = 'docker' THEN 'outer json unmarshalling'
-    WHEN kind = 'plain' THEN 'unable to parse containerd line' END AS parse_error,
+    WHEN format = 'docker' THEN 'line is not a JSON object'
+    WHEN kind = 'plain' THEN 'line does not have the CRI shape' END AS parse_error,
   kind <> 'json' AS is_raw,
   CASE WHEN kind = 'json' THEN host END AS host,
   CASE WHEN kind = 'json' THEN user_id END AS client_id,
@@ -127,6 +125,7 @@ SELECT CASE WHEN kind <> 'json' THEN 'raw' ELSE
 FROM u WHERE kind <> 'json' OR logging IS NULL OR logging"""
 
 _DELIVERED = _w(f"SELECT value, count(*) AS n FROM ({_RECORD}) GROUP BY value")
+_DELIVERED_TWICE = _w(f"SELECT value, 2 * count(*) AS n FROM ({_RECORD}) GROUP BY value")
 
 _SLI = _w("""
 SELECT event_id, host, '' AS pod_name, request_method AS method, request_uri AS uri,
@@ -138,33 +137,44 @@ _REQUEST_COUNT = """
 SELECT request_method AS method, service, path, CAST(status AS VARCHAR) AS status, '' AS upstream_pod_name,
   count(*) AS value FROM h GROUP BY ALL"""
 
-_BUCKETS = MetricOptions().buckets
+# Bounds with their labels, written out.
+_BUCKETS = (
+    (0.01, "0.01"), (0.02, "0.02"), (0.04, "0.04"), (0.06, "0.06"), (0.08, "0.08"), (0.1, "0.1"), (0.15,
+    "0.15"), (0.2, "0.2"), (0.25, "0.25"), (0.3, "0.3"), (0.4, "0.4"), (0.5, "0.5"), (0.6, "0.6"), (0.7,
+    "0.7"), (0.8, "0.8"), (0.9, "0.9"), (1.0, "1"), (1.2, "1.2"), (1.5, "1.5"), (1.75, "1.75"), (2.0, "2"),
+    (3.0, "3"), (4.0, "4"), (5.0, "5"), (8.0, "8"), (10.0, "10"), (20.0, "20"), (60.0, "60"),
+)
+_CLOSE_BUCKETS = (
+    (0.1234567, "0.1234567"), (0.1234568, "0.1234568"), (50.0, "50"), (1234567.0, "1.234567e+06"), (1234568.0, "1.234568e+06"),
+)
 
 
-def _histogram(value: str) -> str:
+def _histogram(value: str, buckets=_BUCKETS) -> str:
     """Cumulative buckets by label set, over the rows that have the value."""
     rows = f"SELECT request_method AS method, service, path, {value} AS v FROM h WHERE {value} IS NOT NULL"
-    counts = ", ".join(f"count(*) FILTER (WHERE v <= {b!r}) AS b{i}" for i, b in enumerate(_BUCKETS))
+    counts = ", ".join(f"count(*) FILTER (WHERE v <= {b!r}) AS b{i}" for i, (b, _) in enumerate(buckets))
     grouped = f"""
 SELECT method, service, path, CAST(sum(CAST(v AS DECIMAL(18,3))) AS DOUBLE) AS "sum", count(*) AS "count", {counts}
 FROM ({rows}) GROUP BY method, service, path"""
-    parts = [(f"b{i}", bound_text(b)) for i, b in enumerate(_BUCKETS)] + [('"count"', "+Inf")]
+    parts = [(f"b{i}", le) for i, (_, le) in enumerate(buckets)] + [('"count"', "+Inf")]
     head = """method, service, path, '' AS upstream_pod_name, "sum", "count\""""
     union = " UNION ALL ".join(f"SELECT {head}, '{le}' AS le, {column} AS value FROM g" for column, le in parts)
     return f"WITH g AS ({grouped}) {union}"
 
 
-_RATE = f"""CASE WHEN regexp_matches(namespace, '{RULES[0].namespace}') AND regexp_matches(pod, '{RULES[0].pod}') THEN {RULES[0].rate!r}
-  WHEN regexp_matches(pod, '{RULES[1].pod}') THEN {RULES[1].rate!r}
-  WHEN regexp_matches(namespace, '{RULES[2].namespace}') THEN {RULES[2].rate!r} ELSE 1000.0 END"""
+_RATE = """CASE WHEN regexp_matches(namespace, 'ns0') AND regexp_matches(pod, 'pod-0') THEN 2.0
+  WHEN regexp_matches(pod, 'pod-1') THEN 5.0 WHEN regexp_matches(namespace, 'ns.*') THEN 10.0 ELSE 1000.0 END"""
+
+# A Docker file is named by the id of its container alone, which goes with the pod here.
+_FILE = "format, CASE WHEN format = 'docker' THEN id ELSE namespace || '_' || pod || '_' || container END"
 
 _REPLAY = f"""a AS (
-  SELECT event_id, namespace, pod, container, CAST({_RATE} AS DOUBLE) AS rate,
+  SELECT event_id, format, namespace, pod, container, CAST({_RATE} AS DOUBLE) AS rate,
     {MICROS} / 1e6 / 10000 AS arrival,
-    CAST(row_number() OVER (PARTITION BY namespace, pod, container ORDER BY event_id) AS DOUBLE) AS n
+    CAST(row_number() OVER (PARTITION BY {_FILE} ORDER BY event_id) AS DOUBLE) AS n
   FROM l),
 t AS (
-  SELECT *, max(arrival - (n - 1) / rate) OVER (PARTITION BY namespace, pod, container ORDER BY event_id
+  SELECT *, max(arrival - (n - 1) / rate) OVER (PARTITION BY {_FILE.replace("id", "pod")} ORDER BY event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lead_time FROM a),
 d AS (
   SELECT event_id, namespace, pod, container, rate,
@@ -245,8 +255,18 @@ SELECT CAST(event_id AS VARCHAR) AS pid, CASE WHEN event_type = 'error' THEN 'ne
     "journal_records": f"WITH {_JOURNAL} {_JOURNAL_JSON}",
     "rate_rules_file": """
 SELECT c_custkey, CAST(c_nationkey + 1 AS DOUBLE) AS rate FROM customer""",
-    "service_annotations_export": f"""WITH {_SERVICES}
-SELECT c_name AS name, CAST(CASE WHEN fault = 12 THEN 2 ELSE 3 END AS INTEGER) AS n_annotations FROM x""",
+    "service_annotations_export": f"""WITH {_SERVICES}, t AS (
+  SELECT *, CASE fault WHEN 0 THEN '' WHEN 1 THEN '{{}}' WHEN 2 THEN '{{' WHEN 3 THEN '[]' WHEN 4 THEN '[{{"":[]}}]'
+    WHEN 5 THEN '[{{"l":[]}}]' WHEN 6 THEN '[{{"l":[""]}}]' WHEN 7 THEN '[{{"l":["["]}}]' WHEN 8 THEN '[{{"l":[1]}}]'
+    WHEN 9 THEN '[{{"l":["a"]}},]' ELSE '[{{"all":[".*","abc"]}},{{"b":["def"]}}]' END AS paths,
+    CASE fault WHEN 10 THEN ' , ' WHEN 11 THEN '' ELSE ', h' || CAST(c_custkey AS VARCHAR) || ' ,n'
+      || CAST(c_nationkey AS VARCHAR) || '.test,' END AS domains,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'enable' WHEN 'MACHINERY' THEN 'no' ELSE 'true' END AS enable FROM x)
+SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ord, c_name AS name, md5(array_to_string(list_sort(list_filter([
+    'podlens.sla/enable=' || enable,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'router.deis.io/domains' ELSE 'podlens.sla/domains' END || '=' || domains,
+    CASE WHEN fault <> 12 THEN 'podlens.sla/paths=' || paths END], lambda e: e IS NOT NULL)), chr(10))) AS annotations_md5
+FROM t""",
     "service_annotations_file": """
 SELECT c_custkey, n_name AS service FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "docker_lines": _w(f"SELECT * FROM ({_PARSED}) WHERE event_id IN (SELECT event_id FROM l WHERE format = 'docker')"),
@@ -310,12 +330,25 @@ SELECT host, arg_max(c_name, c_custkey) AS service FROM g GROUP BY host""",
     "request_count_by_epoch": _w(f"""
 SELECT CAST(floor({MICROS} / 172800000000) * 172800 AS BIGINT) AS epoch_start, service, count(*) AS value FROM s GROUP BY 1, 2"""),
     "samples": f"WITH {W}, {_REPLAY} {_SAMPLES}",
+    "resolved_rates_long_list": """
+WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 7 END AS ns FROM orders),
+p AS (SELECT c_custkey AS k FROM customer WHERE c_custkey <= 300),
+-- A rule for a pod alone also finds the pods whose number starts with its own; the first in the list counts.
+q AS (SELECT o_orderkey, min(k) AS k FROM o JOIN p ON starts_with(CAST(o_custkey AS VARCHAR), CAST(k AS VARCHAR)) GROUP BY o_orderkey)
+SELECT o.o_orderkey, CAST(CASE
+    WHEN own.k % 2 = 0 AND ns = own.k % 7 THEN own.k + 1
+    WHEN own.k % 2 = 1 THEN own.k + 1
+    WHEN q.k IS NOT NULL THEN 7 ELSE 1000 END AS DOUBLE) AS rate
+FROM o LEFT JOIN p own ON own.k = o_custkey LEFT JOIN q USING (o_orderkey)""",
+    "request_time_close_buckets": _w(
+        f"SELECT method, service, path, le, value FROM ({_histogram('request_time', _CLOSE_BUCKETS)})"
+    ),
     "resolved_rates": _w(f"SELECT DISTINCT namespace, pod, CAST({_RATE} AS DOUBLE) AS rate FROM w"),
     "throttle_delays": f"WITH {W}, {_REPLAY} SELECT event_id, rate, delay FROM d",
     "throttling_totals": f"""WITH {W}, {_REPLAY}
 SELECT namespace, pod, container, CAST(sum(CAST(delay AS DECIMAL(28,3))) AS DOUBLE) AS value
 FROM d WHERE namespace <> 'ns3' GROUP BY namespace, pod, container""",
-    "delivered_batches": _DELIVERED,
+    "delivered_batches": _DELIVERED_TWICE,
     "written_to_sink": _DELIVERED,
     "streamed_records": _DELIVERED,
     "streamed_metrics": _w(f"""

@@ -68,12 +68,12 @@ from podlens.sources.containers import (
     container_catalog_docker,
     cri_quarantine,
     filter_catalog,
-    local_path,
+    list_files,
     source_inventory_diff,
 )
 from podlens.sources.journal import journal_rows, scan_journal_export
 from podlens.sources.lines import scan_log_lines, split_oversize_lines, stream_log_lines
-from podlens.sources.rules import check_rules, load_rate_rules
+from podlens.sources.rules import check_rules, load_rate_rules, rules_from_table
 from podlens.sources.services import load_exported_services, load_service_annotations
 from podlens.streaming.jobs import emit_to_sink, stream_indicators, stream_metrics, stream_records
 from podlens.streaming.refresh import RefreshingTable
@@ -335,9 +335,11 @@ def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def service_annotations_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "export")
     item = F.struct(F.struct("name", "annotations").alias("metadata"))
-    _annotated(spark, sf_dir).select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value")).write.text(root)
+    lists = _annotated(spark, sf_dir).select("ord", F.to_json(F.struct(F.array(item).alias("items"))).alias("value"))
+    lists.repartitionByRange(4, "ord").sortWithinPartitions("ord").select("value").write.text(root)
     services = load_exported_services(spark, root, single_document=False)
-    return services.select("name", F.size("annotations").alias("n_annotations"))
+    entries = F.transform(F.array_sort(F.map_entries("annotations")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return services.select("ord", "name", F.md5(F.array_join(entries, "\n")).alias("annotations_md5"))
 
 
 @query
@@ -652,7 +654,7 @@ def request_count_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = workload.read_lines(spark, sf_dir)
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / REPLAY_SPEED
-    narrow = lines.select("namespace", "pod", "container", F.col("event_id").alias("seq"), seconds.alias("arrival"))
+    narrow = lines.select("path", "namespace", "pod", "container", F.col("event_id").alias("seq"), seconds.alias("arrival"))
     rated = attach_rate(narrow, workload.catalog(spark, sf_dir), check_rules(workload.RULES))
     return throttle_delay(rated, slice_width=1000)
 
@@ -668,6 +670,39 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rate rules
 
 
+@query
+def resolved_rates_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules for each of many customers, over orders, some without a namespace."""
+    customers = workload.table(spark, sf_dir, "customer").where(F.col("c_custkey") <= 300)
+    rules = customers.select(
+        F.col("c_custkey").alias("ord"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("^ns"), F.col("c_custkey") % 7, F.lit("$"))).alias("namespace"),
+        F.concat(F.lit("^pod-"), F.col("c_custkey"), F.lit("$")).alias("pod"),
+        (F.col("c_custkey") + 1).cast("double").alias("rate"),
+    )
+    more = customers.select(
+        (F.col("c_custkey") + 1000).alias("ord"),
+        F.lit(None).cast("string").alias("namespace"),
+        F.concat(F.lit("^pod-"), F.col("c_custkey")).alias("pod"),
+        F.lit(7.0).alias("rate"),
+    )
+    orders = workload.table(spark, sf_dir, "orders")
+    pods = orders.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("ns"), F.col("o_custkey") % 7)).alias("namespace"),
+        F.concat(F.lit("pod-"), F.col("o_custkey")).alias("pod"),
+    )
+    return resolve_rate(pods, check_rules(rules_from_table(rules.unionByName(more)))).select("o_orderkey", "rate")
+
+
+@query
+def request_time_close_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds that six digits cannot tell apart."""
+    options = MetricOptions(buckets=(0.1234567, 0.1234568, 50.0, 1234567.0, 1234568.0), sum_scale=3)
+    found = http_request_time(_matched(spark, sf_dir), options)
+    return found.select("method", "service", "path", "le", "value")
+
+
 @query
 def resolved_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pods = workload.requests(spark, sf_dir).select("namespace", "pod").distinct()
@@ -694,13 +729,18 @@ def throttling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delivered(spark: SparkSession, folder: str) -> DataFrame:
-    return _short(spark.read.text(folder)).groupBy("value").agg(F.count("*").alias("n"))
+    lines = spark.read.option("recursiveFileLookup", True).text(folder)
+    return _short(lines).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query
 def delivered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "delivered")
-    deliver_batches(record_lines(_enriched(spark, sf_dir)), partial(FileSink, folder), DeliveryOptions(batch_size=100))
+    messages, options = record_lines(_enriched(spark, sf_dir)), DeliveryOptions(batch_size=100)
+    deliver_batches(messages, partial(FileSink, folder), "first", options)
+    deliver_batches(messages, partial(FileSink, folder), "second", options)
+    # The same run again, dealt into other partitions: it replaces what it sent.
+    deliver_batches(messages.repartition(3), partial(FileSink, folder), "second", options)
     return _delivered(spark, folder)
 
 
@@ -709,7 +749,8 @@ def written_to_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "sink")
     register_sink(spark)
     writer = record_lines(_enriched(spark, sf_dir)).write.format("podlens_sink").mode("append")
-    writer.option("sink", "podlens.streaming.sinks:FileSink").option("target", folder).save()
+    writer = writer.option("sink", "podlens.streaming.sinks:FileSink").option("target", folder)
+    writer.option("job", "written").save()
     return _delivered(spark, folder)
 
 
@@ -719,18 +760,16 @@ def streamed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = workload.write_segments(spark, sf_dir)
     folder = scratch_dir(spark, "records")
     catalog = RefreshingTable(spark, lambda: _segment_catalog(spark, root), RefreshOptions().containers)
-    job = stream_records(stream_log_lines(spark, root), catalog.current, emit_to_sink(partial(FileSink, folder)))
+    job = stream_records(stream_log_lines(spark, root), catalog.current, emit_to_sink(partial(FileSink, folder), "streamed"))
     checkpoint = scratch_dir(spark, "checkpoint")
     job.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return _delivered(spark, folder)
 
 
 def _segment_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """The containers of the segment files, from the folder names."""
-    files = spark.read.option("recursiveFileLookup", True).text(root)
-    path = local_path(F.col("_metadata.file_path"))
+    """The containers of the segment files, from their names alone."""
     parts = F.split(F.regexp_extract("path", "folder=([^/]*)", 1), "_")
-    return files.select(path.alias("path")).distinct().select(
+    return list_files(spark, root).select(
         F.regexp_extract("path", "format=([^/]*)", 1).alias("type"),
         parts[2].alias("id"),
         "path",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,8 +28,8 @@ STATE_CONF = {
     ),
 }
 
-# Sides with at most this many rows are broadcast; larger ones use a shuffle join.
-BROADCAST_ROWS = 200_000
+# Sides of at most this size are broadcast; larger ones use a shuffle join. The size is measured as JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 256 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -51,12 +52,16 @@ def _set(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster.
 
-    Only where none is configured (tests on one machine) is a local one made and set.
+    Where none is configured, a local one is made and set if the session runs on this machine alone;
+    on a cluster that is an error, as other machines would not see its files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("podlens.scratch.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[[^-]*\])?$", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = tempfile.mkdtemp(prefix="podlens-")
         spark.conf.set("podlens.scratch.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -90,9 +95,14 @@ def pickle_by_value() -> None:
     cloudpickle.register_pickle_by_value(podlens)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most that many rows and bytes; reads no more than one row beyond that."""
+    # Binary columns are counted as they are; JSON would hold them as text.
+    raw = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in df.dtypes if kind == "binary"]
+    rest = [name for name, kind in df.dtypes if kind != "binary"]
+    size = sum(raw, F.octet_length(F.to_json(F.struct(*rest))) if rest else F.lit(0))
+    row = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return row[0] <= max_rows and row[1] <= max_bytes
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -46,8 +46,9 @@ def check_rules(rules: list[RateRule]) -> list[RateRule]:
     for rule in rules:
         if not rule.namespace and not rule.pod:
             continue
-        if not rule.rate > 0:
-            raise InvalidRules("rate must be greater than zero")
+        if not rule.rate >= 1:
+            # A slower rule has no burst, so it would never let a line pass.
+            raise InvalidRules("rate must be at least one line per second")
         namespace, pod = java_pattern(rule.namespace), java_pattern(rule.pod)
         if namespace is None or pod is None:
             raise InvalidRules(f"pattern does not compile: {rule}")

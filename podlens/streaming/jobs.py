@@ -28,8 +28,12 @@ def stream_records(
     options: ParseOptions = ParseOptions(),
     static: StaticMetadata = StaticMetadata(),
     metrics: Callable[[DataFrame, int], None] | None = None,
+    delivery: DeliveryOptions = DeliveryOptions(),
 ) -> DataStreamWriter:
-    """Lines to JSON records, micro-batch by micro-batch; the caller adds checkpoint and trigger.
+    """Lines to JSON records, micro-batch by micro-batch; the caller adds the checkpoint.
+
+    Messages wait for at most ``delivery.flush_seconds``: that is the interval of the micro-batches,
+    unless the caller sets another trigger.
 
     ``catalog`` gives the container catalog of the moment. ``metrics`` gets the enriched lines of
     the same micro-batch, which are then stored once for both.
@@ -47,16 +51,19 @@ def stream_records(
         finally:
             kept.unpersist()
 
-    return lines.writeStream.foreachBatch(process)
+    return lines.writeStream.foreachBatch(process).trigger(processingTime=f"{delivery.flush_seconds} seconds")
 
 
 def emit_to_sink(
-    open_sink: Callable[[], Sink], options: DeliveryOptions = DeliveryOptions(), job: str = "records"
+    open_sink: Callable[[], Sink], job: str, options: DeliveryOptions = DeliveryOptions()
 ) -> Callable[[DataFrame, int], None]:
-    """An ``emit`` that sends every micro-batch to a sink."""
+    """An ``emit`` that sends every micro-batch to a sink.
+
+    ``job`` is as lasting as the checkpoint of the stream: a new checkpoint needs a new name.
+    """
 
     def emit(messages: DataFrame, batch_id: int) -> None:
-        deliver_batches(messages, open_sink, options, job, batch_id)
+        deliver_batches(messages, open_sink, job, options, batch_id)
 
     return emit
 
@@ -64,11 +71,15 @@ def emit_to_sink(
 def stream_indicators(
     lines: DataFrame,
     hosts: DataFrame,
-    watermark: str = "10 minutes",
+    watermark: str,
     options: ParseOptions = ParseOptions(),
     metric_options: MetricOptions = MetricOptions(),
 ) -> DataFrame:
-    """Matched requests of a stream with their reset period, ready to be aggregated."""
+    """Matched requests of a stream with their reset period, ready to be aggregated.
+
+    Requests later than ``watermark`` behind the newest one no longer count, so it must be longer
+    than lines are ever late; the query's progress reports how many rows were dropped.
+    """
     requests = extract_sli_from_lines(lines, options)
     matched = indicators(requests, hosts).withWatermark("event_time", watermark)
     return metrics_reset(matched, "event_time", metric_options)

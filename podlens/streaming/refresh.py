@@ -14,8 +14,9 @@ class RefreshingTable:
     """Keeps a stored snapshot of a small table and renews it when it is older than ``seconds``.
 
     The snapshot is a table in the shared scratch folder, so it survives lost executors and every
-    use within the interval sees the same rows. When loading fails, the old snapshot stays. Two
-    folders take turns, so a long job leaves no trail of old snapshots.
+    use within the interval sees the same rows. When loading fails, the old snapshot stays, and
+    ``last_error`` says why. Every snapshot has a folder of its own, which is never written again, so
+    a query that still reads an old one is not disturbed.
     """
 
     def __init__(
@@ -42,9 +43,9 @@ class RefreshingTable:
     def _renew(self, now: float) -> None:
         try:
             path = f"{self._folder}/{self._turn}"
-            self._load().write.mode("overwrite").parquet(path)
+            self._load().write.parquet(path)
             self._current = self._spark.read.parquet(path)
-            self._turn = 1 - self._turn
+            self._turn += 1
             self.last_error = None
         except Exception as error:
             if self._current is None:
@@ -67,13 +68,15 @@ class RefreshingValue:
         self._load, self._merge, self._value = load, merge, initial
         self._seconds, self._clock = seconds, clock
         self._taken: float | None = None
+        self.last_error: Exception | None = None
 
     def current(self) -> object:
         now = self._clock()
         if self._taken is None or now - self._taken >= self._seconds:
             try:
                 self._value = self._merge(self._value, self._load())
-            except Exception:
-                pass
+                self.last_error = None
+            except Exception as error:
+                self.last_error = error
             self._taken = now
         return self._value

@@ -1,7 +1,8 @@
 """Delivery of JSON lines: the sink contract, batching with retry, and the sink data source.
 
-A sink is built on the executor by a factory without arguments. Delivery is at least once; every
-batch carries a key that stays the same when a task or a micro-batch is repeated.
+A sink is built on the executor by a factory without arguments. Every chunk of messages carries a
+key. A repeated task sends the same keys again; a repeated micro-batch may be dealt into other
+partitions, so after all its tasks the sink is told which keys count, and drops the others.
 """
 
 from __future__ import annotations
@@ -10,14 +11,12 @@ import importlib
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
 from typing import NamedTuple, Protocol
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceStreamWriter,
@@ -30,7 +29,10 @@ from podlens.session import pickle_by_value
 
 
 class DeliveryKey(NamedTuple):
-    """Names one batch of messages: job, micro-batch, partition and number within it."""
+    """Names one chunk of messages: job, micro-batch, partition and number within it.
+
+    The job must differ between any two writers of one target: runs, streams and checkpoints.
+    """
 
     job: str
     batch: int
@@ -39,10 +41,16 @@ class DeliveryKey(NamedTuple):
 
 
 class Sink(Protocol):
-    """Where messages go. A sink that could send only a part must raise and see the batch again."""
+    """Where messages go. A sink that could send only a part must raise and see the chunk again."""
 
     def deliver(self, messages: list[str], key: DeliveryKey) -> None: ...
 
+    def finish(self, job: str, batch: int, chunks: dict[int, int]) -> None:
+        """Called on the driver once all tasks of a batch are done, with the chunks of each partition.
+
+        A sink that can takes back what earlier attempts of the batch have sent beyond these.
+        """
+
     def close(self) -> None: ...
 
 
@@ -64,10 +72,13 @@ def send(
     batch: int,
     partition: int,
     options: DeliveryOptions,
-) -> int:
-    """Send one partition in batches; a failed batch is kept and tried again before the task fails."""
+) -> tuple[int, int]:
+    """Send one partition in chunks; a failed chunk is kept and tried again before the task fails.
+
+    Returns the numbers of messages and of chunks.
+    """
     sink = open_sink()
-    sent = 0
+    sent = chunks = 0
     try:
         for chunk, part in enumerate(chunked(messages, options.batch_size)):
             key = DeliveryKey(job, batch, partition, chunk)
@@ -79,33 +90,50 @@ def send(
                     if attempt == options.max_attempts:
                         raise
                     time.sleep(options.retry_seconds)
-            sent += len(part)
+            sent, chunks = sent + len(part), chunk + 1
+    finally:
+        sink.close()
+    return sent, chunks
+
+
+def finish(open_sink: Callable[[], Sink], job: str, batch: int, chunks: dict[int, int]) -> None:
+    sink = open_sink()
+    try:
+        sink.finish(job, batch, chunks)
     finally:
         sink.close()
-    return sent
 
 
 def deliver_batches(
     messages: DataFrame,
     open_sink: Callable[[], Sink],
+    job: str,
     options: DeliveryOptions = DeliveryOptions(),
-    job: str = "batch",
     batch: int = 0,
 ) -> int:
-    """Send the ``value`` column from the executors; returns how many messages were sent."""
+    """Send the ``value`` column from the executors; returns how many messages were sent.
+
+    ``job`` names this run: two runs with one name and one target replace each other's messages.
+    """
+    if not job:
+        raise ValueError("a delivery needs the name of its job")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (value for b in batches for value in b.column(0).to_pylist())
-        sent = send(open_sink, texts, job, batch, TaskContext.get().partitionId(), options)
-        yield pa.RecordBatch.from_pydict({"sent": [sent]}, schema=pa.schema([("sent", pa.int64())]))
+        partition = TaskContext.get().partitionId()
+        sent, chunks = send(open_sink, texts, job, batch, partition, options)
+        yield pa.RecordBatch.from_pydict({"partition": [partition], "chunks": [chunks], "sent": [sent]})
 
-    counts = messages.select("value").mapInArrow(run, "sent long")
-    return counts.agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0]
+    # One row for each partition.
+    rows = messages.select("value").mapInArrow(run, "partition long, chunks long, sent long").collect()
+    finish(open_sink, job, batch, {row["partition"]: row["chunks"] for row in rows})
+    return sum(row["sent"] for row in rows)
 
 
 class FileSink:
-    """Writes every batch to a file named by its key, so a repeated batch replaces itself.
+    """Writes every chunk to a file named by its key, in a folder for each job and batch.
 
+    A repeated chunk replaces itself; files of earlier attempts of a batch go when it is finished.
     The folder may be a path or a URI of any file system that Arrow knows.
     """
 
@@ -113,27 +141,39 @@ class FileSink:
         self._files, self._folder = fs.FileSystem.from_uri(folder)
         self._files.create_dir(self._folder, recursive=True)
 
+    def _place(self, job: str, batch: int) -> str:
+        return f"{self._folder}/job={job}/batch={batch}"
+
     def deliver(self, messages: list[str], key: DeliveryKey) -> None:
-        name = f"{key.job}-{key.batch}-{key.partition}-{key.chunk}.txt"
-        temporary = f"{self._folder}/.{name}.{uuid.uuid4().hex}"
+        place = self._place(key.job, key.batch)
+        self._files.create_dir(place, recursive=True)
+        name = f"{key.partition}-{key.chunk}.txt"
+        temporary = f"{place}/.{name}.{uuid.uuid4().hex}"
         with self._files.open_output_stream(temporary) as file:
             file.write("".join(f"{message}\n" for message in messages).encode())
-        self._files.move(temporary, f"{self._folder}/{name}")
+        self._files.move(temporary, f"{place}/{name}")
+
+    def finish(self, job: str, batch: int, chunks: dict[int, int]) -> None:
+        found = self._files.get_file_info(fs.FileSelector(self._place(job, batch), allow_not_found=True))
+        for file in found:
+            partition, _, chunk = file.base_name.removesuffix(".txt").partition("-")
+            if file.base_name.startswith(".") or int(chunk) >= chunks.get(int(partition), 0):
+                self._files.delete_file(file.path)
 
     def close(self) -> None:
         """Nothing is held open."""
 
 
 class _Sent(WriterCommitMessage):
-    def __init__(self, sent: int) -> None:
-        self.sent = sent
+    def __init__(self, job: str, batch: int, partition: int, chunks: int) -> None:
+        self.job, self.batch, self.partition, self.chunks = job, batch, partition, chunks
 
 
 class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
     def __init__(self, options: dict[str, str]) -> None:
         self.factory = options["sink"]
         self.target = options.get("target")
-        self.job = options.get("job", "sink")
+        self.job = options.get("job", "")
         self.delivery = DeliveryOptions(
             batch_size=int(options.get("batchsize", DeliveryOptions.batch_size)),
             retry_seconds=float(options.get("retryseconds", DeliveryOptions.retry_seconds)),
@@ -144,24 +184,36 @@ class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
         context = TaskContext.get()
         # The streaming engine names the micro-batch of a task in its local properties.
         batch = int(context.getLocalProperty("streaming.sql.batchId") or 0)
-        job = context.getLocalProperty("sql.streaming.queryId") or self.job
+        # A new checkpoint makes a new query id, so its batches do not meet those of an old one.
+        job = "-".join(filter(None, [self.job, context.getLocalProperty("sql.streaming.queryId")]))
+        if not job:
+            raise ValueError("option job is needed: the name of this run")
+        texts = (row["value"] for row in iterator)
+        partition = context.partitionId()
+        _, chunks = send(self.open_sink, texts, job, batch, partition, self.delivery)
+        return _Sent(job, batch, partition, chunks)
+
+    def open_sink(self) -> Sink:
         module, _, name = self.factory.partition(":")
         factory = getattr(importlib.import_module(module), name)
-        open_sink = partial(factory, self.target) if self.target else factory
-        texts = (row["value"] for row in iterator)
-        return _Sent(send(open_sink, texts, job, batch, context.partitionId(), self.delivery))
+        return factory(self.target) if self.target else factory()
 
     def commit(self, messages, batchId=None) -> None:  # noqa: N803 (interface name)
-        """Nothing to do: every batch was sent when its task ended."""
+        """All tasks are done: the sink drops what earlier attempts of the batch left."""
+        done = [message for message in messages if message is not None]
+        if done:
+            chunks = {message.partition: message.chunks for message in done}
+            finish(self.open_sink, done[0].job, done[0].batch, chunks)
 
     def abort(self, messages, batchId=None) -> None:  # noqa: N803 (interface name)
-        """Sent batches stay sent; the repeated ones carry the same keys."""
+        """Sent chunks stay until the batch is repeated and finished."""
 
 
 class SinkSource(DataSource):
     """Format ``podlens_sink`` for rows with a ``value``.
 
     Option ``sink`` is ``module:factory``; the factory gets the option ``target`` if there is one.
+    Option ``job`` names the run; a stream adds the id of its query, a batch write needs the option.
     """
 
     @classmethod

@@ -55,8 +55,8 @@ def test_docker_lines(spark):
     ]
     df = spark.createDataFrame(list(enumerate(v for v, _ in lines)), "i int, value string")
     errors = [r.parse_error for r in parse_docker_lines(df).orderBy("i").collect()]
-    missing, outer = "line does not contain user log field", "outer json unmarshalling"
-    assert errors == [None, missing, outer, None, "user log field does not contain string", missing, outer]
+    missing, outer = "line has no payload field", "line is not a JSON object"
+    assert errors == [None, missing, outer, None, "payload field is not text", missing, outer]
 
 
 def test_docker_line_keeps_line_end_of_text(spark):

@@ -225,6 +225,14 @@ def test_service_files(spark, tmp_path):
     assert [(r.ord, r.name, r.annotations) for r in rows] == [(0, "B", {"k": "v"}), (1, "C", {})]
 
 
+@pytest.mark.parametrize(
+    "bound, text",
+    [(0.1234567, "0.1234567"), (1234567, "1.234567e+06"), (100000, "100000"), (0.0001, "0.0001"), (0.00001, "1e-05"), (1.5, "1.5"), (2.0, "2")],
+)
+def test_bucket_labels_read_back_to_their_bound(bound, text):
+    assert metrics.bound_text(bound) == text and float(text) == bound
+
+
 def test_buckets():
     assert parse_buckets(".01 0.03 2") == (0.01, 0.03, 2.0)
     assert len(MetricOptions().buckets) == 28

@@ -8,7 +8,7 @@ from podlens.operators.enrich import enrich_cri_by_path, enrich_with_metadata
 from podlens.operators.journal import journal_errors, normalise_journal
 from podlens.operators.metrics import container_samples
 from podlens.operators.output import json_text
-from podlens.operators.rates import resolve_rate, throttle_delay, throttling_total
+from podlens.operators.rates import rate_column, resolve_rate, throttle_delay, throttling_total
 from podlens.options import ParseOptions, RateOptions
 from podlens.session import small_side
 from podlens.sources.containers import (
@@ -136,7 +136,7 @@ def test_journal(spark, tmp_path):
     grouped = records(ParseOptions(user_key="u", ext_key="e"))
     assert grouped[0] == {"u": {"MESSAGE": "m", "SYSTEMD_UNIT": "a.service"}, "e": ext, "time": time}
     errors = {json.loads(r[0])["MESSAGE"]: r[1] for r in journal_errors(journal).select(json_text(F.col("row")), "error").collect()}
-    assert errors == {"bad": "incorrect entry timestamp", "none": "missing entry timestamp"}
+    assert errors == {"bad": "time of the row is not a number", "none": "row has no time"}
 
 
 def test_rate_files(spark, tmp_path):
@@ -213,9 +213,9 @@ def test_throttling_against_a_sequential_bucket(spark, slice_width):
         # Positions have gaps and do not start at zero.
         seqs = sorted(rng.sample(range(100, 5000), n))
         for seq, arrival, delay in zip(seqs, arrivals, sequential(arrivals, rate)):
-            rows.append((name, "p", "c", seq, arrival, rate))
+            rows.append((f"/{name}.log", name, "p", "c", seq, arrival, rate))
             expected[name, seq] = delay
-    df = spark.createDataFrame(rows, "namespace string, pod string, container string, seq long, arrival double, rate double")
+    df = spark.createDataFrame(rows, "path string, namespace string, pod string, container string, seq long, arrival double, rate double")
     delayed = throttle_delay(df.repartition(5), slice_width=slice_width)
     found = {(r.namespace, r.seq): r.delay for r in delayed.collect()}
     assert found.keys() == expected.keys()
@@ -229,18 +229,44 @@ def test_throttling_against_a_sequential_bucket(spark, slice_width):
     assert samples == {**lines, ("container_throttling_delay_seconds_total", "hot"): pytest.approx(totals["hot"])}
 
 
-def test_rates_below_one_are_rejected(spark):
-    df = spark.createDataFrame([("n", "p", "c", 1, 1.0, 0.5)], "namespace string, pod string, container string, seq long, arrival double, rate double")
-    with pytest.raises(Exception, match="at least one line"):
-        throttle_delay(df).collect()
+def test_every_file_has_a_bucket_of_its_own(spark):
+    rows = [(f"/{name}.log", "n", "p", "c", i, 1.0, 2.0) for name in "ab" for i in range(4)]
+    df = spark.createDataFrame(rows, "path string, namespace string, pod string, container string, seq long, arrival double, rate double")
+    delayed = throttle_delay(df)
+    assert sorted(r.delay for r in delayed.collect()) == [0.0] * 4 + [0.5] * 2 + [1.0] * 2
+    assert [r.value for r in throttling_total(delayed).collect()] == [3.0]
+
+
+def test_rates_below_one_are_refused_at_load(spark):
+    old = [RateRule("", "^a$", 5.0)]
+    with pytest.raises(InvalidRules, match="at least one line"):
+        check_rules([RateRule("", "^slow$", 0.5)])
+    assert reload_rules(old, [RateRule("", "^slow$", 0.5)]) == old
+    with pytest.raises(ValueError, match="at least one line"):
+        rate_column(F.lit("n"), F.lit("p"), [], RateOptions(default_rate=0.5))
+    # A rate that comes from elsewhere spoils its own lines only.
+    rows = [("/a", 1, 1.0, 0.5), ("/b", 1, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "path string, seq long, arrival double, rate double")
+    assert {r.path: r.delay for r in throttle_delay(df).collect()} == {"/a": None, "/b": 0.0}
+
+
+@pytest.mark.parametrize("n", [0, 1, 499, 500, 501, 2000])
+def test_rules_mean_the_same_in_lists_of_any_length(spark, n):
+    rules = check_rules([*[RateRule(f"^none{i}$", f"^none{i}$", 2.0) for i in range(n)], RateRule("", "^pod-1$", 7.0)])
+    pods = spark.createDataFrame(
+        [("ns", "pod-1"), (None, "pod-1"), ("ns", None), (None, None), ("none3", "none3")], "namespace string, pod string"
+    )
+    found = [r.rate for r in resolve_rate(pods, rules).collect()]
+    assert found == [7.0, 7.0, 1000.0, 1000.0, 2.0 if n > 3 else 1000.0]
 
 
 def test_lines_are_shuffled_once_for_throttling(spark):
     df = spark.range(1000).selectExpr(
-        "concat('n', id % 3) namespace", "'p' pod", "'c' container", "id seq", "1.0D * id arrival", "2.0D rate"
+        "concat('/n', id % 3) path", "concat('n', id % 3) namespace", "'p' pod", "'c' container", "id seq", "1.0D * id arrival", "2.0D rate"
     )
     delayed = throttle_delay(df)
     delayed.collect()
     plan = delayed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "ReusedExchange" in plan
+    # What is left is a scan of the placed lines, joined with one row for each slice.
+    assert "SortMergeJoin" not in plan and plan.count("Window ") == 2
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -152,6 +152,9 @@ class Recorder:
         if len(self.calls) <= self.failures:
             raise ConnectionError
 
+    def finish(self, job, batch, chunks):
+        self.finished = (job, batch, chunks)
+
     def close(self):
         self.closed = True
 
@@ -160,7 +163,7 @@ def test_batches_and_retries():
     assert list(chunked("abcde", 2)) == [["a", "b"], ["c", "d"], ["e"]]
     sink = Recorder(failures=2)
     options = DeliveryOptions(batch_size=2, retry_seconds=0, max_attempts=3)
-    assert send(lambda: sink, ["a", "b", "c"], "job", 4, 1, options) == 3
+    assert send(lambda: sink, ["a", "b", "c"], "job", 4, 1, options) == (3, 2)
     key = DeliveryKey("job", 4, 1, 0)
     assert sink.calls == [(["a", "b"], key)] * 3 + [(["c"], key._replace(chunk=1))]
     assert sink.closed
@@ -171,18 +174,46 @@ def test_batches_and_retries():
 
 
 def sink_lines(folder):
-    return sorted(
-        line for name in os.listdir(folder) if name.endswith(".txt") for line in open(os.path.join(folder, name)).read().split("\n") if line
-    )
+    files = [os.path.join(at, name) for at, _, names in os.walk(folder) for name in names if name.endswith(".txt")]
+    return sorted(line for file in files for line in open(file).read().split("\n") if line)
 
 
 def test_deliver_and_repeat(spark, tmp_path):
     messages = spark.range(1000).selectExpr("cast(id as string) value").repartition(3, "value")
     expected = sorted(str(i) for i in range(1000))
-    for _ in range(2):
-        assert deliver_batches(messages, partial(FileSink, str(tmp_path)), DeliveryOptions(batch_size=64), "j", 7) == 1000
-        # A repeated batch replaces itself.
+    open_sink, options = partial(FileSink, str(tmp_path)), DeliveryOptions(batch_size=64)
+    for dealt in (messages, messages, messages.repartition(2), messages.repartition(7), messages.coalesce(1)):
+        assert deliver_batches(dealt, open_sink, "j", options, 7) == 1000
+        # A repeated batch replaces itself, also if its messages are dealt into other partitions.
         assert sink_lines(tmp_path) == expected
+    deliver_batches(messages, open_sink, "j", options, 8)
+    deliver_batches(messages, open_sink, "k", options, 7)
+    assert sink_lines(tmp_path) == sorted(expected * 3)
+    with pytest.raises(ValueError, match="name of its job"):
+        deliver_batches(messages, open_sink, "", options)
+
+
+def test_two_streams_and_a_new_checkpoint_share_a_target(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "a.txt").write_text("x\ny\n")
+    register_sink(spark)
+    for name in "abc":
+        stream = spark.readStream.text(str(source)).writeStream.format("podlens_sink")
+        stream = stream.option("sink", "podlens.streaming.sinks:FileSink").option("target", str(target))
+        run(stream, str(tmp_path / f"checkpoint-{name}"))
+    assert sink_lines(target) == ["x"] * 3 + ["y"] * 3
+
+
+def test_batch_write_needs_a_job(spark, tmp_path):
+    register_sink(spark)
+    writer = spark.createDataFrame([("x",)], "value string").write.format("podlens_sink").mode("append")
+    writer = writer.option("sink", "podlens.streaming.sinks:FileSink").option("target", str(tmp_path))
+    with pytest.raises(Exception, match="option job is needed"):
+        writer.save()
+    for job in ("one", "two"):
+        writer.option("job", job).save()
+    assert sink_lines(tmp_path) == ["x", "x"]
 
 
 def test_sink_format_in_a_stream(spark, tmp_path):
