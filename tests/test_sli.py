@@ -206,6 +206,29 @@ def test_patterns(pattern, expected):
     assert java_pattern(pattern) == expected
 
 
+@pytest.mark.parametrize(
+    "pattern, found, missed",
+    [
+        ("[[a]", "x[", "b"),
+        (r"^\C$", "\n", "ab"),
+        ("^[a&&b]+$", "a&b", "c"),
+        ("(?U)^a+$", "aaa", "b"),
+        ("(?iU)^a+$", "AA", "b"),
+        ("a$", "ba", "a\n"),
+        ("(?m)a$", "a\nb", "b"),
+        (r"^[\d-z]+$", "1-z", "a"),
+        ("^a}+$", "a}}", "a"),
+        ("^[a[]b]$", "[b]", "b]"),
+        ("^[]a]+$", "]a", "b"),
+        ("^[^]a]+$", "bc", "b]"),
+    ],
+)
+def test_accepted_patterns_run_and_mean_the_same(spark, pattern, found, missed):
+    java = java_pattern(pattern)
+    rows = spark.createDataFrame([(found, 1), (missed, 0)], "text string, n int")
+    assert [r.n for r in rows.where(F.col("text").rlike(java)).collect()] == [1]
+
+
 def test_service_files(spark, tmp_path):
     text = f"""---
 - name: A
