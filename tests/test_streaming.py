@@ -38,8 +38,11 @@ def reader(tmp_path, **options):
 
 
 def lines_between(r, start, end):
-    parts = r.partitions(start, end)
-    return [value for part in parts for batch in r.read(part) for value in batch.column(0).to_pylist()]
+    return [row["value"] for row in rows_between(r, start, end) if row["error"] is None]
+
+
+def rows_between(r, start, end):
+    return [row for part in r.partitions(start, end) for batch in r.read(part) for row in batch.to_pylist()]
 
 
 def test_tail_appends(tmp_path):
@@ -73,17 +76,65 @@ def test_tail_rotation(tmp_path):
     assert lines_between(r, first, second) == ["more", "value2", "value3", "value4"]
     (tmp_path / "a.log").unlink()
     third = r.latestOffset()
-    assert third == {} and lines_between(r, second, third) == []
+    assert lines_between(r, second, third) == []
+    assert r.latestOffset() == {}
+    # A repeated batch ends where it ended, whatever is written to the renamed file meanwhile.
+    with (tmp_path / "a.log.0").open("a") as f:
+        f.write("late\n")
+    assert lines_between(r, first, second)[:2] == ["more", "value2"]
+
+
+def test_tail_file_removed_before_the_next_offset(tmp_path):
+    (tmp_path / "a.log").write_text("value1\n")
+    (tmp_path / "b.log").write_text("other1\n")
+    r = reader(tmp_path)
+    first = r.initialOffset()
+    (tmp_path / "a.log").unlink()
+    (tmp_path / "b.log").write_text("other1\nother2\n")
+    rows = rows_between(r, first, r.latestOffset())
+    assert [row["value"] for row in rows if row["error"] is None] == ["other1", "other2"]
+    assert [row["path"] for row in rows if row["error"]] == [str(tmp_path / "a.log")]
 
 
-def test_tail_removed_file_fails(tmp_path):
+def test_tail_file_removed_before_it_is_read(tmp_path):
+    (tmp_path / "a.log").write_text("value1\nvalue2\n")
+    (tmp_path / "b.log").write_text("other\n")
+    r = reader(tmp_path)
+    start, end = r.initialOffset(), r.latestOffset()
+    (tmp_path / "a.log").unlink()
+    # Each time the batch is repeated the other files are read, and what is lost is named.
+    for _ in range(2):
+        rows = rows_between(r, start, end)
+        assert [row["value"] for row in rows if row["error"] is None] == ["other"]
+        assert ["bytes 0 to 14" in row["error"] for row in rows if row["error"]] == [True]
+
+
+def test_tail_file_emptied_and_filled_beyond_its_position(tmp_path):
     file = tmp_path / "a.log"
-    file.write_text("value1\nvalue2\n")
+    file.write_text("old1\nold2\n")
     r = reader(tmp_path)
-    parts = r.partitions(r.initialOffset(), r.latestOffset())
-    file.unlink()
-    with pytest.raises(FileNotFoundError):
-        list(r.read(parts[0]))
+    start, first = r.initialOffset(), r.latestOffset()
+    assert lines_between(r, start, first) == ["old1", "old2"]
+    file.write_text("new1\nnew2\nnew3\nnew4\n")
+    second = r.latestOffset()
+    assert lines_between(r, first, second) == ["new1", "new2", "new3", "new4"]
+    assert lines_between(reader(tmp_path), first, second) == ["new1", "new2", "new3", "new4"]
+
+
+def test_tail_bytes_of_a_batch_are_bounded(tmp_path):
+    lines = [f"line number {i}" for i in range(50)]
+    (tmp_path / "a.log").write_text("".join(f"{line}\n" for line in lines[:30]))
+    (tmp_path / "b.log").write_text("".join(f"{line}\n" for line in lines[30:]) + "x" * 500 + "\n")
+    r = reader(tmp_path, maxbytespertrigger="100")
+    at, found, batches = r.initialOffset(), [], 0
+    while True:
+        following = r.latestOffset()
+        new = lines_between(r, at, following)
+        if not new:
+            break
+        assert sum(len(line) + 1 for line in new) <= 100 or new == ["x" * 500]
+        found, at, batches = found + new, following, batches + 1
+    assert found == [*lines, "x" * 500] and batches > 7
 
 
 def test_tail_start_positions(tmp_path):
@@ -92,7 +143,7 @@ def test_tail_start_positions(tmp_path):
     stat = os.stat(file)
 
     def start(**options):
-        return [at for _, at in reader(tmp_path, **options).initialOffset().values()]
+        return [entry[1] for entry in reader(tmp_path, **options).initialOffset().values()]
 
     def stored(inode):
         return '{"%s": "%d;%d;2"}' % (file, inode, stat.st_dev)
