@@ -201,14 +201,17 @@ def request_samples(
 
 
 def container_samples(
-    delayed: DataFrame, options: MetricOptions = MetricOptions(), running: DataFrame | None = None
+    delayed: DataFrame,
+    options: MetricOptions = MetricOptions(),
+    running: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Samples of the two container metrics out of one pass over the lines with their ``delay``.
 
     Given the running containers, only theirs have a throttling sample.
     """
     keys = list(CONTAINER_LABELS)
-    totals = delayed.groupBy(*keys).agg(
+    totals = delayed.groupBy(*by, *keys).agg(
         F.count("*").alias("_lines"), duration_sum(F.col("delay"), options.sum_scale).alias("_delay")
     )
     live = F.lit(True)
@@ -218,7 +221,7 @@ def container_samples(
     labels = {name: F.col(name) for name in keys}
     messages = F.array(_sample(names.M_MESSAGES, F.col("_lines"), **labels))
     throttled = F.array(_sample(names.M_THROTTLE, F.col("_delay"), **labels))
-    return totals.select(F.inline(F.when(live, F.concat(messages, throttled)).otherwise(messages)))
+    return totals.select(*by, F.inline(F.when(live, F.concat(messages, throttled)).otherwise(messages)))
 
 
 def metric_samples(
@@ -226,11 +229,12 @@ def metric_samples(
     delayed: DataFrame,
     options: MetricOptions = MetricOptions(),
     running: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """All six metrics as ``(metric, labels, value)``; histograms as bucket, sum and count samples.
 
-    ``matched`` are the requests, ``delayed`` all lines with their throttling delay. Each is read
+    ``by`` adds key columns that both inputs have, for instance the reset period. ``matched`` are the requests, ``delayed`` all lines with their throttling delay. Each is read
     in one pass.
     """
-    samples = request_samples(matched, options).unionByName(container_samples(delayed, options, running))
-    return samples.select("metric", labels_column(ALL_LABELS).alias("labels"), "value")
+    samples = request_samples(matched, options, by).unionByName(container_samples(delayed, options, running, by))
+    return samples.select(*by, "metric", labels_column(ALL_LABELS).alias("labels"), "value")

@@ -17,6 +17,7 @@ from podlens.operators.parsing import line_content
 from podlens.operators.rows import settle
 from podlens.options import ParseOptions
 from podlens.session import small_side
+from podlens.sources.lines import bounded_lines
 
 # Up to this many path patterns are spelled out as literals, which Spark compiles once per task.
 LITERAL_PATTERNS = 200
@@ -99,7 +100,8 @@ def extract_sli_from_lines(lines: DataFrame, options: ParseOptions = ParseOption
     content, own, outer = F.col("content"), F.col("_own"), F.col("_outer")
     docker = F.col("format") == names.FORMAT_DOCKER
 
-    rows = line_content(lines.drop("event_time"), F.col("format"), struct_type(outer_keys))
+    bounded = bounded_lines(lines.drop("event_time"), options.max_line_bytes)
+    rows = line_content(bounded, F.col("format"), struct_type(outer_keys))
     rows = rows.drop("value").select("*", document(content, struct_type(own_keys)).alias("_doc"))
     rows = rows.select("*", document_value(F.col("_doc"), content).alias("_own")).drop("_doc")
 

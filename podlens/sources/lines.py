@@ -60,3 +60,11 @@ def split_oversize_lines(lines: DataFrame, max_bytes: int = 32000) -> DataFrame:
     pieces = F.when(fits, whole).otherwise(chunks(F.col("value"), max_bytes))
     split = lines.select(*others, F.posexplode(pieces).alias("chunk", "_bytes"))
     return split.withColumn("value", F.make_valid_utf8(F.col("_bytes").cast("string"))).drop("_bytes")
+
+
+def bounded_lines(lines: DataFrame, max_bytes: int) -> DataFrame:
+    """The same lines, with those beyond ``max_bytes`` in pieces, as the pipelines read them."""
+    others = [c for c in lines.columns if c != "value"]
+    pieces = F.transform(chunks(F.col("value"), max_bytes), lambda piece: F.make_valid_utf8(piece.cast("string")))
+    fits = F.coalesce(F.octet_length("value") <= max_bytes, F.lit(True))
+    return lines.select(*others, F.explode(F.when(fits, F.array("value")).otherwise(pieces)).alias("value"))

@@ -13,6 +13,7 @@ from podlens.operators.metrics import (
     http_request_time,
     http_request_total_count,
     http_upstream_response_time_total,
+    log_message_count,
     metrics_reset,
 )
 from podlens.operators.sli import extract_sli_from_lines, indicators
@@ -90,6 +91,7 @@ METRICS = {
     "http_request_total_count": lambda matched, options, by: http_request_total_count(matched, by),
     "http_request_time": http_request_time,
     "http_upstream_response_time_total": http_upstream_response_time_total,
+    "log_message_count": lambda lines, options, by: log_message_count(lines, by),
 }
 
 
@@ -99,7 +101,9 @@ def stream_metrics(
     options: MetricOptions = MetricOptions(),
     by: Sequence[str] = ("epoch",),
 ) -> DataFrame:
-    """One request metric over a stream: ``update`` mode for live values, ``append`` for final ones.
+    """One metric over a stream: ``update`` mode for live values, ``append`` for final ones.
+
+    ``matched`` are the requests; for ``log_message_count`` lines with their container and period.
 
     State is one row per label set and period; the watermark drops it when the period is over.
     """

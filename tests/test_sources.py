@@ -10,6 +10,7 @@ from podlens.operators.metrics import container_samples
 from podlens.operators.output import json_text
 from podlens.operators.rates import rate_column, resolve_rate, throttle_delay, throttling_total
 from podlens.options import ParseOptions, RateOptions
+from podlens.plans.records import record_lines
 from podlens.session import small_side
 from podlens.sources.containers import (
     container_catalog_cri,
@@ -30,6 +31,13 @@ def test_scan(spark, tmp_path):
     assert {r.path for r in rows} == {str(tmp_path / "a.log")}
 
 
+def test_oversize_lines_are_split_in_the_record_pipeline(spark):
+    lines = spark.createDataFrame([("x" * 25,), ("y" * 10,), ("é" * 6,)], "value string")
+    lines = lines.withColumns({"format": F.lit("none"), "ext": F.lit(None).cast("map<string,variant>")})
+    found = sorted(json.loads(r.value)["msg"] for r in record_lines(lines, ParseOptions(max_line_bytes=10)).collect())
+    assert found == sorted(["x" * 10, "x" * 10, "x" * 5, "y" * 10, "é" * 5, "é"])
+
+
 def test_oversize(spark):
     lines = spark.createDataFrame([(0, "value1value2value3value4"), (1, "value5"), (2, "ä" * 10)], "i int, value string")
     rows = split_oversize_lines(lines, 15).orderBy("i", "chunk").collect()
@@ -229,6 +237,14 @@ def test_throttling_against_a_sequential_bucket(spark, slice_width):
     assert samples == {**lines, ("container_throttling_delay_seconds_total", "hot"): pytest.approx(totals["hot"])}
 
 
+def test_container_samples_by_period(spark):
+    rows = [("n", "p", "c", 1.0, 0), ("n", "p", "c", 2.0, 0), ("n", "p", "c", 4.0, 1)]
+    df = spark.createDataFrame(rows, "namespace string, pod string, container string, delay double, epoch int")
+    found = {(r.epoch, r.metric): r.value for r in container_samples(df, by=["epoch"]).collect()}
+    delay = "container_throttling_delay_seconds_total"
+    assert found == {(0, "log_message_count"): 2, (0, delay): 3.0, (1, "log_message_count"): 1, (1, delay): 4.0}
+
+
 def test_every_file_has_a_bucket_of_its_own(spark):
     rows = [(f"/{name}.log", "n", "p", "c", i, 1.0, 2.0) for name in "ab" for i in range(4)]
     df = spark.createDataFrame(rows, "path string, namespace string, pod string, container string, seq long, arrival double, rate double")
