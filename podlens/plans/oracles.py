@@ -108,8 +108,32 @@ _EXT = """'{"dc":"n3","docker.container_id":"' || id || '","kubernetes.container
 
 _NUMBER = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
 
+# The line as it is rendered, for the records that hold it as it came.
+_TIME = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
+_PAYLOAD = """'{"host":"' || host || '","request_method":"' || request_method || '","request_uri":"' || request_uri
+  || '","status":' || CAST(status AS VARCHAR) || ',"request_time":' || CAST(request_time AS VARCHAR)
+  || CASE WHEN upstream_response_time IS NULL THEN '' ELSE ',"upstream_response_time":"' || upstream_response_time || '"' END
+  || ',"sla":' || CAST(sla AS VARCHAR) || CASE WHEN logging IS NULL THEN '' ELSE ',"logging":' || CAST(logging AS VARCHAR) END
+  || ',"client":{"id":' || CAST(user_id AS VARCHAR) || ',"kind":"' || event_type || '","tags":["' || event_type || '","'
+  || format || '"]}}'"""
+
+
+def _escaped(text: str) -> str:
+    return f"""replace(replace({text}, '\\', '\\\\'), '"', '\\"')"""
+
+
+_DOCKER_LINE = f"""'{{"log":"' || {_escaped(_PAYLOAD)} || '\\n","stream":"stdout","time":"' || {_TIME} || '"}}'"""
+_CONTENT = f"""CASE WHEN kind = 'plain' THEN 'event ' || CAST(event_id AS VARCHAR)
+  WHEN format = 'docker' THEN left({_DOCKER_LINE}, length({_DOCKER_LINE}) - 4)
+  ELSE left({_PAYLOAD}, length({_PAYLOAD}) - 4) END"""
+_RAW_RECORD = f"""'{{"dc":"n3","docker.container_id":"' || id || '","kubernetes.container_name":"' || container
+  || '","kubernetes.namespace_name":"' || namespace || '","kubernetes.node_hostname":"localhost","kubernetes.pod_name":"' || pod
+  || '","logstash_prefix":"k8s-unknown","msg":"' || {_escaped(_CONTENT)} || '","purpose":"staging"'
+  || CASE WHEN kind = 'truncated' AND format = 'containerd' THEN ',"stream":"stdout","time":"' || {_TIME} || '"' ELSE '' END
+  || ',"type":"containers"}}'"""
+
 _RECORD = f"""
-SELECT CASE WHEN kind <> 'json' THEN 'raw' ELSE
+SELECT CASE WHEN kind <> 'json' THEN {_RAW_RECORD} ELSE
   '{{"client.id":' || CAST(user_id AS VARCHAR) || ',"client.kind":"' || event_type
   || '","client.tags":["' || event_type || '","' || format || '"],"dc":"n3","docker.container_id":"' || id
   || '","host":"' || host || '","kubernetes.container_name":"' || container

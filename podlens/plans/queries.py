@@ -532,28 +532,22 @@ def stripped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _short(lines: DataFrame) -> DataFrame:
-    """Raw records shortened to a mark, the others as they are."""
-    raw = F.get_json_object("value", "$.msg").isNotNull()
-    return lines.select(F.when(raw, F.lit("raw")).otherwise(F.col("value")).alias("value"))
-
-
 @query
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four steps one after the other."""
-    return _short(to_json_lines(strip_reserved(drop_suppressed(_records(spark, sf_dir)))))
+    return to_json_lines(strip_reserved(drop_suppressed(_records(spark, sf_dir))))
 
 
 @query
 def json_records_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as one expression per line."""
-    return _short(record_lines(_enriched(spark, sf_dir)))
+    return record_lines(_enriched(spark, sf_dir))
 
 
 @query
 def united_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = to_json_lines(normalise_journal(journal_rows(_journal_text(spark, sf_dir))))
-    return _short(union_outputs(record_lines(_enriched(spark, sf_dir)), journal))
+    return union_outputs(record_lines(_enriched(spark, sf_dir)), journal)
 
 
 # Service catalog and indicators
@@ -730,7 +724,7 @@ def throttling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _delivered(spark: SparkSession, folder: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(folder)
-    return _short(lines).groupBy("value").agg(F.count("*").alias("n"))
+    return lines.groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query
