@@ -39,12 +39,6 @@ def _w(sql: str) -> str:
     return f"WITH {W} {sql}"
 
 
-_SEGMENTS = _w("""
-SELECT namespace || '_' || pod || '_' || id AS folder, format, count(*) AS n_lines,
-  count(*) FILTER (WHERE kind = 'plain') AS n_plain,
-  count(*) FILTER (WHERE kind = 'json') AS n_whole
-FROM l GROUP BY 1, 2""")
-
 _POD_PATHS = """p AS (
   SELECT *, CAST(c_custkey AS VARCHAR) AS k, 'nation' || CAST(c_nationkey AS VARCHAR) AS namespace,
     CASE WHEN c_acctbal < 0 THEN 'broken' || CAST(c_custkey AS VARCHAR)
@@ -126,6 +120,17 @@ _DOCKER_LINE = f"""'{{"log":"' || {_escaped(_PAYLOAD)} || '\\n","stream":"stdout
 _CONTENT = f"""CASE WHEN kind = 'plain' THEN 'event ' || CAST(event_id AS VARCHAR)
   WHEN format = 'docker' THEN left({_DOCKER_LINE}, length({_DOCKER_LINE}) - 4)
   ELSE left({_PAYLOAD}, length({_PAYLOAD}) - 4) END"""
+_LINE = f"""CASE WHEN kind = 'plain' THEN 'event ' || CAST(event_id AS VARCHAR) ELSE
+  left({{0}}, length({{0}}) - CASE WHEN kind = 'truncated' THEN 4 ELSE 0 END) END""".replace(
+    "{0}", f"CASE WHEN format = 'docker' THEN {_DOCKER_LINE} ELSE {_TIME} || ' stdout F ' || {_PAYLOAD} END"
+)
+# All lines of a folder, in any order: the sum of the first 32 bits of their digests.
+_SEGMENTS = _w(f"""
+SELECT namespace || '_' || pod || '_' || id AS folder, format, count(*) AS n_lines,
+  count(*) FILTER (WHERE kind = 'plain') AS n_plain,
+  count(*) FILTER (WHERE kind = 'json') AS n_whole,
+  CAST(sum(CAST('0x' || left(md5({_LINE}), 8) AS BIGINT)) AS BIGINT) AS digest
+FROM l GROUP BY 1, 2""")
 _RAW_RECORD = f"""'{{"dc":"n3","docker.container_id":"' || id || '","kubernetes.container_name":"' || container
   || '","kubernetes.namespace_name":"' || namespace || '","kubernetes.node_hostname":"localhost","kubernetes.pod_name":"' || pod
   || '","logstash_prefix":"k8s-unknown","msg":"' || {_escaped(_CONTENT)} || '","purpose":"staging"'
