@@ -21,6 +21,8 @@ END_ID = 1
 FEATURES, DIMENSIONS, BITS = 512, 3, 16
 # Ties on the curve are spread by a hash of the document, so that a range never holds one key alone.
 TIE_BITS = 63 - DIMENSIONS * BITS
+# Not the apostrophe, which may begin a token together with letters.
+STOPS = b".,;:!?#$%&*|+=<>()/-\"_~"
 HELD_WORDS = 300_000
 ENCODE_WORDS = 512
 RANGE_TOKENS = 8_000_000
@@ -72,17 +74,24 @@ class WordEncoder:
             self.held.update((word, raw[a:b]) for (word, _), a, b in zip(group, cuts, cuts[1:]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.lower().split() for text in texts]
+        # Special tokens are only those in small letters, so a text that may hold one keeps its case.
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
         if len(self.held) > HELD_WORDS:
             self.held.clear()
         missing = set().union(*split).difference(self.held)
-        # A last full stop or comma is a token of its own.
-        parts = {word: word[:-1] for word in missing if word[-1:] in b".," and word[-2:-1].isalpha()}
-        new = missing.difference(parts).union(parts.values(), (b".", b",")).difference(self.held)
+        # Punctuation behind a letter is split off before the merges, as one run.
+        parts = {}
+        for word in missing:
+            stem = word.rstrip(STOPS)
+            last = stem.decode("utf-8", "replace")[-1:]
+            # Some letters get a mark in lower case, which would join the punctuation.
+            if len(stem) < len(word) and last.isalpha() and last.lower().isalpha() and b"<|" not in word:
+                parts[word] = stem, word[len(stem) :]
+        new = missing.difference(parts).union(*parts.values()).difference(self.held)
         if new:
             self._learn(new)
-        for word, stem in parts.items():
-            self.held[word] = self.held[stem] + self.held[word[-1:]]
+        for word, (stem, stops) in parts.items():
+            self.held[word] = self.held[stem] + self.held[stops]
         get = self.held.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

@@ -4,11 +4,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
-from podlens.llm.arrow_text import Words, covered, slices, text_buffers
+from podlens.llm.arrow_text import Words, cached, covered, slices, text_buffers
 from podlens.llm.blobs import pack, pack_plain, unpack, unpack_plain
 from podlens.llm.fm_index import FMIndex
 from podlens.llm.fingerprints import code_points, gram_hashes, winnow
-from podlens.llm.packing import hilbert
+from podlens.llm.packing import WordEncoder, hilbert
+from podlens.llm.queries import tokenizer_path
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab é\t\n\x0b\x1c .|", max_size=30)), max_size=8)
 
@@ -75,3 +76,19 @@ def test_hilbert_neighbours_differ_by_one_step():
     assert sorted(place) == list(range(512))
     path = cells[np.argsort(place)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+ODD_WORDS = "don't. it's!! we'll, x<|endoftext|>. <|ENDOFTEXT|> a'.s 'S a_b__ é́. İ. ß! ﬁn. 12. a1. -- a--b-- “x”. ½. x². 漢字。 "
+
+
+@given(st.lists(st.one_of(st.sampled_from(ODD_WORDS.split()), st.text(max_size=6)), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_word_by_word_encoding_is_exact(words):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tokenizer = cached("test tokenizer", lambda: Tokenizer.from_file(path))
+    encoder = cached("test encoder", lambda: WordEncoder(path))
+    text = " ".join(words).encode("utf-8", "ignore")
+    found = np.frombuffer(encoder.encode([text])[0], "<u2").tolist()
+    assert found == tokenizer.encode(text.decode(), add_special_tokens=False).ids
