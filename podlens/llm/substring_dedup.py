@@ -1,7 +1,8 @@
 """Op 5: removal of passages that already occur in a document with a smaller id.
 
-1. Blocks of documents ask, by hash, which of their windows of words occur in more than one document.
-   That only leaves out windows that occur once.
+1. A text that equals that of a smaller document id loses all its windows, so only the others take
+   part. Blocks of these ask, by hash, which of their windows of words occur in more than one
+   document. That only leaves out windows that occur once.
 2. Stretches of the other windows go to shards by their smallest inner n-gram, so that equal windows
    meet in one shard. Equal stretches are sent once, with the smallest document id.
 3. Each shard builds a compressed FM-index of its stretches. Backward search streams the stretches
@@ -16,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,18 @@ def _named(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy().astype(np.int64), ~column.is_null().to_numpy()
 
 
-def _texts(table: pa.Table):
-    """Words of a block, a few documents at a time: first document, words, ids, given ids."""
+def _copies(docs: pa.Table, facts: pa.Table) -> np.ndarray:
+    """Which documents of a block have the text of a smaller document id."""
+    held = set(zip(facts["copy_id"].to_pylist(), facts["copy_digest"].to_pylist()))
+    rows = zip(docs["doc_id"].to_pylist(), docs["digest"].to_pylist())
+    return np.array([i is not None and (i, digest) in held for i, digest in rows], bool)
+
+
+def _texts(table: pa.Table, copies: np.ndarray):
+    """Words of a block, a few documents at a time: first document, words, ids, which take part."""
     data, offsets = text_buffers(table["text"])
     ids, given = _named(table["doc_id"])
+    given = given & ~copies
     for first, last in slices(offsets):
         bounds = offsets[first : last + 1]
         words = Words(data[bounds[0] : bounds[-1]], bounds - bounds[0])
@@ -56,10 +66,10 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - HASH_BITS)
 
 
-def _block_hashes(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_hashes(table: pa.Table, copies: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct short hashes of a block's windows, and which occur in two of its documents."""
     parts = []
-    for _, words, ids, given in _texts(table):
+    for _, words, ids, given in _texts(table, copies):
         at, hashes = words.windows(window)
         doc = words.doc[at]
         parts.append((_short(hashes)[given[doc]], ids[doc[given[doc]]]))
@@ -75,8 +85,8 @@ def _block_hashes(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _ask(n_buckets: int, window: int):
-    def ask(key, table):
-        hashes, repeated = _block_hashes(table, window)
+    def ask(key, docs, facts):
+        hashes, repeated = _block_hashes(docs, _copies(docs, facts), window)
         cuts = deal(hashes, HASH_BITS, n_buckets)
         rows = [
             (key[0].as_py(), k, int(b - a), pack(hashes[a:b]), np.packbits(repeated[a:b]).tobytes())
@@ -116,13 +126,14 @@ def _stretches(window: int, gram: int):
     """In a block: the distinct stretches of repeated windows that share their smallest inner n-gram."""
     names = ["block", "route", "first_doc", "words"]
 
-    def cut(key, docs, answers):
+    def cut(key, docs, facts):
         held: dict[bytes, list[int]] = {}
-        hashes, _ = _block_hashes(docs, window) if answers.num_rows else (np.zeros(0, np.uint64), None)
+        copies, answers = _copies(docs, facts), facts.filter(pc.is_valid(facts["bucket"]))
+        hashes, _ = _block_hashes(docs, copies, window) if answers.num_rows else (np.zeros(0, np.uint64), None)
         rows = answers.sort_by("bucket").to_pylist()
         bits = [np.unpackbits(np.frombuffer(row["repeated"], np.uint8), count=row["n"]) for row in rows]
         wanted = hashes[np.concatenate(bits).astype(bool)] if rows and len(hashes) else hashes[:0]
-        for _, words, ids, given in _texts(docs) if len(wanted) else ():
+        for _, words, ids, given in _texts(docs, copies) if len(wanted) else ():
             of_word = words.hashes()
             at, found = windows(of_word, words.first, window)
             short = _short(found)
@@ -192,13 +203,15 @@ def _search(window: int):
 def _remove(window: int, carry: tuple[str, ...], join_all: bool):
     """In a block: drop the words that lie in a window known from a smaller document id."""
 
-    def remove(docs, known):
+    def remove(docs, facts):
+        copies, known = _copies(docs, facts), facts.filter(pc.is_valid(facts["hashes"]))
         hashes = np.frombuffer(b"".join(known["hashes"].to_pylist()), np.uint64)
         first_docs = np.frombuffer(b"".join(known["docs"].to_pylist()), np.int64)
         order = np.argsort(hashes, kind="stable")
         hashes, first_docs = hashes[order], first_docs[order]
         n_words, n_removed, kept = [], [], []
-        for _, words, ids, given in _texts(docs):
+        for start, words, ids, given in _texts(docs, copies):
+            copied = copies[start : start + len(ids)] & (words.counts >= window)
             gone = np.zeros(len(words.starts), bool)
             if len(hashes):
                 at, found = words.windows(window)
@@ -206,6 +219,7 @@ def _remove(window: int, carry: tuple[str, ...], join_all: bool):
                 doc = words.doc[at]
                 earlier = (hashes[place] == found) & (first_docs[place] < ids[doc]) & given[doc]
                 gone = covered(at[earlier], window, len(words.starts))
+            gone |= copied[words.doc]
             raw = words.data.tobytes()
             whole = words.offsets.tolist()
             for k, (first, last) in enumerate(zip(words.first.tolist(), words.first[1:].tolist())):
@@ -227,11 +241,23 @@ def _remove(window: int, carry: tuple[str, ...], join_all: bool):
     return remove
 
 
-def repeated_stretches(table: DataFrame, n_bytes: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def later_copies(table: DataFrame) -> DataFrame:
+    """``block``, ``copy_id``, ``copy_digest`` of documents with the text of a smaller document id."""
+    named = table.filter("doc_id is not null").select("block", F.col("doc_id").cast("long").alias("copy_id"), "digest")
+    first = named.groupBy("digest").agg(F.min("copy_id").alias("first_id"))
+    copies = named.join(first, "digest").filter("copy_id > first_id")
+    return store(copies.select("block", "copy_id", F.col("digest").alias("copy_digest")).distinct(), "copies")
+
+
+def repeated_stretches(
+    table: DataFrame, copies: DataFrame, n_bytes: int, window: int = WINDOW, gram: int = GRAM
+) -> DataFrame:
     """``block``, ``route``, ``first_doc``, ``words``: the stretches of windows that several documents hold."""
-    asked = table.groupBy("block").applyInArrow(_ask(pieces(n_bytes, BUCKET_BYTES, 4), window), _ASK)
+    by_block = table.groupBy("block")
+    asked = by_block.cogroup(copies.groupBy("block")).applyInArrow(_ask(pieces(n_bytes, BUCKET_BYTES, 4), window), _ASK)
     answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    found = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_stretches(window, gram), _STRETCH)
+    facts = answers.unionByName(copies, allowMissingColumns=True)
+    found = by_block.cogroup(facts.groupBy("block")).applyInArrow(_stretches(window, gram), _STRETCH)
     return store(found, "stretches")
 
 
@@ -274,17 +300,20 @@ def remove_repeats(
     n_bytes = text_bytes(docs)
     kinds = {name: docs.schema[name].dataType for name in carry}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "text", *[F.col(name).alias(f"carried_{name}") for name in carry]]
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")
+    columns = ["doc_id", "text", digest, *[F.col(name).alias(f"carried_{name}") for name in carry]]
     n_blocks = pieces(n_bytes, BLOCK_BYTES, 4)
     spread = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     table = blocked(docs, columns, scattered(spread, n_blocks), n_blocks)
 
-    stretches = repeated_stretches(table, n_bytes, window)
+    copies = later_copies(table)
+    stretches = repeated_stretches(table, copies, n_bytes, window)
     found = indexed_matches(stretches, window)
     wanted = stretches.select("block", F.unhex(F.md5("words")).alias("stretch"))
     known = wanted.join(found, "stretch").select("block", "hashes", "docs")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
     schema += "".join(f", carried_{name} {t.simpleString()}" for name, t in kinds.items())
-    return table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+    facts = known.unionByName(copies, allowMissingColumns=True)
+    return table.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(
         _remove(window, carry, join_all), schema
     )
