@@ -125,9 +125,8 @@ def with_successors(docs: DataFrame) -> DataFrame:
 
     dealt = rows.select("doc_id", "key", "text", F.explode(parts("key")).alias("to"))
     guest = F.col("to") < 0
-    dealt = dealt.select(
-        F.when(guest, F.bitwise_not("to")).otherwise(F.col("to")).alias("part"), guest.alias("guest"), "doc_id", "key", "text"
-    )
+    part = F.when(guest, F.bitwise_not("to")).otherwise(F.col("to"))
+    dealt = dealt.select(part.alias("part"), guest.alias("guest"), "doc_id", "key", "text")
     order = ["part", "guest", "key", F.xxhash64("text")]
     return dealt.repartition(n, "part").sortWithinPartitions(*order).drop("key")
 

@@ -65,7 +65,8 @@ class FMIndex:
             last = ranks[length]
             following = np.zeros(n, np.int64)
             following[: max(n - length, 0)] = last[length:]
-            _, ranks[2 * length] = np.unique(last * (int(following.max(initial=0)) + 1) + following, return_inverse=True)
+            both = last * (int(following.max(initial=0)) + 1) + following
+            _, ranks[2 * length] = np.unique(both, return_inverse=True)
             length *= 2
         self.order = np.argsort(ranks[length], kind="stable")
         self.bwt = WaveletMatrix(symbols[self.order - 1], self.n_symbols)

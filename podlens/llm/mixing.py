@@ -98,7 +98,8 @@ def balance(cells: DataFrame, targets: DataFrame, families: list[str], rounds: i
             gap = F.try_divide(F.abs(F.col("mass") * F.exp("multiplier") - F.col("target")), F.col("target"))
             solved = F.when(own, newton(F.col("mass"), F.col("target"))).otherwise(F.col("multiplier"))
             columns = ["family", "group", "target", F.coalesce(solved, F.lit(0.0)).alias("multiplier")]
-            joined = store(joined.select(*columns, F.when(F.col("target") > 0, gap).alias("gap")).coalesce(n), "multipliers")
+            joined = joined.select(*columns, F.when(F.col("target") > 0, gap).alias("gap"))
+            joined = store(joined.coalesce(n), "multipliers")
             worst = max(worst, joined.agg(F.max("gap")).first()[0] or 0.0)
             state = joined.drop("gap")
         if len(families) == 1 or worst <= TOLERANCE:
@@ -166,7 +167,8 @@ def mix(docs: DataFrame) -> DataFrame:
     known = targets.join(small_side(found), F.col("source").eqNullSafe(F.col("of_group"))).drop("of_group")
     # Newton ends within rounding errors of its target; a rate that is whole but for that is whole.
     rate = F.least(F.round(F.exp("multiplier"), 7), F.lit(float(MAX_COPIES)))
-    known = store(known.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(F.lit(0.0))).coalesce(n), "rates")
+    rate = F.when(F.col("target") > 0, rate).otherwise(F.lit(0.0))
+    known = store(known.withColumn("rate", rate).coalesce(n), "rates")
     rated = rows.join(small_side(known), F.col("group").eqNullSafe(F.col("source")))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return rounded_copies(rated).select("doc_id", "size", "source_size", "target", "rate", "copies", taken, "digest")

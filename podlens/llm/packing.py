@@ -125,13 +125,14 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 def _projection() -> np.ndarray:
     """A fixed matrix of plus and minus one."""
-    return (mix(np.arange((1 << 16) * DIMENSIONS), 11) >> np.uint64(63)).astype(np.float64).reshape(-1, DIMENSIONS) * 2 - 1
+    signs = (mix(np.arange(FEATURES * DIMENSIONS), 11) >> np.uint64(63)).astype(np.float64)
+    return signs.reshape(FEATURES, DIMENSIONS) * 2 - 1
 
 
 def curve_place(ids: np.ndarray) -> np.ndarray:
     """Coordinates of one document: hashed token counts, damped, scaled to length 1, projected."""
     slot = cached("slots", lambda: (mix(np.arange(1 << 16), 5) % np.uint64(FEATURES)).astype(np.int64))
-    matrix = cached("projection", _projection)[:FEATURES]
+    matrix = cached("projection", _projection)
     vector = np.sqrt(np.bincount(slot[ids], minlength=FEATURES))
     length = np.sqrt((vector**2).sum())
     at = (vector @ matrix) / (length or 1)

@@ -149,8 +149,10 @@ class Evidence:
             odds = F.log(with_it / (n + 1)) - F.log(without / (of - n + 1))
             share = (n + 0.5) / (of + 1)
             have, hits = F.col(f"{name}_of"), F.col(name)
-            ratio = 2 * (_times_log(hits, hits / (have * share)) + _times_log(have - hits, (have - hits) / (have * (1 - share))))
-            chosen = counts.filter(have > 0).select("feature", have.alias("have"), odds.alias("odds"), ratio.alias("ratio"))
+            others = have - hits
+            ratio = _times_log(hits, hits / (have * share)) + _times_log(others, others / (have * (1 - share)))
+            columns = [have.alias("have"), odds.alias("odds"), (2 * ratio).alias("ratio")]
+            chosen = counts.filter(have > 0).select("feature", *columns)
             chosen = chosen.filter((F.col("have") >= MIN_DOCUMENTS) & (F.abs("odds") >= MIN_LOG_ODDS))
             chosen = chosen.filter(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "feature").limit(MAX_FEATURES)
             rows = chosen.select("feature", "odds").collect()
@@ -241,7 +243,9 @@ def site_posteriors(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tu
     return paths, hosts, levels
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, carry: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
     """Probabilities of low quality and toxicity for every document, and ``kept``.
 
     ``docs`` has ``doc_id``, ``text`` and ``lang``; ``host`` and ``path`` say where a document comes
@@ -251,16 +255,23 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, car
     Without labels nothing is rejected. Rows that repeat are judged alike. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    docs = docs.withColumns({"host": host.cast("string"), "path": path.cast("string"), "lang": F.col("lang").cast("string")})
+    places = {"host": host.cast("string"), "path": path.cast("string"), "lang": F.col("lang").cast("string")}
+    docs = docs.withColumns(places)
     sample = labelled_sample(docs, labels)
     counts = store(feature_counts(sample), "feature-counts")
     given = [F.sum(name).alias(name) for name in TARGETS] + [F.count(name).alias(f"{name}_of") for name in TARGETS]
     evidence = Evidence(counts, sample.agg(*given).first())
     rows = store(document_evidence(docs, evidence, carry), "evidence", "zstd")
     paths, hosts, levels = site_posteriors(rows)
-    hosts = hosts.select(F.col("host").alias("of_host"), F.col("n").alias("host_n"), *[F.col(f"{name}_s").alias(f"{name}_host") for name in TARGETS])
+    hosts = hosts.select(
+        F.col("host").alias("of_host"),
+        F.col("n").alias("host_n"),
+        *[F.col(f"{name}_s").alias(f"{name}_host") for name in TARGETS],
+    )
     paths = paths.select(
-        F.col("host").alias("path_host"), F.col("path").alias("of_path"), F.col("n").alias("path_n"),
+        F.col("host").alias("path_host"),
+        F.col("path").alias("of_path"),
+        F.col("n").alias("path_n"),
         *[F.col(f"{name}_s").alias(f"{name}_path") for name in TARGETS],
     )
     sites = paths.join(small_side(hosts), F.col("path_host").eqNullSafe(F.col("of_host"))).drop("of_host")
