@@ -6,8 +6,9 @@
    signature of consistent weighted samples, cut into bands.
 4. Representatives that share a band are compared, first by signature, then by the weighted Jaccard
    similarity of their shingles. A band's members meet over some representatives of it (hubs), in
-   rounds with twice as many hubs, until all members are in one class or have been hubs. So no pair
-   of a band is left out unless both are in one class already.
+   rounds with more and more hubs, until all members are in one class or have been hubs. So no pair
+   of a band is left out unless both are in one class already. Bands with many members are compared
+   in cells of two chunks of members each, which report no more links than join their members.
 5. Links join into classes, each named by its smallest document id.
 """
 
@@ -26,11 +27,15 @@ from podlens.llm.tables import blocked, pieces, prepare, scattered, store, text_
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-# Two signatures of texts at the threshold agree in 29 of 36 samples on average; 16 is 5 deviations less.
-LEAST_AGREEMENT = 16
+# Two signatures of texts at the threshold agree in 29 of 36 samples on average; 20 is almost 4 deviations less.
+LEAST_AGREEMENT = 20
+# Hubs of a band in the first round, and how many times as many there are in each further one.
+FIRST_HUBS, MORE_HUBS = 2, 8
+# Buckets with more members than this are compared in cells, of chunks of about so many members.
+LARGE_BUCKET, CHUNK = 64, 1000
 # How much a rare shingle outweighs one that all documents have. A strong weight would put copies,
 # which make their own shingles frequent, below the threshold.
-RARITY = 0.25
+RARITY = 0.1
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 HASH_BITS = 48
 
@@ -129,7 +134,7 @@ def _chosen(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     return rows.take(pa.array(np.unique(rows["doc"].to_numpy(), return_index=True)[1]))
 
 
-_TYPES = {"i": pa.int32(), "l": pa.int64(), "b": pa.binary()}
+_TYPES = {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "d": pa.float64()}
 
 
 def _table(rows: list[tuple], names: list[str], kinds: str) -> pa.Table:
@@ -205,8 +210,8 @@ def _sign(n_docs: int):
             signed.extend(signature)
             banded.extend(bands.view(np.int64))
         lists = pa.list_(pa.int64())
-        columns = [pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(signed, lists), pa.array(banded, lists)]
-        return pa.table(columns, names=["doc", "signature", "bands"])
+        found = pa.array(np.concatenate(found) if found else [], pa.int64())
+        return pa.table([found, pa.array(signed, lists), pa.array(banded, lists)], names=["doc", "signature", "bands"])
 
     return sign
 
@@ -245,29 +250,81 @@ def _verify(batches):
         ).filter(keep)
 
 
-def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The smallest node reachable over ``links`` (a, b) from each ``node``: ``node``, ``class``.
+def _compare_cell(key, table):
+    """Links that join the similar members of a cell: all pairs of one chunk, or of one chunk with another.
+
+    A pair counts in the first band that it shares. Pairs are verified from the most to the least
+    likely; one whose members are joined already adds nothing.
+    """
+    low, high = key[1].as_py(), key[2].as_py()
+    nodes, chunk, band = table["node"].to_numpy(), table["chunk"].to_numpy(), table["band"][0].as_py()
+    order = np.lexsort((nodes, chunk))
+    n_low = int((chunk == low).sum()) if high != low else 0
+    signature = np.array(table["signature"].to_pylist(), np.int64)[order]
+    raw, weights, n = (table[name].to_pylist() for name in ("shingles", "weights", "n"))
+    features = [(unpack(raw[i], n[i]), np.frombuffer(weights[i], np.float32)) for i in order.tolist()]
+    nodes = nodes[order]
+    total = np.array([own.sum() for _, own in features])
+    found = []
+    for i in range(n_low or len(nodes) - 1):
+        first = max(n_low, i + 1)
+        same = signature[first:] == signature[i]
+        agreement = same.sum(axis=1)
+        here = np.argmax(same.reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == band
+        ratio = np.minimum(total[first:], total[i]) / np.maximum(total[first:], total[i])
+        hits = np.flatnonzero(here & (agreement >= LEAST_AGREEMENT) & (ratio >= SIMILARITY))
+        found.append(np.stack([agreement[hits], np.full(len(hits), i), hits + first], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    root = list(range(len(nodes)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    links = []
+    for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+        a, b = top(i), top(j)
+        if a != b:
+            likeness = weighted_jaccard(*features[i], *features[j])
+            if likeness >= SIMILARITY:
+                root[max(a, b)] = min(a, b)
+                links.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j])), likeness))
+    return _table(links, ["a", "b", "similarity"], "lld")
+
+
+def cell_links(members: DataFrame, signed: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Links of ``members`` (bucket, band, node, size) of large buckets, as :func:`near_links` finds them."""
+    chunks = F.ceil(F.col("size") / CHUNK)
+    rows = members.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
+    rows = rows.select(
+        "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "band", "node"
+    )
+    rows = rows.join(signed.select(F.col("doc").alias("node"), "signature"), "node")
+    rows = rows.join(weighed.withColumnRenamed("doc", "node"), "node")
+    return rows.groupBy("bucket", "low", "high").applyInArrow(_compare_cell, "a long, b long, similarity double")
+
+
+def classes(state: DataFrame, links: DataFrame) -> DataFrame:
+    """The smallest class reachable over ``links`` (a, b) from each node of ``state`` (node, class).
 
     Each round gives every node the smallest class among its own and its neighbours', and then the
-    class of that class, so that long chains take few rounds.
+    class of that class, so that long chains take few rounds. Classes are named by nodes.
     """
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = store(both.distinct(), "links")
-    linked = store(both.select(F.col("a").alias("node")).distinct().withColumn("class", F.col("node")), "classes")
     while True:
-        seen = both.join(linked.select(F.col("node").alias("b"), "class"), "b")
-        best = seen.groupBy("a").agg(F.min("class").alias("best"))
-        new = linked.join(best.withColumnRenamed("a", "node"), "node")
-        new = new.select("node", F.col("class").alias("old"), F.least("class", "best").alias("class"))
-        up = linked.select(F.col("node").alias("class"), F.col("class").alias("higher"))
-        new = new.join(up, "class", "left").select(
-            "node", "old", F.least("class", F.coalesce("higher", "class")).alias("class")
-        )
-        new = store(new, "classes")
+        seen = both.join(state.select(F.col("node").alias("b"), F.col("class").alias("near")), "b")
+        best = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        new = state.join(best, "node", "left").withColumnRenamed("class", "old")
+        new = new.select("node", "old", F.least("old", "near").alias("class"))
+        up = state.select(F.col("node").alias("class"), F.col("class").alias("higher"))
+        new = new.join(up, "class", "left")
+        new = store(new.select("node", "old", F.least("class", "higher").alias("class")), "classes")
+        state = new.select("node", "class")
         if not new.filter("class < old").limit(1).count():
-            break
-        linked = new.select("node", "class")
-    return nodes.join(linked, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+            return state
 
 
 def verified_links(pairs: DataFrame, signed: DataFrame, weighed: DataFrame) -> DataFrame:
@@ -284,15 +341,16 @@ def verified_links(pairs: DataFrame, signed: DataFrame, weighed: DataFrame) -> D
     return close.mapInArrow(_verify, "a long, b long, similarity double")
 
 
-def near_links(members: DataFrame, signed: DataFrame, weighed: DataFrame) -> DataFrame:
-    """Links (a, b, similarity), enough to join all similar documents that share a ``bucket``.
+def near_links(
+    members: DataFrame, state: DataFrame, links: DataFrame, signed: DataFrame, weighed: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, similarity), enough to join all similar documents that share a ``bucket``, and the
+    ``class`` of every ``node``; ``links`` and their classes (``state``) are known before.
 
     ``members`` has a row for each ``bucket`` and ``node`` of buckets with two nodes or more.
     """
-    nodes = members.select("node").distinct()
-    links = members.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    waiting = members.withColumn("class", F.col("node"))
-    hubs_at_once = 1
+    waiting = in_mixed_buckets(store(members.join(state, "node"), "waiting"))
+    hubs_at_once = FIRST_HUBS
     while waiting.limit(1).count():
         smallest = Window.partitionBy("bucket").orderBy("node")
         hubs = waiting.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= hubs_at_once)
@@ -301,12 +359,19 @@ def near_links(members: DataFrame, signed: DataFrame, weighed: DataFrame) -> Dat
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         links = store(links.unionAll(verified_links(pairs, signed, weighed)), "similar")
         # Hubs have met all that wait in their buckets. A bucket stays while the rest has two classes.
-        rest = waiting.drop("class").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        rest = store(rest.join(classes(nodes, links), "node"), "waiting")
-        mixed = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        waiting = rest.join(mixed.filter("low < high").select("bucket"), "bucket", "left_semi")
-        hubs_at_once *= 2
-    return links
+        met = hubs.select("bucket", F.col("hub").alias("node"))
+        rest = waiting.drop("class").join(met, ["bucket", "node"], "left_anti")
+        state = classes(state, links)
+        rest = store(rest.join(state, "node"), "waiting")
+        waiting = in_mixed_buckets(rest)
+        hubs_at_once *= MORE_HUBS
+    return links, state
+
+
+def in_mixed_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are not all of one class."""
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    return rows.join(mixed.filter("low < high").select("bucket"), "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -341,14 +406,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = by_block.cogroup(facts(chosen).groupBy("block")).applyInArrow(_sign(n_docs), _SIGNED)
     signed = store(signed, "signatures")
     members = signed.select(F.col("doc").alias("node"), F.posexplode("bands").alias("band", "value"))
-    members = members.select("node", F.xxhash64("band", "value").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    members = store(members.join(shared, "bucket").select("bucket", "node"), "bands")
+    members = members.select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = store(members.join(shared, "bucket").select("bucket", "band", "node", "size"), "bands")
     candidates = members.select(F.col("node").alias("doc")).distinct().withColumn("candidate", F.lit(True))
     wanted = chosen.join(candidates, "doc", "left").withColumn("candidate", F.coalesce("candidate", F.lit(False)))
     weighed = by_block.cogroup(facts(wanted).groupBy("block")).applyInArrow(_weigh(n_docs), _WEIGHED)
-    links = near_links(members, signed, store(weighed, "weights"))
-
-    found = classes(members.select("node").distinct(), links).withColumnRenamed("node", "same_text")
-    found = named.join(found, "same_text", "left")
+    weighed = store(weighed, "weights")
+    links = store(cell_links(members.filter(F.col("size") > LARGE_BUCKET), signed, weighed), "similar")
+    state = store(members.select("node").distinct().withColumn("class", F.col("node")), "classes")
+    state = classes(state, links)
+    rest = members.filter(F.col("size") <= LARGE_BUCKET).select("bucket", "node")
+    _, found = near_links(rest, state, links, signed, weighed)
+    found = named.join(found.withColumnRenamed("node", "same_text"), "same_text", "left")
     return found.select(F.col("doc").alias("doc_id"), "same_text", F.coalesce("class", "same_text").alias("class_id"))

@@ -483,3 +483,30 @@ def test_rules_odd_rows(odd, empty):
     expected = Counter((row[0], brute.rules(row[1])[0]) for row in ROWS)
     assert Counter((row["doc_id"], row["n_words"]) for row in rows) == expected
     assert judge(empty).count() == 0
+
+
+def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
+    """A family of copies with many edits: classes are those of all pairs that are similar."""
+    from podlens.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "LARGE_BUCKET", 4)
+    monkeypatch.setattr(near_dedup, "CHUNK", 20)
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for at in rng.integers(0, 100, rng.integers(0, 6)):
+            words[at] = f"e{i}-{at}"
+        rows.append((i, " ".join(words)))
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = [brute.shingles(text) for _, text in rows]
+    root = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            likeness = sum((own[i] & own[j]).values()) / sum((own[i] | own[j]).values())
+            assert abs(likeness - 0.8) < 0.02 or likeness < 0.8 or found[i] == found[j]
+            if likeness >= 0.78:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert all(root[i] == root[found[i]] for i in range(80))
