@@ -310,10 +310,15 @@ def cell_links(members: DataFrame, signed: DataFrame, weighed: DataFrame) -> Dat
 def classes(state: DataFrame, links: DataFrame) -> DataFrame:
     """The smallest class reachable over ``links`` (a, b) from each node of ``state`` (node, class).
 
-    Each round gives every node the smallest class among its own and its neighbours', and then the
-    class of that class, so that long chains take few rounds. Classes are named by nodes.
+    Classes are named by nodes of theirs, so links between classes are links between nodes. Each round
+    gives every node the smallest class among its own and its neighbours', and then the class of that
+    class, so that members follow their class and long chains take few rounds.
     """
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = links.select("a", "b")
+    for side in "ab":
+        ends = ends.join(state.select(F.col("node").alias(side), F.col("class").alias(f"class_{side}")), side)
+    ends = ends.filter("class_a != class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    both = store(ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "class-links")
     while True:
         seen = both.join(state.select(F.col("node").alias("b"), F.col("class").alias("near")), "b")
         best = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
@@ -357,11 +362,12 @@ def near_links(
         hubs = store(hubs.select("bucket", F.col("node").alias("hub"), F.col("class").alias("hub_class")), "hubs")
         pairs = waiting.join(hubs, "bucket").filter("hub_class != class")
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        links = store(links.unionAll(verified_links(pairs, signed, weighed)), "similar")
+        new = store(verified_links(pairs, signed, weighed), "similar")
+        links = links.unionAll(new)
         # Hubs have met all that wait in their buckets. A bucket stays while the rest has two classes.
         met = hubs.select("bucket", F.col("hub").alias("node"))
         rest = waiting.drop("class").join(met, ["bucket", "node"], "left_anti")
-        state = classes(state, links)
+        state = classes(state, new)
         rest = store(rest.join(state, "node"), "waiting")
         waiting = in_mixed_buckets(rest)
         hubs_at_once *= MORE_HUBS
