@@ -25,12 +25,13 @@ from podlens.llm.arrow_text import Words, covered, slices, text_buffers, windows
 from podlens.llm.blobs import deal, pack, unpack
 from podlens.llm.fm_index import FMIndex
 from podlens.llm.tables import blocked, pieces, prepare, scattered, store, text_bytes
+from podlens.session import small_side
 
 WINDOW, GRAM = 13, 8
 HASH_BITS = 48
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 SHARD_STRETCHES = 30_000
-# A route with more stretches than this is split into single windows, which are unique.
+# A route with more stretches than this is split into single windows, which are unique, and asked for so.
 ROUTE_STRETCHES = 10_000
 
 _ASK = "block int, bucket int, n int, hashes binary, repeated binary"
@@ -261,20 +262,39 @@ def repeated_stretches(
     return store(found, "stretches")
 
 
-def indexed_matches(stretches: DataFrame, window: int = WINDOW, route_limit: int = ROUTE_STRETCHES) -> DataFrame:
-    """For each distinct stretch the hashes of its windows and the smallest document id that holds each."""
-    distinct = stretches.groupBy("words", "route").agg(F.min("first_doc").alias("first_doc"))
-    distinct = store(distinct, "distinct-stretches")
-    # Stretches on a crowded route meet window by window instead: the window itself is the route.
+def crowded_routes(distinct: DataFrame, route_limit: int) -> DataFrame:
+    """``route``, ``crowded``: routes with more stretches than the limit, which meet window by window."""
     crowded = distinct.groupBy("route").count().filter(F.col("count") > route_limit).select("route")
-    crowded = store(crowded, "crowded-routes").withColumn("crowded", F.lit(True))
-    ways = distinct.join(crowded, "route", "left")
+    return small_side(store(crowded, "crowded-routes")).withColumn("crowded", F.lit(True))
+
+
+def search_parts(stretches: DataFrame, crowded: DataFrame, window: int) -> DataFrame:
+    """The stretches as they are searched: whole, or window by window (``single``) on a crowded route."""
     length = (F.octet_length("words") / 8).cast("int")
     places = F.when(F.col("crowded"), F.sequence(F.lit(0), length - window)).otherwise(F.array(F.lit(-1)))
-    ways = ways.select("words", "route", "first_doc", F.explode(places).alias("at"))
+    ways = stretches.join(crowded, "route", "left").withColumn("at", F.explode(places))
     single = F.col("at") >= 0
     part = F.when(single, F.expr(f"substring(words, at * 8 + 1, {8 * window})")).otherwise(F.col("words"))
-    ways = ways.select(part.alias("words"), "route", "first_doc", single.alias("single"))
+    return ways.withColumns({"single": single, "words": part}).drop("at", "crowded")
+
+
+def indexed_matches(stretches: DataFrame, window: int = WINDOW, route_limit: int = ROUTE_STRETCHES) -> DataFrame:
+    """For each distinct stretch the hashes of its windows and the smallest document id that holds each.
+
+    Stretches of crowded routes are keyed by their single windows: ask with ``search_parts``.
+    """
+    return _indexed(*_routed(stretches, route_limit), window)
+
+
+def _routed(stretches: DataFrame, route_limit: int) -> tuple[DataFrame, DataFrame]:
+    distinct = stretches.groupBy("words", "route").agg(F.min("first_doc").alias("first_doc"))
+    distinct = store(distinct, "distinct-stretches")
+    return distinct, crowded_routes(distinct, route_limit)
+
+
+def _indexed(distinct: DataFrame, crowded: DataFrame, window: int) -> DataFrame:
+    ways = search_parts(distinct, crowded, window)
+    # Stretches on a crowded route meet window by window instead: the window itself is the route.
     windows_of = ways.filter("single").groupBy("words").agg(F.min("first_doc").alias("first_doc"))
     whole = ways.filter("not single").select("words", "first_doc", "route")
     routed = whole.unionAll(windows_of.select("words", "first_doc", F.xxhash64("words").alias("route")))
@@ -284,7 +304,11 @@ def indexed_matches(stretches: DataFrame, window: int = WINDOW, route_limit: int
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), join_all: bool = True
+    docs: DataFrame,
+    window: int = WINDOW,
+    carry: tuple[str, ...] = (),
+    join_all: bool = True,
+    route_limit: int = ROUTE_STRETCHES,
 ) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a document with a smaller id.
 
@@ -308,8 +332,12 @@ def remove_repeats(
 
     copies = later_copies(table)
     stretches = repeated_stretches(table, copies, n_bytes, window)
-    found = indexed_matches(stretches, window)
-    wanted = stretches.select("block", F.unhex(F.md5("words")).alias("stretch"))
+    distinct, crowded = _routed(stretches, route_limit)
+    found = _indexed(distinct, crowded, window)
+    asked = search_parts(stretches, crowded, window).select("block", "words", "single")
+    # Stretches of a block differ, but may share windows.
+    asked = asked.filter("not single").unionAll(asked.filter("single").distinct())
+    wanted = asked.select("block", F.unhex(F.md5("words")).alias("stretch"))
     known = wanted.join(found, "stretch").select("block", "hashes", "docs")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
     schema += "".join(f", carried_{name} {t.simpleString()}" for name, t in kinds.items())

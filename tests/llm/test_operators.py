@@ -240,6 +240,23 @@ def test_crowded_routes_are_split(spark):
     assert len(result(10)) > 100
 
 
+def test_repeats_on_crowded_routes_are_removed(spark):
+    """A phrase in many surroundings crowds its route; longer repeats across it still go."""
+    rng = np.random.default_rng(2)
+    phrase = "a b c d e f g h".split()
+    rows = []
+    for i in range(40):
+        left, right = rng.integers(0, 6, 9), rng.integers(0, 6, 9)
+        rows.append((i, " ".join([*(f"l{x}" for x in left), *phrase, *(f"r{x}" for x in right)])))
+    rows += [(100 + i, f"own{i} {text} end{i}") for i, text in rows[:30]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {doc_id: kept for (doc_id, _), kept in zip(rows, brute.repeats(rows))}
+    assert sum(map(len, expected.values())) < sum(len(brute.words(text)) for _, text in rows) - 500
+    for limit in (1, 10_000):
+        found = remove_repeats(frame, route_limit=limit).collect()
+        assert {row["doc_id"]: brute.words(row["kept"]) for row in found} == expected
+
+
 # --- language model
 
 
