@@ -1,5 +1,7 @@
 import hashlib
 import math
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ from brute import ROWS, SF
 from oracle import connect, differences
 from podlens.llm import queries
 from podlens.llm.fingerprints import edited_fingerprints, fingerprints
-from podlens.llm.license_scan import KNOWN_LICENSES, known_licenses, scan_licenses
+from podlens.llm.license_scan import KNOWN_LICENSES, known_licenses, license_texts, scan_licenses
 from podlens.llm.lm_scoring import score_texts
 from podlens.llm.mixing import balance, mix, source_targets
 from podlens.llm.near_dedup import near_duplicates
@@ -411,6 +413,31 @@ def test_equivalent_licence_texts(spark):
     assert found[5]["line_licenses"] == ["Apache-2.0-notice"]
 
 
+def test_licence_files_as_they_come(spark):
+    """Texts wrapped anywhere, with titles and copyright lines, and cut before the appendix."""
+    texts = dict(license_texts()[::-1]) | {name: KNOWN_LICENSES[name] for name in ("MIT", "ISC")}
+    heads = {
+        "MIT": ["MIT License", "The MIT License (MIT)"],
+        "ISC": ["ISC License", "ISC License (ISC)"],
+        "BSD-3-Clause": ["BSD 3-Clause License"],
+    }
+    rows, expected = [], []
+    for name, text in texts.items():
+        blocks = [" ".join(block.split()) for block in re.split(r"\n\s*\n", text)]
+        for width in (60, 79):
+            wrapped = "\n\n".join(textwrap.fill(block, width) for block in blocks) if name in heads else text
+            for head in heads.get(name, [""]):
+                rows.append(f"{head}\n\nCopyright (c) 2004-2010 by Some One\nCopyright Some One 2020\n\n{wrapped}")
+                expected.append(name)
+    isc = KNOWN_LICENSES["ISC"].replace("above copyright", "above\ncopyright")
+    rows += [isc, texts["Apache-2.0"].split("END OF TERMS")[0], texts["MIT"] + " And more.", "MIT License"]
+    expected += ["ISC", "Apache-2.0", None, None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {row["doc_id"]: row["license_id"] for row in scan_licenses(frame, known_licenses(spark)).collect()}
+    assert [found[i] for i in range(len(rows))] == expected
+    assert {"Apache-2.0", "BSD-2-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"} < set(expected)
+
+
 def test_licences_odd_rows(spark, odd, empty):
     rows = scan_licenses(odd, known_licenses(spark).withColumn("digest", F.lit(1))).collect()
     assert ids(rows) == ODD_IDS
