@@ -6,8 +6,10 @@ probability is half its own estimate and half the product of its children's. The
 probability mixes the estimates of all depths on a text's path by these weights.
 
 1. Blocks of documents send the buckets their distinct pairs of context and byte, with training counts.
-   Contexts are dealt by their last two bytes, so a bucket holds whole subtrees from depth 2 on.
-2. Buckets weigh their subtrees; what depths 0 and 1 need (at most 256 x 255 nodes) is summed over all.
+   Contexts are dealt by their last two bytes, so a bucket holds whole subtrees from depth 2 on. Crowded
+   buckets are dealt once more, by the last three bytes, and hold subtrees from depth 3 on.
+2. Buckets weigh their subtrees, a few at a time; what depths 0 and 1 need (at most 256 x 255 nodes), and
+   depth 2 in crowded buckets, is summed over all.
 3. Buckets answer each block with the log probability of each of its pairs, and the blocks add them up.
 
 A word unigram model with the same training documents is counted in the same exchange, as a baseline.
@@ -27,13 +29,18 @@ from podlens.llm.tables import blocked, pieces, prepare, scattered, store, text_
 DEPTH = 6
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 SLICE = 1 << 20
+# Buckets with more keys than this, over all blocks, are dealt once more, by the last three bytes.
+BUCKET_KEYS = 4_000_000
+# Subtrees are weighed so many distinct keys at a time, and keys of blocks merged so many at a time.
+TREE_KEYS, MERGE_KEYS = 400_000, 4_000_000
 END = 10
 
 _ASK = "kind string, block int, bucket int, n int, keys binary, counts binary"
-_NODES = "last int, prefix int, zeros long, ones long, weighted double"
-_ANSWER = "block int, kind string, bucket int, n int, values binary, distinct long, total long"
+_NODES = "depth int, context int, prefix int, zeros long, ones long, weighted double"
+_DEALT = f"{_ASK}, sub int"
+_ANSWER = "block int, kind string, bucket int, sub int, n int, values binary, distinct long, total long"
 _TYPES = {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "s": pa.string(), "d": pa.float64()}
-_ANSWER_NAMES = ["block", "kind", "bucket", "n", "values", "distinct", "total"]
+_ANSWER_NAMES = ["block", "kind", "bucket", "sub", "n", "values", "distinct", "total"]
 
 
 def _table(rows: list[tuple], names: list[str], kinds: str) -> pa.Table:
@@ -131,6 +138,33 @@ def _dealt(kind: str, keys: np.ndarray, n: int):
             yield k, order[a:b]
 
 
+def _parts(keys: np.ndarray, n: int):
+    """For each part of a crowded bucket the places of its keys, in order; contexts go by their last three bytes."""
+    part = (mix(keys >> np.uint64(8 * (DEPTH - 2)), 22) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(n + 1))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            yield k, order[a:b]
+
+
+def _deal_again(crowded: dict[int, int]):
+    """Rows of crowded buckets, split into as many parts as are given for each."""
+
+    def deal_again(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, counts = unpack(row["keys"], row["n"]), unpack_plain(row["counts"], row["n"], np.int64)
+                rows = [
+                    ("context", row["block"], row["bucket"], len(at), pack(keys[at]), pack_plain(counts[at]), sub)
+                    for sub, at in _parts(keys, crowded[row["bucket"]])
+                ]
+                names = ["kind", "block", "bucket", "n", "keys", "counts", "sub"]
+                yield from _table(rows, names, "siiibbi").to_batches()
+
+    return deal_again
+
+
 def _ask(n_buckets: int):
     def ask(key, table):
         rows = []
@@ -168,19 +202,19 @@ def weigh(estimate: np.ndarray, children: np.ndarray) -> np.ndarray:
 
 
 class Subtrees:
-    """The context trees of some pairs, from DEPTH up to depth 2, and the mix of their estimates there.
+    """The context trees of some pairs, from DEPTH up to depth ``top``, and the mix of their estimates there.
 
     Arrays have a row for each bit of a byte and a column for each pair.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int):
         byte = (keys & np.uint64(255)).astype(np.int64)
         bits = np.arange(8)[:, None]
         self.prefix = (1 << bits) | (byte >> (8 - bits))
         self.bit = (byte >> (7 - bits)) & 1
         context = keys >> np.uint64(8)
         below = None
-        for depth in range(DEPTH, 1, -1):
+        for depth in range(DEPTH, top - 1, -1):
             node = ((context >> np.uint64(8 * (DEPTH - depth))) << np.uint64(8)) | self.prefix.astype(np.uint64)
             every, first, inverse = np.unique(node, return_index=True, return_inverse=True)
             inverse = inverse.reshape(node.shape)
@@ -200,37 +234,75 @@ class Subtrees:
         self.nodes, self.zeros, self.ones, self.weighted = every, zeros, ones, weighted
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
-    """In a bucket: distinct keys, their counts over all blocks, and where each asked key is among them."""
-    rows = table.to_pylist()
-    asked = [unpack(row["keys"], row["n"]) for row in rows]
-    counts = [unpack_plain(row["counts"], row["n"], np.int64) for row in rows]
-    keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts), len(keys)).astype(np.int64)
-    return keys, total, inverse, rows
-
-
-def _upper_nodes(table):
-    """Of a bucket's depth 2 nodes the sums by last byte and bit prefix."""
-    keys, counts, _, _ = _gathered(table)
-    trees = Subtrees(keys, counts)
-    upper = (trees.nodes >> np.uint64(16) << np.uint64(8)) | (trees.nodes & np.uint64(255))
-    every, inverse = np.unique(upper, return_inverse=True)
-    sums = [np.bincount(inverse, values, len(every)) for values in (trees.zeros, trees.ones, trees.weighted)]
-    last, prefix = (every >> np.uint64(8)).astype(np.int32), (every & np.uint64(255)).astype(np.int32)
-    columns = [last, prefix, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2]]
-    return pa.table([pa.array(c) for c in columns], names=["last", "prefix", "zeros", "ones", "weighted"])
+def _subtrees(keys: np.ndarray, counts: np.ndarray, top: int):
+    """Subtrees from depth ``top`` on, a few at a time, and the places of their keys."""
+    context = keys >> np.uint64(8 * (DEPTH - top + 1))
+    starts = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(keys))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + TREE_KEYS, side="right")))
+        a, b = int(starts[first]), int(ends[last - 1])
+        yield a, b, Subtrees(keys[a:b], counts[a:b], top)
+        first = last
+
+
+def _gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """In a bucket: distinct keys, in order, and their counts over all blocks."""
+    parts, held = [], 0
+    for row in rows:
+        parts.append((unpack(row["keys"], row["n"]), unpack_plain(row["counts"], row["n"], np.int64)))
+        held += row["n"]
+        if held > MERGE_KEYS + len(parts[0][0]):
+            parts = [_counted(parts)]
+            held = len(parts[0][0])
+    return _counted(parts)
+
+
+def _upper_nodes(crowded: dict[int, int]):
+    """Of a bucket's depth 2 nodes the sums by last byte and bit prefix; if crowded, of depth 3 by last two bytes."""
+
+    def upper_nodes(key, table):
+        top = 3 if key[0].as_py() in crowded else 2
+        parts = []
+        for _, _, trees in _subtrees(*_gathered(table.to_pylist()), top):
+            upper = (trees.nodes >> np.uint64(16) << np.uint64(8)) | (trees.nodes & np.uint64(255))
+            every, inverse = np.unique(upper, return_inverse=True)
+            sums = [np.bincount(inverse, v, len(every)) for v in (trees.zeros, trees.ones, trees.weighted)]
+            parts.append((every, *sums))
+        upper, zeros, ones, weighted = (np.concatenate(column) for column in zip(*parts))
+        every, inverse = np.unique(upper, return_inverse=True)
+        zeros, ones, weighted = (np.bincount(inverse, v, len(every)) for v in (zeros, ones, weighted))
+        context, prefix = (every >> np.uint64(8)).astype(np.int32), (every & np.uint64(255)).astype(np.int32)
+        depth = np.full(len(every), top - 1, np.int32)
+        columns = [depth, context, prefix, zeros.astype(np.int64), ones.astype(np.int64), weighted]
+        names = ["depth", "context", "prefix", "zeros", "ones", "weighted"]
+        return pa.table([pa.array(c) for c in columns], names=names)
+
+    return upper_nodes
 
 
 class UpperLevels:
-    """Estimates and weights of depths 0 and 1, by last byte and bit prefix."""
+    """Estimates and weights of depths 0 and 1, by last byte and bit prefix, and of depth 2 in crowded buckets."""
 
     def __init__(self, rows):
         shape = (256, 256)
         zeros, ones, below = np.zeros(shape), np.zeros(shape), np.zeros(shape)
         for row in rows:
-            at = row["last"], row["prefix"]
-            zeros[at], ones[at], below[at] = row["zeros"], row["ones"], row["weighted"]
+            if row["depth"] == 1:
+                at = row["context"], row["prefix"]
+                zeros[at], ones[at], below[at] = row["zeros"], row["ones"], row["weighted"]
+        crowded = [row for row in rows if row["depth"] == 2]
+        pairs = sorted((r["context"] << 8 | r["prefix"], r["zeros"], r["ones"], r["weighted"]) for r in crowded)
+        pairs = np.array(pairs, float).reshape(-1, 4)
+        self.pairs = pairs[:, 0].astype(np.int64)
+        estimate = log_kt(pairs[:, 1], pairs[:, 2])
+        weighted = weigh(estimate, pairs[:, 3])
+        self.pair_ones = (pairs[:, 2] + 0.5) / (pairs[:, 1] + pairs[:, 2] + 1)
+        self.pair_share = np.exp(estimate - np.log(2) - weighted)
+        at = self.pairs >> 16, self.pairs & 255
+        for sums, values in ((zeros, pairs[:, 1]), (ones, pairs[:, 2]), (below, weighted)):
+            np.add.at(sums, at, values)
         estimate = log_kt(zeros, ones)
         weighted = weigh(estimate, below)
         self.ones = (ones + 0.5) / (zeros + ones + 1)
@@ -240,42 +312,54 @@ class UpperLevels:
         self.top_ones = (ones + 0.5) / (zeros + ones + 1)
         self.top_share = np.exp(estimate - np.log(2) - weigh(estimate, below))
 
-    def log10(self, trees: Subtrees, keys: np.ndarray) -> np.ndarray:
+    def log10(self, trees: Subtrees, keys: np.ndarray, top: int) -> np.ndarray:
         """Log10 probability of each pair's byte after its context."""
+        below = trees.mixed
+        if top == 3:
+            pair = (keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
+            at = np.searchsorted(self.pairs, pair << 8 | trees.prefix)
+            own = np.where(trees.bit, self.pair_ones[at], 1 - self.pair_ones[at])
+            below = self.pair_share[at] * own + (1 - self.pair_share[at]) * below
         last = np.broadcast_to((keys >> np.uint64(8 * DEPTH)).astype(np.int64), trees.prefix.shape)
         at = last, trees.prefix
         own = np.where(trees.bit, self.ones[at], 1 - self.ones[at])
-        mixed = self.share[at] * own + (1 - self.share[at]) * trees.mixed
+        mixed = self.share[at] * own + (1 - self.share[at]) * below
         top = np.where(trees.bit, self.top_ones[trees.prefix], 1 - self.top_ones[trees.prefix])
         share = self.top_share[trees.prefix]
         return np.log10(share * top + (1 - share) * mixed).sum(axis=0)
 
 
-def _answer(levels: UpperLevels):
+def _answer(levels: UpperLevels, crowded: dict[int, int]):
     def answer(key, table):
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        keys, counts, inverse, rows = _gathered(table)
+        kind, bucket, sub = (part.as_py() for part in key)
+        rows = table.to_pylist()
+        keys, counts = _gathered(rows)
+        values = counts
         if kind == "context":
-            values = levels.log10(Subtrees(keys, counts), keys).astype(np.float32)[inverse]
-        else:
-            values = counts[inverse]
+            top = 3 if bucket in crowded else 2
+            trees = _subtrees(keys, counts, top)
+            found = [levels.log10(tree, keys[a:b], top).astype(np.float32) for a, b, tree in trees]
+            values = np.concatenate(found) if found else np.zeros(0, np.float32)
         # Block -1: what the model as a whole needs.
-        out, first = [(-1, kind, bucket, 0, b"", int((counts > 0).sum()), int(counts.sum()))], 0
+        out = [(-1, kind, bucket, sub, 0, b"", int((counts > 0).sum()), int(counts.sum()))]
         for row in rows:
-            own = pack_plain(values[first : first + row["n"]])
-            out.append((row["block"], kind, bucket, row["n"], own, 0, 0))
-            first += row["n"]
-        return _table(out, _ANSWER_NAMES, "isiibll")
+            own = pack_plain(values[np.searchsorted(keys, unpack(row["keys"], row["n"]))])
+            out.append((row["block"], kind, bucket, sub, row["n"], own, 0, 0))
+        return _table(out, _ANSWER_NAMES, "isiiibll")
 
     return answer
 
 
-def _answered(kind: str, keys: np.ndarray, rows: list[dict], n_buckets: int, dtype) -> np.ndarray:
+def _answered(
+    kind: str, keys: np.ndarray, rows: list[dict], n_buckets: int, dtype, crowded: dict[int, int]
+) -> np.ndarray:
     """The answers for all keys of a block, in order of the keys."""
     values = np.zeros(len(keys), dtype)
-    by_bucket = {row["bucket"]: row for row in rows if row["kind"] == kind}
+    found = {(row["bucket"], row["sub"]): row for row in rows if row["kind"] == kind}
     for bucket, at in _dealt(kind, keys, n_buckets):
-        values[at] = unpack_plain(by_bucket[bucket]["values"], len(at), dtype)
+        whole = kind != "context" or bucket not in crowded
+        for sub, own in [(0, slice(None))] if whole else _parts(keys[at], crowded[bucket]):
+            values[at[own]] = unpack_plain(found[bucket, sub]["values"], len(at[own]), dtype)
     return values
 
 
@@ -298,12 +382,13 @@ class Lookup:
         return place
 
 
-def _score(n_buckets: int, train_tokens: int, n_distinct: int, end_count: int):
+def _score(n_buckets: int, crowded: dict[int, int], train_tokens: int, n_distinct: int, end_count: int):
     def score(key, docs, answers):
         rows = answers.to_pylist()
         found = block_keys(docs)
-        log_probability = _answered("context", found["context"][0], rows, n_buckets, np.float32).astype(np.float64)
-        counts = _answered("word", found["word"][0], rows, n_buckets, np.int64)
+        log_probability = _answered("context", found["context"][0], rows, n_buckets, np.float32, crowded)
+        counts = _answered("word", found["word"][0], rows, n_buckets, np.int64, crowded)
+        log_probability = log_probability.astype(np.float64)
         contexts, words = Lookup(found["context"][0]), Lookup(found["word"][0])
         denominator = train_tokens + 0.5 * (n_distinct + 1)
         word_scores = np.log10((counts + 0.5) / denominator)
@@ -344,18 +429,29 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     table = blocked(docs, ["doc_id", "text", flag.alias("held_out")], scattered(spread, n_blocks), n_blocks)
     by_block = table.groupBy("block")
     asked = store(by_block.applyInArrow(_ask(n_buckets), _ASK), "contexts")
-    upper = asked.filter("kind = 'context'").groupBy("bucket").applyInArrow(_upper_nodes, _NODES)
-    # At most 256 x 255 rows.
-    upper = upper.groupBy("last", "prefix").agg(*[F.sum(name).alias(name) for name in ("zeros", "ones", "weighted")])
+    sizes = asked.filter("kind = 'context'").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # One row for each crowded bucket, of which there is at most one for BUCKET_KEYS keys.
+    sizes = sizes.filter(F.col("n") > BUCKET_KEYS).collect()
+    crowded = {row["bucket"]: -(-row["n"] // BUCKET_KEYS) for row in sizes}
+    if crowded:
+        again = (F.col("kind") == "context") & F.col("bucket").isin(list(crowded))
+        split = asked.filter(again).mapInArrow(_deal_again(crowded), _DEALT)
+        asked = asked.filter(~again).withColumn("sub", F.lit(0)).unionByName(store(split, "crowded-contexts"))
+    else:
+        asked = asked.withColumn("sub", F.lit(0))
+    by_part = asked.filter("kind = 'context'").groupBy("bucket", "sub")
+    upper = by_part.applyInArrow(_upper_nodes(crowded), _NODES)
+    # At most 256 x 255 rows, and as many for each 256 pairs in crowded buckets.
+    upper = upper.groupBy("depth", "context", "prefix").agg(*[F.sum(name).alias(name) for name in ("zeros", "ones", "weighted")])
     levels = UpperLevels(upper.collect())
-    answers = store(asked.groupBy("kind", "bucket").applyInArrow(_answer(levels), _ANSWER), "answers")
+    answers = store(asked.groupBy("kind", "bucket", "sub").applyInArrow(_answer(levels, crowded), _ANSWER), "answers")
     end_count = table.filter("not held_out").count()
     model = answers.filter("block = -1 and kind = 'word'").agg(F.sum("total"), F.sum("distinct")).first()
     train_tokens = (model[0] or 0) + end_count
     n_distinct = (model[1] or 0) + (end_count > 0)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    own = answers.filter("block >= 0").select("block", "kind", "bucket", "values")
+    own = answers.filter("block >= 0").select("block", "kind", "bucket", "sub", "values")
     scored = by_block.cogroup(own.groupBy("block")).applyInArrow(
-        _score(n_buckets, train_tokens, n_distinct, end_count), schema
+        _score(n_buckets, crowded, train_tokens, n_distinct, end_count), schema
     )
     return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long"))

@@ -324,6 +324,32 @@ def test_scores_equal_plain_context_trees(spark):
         assert found[doc_id]["score"] == pytest.approx(brute_ctw(streams[:4], streams[doc_id], lm_scoring.DEPTH), rel=1e-5)
 
 
+def test_crowded_contexts_are_dealt_again(spark, monkeypatch):
+    """No part of a frequent pair holds more than its share, and the scores stay those of plain trees."""
+    from podlens.llm import lm_scoring
+
+    sizes = []
+    gathered = lm_scoring.UpperLevels
+
+    def levels(rows):
+        sizes.append(sum(row["depth"] == 2 for row in rows))
+        return gathered(rows)
+
+    monkeypatch.setattr(lm_scoring, "UpperLevels", levels)
+    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", 20)
+    rows = [(i, text) for i, text in enumerate(["The cat sat", "the  hat\n", "then the heath", None, "A cat that sat there"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in score_texts(frame, F.col("doc_id") >= 4).collect()}
+    streams = [(" ".join(brute.words(brute.lowered(text))) + "\n").encode() for _, text in rows]
+    for doc_id, _ in rows:
+        assert found[doc_id]["score"] == pytest.approx(brute_ctw(streams[:4], streams[doc_id], lm_scoring.DEPTH), rel=1e-5)
+    assert sizes[0] > 0
+    keys = np.sort(np.arange(60000, dtype=np.uint64) * np.uint64(7919) % np.uint64(2**20) << np.uint64(30))
+    parts = dict(lm_scoring._parts(keys, 5))
+    assert sorted(np.concatenate(list(parts.values()))) == list(range(60000))
+    assert max(map(len, parts.values())) < 20000
+
+
 def test_scores(spark, texts):
     rows = {row["doc_id"]: row for row in queries.op6_context_tree_weighting(spark, SF).collect()}
     held_out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
