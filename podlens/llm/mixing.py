@@ -2,9 +2,11 @@
 
 Of all rates that meet the token targets, entropy balancing takes those closest (in relative entropy)
 to taking every document once. They have the form exp(sum of one multiplier for each of a document's
-constraint groups). The multipliers solve a convex dual problem by Newton steps; every step is an
-aggregate over Spark tables, and the multipliers stay in a table. The rates are then rounded to whole
-copies, in an order drawn from a hash, so that each group's tokens come out at their target.
+constraint groups). The multipliers solve a convex dual problem by Newton steps, and stay in a table. With
+one family of groups, as in the query (sources), the dual separates: sizes are summed once by group, and
+the steps run on that sum, in one row for each group, to log(target / size). Several families take turns,
+with sums over Spark tables for each turn; no query has that, but a test. The rates are then rounded to
+whole copies, in an order drawn from a hash, so that each group's tokens come out at their target.
 """
 
 from __future__ import annotations
