@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podlens.llm.alignment import align
 from podlens.llm.fingerprints import edited_fingerprints
 from podlens.llm.license_scan import known_licenses, scan_licenses
 from podlens.llm.lm_scoring import score_texts
+from podlens.llm.merkle import verified_rows
 from podlens.llm.mixing import mix
 from podlens.llm.near_dedup import near_duplicates
 from podlens.llm.packing import packed_pieces
 from podlens.llm.quality_rules import judge
+from podlens.llm.secret_ledger import secret_spans
 from podlens.llm.sharding import shard_documents
 from podlens.llm.site_quality import classify
 from podlens.llm.substring_dedup import remove_repeats
@@ -85,3 +88,21 @@ def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return score_texts(documents(spark, sf_dir), held_out)
+
+
+@register
+def op11_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return align(documents(spark, sf_dir), *paths, public_tokenizers.PATTERN)
+
+
+@register
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_rows(documents(spark, sf_dir))
+
+
+@register
+def op13_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir))
