@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +29,16 @@ BLOCK_BYTES = 4 << 20
 # Pairs that are spread out at once; a larger group is reduced to its distinct ids first.
 PAIRS_AT_ONCE = 4 << 20
 # From this lead byte on (U+0540) the Unicode tables of the two byte-level encoders may differ.
-FAR_LEAD = 0xD5
-PAIR_BITS = 32
+FAR = re.compile(rb"[\xd5-\xff]")
+# White space beside a space, or at an end.
+CLOSE = re.compile(r"\s |^\s| \s|\s$")
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+PLAIN = re.compile(r"\S(.*\S)?\Z", re.S)
+HELD_SEGMENTS, HELD_LENGTH, LEARN_AT_ONCE = 400_000, 64, 512
+# Up to this many places around a middle are probed for all intervals at once; few are longer.
+RING_COLUMNS = 64
+# Bits of an id in a pair; 2 ** 16 documents of a batch fit before two of them.
+PAIR_BITS = 20
 
 _BLOCK = (
     "block long, doc_id array<{id}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
@@ -69,11 +78,18 @@ class TokenizerPair:
         self.near = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = SentencePieceProcessor(model_file=piece_model)
         self.b_bytes = [self._piece(i) for i in range(self.pieces.get_piece_size())]
+        # Merges stay within a part of a text if no piece holds a space behind anything else.
+        self.by_space = not any(b" " in raw.lstrip(b" ") for raw in self.b_bytes)
+        self.held: dict[str, tuple[bytes, bytes, bool]] = {}
         self.a_lengths = np.array([len(raw) for raw in self.a_bytes], np.int64)
         self.b_lengths = np.array([len(raw) for raw in self.b_bytes], np.int64)
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << PAIR_BITS:
+            raise ValueError(f"a vocabulary has ids beyond {PAIR_BITS} bits")
         digits = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
-        self.digits = np.array(digits, f"S{len(digits[-1]) + 1}").view(np.uint8).reshape(len(digits), -1).copy()
+        # Up to seven digits and a sign behind them, in eight bytes.
+        self.digits = np.array(digits, "S8").view("<u8").copy()
         self.n_digits = np.array([len(raw) for raw in digits], np.int64)
+        self.shown = np.tri(9, 8, dtype=bool)
 
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
@@ -81,22 +97,63 @@ class TokenizerPair:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, raws: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by A and by B; both empty where a text is empty or its tokens do not give its bytes back."""
-        texts = [raw.decode() for raw in raws]
-        far = [bool(raw) and max(raw) >= FAR_LEAD for raw in raws]
-        first = [[] if beyond or not text else self.near.encode_ordinary(" " + text) for text, beyond in zip(texts, far)]
-        beyond = [i for i, flag in enumerate(far) if flag]
-        found = self.whole.encode_batch_fast([" " + texts[i] for i in beyond], add_special_tokens=False)
-        for i, encoding in zip(beyond, found):
-            first[i] = encoding.ids
-        second = self.pieces.encode(texts, num_threads=1)
-        for i, raw in enumerate(raws):
-            whole = b" " + raw
-            same = b"".join(map(self.a_bytes.__getitem__, first[i])) == whole
-            if not raw or not same or b"".join(map(self.b_bytes.__getitem__, second[i])) != whole:
-                first[i], second[i] = [], []
-        return first, second
+    def _first(self, text: str) -> np.ndarray:
+        if FAR.search(text.encode()):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.near.encode_ordinary(text), "<u4")
+
+    def _one(self, text: str) -> tuple[bytes, bytes, bool]:
+        second = self.pieces.encode(text)
+        same = b"".join(map(self.b_bytes.__getitem__, second)) == b" " + text.encode()
+        return self._first(" " + text).tobytes(), np.array(second, "<u4").tobytes(), same
+
+    def _learn(self, segments: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Ids of segments (each behind a space) as bytes of 32-bit numbers, and whether B gives their bytes back.
+
+        They are encoded as one text and cut where each ends.
+        """
+        joined = " " + " ".join(segments)
+        raw = joined.encode()
+        ends = np.cumsum([len(text.encode()) + 1 for text in segments])
+        first, second = self._first(joined), np.array(self.pieces.encode(joined[1:]), "<u4")
+        cuts = []
+        for ids, lengths in ((first, self.a_lengths), (second, self.b_lengths)):
+            reached = np.cumsum(lengths[ids])
+            at = np.minimum(np.searchsorted(reached, ends), len(reached) - 1)
+            if not np.array_equal(reached[at], ends):
+                return {text: self._one(text) for text in segments}
+            cuts.append([0, *(4 * (at + 1)).tolist()])
+        if b"".join(map(self.b_bytes.__getitem__, second.tolist())) != raw:
+            return {text: self._one(text) for text in segments}
+        a, b = first.tobytes(), second.tobytes()
+        spans = zip(*[zip(own, own[1:]) for own in cuts])
+        return {text: (a[i:j], b[k:l], True) for text, ((i, j), (k, l)) in zip(segments, spans)}
+
+    def _segments(self, text: str) -> list[str]:
+        """Parts behind single spaces. No token of either vocabulary reaches over such a space from its left."""
+        if not self.by_space or "▁" in text:
+            return [text]
+        return BETWEEN.split(text) if CLOSE.search(text) else text.split(" ")
+
+    def encode(self, raws: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids by A and by B, as bytes; both empty where a text is empty or its tokens do not give its bytes back."""
+        split = [self._segments(raw.decode()) if raw else [] for raw in raws]
+        if len(self.held) > HELD_SEGMENTS:
+            self.held.clear()
+        new = set().union(*split).difference(self.held)
+        plain = [text for text in new if len(text) <= HELD_LENGTH and PLAIN.match(text) and "▁" not in text]
+        long = {text: self._one(text) for text in new.difference(plain)}
+        for first in range(0, len(plain), LEARN_AT_ONCE):
+            self.held.update(self._learn(plain[first : first + LEARN_AT_ONCE]))
+        out = []
+        for raw, segments in zip(raws, split):
+            found = [self.held.get(text) or long[text] for text in segments]
+            first, second = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            if not all([x[2] for x in found]):
+                bytes_ = b"".join(map(self.b_bytes.__getitem__, np.frombuffer(second, "<u4").tolist()))
+                first, second = (first, second) if bytes_ == b" " + raw else (b"", b"")
+            out.append((first, second))
+        return out
 
 
 def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
@@ -109,42 +166,60 @@ def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
     while len(low):
         open_ = high > low
         low, high = low[open_], high[open_]
-        middle = (low + high) // 2
-        found = np.full(len(low), -1)
-        waiting, radius = np.arange(len(low)), 0
-        while len(waiting):
-            # Rings of doubling width around the middle: [radius, wider) on either side.
-            wider = 2 * radius + 1
-            left = np.maximum(middle[waiting] - wider + 1, low[waiting])
-            right = np.minimum(middle[waiting] + wider, high[waiting])
-            counts = right - left
-            probe = np.repeat(left, counts) + runs(counts)
-            owner = np.repeat(waiting, counts)
-            at = np.searchsorted(b_ends, a_ends[probe])
-            hit = b_ends[at] == a_ends[probe]
-            probe, owner = probe[hit], owner[hit]
-            # Of several shared ends the one nearest to the middle divides.
-            order = np.lexsort((np.abs(probe - middle[owner]), owner))
-            owner, first = np.unique(owner[order], return_index=True)
-            found[owner] = probe[order][first]
-            done = (found[waiting] >= 0) | ((left == low[waiting]) & (right == high[waiting]))
-            waiting, radius = waiting[~done], wider
+        found = (low + high) // 2
+        probed = a_ends[found]
+        missed = np.flatnonzero(b_ends[np.searchsorted(b_ends, probed)] != probed)
+        found[missed] = _nearest(a_ends, b_ends, low[missed], high[missed])
         split = found >= 0
-        cut[found[split]] = True
-        low, high = np.concatenate([low[split], found[split] + 1]), np.concatenate([found[split], high[split]])
+        low, high, found = low[split], high[split], found[split]
+        cut[found] = True
+        # Halves stay in the order of the text.
+        low = np.stack([low, found + 1], 1).ravel()
+        high = np.stack([found, high], 1).ravel()
     return cut
 
 
+def _nearest(a_ends: np.ndarray, b_ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each interval the shared end nearest to its middle, beside the middle itself, or -1."""
+    middle = (low + high) // 2
+    found = np.full(len(low), -1)
+    waiting, done = np.arange(len(low)), 0
+    while len(waiting):
+        # Rings of doubling width: up to ``reach`` places on either side that were not looked at yet.
+        reach = 2 * done + 1
+        at, own_low, own_high = middle[waiting], low[waiting], high[waiting]
+        steps = np.concatenate([np.arange(-reach, -done), np.arange(done + 1, reach + 1)])
+        steps = steps[np.argsort(np.abs(steps), kind="stable")]
+        if len(steps) <= RING_COLUMNS:
+            probe = at[:, None] + steps
+            inside = (probe >= own_low[:, None]) & (probe < own_high[:, None])
+            ends = a_ends[np.where(inside, probe, at[:, None])]
+            hit = inside & (b_ends[np.searchsorted(b_ends, ends)] == ends)
+            first = hit.argmax(1)
+            better = hit[np.arange(len(at)), first]
+            found[waiting[better]] = probe[better, first[better]]
+        else:
+            for i, place in zip(waiting.tolist(), at.tolist()):
+                probe = place + steps
+                probe = probe[(probe >= low[i]) & (probe < high[i])]
+                ends = a_ends[probe]
+                hit = np.flatnonzero(b_ends[np.searchsorted(b_ends, ends)] == ends)
+                found[i] = probe[hit[0]] if len(hit) else -1
+        exhausted = (at - reach <= own_low) & (at + reach >= own_high - 1)
+        waiting, done = waiting[(found[waiting] < 0) & ~exhausted], reach
+    return found
+
+
 class Alignment:
     """Groups of a batch of texts: their sizes in tokens of A and B, and the document of each."""
 
     def __init__(self, pair: TokenizerPair, raws: list[bytes]):
         self.pair = pair
-        first, second = pair.encode(raws)
-        self.n_a = np.array([len(ids) for ids in first], np.int64)
-        self.n_b = np.array([len(ids) for ids in second], np.int64)
-        self.a = np.array([i for ids in first for i in ids], np.int64)
-        self.b = np.array([i for ids in second for i in ids], np.int64)
+        found = pair.encode(raws)
+        self.n_a = np.array([len(first) // 4 for first, _ in found], np.int64)
+        self.n_b = np.array([len(second) // 4 for _, second in found], np.int64)
+        self.a = np.frombuffer(b"".join([first for first, _ in found]), "<u4").astype(np.int64)
+        self.b = np.frombuffer(b"".join([second for _, second in found]), "<u4").astype(np.int64)
         # Documents lie one after the other, so the end of each is an end of both rows.
         self.a_ends, self.b_ends = np.cumsum(pair.a_lengths[self.a]), np.cumsum(pair.b_lengths[self.b])
         a_cuts = np.flatnonzero(shared_cuts(self.a_ends, self.b_ends))
@@ -169,27 +244,27 @@ class Alignment:
         ids[at_a], ids[at_b] = self.a, self.b
         sign[at_a[self.a_last - 1]] = ord("|")
         sign[at_b[self.b_last - 1]] = ord(";")
-        width, lengths = self.pair.digits.shape[1], self.pair.n_digits[ids]
-        signs = self.pair.digits[ids]
-        signs[np.arange(len(ids)), lengths] = sign
-        flat = signs[np.arange(width) <= lengths[:, None]].tobytes()
+        lengths = self.pair.n_digits[ids]
+        signs = self.pair.digits[ids] | sign.astype(np.uint64) << (8 * lengths).astype(np.uint64)
+        flat = signs.view(np.uint8)[self.pair.shown[lengths].ravel()].tobytes()
         ends = np.concatenate([[0], np.cumsum(lengths + 1)])[np.cumsum(self.n_a + self.n_b)]
         starts = np.concatenate([[0], ends[:-1]])
         return [flat[a : max(a, b - 1)] for a, b in zip(starts.tolist(), ends.tolist())]
 
-    def _pairs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, pair and times of the links of the groups from ``first`` to ``last``."""
+    def _links(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Document and pair of the links of the groups from ``first`` to ``last`` in one number, and their times."""
         a_size, b_size = self.a_size[first:last], self.b_size[first:last]
         a_from, b_from = (self.a_last - self.a_size)[first:last], (self.b_last - self.b_size)[first:last]
+        doc = self.doc[first:last] << 2 * PAIR_BITS
         if last - first == 1 and a_size[0] * b_size[0] > PAIRS_AT_ONCE:
             a, a_times = np.unique(self.a[a_from[0] :][: a_size[0]], return_counts=True)
             b, b_times = np.unique(self.b[b_from[0] :][: b_size[0]], return_counts=True)
-            codes = (a[:, None] << PAIR_BITS | b).ravel()
-            return np.full(len(codes), self.doc[first]), codes, (a_times[:, None] * b_times).ravel()
+            return (doc[0] | a[:, None] << PAIR_BITS | b).ravel(), (a_times[:, None] * b_times).ravel()
         links = a_size * b_size
         nth, width = runs(links), np.repeat(b_size, links)
-        a, b = np.repeat(a_from, links) + nth // width, np.repeat(b_from, links) + nth % width
-        return np.repeat(self.doc[first:last], links), self.a[a] << PAIR_BITS | self.b[b], np.ones(len(a), np.int64)
+        down = nth // width
+        a, b = np.repeat(a_from, links) + down, np.repeat(b_from, links) + nth - down * width
+        return np.repeat(doc, links) | self.a[a] << PAIR_BITS | self.b[b], None
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of each document, by document and pair, with the number of their links."""
@@ -197,21 +272,26 @@ class Alignment:
         before = np.concatenate([[0], np.cumsum(self.a_size * self.b_size)])
         while first < len(self.a_size):
             last = max(first + 1, int(np.searchsorted(before, before[first] + PAIRS_AT_ONCE, "right")) - 1)
-            parts.append(_summed(*self._pairs(first, last)))
+            parts.append(_summed(*self._links(first, last)))
             first = last
-        if len(parts) == 1:
-            return parts[0]
-        empty = np.zeros(0, np.int64)
-        return _summed(*(np.concatenate([empty, *columns]) for columns in zip(*parts))) if parts else (empty,) * 3
-
-
-def _summed(doc: np.ndarray, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((codes, doc))
-    doc, codes = doc[order], codes[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (codes[1:] != codes[:-1])
+        keys, times = parts[0] if len(parts) == 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(parts) > 1:
+            keys, times = _summed(*(np.concatenate(columns) for columns in zip(*parts)))
+        return keys >> 2 * PAIR_BITS, keys & ((1 << 2 * PAIR_BITS) - 1), times
+
+
+def _summed(keys: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    if times is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
-    return doc[first], codes[first], np.add.reduceat(times[order], first) if len(first) else times
+    if times is None:
+        return keys[first], np.diff(first, append=len(keys))
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def _batches(pair: Callable[[], TokenizerPair], batch: pa.RecordBatch) -> Iterator[tuple[int, int, Alignment]]:
