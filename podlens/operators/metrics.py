@@ -99,9 +99,23 @@ def http_upstream_response_time_total(
     return _histogram(present, "upstream_total", options, by)
 
 
+def with_reads(lines: DataFrame, max_bytes: int) -> DataFrame:
+    """Column ``reads``: as how many entries a line is read, as one beyond ``max_bytes`` comes in pieces."""
+    pieces = F.ceil(F.octet_length("value") / F.lit(max_bytes))
+    return lines.withColumn("reads", F.greatest(F.coalesce(pieces, F.lit(1)), F.lit(1)).cast("long"))
+
+
+def _reads(lines: DataFrame) -> Column:
+    """The number of entries read: rows, or the sum of their ``reads`` where lines have them."""
+    return F.sum("reads") if "reads" in lines.columns else F.count("*")
+
+
 def log_message_count(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Lines read per container, before parsing and with the suppressed ones."""
-    return lines.groupBy(*by, *CONTAINER_LABELS).agg(F.count("*").alias("value"))
+    """Entries read per container, before parsing and with the suppressed ones.
+
+    A line that is too long counts once for each of its pieces, if ``lines`` have ``reads``.
+    """
+    return lines.groupBy(*by, *CONTAINER_LABELS).agg(_reads(lines).alias("value"))
 
 
 def metrics_reset(df: DataFrame, event_time: str, options: MetricOptions = MetricOptions()) -> DataFrame:
@@ -212,7 +226,7 @@ def container_samples(
     """
     keys = list(CONTAINER_LABELS)
     totals = delayed.groupBy(*by, *keys).agg(
-        F.count("*").alias("_lines"), duration_sum(F.col("delay"), options.sum_scale).alias("_delay")
+        _reads(delayed).alias("_lines"), duration_sum(F.col("delay"), options.sum_scale).alias("_delay")
     )
     live = F.lit(True)
     if running is not None:

@@ -72,6 +72,7 @@ def throttle_delay(
     seq: str = "seq",
     arrival: str = "arrival",
     slice_width: int = 1_000_000,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Column ``delay``: how long each line would have waited in the token bucket of its log file.
 
@@ -79,40 +80,64 @@ def throttle_delay(
     in it (line number or byte offset), ``arrival`` its time in seconds, ``rate`` the lines per second; the burst is the
     whole part of the rate. With n the rank of a line and a its arrival, a token is free at
     ``n/r + max over earlier lines j of (a_j - (j-1)/r)``, and the burst lets a line in
-    ``burst/r`` sooner.
+    ``burst/r`` sooner. A line with several ``reads`` takes a token for each, and its delay is their sum.
 
     Rank and maximum are running values over a file that may hold a large part of all
     lines. They are therefore built from slices of ``slice_width`` positions, each at most that
     many rows: first within the slices, then over one summary row per slice, then added up.
     Lines are shuffled and sorted once, by file and slice; with their places they are stored in the
     shared scratch folder, and the summary of the slices is joined to that by its measured size.
+
+    ``busy_until`` is the time at which the tokens used so far are all earned again. ``carried`` holds the
+    last one of each file (``limiter`` columns and ``busy_until``) from the lines before these, so that
+    a file may be replayed in parts; the rate may differ between the parts.
     """
     keys = list(limiter)
     rate = F.col("rate")
     named = {key: F.coalesce(key, F.lit("")) for key in keys}
     place = F.floor(F.col(seq) / F.lit(slice_width)).cast("long")
-    rows = lines.withColumns({**named, "_slice": F.coalesce(place, F.lit(0))})
+    reads = F.col("reads") if "reads" in lines.columns else F.lit(1)
+    rows = lines.withColumns({**named, "_slice": F.coalesce(place, F.lit(0)), "_reads": reads.cast("long")})
     inside = Window.partitionBy(*keys, "_slice").orderBy(seq)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumn("_n", F.row_number().over(inside)).withColumn(
+    # ``_n`` is the number of the first token that a line takes.
+    local = rows.withColumn("_n", F.sum("_reads").over(upto) - F.col("_reads") + 1).withColumn(
         "_lead", F.max(F.col(arrival) - (F.col("_n") - 1) / rate).over(upto)
     )
     spark, stored = lines.sparkSession, scratch_dir(lines.sparkSession, "throttle")
     local.write.parquet(stored)
     local = spark.read.schema(local.schema).parquet(stored)
     summary = local.groupBy(*keys, "_slice").agg(
-        F.max("_n").alias("_rows"), F.max("_lead").alias("_top"), F.max("rate").alias("_rate")
+        F.max(F.col("_n") + F.col("_reads") - 1).alias("_rows"), F.max("_lead").alias("_top"), F.max("rate").alias("_rate")
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = summary.withColumn("_skip", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     offsets = offsets.withColumn("_carry", F.max(F.col("_top") - F.col("_skip") / F.col("_rate")).over(before))
+    if carried is not None:
+        known = carried.select(*[F.coalesce(key, F.lit("")).alias(key) for key in keys], F.col("busy_until").alias("_busy"))
+        offsets = offsets.join(known, keys, "left").withColumn("_carry", F.greatest("_carry", "_busy"))
     joined = local.join(small_side(offsets.select(*keys, "_slice", "_skip", "_carry")), [*keys, "_slice"])
     lead = F.greatest(F.col("_lead") - F.col("_skip") / rate, F.col("_carry"))
-    ready = (F.col("_skip") + F.col("_n") - F.floor(rate)) / rate + lead
-    delay = F.greatest(F.lit(0.0), ready - F.col(arrival))
+    first = (F.col("_skip") + F.col("_n") - F.floor(rate)) / rate + lead - F.col(arrival)
+    busy = (F.col("_skip") + F.col("_n") + F.col("_reads") - 1) / rate + lead
+    rows = joined.withColumns({"_first": first, "busy_until": busy.cast("double")})
     # A rate below one line per second has no burst, so no line would ever pass: the delay is NULL.
     # Rules and defaults with such a rate are refused when they are loaded.
-    return joined.withColumn("delay", F.when(rate >= 1, delay).cast("double")).drop("_slice", "_n", "_lead", "_skip", "_carry")
+    found = rows.withColumn("delay", F.when(rate >= 1, _waiting(F.col("_first"), F.col("_reads"), rate)).cast("double"))
+    found = found if carried is not None else found.drop("busy_until")
+    return found.drop("_slice", "_n", "_lead", "_skip", "_carry", "_reads", "_first")
+
+
+def _waiting(first: Column, reads: Column, rate: Column) -> Column:
+    """The sum of the delays of ``reads`` tokens: the first waits ``first``, each other 1/rate longer than the one before.
+
+    Tokens that are free already (a wait below zero) add nothing.
+    """
+    free = F.least(F.greatest(F.ceil(-first * rate), F.lit(0)), reads)
+    waiting = reads - free
+    steps = (reads * (reads - 1) - free * (free - 1)) / 2
+    several = waiting * first + steps / rate
+    return F.when(reads == 1, F.greatest(F.lit(0.0), first)).otherwise(F.greatest(F.lit(0.0), several))
 
 
 def throttling_total(

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from podlens import names
 from podlens.functions.documents import document, document_value, struct_type
 from podlens.functions.lines import cri_time, docker_time, event_time
 from podlens.functions.numbers import float_text, integer_text
+from podlens.functions.regexes import required_literals
 from podlens.functions.upstream import total_time_text
-from podlens.functions.variants import flag_of, is_object, number_of, text_of
+from podlens.functions.variants import bind, flag_of, is_object, number_of, text_of
 from podlens.operators.parsing import line_content
 from podlens.operators.rows import settle
 from podlens.options import ParseOptions
 from podlens.session import small_side
 from podlens.sources.lines import bounded_lines
 
-# Up to this many path patterns are spelled out as literals, which Spark compiles once per task.
+# Up to this many path patterns are spelled out as literals, which Spark compiles once per task; more are indexed.
 LITERAL_PATTERNS = 200
 
 # The fields of a request next to its mark.
@@ -131,11 +132,73 @@ def match_service(requests: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def first_label(uri: Column, paths: Column) -> Column:
-    """The first label with a pattern found in the URI, ``""`` for none. Patterns come from a column."""
+    """The first label with a pattern found in the URI, ``""`` for none: a plain search of all patterns of the row."""
     hits = F.filter(paths, lambda path: F.exists(path["regexps"], lambda regexp: F.rlike(uri, regexp)))
     return F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(""))
 
 
+_RULE = "struct<ord: int, label: string, regexp: string, literal: string>"
+_INDEX = f"struct<always: array<{_RULE}>, buckets: array<array<{_RULE}>>>"
+GRAM = 3
+
+
+def with_path_index(hosts: DataFrame) -> DataFrame:
+    """Column ``path_index`` in place of ``paths``: the rules of a host by a piece of the text they need.
+
+    A rule that needs a text of three characters or more lies in the bucket of the rarest three of them;
+    there are twice as many buckets as rules. The others lie in ``always``.
+    """
+    lists = hosts.select("paths_key", "paths").dropDuplicates(["paths_key"])
+    labels = lists.select("paths_key", F.posexplode("paths").alias("at", "path"))
+    patterns = labels.select("paths_key", "at", "path.label", F.posexplode("path.regexps").alias("nth", "regexp"))
+    literal = required_literals(F.col("regexp"))
+    rules = settle(patterns, {"literal": literal}).withColumn("rule", F.struct("at", "nth"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("literal") - GRAM + 1), lambda i: F.substring("literal", i, F.lit(GRAM)))
+    several = F.when(F.length("literal") >= GRAM, grams).otherwise(F.array().cast("array<string>"))
+    spread = rules.select("*", F.explode_outer(several).alias("gram"))
+    times = spread.withColumn("times", F.count("*").over(Window.partitionBy("paths_key", "gram")))
+    chosen = times.groupBy("paths_key", "rule", "label", "regexp", "literal").agg(
+        F.min_by("gram", F.struct("times", "gram")).alias("gram")
+    )
+    place = Window.partitionBy("paths_key")
+    # A list of rules is as long as one annotation of one service.
+    number = F.row_number().over(place.orderBy("rule")).alias("ord")
+    size = F.greatest(2 * F.count("*").over(place), F.lit(64)).cast("int").alias("size")
+    bucket = F.when(F.col("gram").isNotNull(), _bucket(F.col("gram"), F.col("size")))
+    dealt = chosen.select("*", number, size).withColumn("bucket", bucket)
+    rule = F.struct("ord", "label", "regexp", "literal").cast(_RULE)
+    filled = dealt.groupBy("paths_key", "size", "bucket").agg(F.collect_list(rule).alias("rules"))
+    none = F.array().cast(f"array<{_RULE}>")
+    by_bucket = F.map_from_entries(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "rules"))))
+    always = F.coalesce(F.max(F.when(F.col("bucket").isNull(), F.col("rules"))), none)
+    tables = filled.groupBy("paths_key", "size").agg(always.alias("always"), by_bucket.alias("filled"))
+    buckets = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.coalesce(F.col("filled")[i], none))
+    index = F.struct("always", buckets.alias("buckets")).cast(_INDEX)
+    return hosts.drop("paths").join(tables.select("paths_key", index.alias("path_index")), "paths_key", "left")
+
+
+def _bucket(gram: Column, size: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), size).cast("int")
+
+
+def indexed_label(uri: Column, index: Column) -> Column:
+    """As :func:`first_label`, but only rules whose text occurs in the URI are tried."""
+    buckets = index["buckets"]
+
+    def candidates(signs: Column) -> Column:
+        starts = F.when(F.size(signs) >= GRAM, F.sequence(F.lit(0), F.size(signs) - GRAM))
+        grams = F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda i: F.concat(*[F.get(signs, i + k) for k in range(GRAM)]),
+        )
+        found = F.flatten(F.transform(F.array_distinct(grams), lambda gram: F.get(buckets, _bucket(gram, F.size(buckets)))))
+        return F.array_sort(F.array_distinct(F.concat(index["always"], found)))
+
+    rules = bind(F.split(uri, ""), candidates)
+    hits = F.filter(rules, lambda rule: F.contains(uri, rule["literal"]) & F.rlike(uri, rule["regexp"]))
+    return F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(""))
+
+
 def literal_rules(hosts: DataFrame) -> list[Row] | None:
     """The distinct path rules of a keyed catalog, or None when there are more than fit in literals."""
     rules = hosts.select("paths_key", "paths").dropDuplicates(["paths_key"])
@@ -157,19 +220,28 @@ def literal_label(uri: Column, paths_key: Column, rules: list[Row]) -> Column:
 def label_path(matched: DataFrame, rules: list[Row] | None = None) -> DataFrame:
     """Column ``path`` with the label of the URI, in the order of the rules; ``""`` for a miss.
 
-    With ``rules`` the patterns are literals, which Spark compiles once per task; without, they
-    come from the ``paths`` column of each row. A file ``path`` of the lines gives way to the label.
+    With ``rules`` the patterns are literals, which Spark compiles once per task; without, they come
+    from the ``path_index`` of each row, or from its plain ``paths``. A file ``path`` of the lines gives
+    way to the label.
     """
     uri = F.col("uri")
-    if rules is None:
-        label = first_label(uri, F.col("paths"))
-    else:
+    if rules is not None:
         label = literal_label(uri, F.col("paths_key"), rules)
-    return settle(matched.drop("path"), {"path": label}).drop("paths", "paths_key")
+    elif "path_index" in matched.columns:
+        label = indexed_label(uri, F.col("path_index"))
+    else:
+        label = first_label(uri, F.col("paths"))
+    return settle(matched.drop("path"), {"path": label}).drop("paths", "paths_key", "path_index")
 
 
-def indicators(requests: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Requests with ``service`` and ``path``; requests for unknown hosts are left out."""
+def prepared_hosts(hosts: DataFrame) -> tuple[DataFrame, list[Row] | None]:
+    """Hosts without their path rules, and these: a few as literals, more as an index beside each host."""
     keyed = with_path_keys(hosts)
     rules = literal_rules(keyed)
-    return label_path(match_service(requests, keyed if rules is None else keyed.drop("paths")), rules)
+    return (with_path_index(keyed) if rules is None else keyed.drop("paths")), rules
+
+
+def indicators(requests: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Requests with ``service`` and ``path``; requests for unknown hosts are left out."""
+    prepared, rules = prepared_hosts(hosts)
+    return label_path(match_service(requests, prepared), rules)

@@ -248,6 +248,30 @@ FROM l GROUP BY namespace, pod, container""",
     ]
 )
 
+
+
+def _versions(days: int) -> str:
+    """What each version of the host catalog says about every host, with the time it was in force."""
+    seconds = days * 86400
+    return f"""n AS (
+  SELECT unnest(range(CAST(floor(min(epoch(ts)) / {seconds}) AS BIGINT), CAST(floor(max(epoch(ts)) / {seconds}) AS BIGINT) + 1)) AS v
+  FROM events),
+r AS (
+  SELECT v, host,
+    CASE host WHEN 'api.example.com' THEN 'api' WHEN 'img.example.test' THEN 'img'
+      ELSE CASE WHEN v % 2 = 0 THEN 'shop' ELSE 'store' END END AS owner,
+    CASE WHEN v % 3 = 1 THEN '/signup' ELSE '/purchase' END AS bought,
+    CASE WHEN v = min(v) OVER () THEN TIMESTAMP '1970-01-01' ELSE make_timestamp(v * {seconds} * 1000000) END AS valid_from,
+    make_timestamp((v + 1) * {seconds} * 1000000) AS valid_to
+  FROM n, (VALUES ('api.example.com'), ('shop'), ('shop.example.test'), ('img.example.test')) g(host)
+  WHERE host <> 'img.example.test' OR v % 4 <> 3),
+t AS (
+  SELECT event_id, ts, r.owner AS service,
+    CASE WHEN request_uri LIKE '%ts=online%' THEN 'online' WHEN starts_with(request_uri, bought) THEN 'buy' ELSE '' END AS path
+  FROM u JOIN r ON u.host = r.host AND ts >= valid_from AND ts < valid_to
+  WHERE kind = 'json' AND sla)"""
+
+
 ORACLES: dict[str, str] = {
     "scan_lines": _SEGMENTS,
     "stream_lines": _SEGMENTS,
@@ -351,6 +375,10 @@ SELECT host, arg_max(c_name, c_custkey) AS service FROM g GROUP BY host""",
     "matched_services": _w("SELECT event_id, service FROM s"),
     "labelled_paths": _LABELLED,
     "labelled_paths_by_column": _LABELLED,
+    "labelled_paths_indexed": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND c_custkey IS NOT NULL THEN 'c' || CAST(o_custkey AS VARCHAR)
+  WHEN o_orderkey % 10 = 5 THEN 'all' ELSE '' END AS path
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
     "request_count": _w(_REQUEST_COUNT),
     "request_total_count": _w("SELECT service, count(*) AS value FROM s GROUP BY service"),
     "request_time": _w(f"SELECT * FROM ({_histogram('request_time')})"),
@@ -383,5 +411,18 @@ FROM d WHERE namespace <> 'ns3' GROUP BY namespace, pod, container""",
     "streamed_metrics": _w(f"""
 SELECT CAST(floor({MICROS} / 172800000000) * 172800 AS BIGINT) AS epoch_start, request_method AS method, service, path,
   CAST(status AS VARCHAR) AS status, count(*) AS value FROM h GROUP BY ALL"""),
+    "streamed_outputs": f"WITH {_JOURNAL}, {W} SELECT value, count(*) AS n FROM ({_RECORD} UNION ALL {_JOURNAL_JSON}) GROUP BY value",
+    "live_samples": f"WITH {W}, {_REPLAY} {_SAMPLES}",
+    "live_counts_by_version": f"""WITH {W}, {_versions(5)}
+SELECT CAST(floor({MICROS} / 172800000000) * 172800 AS BIGINT) AS epoch_start, service, path, count(*) AS value
+FROM t WHERE path <> '' GROUP BY ALL""",
+    "live_throttling": f"""WITH {W}, {_REPLAY}
+SELECT namespace, pod, container, CAST(sum(CAST(delay AS DECIMAL(28,3))) AS DOUBLE) AS value
+FROM d WHERE namespace <> 'ns3' GROUP BY namespace, pod, container""",
+    "requests_as_of": f"WITH {W}, {_versions(3)} SELECT event_id, service, path FROM t",
+    "message_count_pieces": """
+SELECT source AS namespace, lang AS pod, 'texts' AS container,
+  CAST(sum(ceil(octet_length(encode(text)) / 1000.0)) AS BIGINT) AS value
+FROM documents WHERE length(text) > 0 GROUP BY source, lang""",
     "refreshed_catalog": _w("SELECT service, count(*) AS value FROM s GROUP BY service"),
 }

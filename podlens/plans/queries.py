@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,9 @@ from podlens.operators.metrics import (
     metric_samples,
     metrics_reset,
     sample_text,
+    labels_column,
+    with_reads,
+    ALL_LABELS,
 )
 from podlens.operators.output import json_text, to_json_lines, union_outputs
 from podlens.operators.parsing import (
@@ -76,6 +80,8 @@ from podlens.sources.lines import scan_log_lines, split_oversize_lines, stream_l
 from podlens.sources.rules import check_rules, load_rate_rules, rules_from_table
 from podlens.sources.services import load_exported_services, load_service_annotations
 from podlens.streaming.jobs import emit_to_sink, stream_indicators, stream_metrics, stream_records
+from podlens.streaming.history import CatalogHistory, RefreshingHistory, indicators_as_of
+from podlens.streaming.live import LiveOptions, LiveSamples, stream_samples
 from podlens.streaming.refresh import RefreshingTable
 from podlens.streaming.sinks import FileSink, deliver_batches, register_sink
 from podlens.streaming.tail import stream_tail
@@ -85,8 +91,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPLIT_BYTES = 1000
 METRICS = MetricOptions(sum_scale=3)
 GROUPED = ParseOptions(user_key="log", cri_key="cri", ext_key="env")
-# The replay runs this many times faster than the events happened.
-REPLAY_SPEED = 10_000
 
 REGISTRY: dict[str, Query] = {}
 
@@ -611,6 +615,27 @@ def labelled_paths_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_path(matched).select("event_id", "service", "path")
 
 
+@query
+def labelled_paths_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path rule for every customer and one for all of them behind these, over the orders."""
+    customers = workload.table(spark, sf_dir, "customer")
+    rule = F.struct(
+        F.col("c_custkey").alias("at"),
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("label"),
+        F.array(F.concat(F.lit("^/customer/"), F.col("c_custkey"), F.lit("/"))).alias("regexps"),
+    )
+    own = customers.agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    last = F.array(F.struct(F.lit("all").alias("label"), F.array(F.lit("/order/[0-9]*5$")).alias("regexps")))
+    paths = F.concat(F.transform("rules", lambda r: F.struct(r["label"].alias("label"), r["regexps"].alias("regexps"))), last)
+    hosts = own.select(F.lit("shop").alias("host"), F.lit("shop").alias("service"), paths.alias("paths"))
+    orders = workload.table(spark, sf_dir, "orders")
+    # Some of the paths name a customer that does not exist.
+    customer = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("no"), "o_custkey")).otherwise(F.col("o_custkey").cast("string"))
+    uri = F.concat(F.lit("/customer/"), customer, F.lit("/order/"), "o_orderkey")
+    requests = orders.select("o_orderkey", F.lit("shop").alias("host"), uri.alias("uri"))
+    return indicators(requests, hosts).select("o_orderkey", "path")
+
+
 # Metrics
 
 
@@ -648,7 +673,7 @@ def request_count_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = workload.read_lines(spark, sf_dir)
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / REPLAY_SPEED
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / workload.REPLAY_SPEED
     narrow = lines.select("path", "namespace", "pod", "container", F.col("event_id").alias("seq"), seconds.alias("arrival"))
     rated = attach_rate(narrow, workload.catalog(spark, sf_dir), check_rules(workload.RULES))
     return throttle_delay(rated, slice_width=1000)
@@ -799,6 +824,114 @@ def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def streamed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container lines and journal rows by one stream with two sources, delivered together."""
+    root, journal = workload.write_segments(spark, sf_dir), scratch_dir(spark, "journal")
+    _journal_text(spark, sf_dir).write.text(journal)
+    folder = scratch_dir(spark, "outputs")
+    catalog = RefreshingTable(spark, lambda: _segment_catalog(spark, root), RefreshOptions().containers)
+    emit = emit_to_sink(partial(FileSink, folder), "outputs")
+    rows = spark.readStream.option("maxFilesPerTrigger", 2).text(journal)
+    job = stream_records(stream_log_lines(spark, root, max_files=20), catalog.current, emit, journal=rows)
+    checkpoint = scratch_dir(spark, "checkpoint")
+    job.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _delivered(spark, folder)
+
+
+# Spans of days: of a micro-batch of the replay, and of a version of the service catalog.
+BATCH_DAYS, VERSION_DAYS = 5, 3
+
+
+def _live(spark: SparkSession, sf_dir: str, load_hosts, running) -> tuple[LiveSamples, int]:
+    """Replay the lines as a stream, with catalogs that are read again before every micro-batch.
+
+    ``load_hosts`` and ``running`` get the number of the span of days that a batch lies in.
+    """
+    folder, now = scratch_dir(spark, "live"), [0]
+    history = RefreshingHistory(
+        CatalogHistory(spark, f"{folder}/hosts"),
+        lambda: load_hosts(now[0]),
+        RefreshOptions().services,
+        lambda: now[0] * BATCH_DAYS * 86400.0,
+    )
+    containers = workload.catalog(spark, sf_dir)
+    rules = check_rules(workload.RULES)
+    options = LiveOptions(metrics=METRICS, slice_width=1000, delay_digits=3)
+    live = LiveSamples(
+        spark,
+        f"{folder}/state",
+        lambda: containers.withColumn("running", running(now[0])),
+        history.current,
+        lambda: rules,
+        options,
+    )
+    done = []
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        first = batch.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp")))).first()[0]
+        now[0] = now[0] if first is None else first // (BATCH_DAYS * 86400)
+        live.update(batch.drop("ts"), batch_id)
+        done.append(batch_id)
+
+    lines = workload.write_batches(spark, sf_dir, BATCH_DAYS)
+    job = lines.writeStream.foreachBatch(update).option("checkpointLocation", f"{folder}/checkpoint")
+    job.trigger(availableNow=True).start().awaitTermination()
+    return live, max(done)
+
+
+@query
+def live_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six metrics of a stream of several batches, added up over the reset periods."""
+    live, last = _live(spark, sf_dir, lambda _: workload.hosts(spark), lambda _: F.lit(True))
+    sums = live.totals(last).groupBy("metric", *ALL_LABELS).agg(
+        F.sum(F.col("value").try_cast("decimal(28,3)")).cast("double").alias("value")
+    )
+    requests = sums.select(sample_text(F.col("metric"), labels_column(ALL_LABELS)).alias("sample"), "value")
+    labels = labels_column(("namespace", "pod", "container"))
+    waits = live.throttling(last).select(sample_text(F.lit(names.M_THROTTLE), labels).alias("sample"), "value")
+    return requests.unionByName(waits)
+
+
+@query
+def live_counts_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live counters while owners, path rules and services change between the batches."""
+    live, last = _live(spark, sf_dir, lambda span: workload.hosts_at(spark, span), lambda _: F.lit(True))
+    counts = live.totals(last).where(F.col("metric") == names.M_REQUESTS)
+    return counts.groupBy(F.unix_seconds("epoch.start").alias("epoch_start"), "service", "path").agg(
+        F.sum("value").cast("long").alias("value")
+    )
+
+
+@query
+def live_throttling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live delays; the containers of a namespace end before the last batch, and their series with them."""
+    last_span = workload.buckets(spark, sf_dir, BATCH_DAYS)[-1]
+    running = lambda span: (F.col("namespace") != "ns3") | F.lit(span < last_span)
+    live, last = _live(spark, sf_dir, lambda _: workload.hosts(spark), running)
+    return live.throttling(last)
+
+
+@query
+def requests_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by what the daily versions of the service catalog said when they happened."""
+    history = CatalogHistory(spark, scratch_dir(spark, "history"))
+    for span in workload.buckets(spark, sf_dir, VERSION_DAYS):
+        history.record(workload.hosts_at(spark, span), datetime.fromtimestamp(span * VERSION_DAYS * 86400, timezone.utc))
+    requests = extract_sli_from_lines(workload.read_lines(spark, sf_dir).drop("path"))
+    matched = indicators_as_of(requests, history.table())
+    return matched.select("event_id", "service", "path")
+
+
+@query
+def message_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries read, with a piece for every 1000 bytes of the long lines."""
+    lines = workload.table(spark, sf_dir, "documents").where(F.length("text") > 0).select(
+        F.col("source").alias("namespace"), F.col("lang").alias("pod"), F.lit("texts").alias("container"), F.col("text").alias("value")
+    )
+    return log_message_count(with_reads(lines, SPLIT_BYTES))
+
+
 @query
 def refreshed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts from a refreshed catalog; the second load fails and leaves the first in force."""

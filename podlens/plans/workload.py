@@ -151,6 +151,45 @@ def write_segments(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def buckets(spark: SparkSession, sf_dir: str, days: int) -> range:
+    """The numbers of the spans of so many days, counted from the epoch, that the events lie in."""
+    number = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (days * 86400))
+    row = table(spark, sf_dir, "events").agg(F.min(number), F.max(number)).first()
+    return range(row[0] or 0, (row[1] or -1) + 1)
+
+
+def write_batches(spark: SparkSession, sf_dir: str, days: int, files: int = 4) -> DataFrame:
+    """The lines as a stream of tables, one span of days after the other, as micro-batches of ``files`` files.
+
+    Lines have their place and time: ``seq`` and ``arrival``.
+    """
+    root = scratch_dir(spark, "batches")
+    number = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (days * 86400))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = read_lines(spark, sf_dir).select(
+        "value", "path", F.col("event_id").alias("seq"), (micros / 1e6 / REPLAY_SPEED).alias("arrival"), "ts"
+    )
+    for bucket in buckets(spark, sf_dir, days):
+        # Files are streamed in the order of their times, so each span is written by itself.
+        rows.where(number == bucket).repartition(files).write.parquet(f"{root}/{bucket}")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
+    return reader.option("recursiveFileLookup", True).parquet(root)
+
+
+# The replay runs this many times faster than the events happened.
+REPLAY_SPEED = 10_000
+
+OTHER_PATH_RULES = '[{"online":["ts=online"]},{"buy":["^/signup"]}]'
+
+
+def hosts_at(spark: SparkSession, version: int) -> DataFrame:
+    """The host catalog in a later version: an owner, a path rule and whether a service is there change."""
+    owner = "shop" if version % 2 == 0 else "store"
+    services = [("api", "api.example.com"), (owner, "shop")]
+    services += [("img", "img.example.test")] if version % 4 != 3 else []
+    return _hosts(spark, services, PATH_RULES if version % 3 != 1 else OTHER_PATH_RULES)
+
+
 SERVICES = (
     ("api", "api.example.com"),
     ("shop", "shop"),
@@ -165,6 +204,12 @@ def hosts(spark: SparkSession) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _stored_hosts(spark: SparkSession, application: str) -> str:
+    stored = scratch_dir(spark, "hosts")
+    _hosts(spark, SERVICES, PATH_RULES).write.parquet(stored)
+    return stored
+
+
+def _hosts(spark: SparkSession, services, rules: str) -> DataFrame:
     annotated = [
         (
             i,
@@ -172,14 +217,12 @@ def _stored_hosts(spark: SparkSession, application: str) -> str:
             {
                 SERVICE_OPTIONS.enable: "true",
                 SERVICE_OPTIONS.domains: domains,
-                SERVICE_OPTIONS.paths: PATH_RULES,
+                SERVICE_OPTIONS.paths: rules,
             },
         )
-        for i, (name, domains) in enumerate(SERVICES)
+        for i, (name, domains) in enumerate(services)
     ]
-    services = usable_services(
+    checked = usable_services(
         validate_services(spark.createDataFrame(annotated, ANNOTATED), SERVICE_OPTIONS), "fail"
     )
-    stored = scratch_dir(spark, "hosts")
-    explode_service_domains(services, DEFAULT_DOMAIN).write.parquet(stored)
-    return stored
+    return explode_service_domains(checked, DEFAULT_DOMAIN)

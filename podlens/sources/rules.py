@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from podlens.functions.regexes import java_pattern
+from podlens.functions.regexes import java_pattern, refused_by_java
 from podlens.sources.config import read_list
 
 
@@ -53,6 +53,8 @@ def check_rules(rules: list[RateRule]) -> list[RateRule]:
         if namespace is None or pod is None:
             raise InvalidRules(f"pattern does not compile: {rule}")
         checked.append(RateRule(namespace, pod, rule.rate))
+    if refused_by_java([pattern for rule in checked for pattern in (rule.namespace, rule.pod)]):
+        raise InvalidRules("a pattern names an unknown script")
     return checked
 
 

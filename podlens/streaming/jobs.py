@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from podlens.operators.enrich import enrich_with_metadata
+from podlens.operators.journal import normalise_journal
 from podlens.operators.metrics import (
     http_request_count,
     http_request_time,
@@ -16,9 +18,11 @@ from podlens.operators.metrics import (
     log_message_count,
     metrics_reset,
 )
+from podlens.operators.output import to_json_lines, union_outputs
 from podlens.operators.sli import extract_sli_from_lines, indicators
 from podlens.options import DeliveryOptions, MetricOptions, ParseOptions, StaticMetadata
 from podlens.plans.records import record_lines
+from podlens.sources.journal import journal_rows
 from podlens.streaming.sinks import Sink, deliver_batches
 
 
@@ -30,9 +34,13 @@ def stream_records(
     static: StaticMetadata = StaticMetadata(),
     metrics: Callable[[DataFrame, int], None] | None = None,
     delivery: DeliveryOptions = DeliveryOptions(),
+    journal: DataFrame | None = None,
 ) -> DataStreamWriter:
     """Lines to JSON records, micro-batch by micro-batch; the caller adds the checkpoint.
 
+    ``journal`` is a stream of exported journal rows (``value``). Both sources are read by one query with
+    an offset each, and the messages of both go out as one batch under one key.
+
     Messages wait for at most ``delivery.flush_seconds``: that is the interval of the micro-batches,
     unless the caller sets another trigger.
 
@@ -41,17 +49,26 @@ def stream_records(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        enriched = enrich_with_metadata(batch, catalog(), static)
-        if metrics is None:
-            emit(record_lines(enriched, options), batch_id)
-            return
-        kept = enriched.persist()
+        # What several readers share is stored: otherwise each of them would read the sources again.
+        stored = [batch.persist()] if journal is not None else []
         try:
-            metrics(kept, batch_id)
-            emit(record_lines(kept, options), batch_id)
+            own = batch if journal is None else batch.where(~F.col("_journal")).drop("_journal")
+            enriched = enrich_with_metadata(own, catalog(), static)
+            if metrics is not None:
+                stored.append(enriched.persist())
+                metrics(enriched, batch_id)
+            messages = record_lines(enriched, options)
+            if journal is not None:
+                rows = journal_rows(batch.where("_journal").select("value"))
+                messages = union_outputs(messages, to_json_lines(normalise_journal(rows, options, static)))
+            emit(messages, batch_id)
         finally:
-            kept.unpersist()
+            for frame in stored:
+                frame.unpersist()
 
+    if journal is not None:
+        rows = journal.select("value", F.lit(True).alias("_journal"))
+        lines = lines.withColumn("_journal", F.lit(False)).unionByName(rows, allowMissingColumns=True)
     return lines.writeStream.foreachBatch(process).trigger(processingTime=f"{delivery.flush_seconds} seconds")
 
 

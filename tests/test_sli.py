@@ -1,16 +1,27 @@
 import json
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from podlens import names
 from podlens.functions.domains import split_domains
-from podlens.functions.regexes import java_pattern
+from podlens.functions.regexes import java_pattern, required_literal
 from podlens.operators import metrics
 from podlens.operators.parsing import assemble_record, parse_lines
 from podlens.operators.services import explode_service_domains, usable_services, validate_services
-from podlens.operators.sli import extract_sli, extract_sli_from_lines, indicators, label_path, match_service
+from podlens.operators.sli import (
+    extract_sli,
+    extract_sli_from_lines,
+    indicators,
+    label_path,
+    match_service,
+    prepared_hosts,
+)
 from podlens.options import MetricOptions, ParseOptions, ServiceOptions, parse_buckets
+from podlens.sources.rules import InvalidRules, RateRule, check_rules
 from podlens.sources.services import ANNOTATED, load_exported_services, load_service_annotations
 
 OPTIONS = ServiceOptions(default_domain="example.test")
@@ -183,50 +194,137 @@ def test_first_label_in_order(spark):
     assert {r.uri: r.path for r in by_column.collect()} == uris
 
 
-@pytest.mark.parametrize(
-    "pattern, expected",
-    [
-        (r"^/a.*\?x", r"^/a.*\?x"),
-        ("(?P<n>a)", "(?<n>a)"),
-        ("[[:alpha:]_]", r"[\p{Alpha}_]"),
-        (r"\w\d", r"\w\d"),
-        ("[", None),
-        ("a(", None),
-        ("(?!a)", None),
-        (r"(a)\1", None),
-        ("a++", None),
-        ("a{1001}", None),
-        (r"a\++", r"a\++"),
-        (r"[*+]+", r"[*+]+"),
-        (r"\pL+\p{Greek}", r"\pL+\p{Greek}"),
-        ("(?i)abc", "(?i)abc"),
-    ],
-)
-def test_patterns(pattern, expected):
-    assert java_pattern(pattern) == expected
+ACCEPTED = [
+    # pattern, texts where it is found, texts where it is not
+    (r"^/a.*\?x", ["/ab?x"], ["/b?x", "x/a?x"]),
+    ("(?P<n>a)", ["ba"], ["b"]),
+    ("(?P<a_b>x)", ["x"], ["y"]),
+    ("(?<n1>a)", ["a"], [""]),
+    ("[[:alpha:]_]", ["_", "z"], ["1", "é"]),
+    ("^[[:^digit:]]$", ["a", "é", "\n"], ["1"]),
+    (r"\w\d", ["a1"], ["é1", "aa", "a٣"]),
+    (r"a\++", ["a++"], ["aa"]),
+    ("^[*+]+$", ["*+"], ["a"]),
+    (r"^\pL+\p{Greek}$", ["aω"], ["aa", "ω"]),
+    (r"\p{Han}+", ["漢"], ["a"]),
+    (r"^\p{^Greek}$", ["a"], ["ω"]),
+    (r"^\P{Greek}$", ["a"], ["ω"]),
+    (r"^\p{Any}$", ["\n", "a"], [""]),
+    (r"^[\P{Any}a]$", ["a"], ["b"]),
+    (r"^[^\P{Any}]$", ["a", "\n"], [""]),
+    ("(?i)abc", ["xABc"], ["ab"]),
+    ("(?i)é", ["É"], ["e"]),
+    ("(?i)s", ["ſ"], ["z"]),
+    ("/api/{id}", ["/api/{id}"], ["/api/id"]),
+    ("^{$", ["{"], [""]),
+    ("^a{,5}$", ["a{,5}"], ["aa"]),
+    ("^a{2}$", ["aa"], ["a"]),
+    ("^a{2,}?b{0,1}$", ["aaab"], ["ab"]),
+    (r"^\0$", ["\0"], ["0"]),
+    (r"^\012$", ["\n"], ["012"]),
+    (r"^\x41\x{1F600}$", ["A😀"], ["A"]),
+    (r"^\Qa.b\E+$", ["a.bb"], ["axb", "a.ba.b"]),
+    ("^a.b$", ["a\rb", "a\u2028b", "a\u0085b"], ["a\nb"]),
+    ("^(?s:a.b)$", ["a\nb"], ["ab"]),
+    ("(?s)^a.(?-s:.)$", ["a\nb"], ["ab\n"]),
+    ("(?m)a$", ["a\nb", "ba"], ["b", "a\rb"]),
+    ("(?m)^b", ["a\nb"], ["a\rb"]),
+    ("(?m)^$", ["a\n"], ["a"]),
+    ("a$", ["ba"], ["a\n"]),
+    (r"a\z", ["ba"], ["a\n"]),
+    (r"^a\b", ["a b", "aé"], ["ab"]),
+    (r"a\B", ["ab"], ["a b", "aé"]),
+    (r"^\s$", ["\f"], ["\v", "\u00a0"]),
+    (r"^[^\S]$", [" "], ["a"]),
+    ("[[a]", ["x["], ["b"]),
+    ("^[a&&b]+$", ["a&b"], ["c"]),
+    ("(?U)^a+$", ["aaa"], ["b"]),
+    ("(?iU)^a+$", ["AA"], ["b"]),
+    (r"^[\d-z]+$", ["1-z"], ["a"]),
+    ("^a}+$", ["a}}"], ["a"]),
+    ("^[a[]b]$", ["[b]", "ab]"], ["b]"]),
+    ("^[]a]+$", ["]a"], ["b"]),
+    ("^[^]a]+$", ["bc"], ["b]"]),
+    ("^(a|)$", ["a", ""], ["b"]),
+    ("a#b c", ["a#b c"], ["ab c"]),
+    (r"^\_\-\/$", ["_-/"], ["_"]),
+    ("^(?:(?i)a)b$", ["Ab"], ["AB"]),
+    ("a(?i)b|c", ["aB", "C"], ["AB"]),
+    ("^*a", ["a"], ["b"]),
+    ("((a{10}){10}){10}", ["a" * 1000], ["a" * 999]),
+]
+
+REFUSED = [
+    "[", "a(", "a)", "(?!a)", "(?=a)", "(?<=a)", "(?>a)", "(?#a)", r"(a)\1", r"(?P<n>a)(?P=n)", "a++", "a**", "a{2}*", "a{2}{3}",
+    "a{1001}", "a{3,2}", "(a{100}){11}", "*", "|*", "(*)", r"\8", r"\k", r"\Z", r"\G", r"\R", r"\C", r"\e", r"\é", "\\", "[b-a]",
+    r"[a-\d]", "[[:foo:]]", "(?P<a>x)(?P<a>y)", "(?P<>x)", "(?<a-b>x)", "(?x)a", "(?-)", "(?i-)a", r"\pX", r"\p{", r"\p{isGreek}",
+    r"\x{110000}", r"\x4", "(" * 1001 + ")" * 1001,
+]
+
+
+def test_accepted_patterns_run_and_mean_the_same(spark):
+    rows = [(p, java_pattern(p), text, want) for p, yes, no in ACCEPTED for want, texts in ((True, yes), (False, no)) for text in texts]
+    assert all(java is not None for _, java, _, _ in rows)
+    frame = spark.createDataFrame(rows, "pattern string, java string, text string, want boolean")
+    wrong = frame.where(F.rlike("text", F.col("java")) != F.col("want")).collect()
+    assert wrong == []
+
+
+@pytest.mark.parametrize("pattern", REFUSED)
+def test_refused_patterns(pattern):
+    assert java_pattern(pattern) is None
+
+
+def test_java_has_the_last_word(spark):
+    """A name that no rule of syntax forbids, but that Java does not know."""
+    options = [service("a.test", '[{"x":["\\\\p{Nowhere}"]}]'), service("b.test", '[{"x":["\\\\p{Greek}","/{id}","a{,5}"]}]')]
+    rows = validate_services(spark.createDataFrame([(i, "s", a) for i, a in enumerate(options)], ANNOTATED), OPTIONS)
+    assert [r.error for r in rows.orderBy("ord").collect()] == ["regexp does not compile", None]
+    with pytest.raises(InvalidRules):
+        check_rules([RateRule(r"\p{Nowhere}", "", 2.0)])
+    assert check_rules([RateRule(r"\p{Latin}", "web-{x}", 2.0)])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1{}()[]|*+?^$.,\\-:&éQEpPdwsximU<>=!", max_size=12))
+def test_what_is_accepted_java_accepts(spark, pattern):
+    java = java_pattern(pattern)
+    if java is not None and "script=" not in java:
+        spark._jvm.java.util.regex.Pattern.compile(java)
 
 
 @pytest.mark.parametrize(
-    "pattern, found, missed",
+    "pattern, literal",
     [
-        ("[[a]", "x[", "b"),
-        (r"^\C$", "\n", "ab"),
-        ("^[a&&b]+$", "a&b", "c"),
-        ("(?U)^a+$", "aaa", "b"),
-        ("(?iU)^a+$", "AA", "b"),
-        ("a$", "ba", "a\n"),
-        ("(?m)a$", "a\nb", "b"),
-        (r"^[\d-z]+$", "1-z", "a"),
-        ("^a}+$", "a}}", "a"),
-        ("^[a[]b]$", "[b]", "b]"),
-        ("^[]a]+$", "]a", "b"),
-        ("^[^]a]+$", "bc", "b]"),
-    ],
+        ("^/buy", "/buy"), ("abc?d", "ab"), ("ab+cd", "ab"), ("a.bcd", "bcd"), ("a|b", ""), ("(abc)de", "de"), ("x(?:a|b)*yz", "yz"),
+        ("(?i)abc", ""), ("[abc]de{2}", "de"), ("a{0}bc", "bc"), (r"\Qa.b\E", "a.b"), ("", ""), (r"/é\.x", "/é.x"), (r"\bab\b", "ab"),
+    ],
 )
-def test_accepted_patterns_run_and_mean_the_same(spark, pattern, found, missed):
-    java = java_pattern(pattern)
-    rows = spark.createDataFrame([(found, 1), (missed, 0)], "text string, n int")
-    assert [r.n for r in rows.where(F.col("text").rlike(java)).collect()] == [1]
+def test_required_literals(pattern, literal):
+    assert required_literal(java_pattern(pattern)) == literal
+
+
+def test_many_rules_are_found_by_their_text(spark, monkeypatch):
+    """5,000 rules of two services, some without any text: the same labels as the plain search."""
+    rng = random.Random(1)
+    parts = ["/item", "/user", "/{id}", "[0-9]+", ".*", "é", "(a|b)", "x?", "/v1", "-"]
+
+    def rules(n):
+        made = [[f"l{i}", "^" * rng.randrange(2) + "".join(rng.choices(parts, k=3)) + str(rng.randrange(900))] for i in range(n)]
+        made += [["short", "q$"], ["none", "[0-9]{9}"], ["folded", "(?i)ZZZ"]]
+        return json.dumps([{label: [pattern]} for label, pattern in made], ensure_ascii=False)
+
+    catalog = hosts(spark, service("a.test", rules(4000)), service("b.test", rules(1000)))
+    uris = ["".join(rng.choices(["/item", "/user", "/{id}", "12", "7", "é", "a", "b", "x", "/v1", "-", "q", "zzz"], k=6)) for _ in range(400)]
+    uris += ["", "/", "é", "123456789"]
+    requests = spark.createDataFrame([(h, u) for u in uris for h in ("a.test", "b.test")], "host string, uri string")
+    found = indicators(requests, catalog)
+    assert "path_index" in prepared_hosts(catalog)[0].columns
+    plain = label_path(match_service(requests, catalog))
+    key = ["host", "uri", "path"]
+    rows = sorted(map(tuple, found.select(*key).collect()))
+    assert rows == sorted(map(tuple, plain.select(*key).collect()))
+    assert {"", "short", "folded"} < {path for _, _, path in rows} and len({path for _, _, path in rows}) > 8
 
 
 def test_service_files(spark, tmp_path):

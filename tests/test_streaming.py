@@ -1,14 +1,19 @@
 import os
+import random
 import uuid
+from datetime import datetime, timezone
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
-from podlens.options import DeliveryOptions
+from podlens.operators.rates import throttle_delay
+from podlens.options import DeliveryOptions, MetricOptions, ParseOptions, RateOptions
 from podlens.plans import workload
 from podlens.sources.containers import container_catalog_cri
 from podlens.sources.lines import stream_log_lines
+from podlens.streaming.history import CatalogHistory, RefreshingHistory, as_of
+from podlens.streaming.live import LiveOptions, LiveSamples
 from podlens.streaming.jobs import emit_to_sink, stream_records
 from podlens.streaming.refresh import RefreshingTable, RefreshingValue
 from podlens.streaming.sinks import DeliveryKey, FileSink, chunked, deliver_batches, register_sink, send
@@ -328,3 +333,139 @@ def test_workload_lines_all_come_back(spark):
     lines = workload.log_lines(spark, "/root/testdata/sf0.001")
     kept = workload.read_lines(spark, "/root/testdata/sf0.001")
     assert kept.count() == lines.where(F.length("value") > 0).count() < lines.count()
+
+
+def test_history_of_a_catalog(spark, tmp_path):
+    def at(second):
+        return datetime.fromtimestamp(second, timezone.utc)
+
+    def snapshot(**services):
+        return spark.createDataFrame(list(services.items()), "host string, service string")
+
+    history = CatalogHistory(spark, str(tmp_path / "history"))
+    assert history.empty
+    assert history.record(snapshot(a="one", b="two"), at(100))
+    assert not history.record(snapshot(a="one", b="two"), at(150))
+    assert history.record(snapshot(a="other", c="three"), at(200))
+    # Another job with the same folder goes on where this one stopped.
+    history = CatalogHistory(spark, str(tmp_path / "history"))
+    assert history.record(snapshot(a="one", b="two", c="three"), at(300))
+    # A change at the same time replaces what began then.
+    assert history.record(snapshot(a="late", b="two", c="three"), at(300))
+    rows = history.table().select("host", "service", F.unix_seconds("valid_from"), F.unix_seconds("valid_to")).collect()
+    expected = [
+        ("a", "late", 300, None),
+        ("a", "one", None, 200),
+        ("a", "other", 200, 300),
+        ("b", "two", 300, None),
+        ("b", "two", None, 200),
+        ("c", "three", 200, None),
+    ]
+    assert sorted(map(tuple, rows), key=repr) == sorted(expected, key=repr)
+    with pytest.raises(ValueError, match="lies before"):
+        history.record(snapshot(), at(299))
+    moments = [0, 199, 200, 299, 300, 1000, None]
+    events = [(host, None if m is None else at(m)) for host in "abcd" for m in moments]
+    found = as_of(spark.createDataFrame(events, "host string, event_time timestamp"), history.table())
+    got = {(r.host, None if r.event_time is None else int(r.event_time.replace(tzinfo=timezone.utc).timestamp())): r.service for r in found.collect()}
+
+    def truth(host, moment):
+        for h, service, first, last in expected:
+            open_ = moment is None and last is None
+            if h == host and (open_ or (moment is not None and (first is None or moment >= first) and (last is None or moment < last))):
+                return service
+
+    assert got == {(h, m): truth(h, m) for h in "abcd" for m in moments if truth(h, m)}
+    history.forget(at(250))
+    assert history.table().count() == 4
+
+
+def test_history_keeps_the_old_catalog_when_loading_fails(spark, tmp_path):
+    now, loads = [0.0], [spark.createDataFrame([("a", "one")], "host string, service string")]
+
+    def load():
+        if not loads:
+            raise RuntimeError("not available")
+        return loads.pop()
+
+    current = RefreshingHistory(CatalogHistory(spark, str(tmp_path / "h")), load, 60, lambda: now[0])
+    assert current.current().count() == 1
+    now[0] = 30
+    assert current.current().count() == 1 and current.last_error is None
+    now[0] = 60
+    assert current.current().count() == 1 and isinstance(current.last_error, RuntimeError)
+    with pytest.raises(RuntimeError):
+        RefreshingHistory(CatalogHistory(spark, str(tmp_path / "new")), load, 60, lambda: now[0]).current()
+
+
+def bucket_delays(reads, rate, carried=None):
+    """The token bucket one read after the other: how long each waits, and when the bucket is full again."""
+    busy, out = carried, []
+    for arrival, n in reads:
+        wait = 0.0
+        for _ in range(n):
+            busy = max(arrival, busy if busy is not None else arrival) + 1 / rate
+            wait += max(0.0, busy - int(rate) / rate - arrival)
+        out.append(wait)
+    return out, busy
+
+
+def test_throttling_in_parts_equals_the_whole(spark):
+    rng = random.Random(3)
+    rate = 3.5
+    arrivals, at = [], 0.0
+    for _ in range(200):
+        at += rng.choice([0, 0, 0.01, 0.1, 1.5])
+        arrivals.append((at, rng.choice([1, 1, 1, 2, 9])))
+    expected, busy = bucket_delays(arrivals, rate)
+    rows = [("f", i, a, n, rate) for i, (a, n) in enumerate(arrivals)]
+    lines = spark.createDataFrame(rows, "path string, seq long, arrival double, reads long, rate double")
+    whole = {r.seq: r.delay for r in throttle_delay(lines, slice_width=17).collect()}
+    assert [whole[i] for i in range(200)] == pytest.approx(expected, abs=1e-9)
+    got, state = {}, spark.createDataFrame([], "path string, busy_until double")
+    for first in (0, 60, 61, 130):
+        last = {0: 60, 60: 61, 61: 130, 130: 200}[first]
+        part = throttle_delay(lines.where(F.col("seq").between(first, last - 1)), slice_width=17, carried=state)
+        part = part.collect()
+        got |= {r.seq: r.delay for r in part}
+        state = spark.createDataFrame([("f", max(r.busy_until for r in part))], "path string, busy_until double")
+    assert [got[i] for i in range(200)] == pytest.approx(expected, abs=1e-9)
+    assert state.first().busy_until == pytest.approx(busy)
+
+
+def test_live_series_end_with_their_container_and_batches_may_be_repeated(spark, tmp_path):
+    catalog = spark.createDataFrame(
+        [(f"/p{i}", "containerd", f"i{i}", "n", f"p{i}", "c", True) for i in range(2)],
+        "path string, type string, id string, namespace string, pod string, container string, running boolean",
+    )
+    running = [catalog]
+    hosts = spark.createDataFrame(
+        [("h", "s", [("all", ["."])], None, None)],
+        "host string, service string, paths array<struct<label string, regexps array<string>>>, valid_from timestamp, valid_to timestamp",
+    )
+    options = LiveOptions(metrics=MetricOptions(sum_scale=3), rates=RateOptions(1.0), parse=ParseOptions(max_line_bytes=20))
+    live = LiveSamples(spark, str(tmp_path / "live"), lambda: running[0], lambda: hosts, options=options)
+
+    def batch(*lines):
+        return spark.createDataFrame([(p, s, a, "T stdout F " + "x" * n) for p, s, a, n in lines], "path string, seq long, arrival double, value string")
+
+    live.update(batch(("/p0", 1, 0.0, 5), ("/p0", 2, 0.0, 5), ("/p1", 1, 0.0, 40)), 0)
+
+    def state(number):
+        return {r.pod: r.value for r in live.throttling(number).collect()}
+
+    def messages(number):
+        return {r.pod: r.value for r in live.totals(number).where("metric = 'log_message_count'").collect()}
+
+    # A line of 51 bytes is read in three pieces, so it takes three tokens.
+    assert state(0) == {"p0": 1.0, "p1": 3.0} and messages(0) == {"p0": 2.0, "p1": 3.0}
+    for _ in range(2):
+        live.update(batch(("/p0", 3, 0.0, 5), ("/unknown", 1, 0.0, 5)), 1)
+        assert state(1) == {"p0": 3.0, "p1": 3.0} and messages(1) == {"p0": 3.0, "p1": 3.0, None: 1.0}
+    running[0] = catalog.where("pod = 'p1'")
+    live.update(batch(("/p1", 2, 100.0, 5)), 2)
+    assert state(2) == {"p1": 3.0}
+    # Back again, it begins at nothing.
+    running[0] = catalog
+    live.update(batch(("/p0", 4, 0.0, 5), ("/p0", 5, 0.0, 5)), 3)
+    assert state(3) == {"p0": 1.0, "p1": 3.0}
