@@ -389,14 +389,12 @@ SELECT CAST(floor({MICROS} / 172800000000) * 172800 AS BIGINT) AS epoch_start, s
     "samples": f"WITH {W}, {_REPLAY} {_SAMPLES}",
     "resolved_rates_long_list": """
 WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 7 END AS ns FROM orders),
-p AS (SELECT c_custkey AS k FROM customer WHERE c_custkey <= 300),
--- A rule for a pod alone also finds the pods whose number starts with its own; the first in the list counts.
-q AS (SELECT o_orderkey, min(k) AS k FROM o JOIN p ON starts_with(CAST(o_custkey AS VARCHAR), CAST(k AS VARCHAR)) GROUP BY o_orderkey)
-SELECT o.o_orderkey, CAST(CASE
-    WHEN own.k % 2 = 0 AND ns = own.k % 7 THEN own.k + 1
-    WHEN own.k % 2 = 1 THEN own.k + 1
-    WHEN q.k IS NOT NULL THEN 7 ELSE 1000 END AS DOUBLE) AS rate
-FROM o LEFT JOIN p own ON own.k = o_custkey LEFT JOIN q USING (o_orderkey)""",
+p AS (SELECT DISTINCT CAST(left(CAST(c_custkey AS VARCHAR), 3) AS BIGINT) AS k FROM customer),
+-- A rule finds all pods whose number starts with its own; the first in the list counts, those with a namespace before the others.
+q AS (SELECT o_orderkey, min(k) FILTER (WHERE k % 2 = 0 AND ns = k % 7) AS pair, min(k) FILTER (WHERE k % 2 = 1) AS own, count(*) AS n
+  FROM o JOIN p ON starts_with(CAST(o_custkey AS VARCHAR), CAST(k AS VARCHAR)) GROUP BY o_orderkey)
+SELECT o.o_orderkey, CAST(coalesce(pair + 1, own + 1, CASE WHEN n > 0 THEN 7 END, 1000) AS DOUBLE) AS rate
+FROM o LEFT JOIN q USING (o_orderkey)""",
     "request_time_close_buckets": _w(
         f"SELECT method, service, path, le, value FROM ({_histogram('request_time', _CLOSE_BUCKETS)})"
     ),
@@ -411,6 +409,34 @@ FROM d WHERE namespace <> 'ns3' GROUP BY namespace, pod, container""",
     "streamed_metrics": _w(f"""
 SELECT CAST(floor({MICROS} / 172800000000) * 172800 AS BIGINT) AS epoch_start, request_method AS method, service, path,
   CAST(status AS VARCHAR) AS status, count(*) AS value FROM h GROUP BY ALL"""),
+    "scan_lines_pruned": f"SELECT * FROM ({_SEGMENTS.replace('FROM l GROUP', "FROM l WHERE format = 'docker' AND container = 'c1' GROUP")})",
+    "stream_lines_pruned": f"SELECT * FROM ({_SEGMENTS.replace('FROM l GROUP', "FROM l WHERE format = 'docker' AND container = 'c1' GROUP")})",
+    "inventory_changes": """
+WITH s AS (
+  SELECT c_custkey AS k, t, (c_custkey + 2 * t) % 5 <> 0 AS here, c_custkey % 4 <> 0 OR t < c_custkey % 3 AS runs
+  FROM customer, (VALUES (0), (1), (2)) v(t)),
+-- The first snapshot starts all; after that a path is followed, or ignored once it was seen not running while followed.
+a AS (SELECT k, here AS followed, false AS ignored FROM s WHERE t = 0),
+b AS (
+  SELECT s.k, here, runs, followed, ignored, here AND NOT followed AND NOT ignored AS started, followed AND here AND NOT runs AS finished
+  FROM a JOIN s ON s.k = a.k AND t = 1),
+c AS (
+  SELECT k, here AND (followed AND runs OR started) AS followed, here AND (ignored OR finished) AS ignored,
+    here AND (followed OR ignored OR started) AS known FROM b),
+d AS (
+  SELECT s.k, here, runs, followed, ignored, known, here AND NOT followed AND NOT ignored AS started,
+    followed AND here AND NOT runs AS finished FROM c JOIN s ON s.k = c.k AND t = 2),
+e AS (
+  SELECT 0 AS turn, k, 'started' AS change FROM a WHERE followed
+  UNION ALL SELECT 1, k, 'started' FROM b WHERE started
+  UNION ALL SELECT 1, k, 'finished' FROM b WHERE finished
+  UNION ALL SELECT 1, k, unnest(['stopped', 'orphaned']) FROM b WHERE followed AND NOT here
+  UNION ALL SELECT 2, k, 'started' FROM d WHERE started
+  UNION ALL SELECT 2, k, 'finished' FROM d WHERE finished
+  UNION ALL SELECT 2, k, 'stopped' FROM d WHERE followed AND NOT here
+  UNION ALL SELECT 2, k, 'orphaned' FROM d WHERE known AND NOT here
+  UNION ALL SELECT 2, k, 'unignored' FROM d WHERE ignored AND NOT here)
+SELECT turn, '/logs/' || CAST(k AS VARCHAR) AS path, change FROM e""",
     "streamed_outputs": f"WITH {_JOURNAL}, {W} SELECT value, count(*) AS n FROM ({_RECORD} UNION ALL {_JOURNAL_JSON}) GROUP BY value",
     "live_samples": f"WITH {W}, {_REPLAY} {_SAMPLES}",
     "live_counts_by_version": f"""WITH {W}, {_versions(5)}

@@ -76,14 +76,15 @@ from podlens.sources.containers import (
     source_inventory_diff,
 )
 from podlens.sources.journal import journal_rows, scan_journal_export
-from podlens.sources.lines import scan_log_lines, split_oversize_lines, stream_log_lines
+from podlens.sources.lines import scan_log_lines, scan_partitioned_lines, split_oversize_lines, stream_log_lines
 from podlens.sources.rules import check_rules, load_rate_rules, rules_from_table
 from podlens.sources.services import load_exported_services, load_service_annotations
 from podlens.streaming.jobs import emit_to_sink, stream_indicators, stream_metrics, stream_records
 from podlens.streaming.history import CatalogHistory, RefreshingHistory, indicators_as_of
+from podlens.streaming.inventory import LiveInventory
 from podlens.streaming.live import LiveOptions, LiveSamples, stream_samples
 from podlens.streaming.refresh import RefreshingTable
-from podlens.streaming.sinks import FileSink, deliver_batches, register_sink
+from podlens.streaming.sinks import FileSink, deliver_batches, published_messages, register_sink
 from podlens.streaming.tail import stream_tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,21 @@ def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_folder(scan_log_lines(spark, workload.write_segments(spark, sf_dir)))
 
 
+@query
+def scan_lines_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one format and container; the other folders are not listed."""
+    lines = scan_partitioned_lines(spark, workload.write_segments(spark, sf_dir), ["format", "folder", "container"])
+    return _by_folder(lines.where((F.col("format") == "docker") & (F.col("container") == "c1")))
+
+
+@query
+def stream_lines_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream."""
+    root = workload.write_segments(spark, sf_dir)
+    lines = scan_partitioned_lines(spark, root, ["format", "folder", "container"], stream=True)
+    return _by_folder(_run_to_parquet(spark, lines.where((F.col("format") == "docker") & (F.col("container") == "c1"))))
+
+
 @query
 def split_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = workload.table(spark, sf_dir, "documents")
@@ -247,6 +263,21 @@ def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_inventory_diff(ledger, catalog, followed, ignored)
 
 
+@query
+def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes over three snapshots of containers that come, end, go and come back."""
+    customers = workload.table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    inventory, parts = LiveInventory(spark, scratch_dir(spark, "inventory")), []
+    for turn in range(3):
+        present = (key + 2 * turn) % 5 != 0
+        catalog = customers.where(present).select(
+            F.concat(F.lit("/logs/"), key).alias("path"), ((key % 4 != 0) | F.lit(turn < key % 3)).alias("running")
+        )
+        parts.append(inventory.observe(catalog, turn).select(F.lit(turn).alias("turn"), "path", "change"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _journal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export lines: a unit for every type but clicks, and a time that is no number for errors."""
     events = ensure_parallel(workload.table(spark, sf_dir, "events"), "event_id")
@@ -692,18 +723,19 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolved_rates_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rules for each of many customers, over orders, some without a namespace."""
-    customers = workload.table(spark, sf_dir, "customer").where(F.col("c_custkey") <= 300)
-    rules = customers.select(
-        F.col("c_custkey").alias("ord"),
-        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("^ns"), F.col("c_custkey") % 7, F.lit("$"))).alias("namespace"),
-        F.concat(F.lit("^pod-"), F.col("c_custkey"), F.lit("$")).alias("pod"),
-        (F.col("c_custkey") + 1).cast("double").alias("rate"),
-    )
-    more = customers.select(
-        (F.col("c_custkey") + 1000).alias("ord"),
+    """Two rules for each beginning of a customer's number, over orders, some without a namespace."""
+    key = F.col("c_custkey").cast("string")
+    begins = workload.table(spark, sf_dir, "customer").select(F.substring(key, 1, 3).cast("long").alias("k")).distinct()
+    rules = begins.select(
+        F.col("k").alias("ord"),
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit("^ns"), F.col("k") % 7, F.lit("$"))).alias("namespace"),
+        F.concat(F.lit("^pod-"), F.col("k")).alias("pod"),
+        (F.col("k") + 1).cast("double").alias("rate"),
+    )
+    more = begins.select(
+        (F.col("k") + 1000).alias("ord"),
         F.lit(None).cast("string").alias("namespace"),
-        F.concat(F.lit("^pod-"), F.col("c_custkey")).alias("pod"),
+        F.concat(F.lit("^pod-"), F.col("k")).alias("pod"),
         F.lit(7.0).alias("rate"),
     )
     orders = workload.table(spark, sf_dir, "orders")
@@ -749,8 +781,7 @@ def throttling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delivered(spark: SparkSession, folder: str) -> DataFrame:
-    lines = spark.read.option("recursiveFileLookup", True).text(folder)
-    return lines.groupBy("value").agg(F.count("*").alias("n"))
+    return published_messages(spark, folder).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query

@@ -25,6 +25,13 @@ def local_path(uri: Column) -> Column:
     )
 
 
+def row_path() -> Column:
+    """The path of the file that a row was read from. Spark gives it as a URI, with signs escaped."""
+    uri = F.col("_metadata.file_path")
+    plain = F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return local_path(F.when(F.contains(uri, F.lit("%")), F.coalesce(plain, uri)).otherwise(uri))
+
+
 def _label(name: str) -> Column:
     return F.coalesce(F.col("labels")[name], F.lit(""))
 
@@ -41,7 +48,7 @@ def container_catalog_docker(
     ``logs`` lists the log paths; without it each container has the one log ``<id>-json.log``.
     """
     configs = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(config_glob)
-    file = local_path(F.col("_metadata.file_path"))
+    file = row_path()
     found = configs.select("*", _folder(file).alias("_folder")).where(F.col("ID").isNotNull())
     if logs is None:
         found = found.withColumn("path", F.concat("_folder", F.lit("/"), "ID", F.lit("-json.log")))

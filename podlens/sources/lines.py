@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podlens.sources.containers import local_path
+from podlens.sources.containers import cri_columns, row_path
 
 
-def _lines(raw: DataFrame) -> DataFrame:
+def _lines(raw: DataFrame, *columns: str) -> DataFrame:
     """Cut one carriage return off the end of each line and leave out the empty lines."""
     value = F.col("value")
     cut = F.when(F.endswith(value, F.lit("\r")), F.substring(value, F.lit(1), F.length(value) - 1))
-    return raw.select(
-        F.coalesce(cut, value).alias("value"), local_path(F.col("_metadata.file_path")).alias("path")
-    ).where(F.length("value") > 0)
+    return raw.select(F.coalesce(cut, value).alias("value"), row_path().alias("path"), *columns).where(F.length("value") > 0)
 
 
 def scan_log_lines(spark: SparkSession, glob: str | list[str]) -> DataFrame:
@@ -26,6 +26,47 @@ def scan_log_lines(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     return _lines(spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(glob))
 
 
+def scan_partitioned_lines(spark: SparkSession, root: str, columns: list[str], stream: bool = False) -> DataFrame:
+    """The same for folders named ``column=value``, with these columns, in batch or as a stream.
+
+    Filters on the columns choose folders before any file in them is listed or opened.
+    """
+    schema = ", ".join(["value string", *(f"`{name}` string" for name in columns)])
+    reader = (spark.readStream if stream else spark.read).schema(schema).option("lineSep", "\n")
+    return _lines(reader.text(root), *columns)
+
+
+def _glob_text(text: str | None) -> str:
+    """A name for a glob, with its special signs escaped; any name for None."""
+    return "*" if text is None else re.sub(r"([\\*?\[\]{},^])", r"\\\1", text)
+
+
+def pod_log_glob(
+    root: str, namespace: str | None = None, pod: str | None = None, container: str | None = None
+) -> str:
+    """The logs below a root of pod folders (``namespace_pod_id/container/*.log``) of the given names only.
+
+    What is not asked for is not listed, so a scan of one namespace costs what that namespace has.
+    """
+    folder = f"{_glob_text(namespace)}_{_glob_text(pod)}_*"
+    return f"{root.rstrip('/')}/{folder}/{_glob_text(container)}/*.log"
+
+
+def scan_pod_lines(
+    spark: SparkSession,
+    root: str,
+    namespace: str | None = None,
+    pod: str | None = None,
+    container: str | None = None,
+) -> DataFrame:
+    """Lines of pod logs with ``namespace``, ``pod``, ``container`` and ``id`` out of their paths.
+
+    Names of a namespace or pod do not hold underscores, so the template finds each in its place.
+    """
+    raw = spark.read.option("lineSep", "\n").text(pod_log_glob(root, namespace, pod, container))
+    return _lines(raw).select("*", *cri_columns("path"))
+
+
 def stream_log_lines(
     spark: SparkSession, glob: str, max_files: int | None = 1000, modified_after: str | None = None
 ) -> DataFrame:

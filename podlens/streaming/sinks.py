@@ -2,12 +2,13 @@
 
 A sink is built on the executor by a factory without arguments. Every chunk of messages carries a
 key. A repeated task sends the same keys again; a repeated micro-batch may be dealt into other
-partitions, so after all its tasks the sink is told which keys count, and drops the others.
+partitions, so after all its tasks the sink is told which keys count, and makes just those visible.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +17,9 @@ from typing import NamedTuple, Protocol
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceStreamWriter,
@@ -25,19 +28,28 @@ from pyspark.sql.datasource import (
 )
 
 from podlens.options import DeliveryOptions
-from podlens.session import pickle_by_value
+from podlens.session import pickle_by_value, scratch_dir, small_side
 
 
 class DeliveryKey(NamedTuple):
     """Names one chunk of messages: job, micro-batch, partition and number within it.
 
-    The job must differ between any two writers of one target: runs, streams and checkpoints.
+    The job must differ between any two writers of one target: runs, streams and checkpoints. Two
+    attempts of one task send the same chunks under different ``attempt`` names.
     """
 
     job: str
     batch: int
     partition: int
     chunk: int
+    attempt: str = ""
+
+
+class Sent(NamedTuple):
+    """How many chunks of a partition count, and which attempt of its task sent them."""
+
+    chunks: int
+    attempt: str = ""
 
 
 class Sink(Protocol):
@@ -45,10 +57,10 @@ class Sink(Protocol):
 
     def deliver(self, messages: list[str], key: DeliveryKey) -> None: ...
 
-    def finish(self, job: str, batch: int, chunks: dict[int, int]) -> None:
-        """Called on the driver once all tasks of a batch are done, with the chunks of each partition.
+    def finish(self, job: str, batch: int, sent: dict[int, Sent]) -> None:
+        """Called on the driver once all tasks of a batch are done, with what counts of each partition.
 
-        A sink that can takes back what earlier attempts of the batch have sent beyond these.
+        Until then nothing of the batch should be visible to readers; afterwards exactly this should be.
         """
 
     def close(self) -> None: ...
@@ -72,6 +84,7 @@ def send(
     batch: int,
     partition: int,
     options: DeliveryOptions,
+    attempt_id: str = "",
 ) -> tuple[int, int]:
     """Send one partition in chunks; a failed chunk is kept and tried again before the task fails.
 
@@ -81,7 +94,7 @@ def send(
     sent = chunks = 0
     try:
         for chunk, part in enumerate(chunked(messages, options.batch_size)):
-            key = DeliveryKey(job, batch, partition, chunk)
+            key = DeliveryKey(job, batch, partition, chunk, attempt_id)
             for attempt in range(1, options.max_attempts + 1):
                 try:
                     sink.deliver(part, key)
@@ -96,10 +109,10 @@ def send(
     return sent, chunks
 
 
-def finish(open_sink: Callable[[], Sink], job: str, batch: int, chunks: dict[int, int]) -> None:
+def finish(open_sink: Callable[[], Sink], job: str, batch: int, sent: dict[int, Sent]) -> None:
     sink = open_sink()
     try:
-        sink.finish(job, batch, chunks)
+        sink.finish(job, batch, sent)
     finally:
         sink.close()
 
@@ -121,20 +134,26 @@ def deliver_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (value for b in batches for value in b.column(0).to_pylist())
         partition = TaskContext.get().partitionId()
-        sent, chunks = send(open_sink, texts, job, batch, partition, options)
-        yield pa.RecordBatch.from_pydict({"partition": [partition], "chunks": [chunks], "sent": [sent]})
+        attempt = uuid.uuid4().hex
+        sent, chunks = send(open_sink, texts, job, batch, partition, options, attempt)
+        row = {"partition": [partition], "chunks": [chunks], "sent": [sent], "attempt": [attempt]}
+        yield pa.RecordBatch.from_pydict(row)
 
     # One row for each partition.
-    rows = messages.select("value").mapInArrow(run, "partition long, chunks long, sent long").collect()
-    finish(open_sink, job, batch, {row["partition"]: row["chunks"] for row in rows})
+    schema = "partition long, chunks long, sent long, attempt string"
+    rows = messages.select("value").mapInArrow(run, schema).collect()
+    finish(open_sink, job, batch, {row["partition"]: Sent(row["chunks"], row["attempt"]) for row in rows})
     return sum(row["sent"] for row in rows)
 
 
 class FileSink:
-    """Writes every chunk to a file named by its key, in a folder for each job and batch.
+    """Writes every chunk to a file of its own and publishes a batch by a manifest that names its files.
 
-    A repeated chunk replaces itself; files of earlier attempts of a batch go when it is finished.
-    The folder may be a path or a URI of any file system that Arrow knows.
+    The manifest is put in place by one rename, so a reader of :func:`published_messages` sees all of a
+    batch or nothing, and of a repeated batch the old messages or the new ones. Chunks lie in
+    ``chunks/job=/batch=``, manifests in ``published/job=``; the manifest of a batch is replaced when the batch is
+    repeated, and files that no longer count are removed. The folder may be a path or a URI of any file
+    system that Arrow knows and that renames files at once.
     """
 
     def __init__(self, folder: str) -> None:
@@ -142,31 +161,54 @@ class FileSink:
         self._files.create_dir(self._folder, recursive=True)
 
     def _place(self, job: str, batch: int) -> str:
-        return f"{self._folder}/job={job}/batch={batch}"
+        return f"{self._folder}/chunks/job={job}/batch={batch}"
 
-    def deliver(self, messages: list[str], key: DeliveryKey) -> None:
-        place = self._place(key.job, key.batch)
+    def _put(self, place: str, name: str, content: bytes) -> None:
         self._files.create_dir(place, recursive=True)
-        name = f"{key.partition}-{key.chunk}.txt"
         temporary = f"{place}/.{name}.{uuid.uuid4().hex}"
         with self._files.open_output_stream(temporary) as file:
-            file.write("".join(f"{message}\n" for message in messages).encode())
+            file.write(content)
         self._files.move(temporary, f"{place}/{name}")
 
-    def finish(self, job: str, batch: int, chunks: dict[int, int]) -> None:
-        found = self._files.get_file_info(fs.FileSelector(self._place(job, batch), allow_not_found=True))
-        for file in found:
-            partition, _, chunk = file.base_name.removesuffix(".txt").partition("-")
-            if file.base_name.startswith(".") or int(chunk) >= chunks.get(int(partition), 0):
+    def deliver(self, messages: list[str], key: DeliveryKey) -> None:
+        name = f"{key.partition}-{key.chunk}-{key.attempt}.txt"
+        self._put(self._place(key.job, key.batch), name, "".join(f"{message}\n" for message in messages).encode())
+
+    def finish(self, job: str, batch: int, sent: dict[int, Sent]) -> None:
+        names = {f"{partition}-{chunk}-{one.attempt}.txt" for partition, one in sent.items() for chunk in range(one.chunks)}
+        place = self._place(job, batch)
+        rows = "".join(json.dumps({"job": job, "batch": batch, "file": f"job={job}/batch={batch}/{name}"}) + "\n" for name in sorted(names))
+        self._put(f"{self._folder}/published/job={job}", f"{batch}.json", rows.encode())
+        for file in self._files.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+            if file.base_name not in names:
                 self._files.delete_file(file.path)
 
     def close(self) -> None:
         """Nothing is held open."""
 
 
+def published_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """``(job, batch, value)`` of the messages in the published batches of a :class:`FileSink`.
+
+    The manifests are read first and stored; of the files listed after that only those they name are read.
+    """
+    root = folder.rstrip("/")
+    nothing = spark.createDataFrame([], "job string, batch long, value string")
+    try:
+        manifests = spark.read.schema("file string").json(f"{root}/published/*/*.json")
+    except AnalysisException:
+        return nothing  # no batch yet
+    stored = scratch_dir(spark, "manifests")
+    manifests.write.parquet(stored)
+    named = small_side(spark.read.schema("file string").parquet(stored))
+    rows = spark.read.schema("value string, job string, batch long").text(f"{root}/chunks")
+    place = F.concat_ws("/", *[F.element_at(F.split(F.col("_metadata.file_path"), "/"), -i) for i in (3, 2, 1)])
+    return rows.select("job", "batch", "value", place.alias("file")).join(named, "file", "left_semi").drop("file")
+
+
 class _Sent(WriterCommitMessage):
-    def __init__(self, job: str, batch: int, partition: int, chunks: int) -> None:
-        self.job, self.batch, self.partition, self.chunks = job, batch, partition, chunks
+    def __init__(self, job: str, batch: int, partition: int, sent: Sent) -> None:
+        self.job, self.batch, self.partition, self.sent = job, batch, partition, sent
 
 
 class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
@@ -190,8 +232,9 @@ class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
             raise ValueError("option job is needed: the name of this run")
         texts = (row["value"] for row in iterator)
         partition = context.partitionId()
-        _, chunks = send(self.open_sink, texts, job, batch, partition, self.delivery)
-        return _Sent(job, batch, partition, chunks)
+        attempt = uuid.uuid4().hex
+        _, chunks = send(self.open_sink, texts, job, batch, partition, self.delivery, attempt)
+        return _Sent(job, batch, partition, Sent(chunks, attempt))
 
     def open_sink(self) -> Sink:
         module, _, name = self.factory.partition(":")
@@ -202,8 +245,8 @@ class _SinkWriter(DataSourceWriter, DataSourceStreamWriter):
         """All tasks are done: the sink drops what earlier attempts of the batch left."""
         done = [message for message in messages if message is not None]
         if done:
-            chunks = {message.partition: message.chunks for message in done}
-            finish(self.open_sink, done[0].job, done[0].batch, chunks)
+            sent = {message.partition: message.sent for message in done}
+            finish(self.open_sink, done[0].job, done[0].batch, sent)
 
     def abort(self, messages, batchId=None) -> None:  # noqa: N803 (interface name)
         """Sent chunks stay until the batch is repeated and finished."""

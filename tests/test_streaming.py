@@ -7,16 +7,27 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
+from podlens import names
 from podlens.operators.rates import throttle_delay
 from podlens.options import DeliveryOptions, MetricOptions, ParseOptions, RateOptions
 from podlens.plans import workload
 from podlens.sources.containers import container_catalog_cri
-from podlens.sources.lines import stream_log_lines
+from podlens.sources.lines import scan_partitioned_lines, scan_pod_lines, stream_log_lines
 from podlens.streaming.history import CatalogHistory, RefreshingHistory, as_of
+from podlens.streaming.inventory import LiveInventory, inventory_step
 from podlens.streaming.live import LiveOptions, LiveSamples
 from podlens.streaming.jobs import emit_to_sink, stream_records
 from podlens.streaming.refresh import RefreshingTable, RefreshingValue
-from podlens.streaming.sinks import DeliveryKey, FileSink, chunked, deliver_batches, register_sink, send
+from podlens.streaming.sinks import (
+    DeliveryKey,
+    FileSink,
+    Sent,
+    chunked,
+    deliver_batches,
+    published_messages,
+    register_sink,
+    send,
+)
 from podlens.streaming.tail import Cursor, TailReader, last_line_end, parse_cursor, stream_tail
 
 
@@ -469,3 +480,110 @@ def test_live_series_end_with_their_container_and_batches_may_be_repeated(spark,
     running[0] = catalog
     live.update(batch(("/p0", 4, 0.0, 5), ("/p0", 5, 0.0, 5)), 3)
     assert state(3) == {"p0": 1.0, "p1": 3.0}
+
+
+def published(spark, folder):
+    return sorted(row.value for row in published_messages(spark, str(folder)).collect())
+
+
+def test_readers_see_whole_batches_only(spark, tmp_path):
+    messages = spark.range(300).selectExpr("cast(id as string) value").repartition(3, "value")
+    expected = sorted(str(i) for i in range(300))
+
+    class Broken(FileSink):
+        """Sends its chunks, and fails before the batch is published."""
+
+        def finish(self, job, batch, sent):
+            raise ConnectionError("the job broke off")
+
+    good, options = partial(FileSink, str(tmp_path)), DeliveryOptions(batch_size=20)
+    broken = partial(Broken, str(tmp_path))
+    assert published(spark, tmp_path) == []
+    with pytest.raises(ConnectionError):
+        deliver_batches(messages, broken, "j", options, 0)
+    # All chunks were sent, but nothing is published.
+    assert len(sink_lines(tmp_path)) == 300 and published(spark, tmp_path) == []
+    deliver_batches(messages.repartition(2), good, "j", options, 0)
+    assert published(spark, tmp_path) == expected and sink_lines(tmp_path) == expected
+    # While a repeated batch is sent anew, readers go on seeing the one that was published.
+    with pytest.raises(ConnectionError):
+        deliver_batches(messages.repartition(5), broken, "j", options, 0)
+    assert len(sink_lines(tmp_path)) == 600 and published(spark, tmp_path) == expected
+    deliver_batches(messages, good, "j", options, 0)
+    deliver_batches(messages.limit(0), good, "j", options, 1)
+    deliver_batches(messages, good, "k", options, 0)
+    assert published(spark, tmp_path) == sorted(expected * 2)
+    rows = published_messages(spark, str(tmp_path)).groupBy("job", "batch").count().collect()
+    assert sorted(map(tuple, rows)) == [("j", 0, 300), ("k", 0, 300)]
+
+
+def test_two_attempts_of_a_task_do_not_mix(tmp_path):
+    sink = FileSink(str(tmp_path))
+    for attempt, texts in (("slow", ["a", "b", "c"]), ("fast", ["c", "a"])):
+        for i, text in enumerate(texts):
+            sink.deliver([text], DeliveryKey("j", 0, 0, i, attempt))
+    sink.deliver(["late"], DeliveryKey("j", 0, 0, 0, "slow"))
+    sink.finish("j", 0, {0: Sent(2, "fast")})
+    assert sink_lines(tmp_path) == ["a", "c"]
+
+
+def test_inventory_over_snapshots(spark, tmp_path):
+    inventory = LiveInventory(spark, str(tmp_path / "inventory"))
+
+    def observe(turn, **running):
+        rows = [(name, flag) for name, flag in running.items()]
+        found = inventory.observe(spark.createDataFrame(rows, "path string, running boolean"), turn)
+        return sorted(map(tuple, found.collect()))
+
+    assert observe(0, a=True, b=True, c=False) == [("a", "started"), ("b", "started"), ("c", "started")]
+    for _ in range(2):
+        # A repeated snapshot gives the same changes.
+        assert observe(1, a=True, b=False, c=False) == [("b", "finished"), ("c", "finished")]
+    # What is ignored is not started again while it is there.
+    assert observe(2, a=True, b=True) == [("c", "orphaned"), ("c", "unignored")]
+    assert observe(3, b=False, c=True) == [("a", "orphaned"), ("a", "stopped"), ("c", "started")]
+    assert observe(4) == [("b", "orphaned"), ("b", "unignored"), ("c", "orphaned"), ("c", "stopped")]
+    assert observe(5, b=True) == [("b", "started")]
+    assert [row.path for row in inventory.followed(5).collect()] == ["b"]
+    with pytest.raises(LookupError):
+        inventory.observe(spark.createDataFrame([], "path string, running boolean"), 9)
+
+
+def test_the_position_of_the_journal_is_no_orphan(spark):
+    state = spark.createDataFrame([(names.JOURNAL_LEDGER_KEY, True, False, False)], "path string, known boolean, followed boolean, ignored boolean")
+    rows = inventory_step(state, spark.createDataFrame([], "path string, running boolean")).collect()
+    assert [(r.path, r.known, r.changes) for r in rows] == [(names.JOURNAL_LEDGER_KEY, True, [])]
+
+
+def test_filters_on_folders_reach_the_listing(spark, tmp_path, capsys):
+    for kind in ("docker", "containerd"):
+        for n in range(3):
+            folder = tmp_path / "logs" / f"format={kind}" / f"container=c{n}"
+            folder.mkdir(parents=True)
+            (folder / "0.log").write_text(f"{kind} {n}\r\n\n")
+    lines = scan_partitioned_lines(spark, str(tmp_path / "logs"), ["format", "container"])
+    assert lines.count() == 6
+    some = lines.where("format = 'docker' and container = 'c2'")
+    assert [(r.value, r.format, r.container) for r in some.collect()] == [("docker 2", "docker", "c2")]
+    some.explain("formatted")
+    shown = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(format" in shown and "(container" in shown.split("PartitionFilters")[1]
+
+
+def test_pod_logs_by_name(spark, tmp_path):
+    for folder, container in (("n1_p1_i", "a"), ("n1_p2_i", "a"), ("n2_p1_i", "b[1]"), ("n1x_p1_i", "a")):
+        at = tmp_path / folder / container
+        at.mkdir(parents=True)
+        (at / "0.log").write_text(f"{folder}/{container}\n")
+        (at / "0.log.gz").write_text("not a log")
+
+    def found(**chosen):
+        lines = scan_pod_lines(spark, str(tmp_path), **chosen)
+        assert all(r.value == f"{r.namespace}_{r.pod}_{r.id}/{r.container}" for r in lines.collect())
+        return sorted(r.value for r in lines.collect())
+
+    assert len(found()) == 4
+    assert found(namespace="n1") == ["n1_p1_i/a", "n1_p2_i/a"]
+    assert found(pod="p1", container="a") == ["n1_p1_i/a", "n1x_p1_i/a"]
+    assert found(container="b[1]") == ["n2_p1_i/b[1]"]
+    assert len(scan_pod_lines(spark, str(tmp_path), namespace="n1").inputFiles()) == 2
