@@ -276,6 +276,7 @@ ORACLES: dict[str, str] = {
     "scan_lines": _SEGMENTS,
     "stream_lines": _SEGMENTS,
     "tail_lines": _SEGMENTS,
+    "tail_growing_lines": _SEGMENTS,
     "split_oversize": """
 WITH d AS (SELECT doc_id, text, octet_length(encode(text)) AS n, octet_length(encode(text)) = length(text) AS ascii
            FROM documents WHERE length(text) > 0),

@@ -82,6 +82,7 @@ from podlens.sources.services import load_exported_services, load_service_annota
 from podlens.streaming.jobs import emit_to_sink, stream_indicators, stream_metrics, stream_records
 from podlens.streaming.history import CatalogHistory, RefreshingHistory, indicators_as_of
 from podlens.streaming.inventory import LiveInventory
+from podlens.streaming.ledger_tail import stream_tail_ledger
 from podlens.streaming.live import LiveOptions, LiveSamples, stream_samples
 from podlens.streaming.refresh import RefreshingTable
 from podlens.streaming.sinks import FileSink, deliver_batches, published_messages, register_sink
@@ -184,6 +185,18 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_folder(_run_to_parquet(spark, stream))
 
 
+@query
+def tail_growing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that grow, are rotated and are emptied between the batches of a stream with a ledger."""
+    root, out = scratch_dir(spark, "logs").removeprefix("file:"), scratch_dir(spark, "tail")
+    for phase in range(3):
+        workload.grow_logs(spark, sf_dir, root, phase, 3)
+        lines = stream_tail_ledger(spark, f"{root}/*/*/*.log", f"{out}/ledger", shards=4)
+        writer = lines.writeStream.option("checkpointLocation", f"{out}/checkpoint").format("parquet")
+        writer.trigger(availableNow=True).start(f"{out}/data").awaitTermination()
+    return _by_folder(spark.read.parquet(f"{out}/data"))
+
+
 @query
 def catalog_docker(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = workload.table(spark, sf_dir, "supplier")

@@ -6,6 +6,8 @@ of its rows as a Docker or CRI line; a reader of the specification knows every f
 
 from __future__ import annotations
 
+import os
+import zlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,6 +153,41 @@ def write_segments(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def grow_logs(spark: SparkSession, sf_dir: str, root: str, phase: int, phases: int) -> None:
+    """Write the lines of one phase to log files, a folder for each format and pod, as containers do.
+
+    From the second phase on some files grow, some are renamed and begun anew, and some are emptied first.
+    """
+    lines = log_lines(spark, sf_dir).where(F.col("event_id") % phases == phase)
+    file = F.concat_ws(
+        "/",
+        F.concat(F.lit("format="), "format"),
+        F.concat(F.lit("folder="), F.concat_ws("_", "namespace", "pod", "id")),
+        F.concat("container", F.lit(".log")),
+    )
+    rows = lines.select(file.alias("file"), "event_id", "value").repartition("file")
+
+    def write(batches):
+        current, target = None, None
+        for batch in batches:
+            for name, value in zip(batch["file"].to_pylist(), batch["value"].to_pylist()):
+                if name != current:
+                    if target:
+                        target.close()
+                    current, path = name, f"{root}/{name}"
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    turn = zlib.crc32(name.encode()) % 3
+                    if phase and turn == 1:
+                        os.rename(path, f"{path}.{phase}")
+                    target = open(path, "wb" if turn == 2 else "ab")
+                target.write(value.encode() + b"\n")
+        if target:
+            target.close()
+        yield from ()
+
+    rows.sortWithinPartitions("file", "event_id").mapInArrow(write, "file string").collect()
+
+
 def buckets(spark: SparkSession, sf_dir: str, days: int) -> range:
     """The numbers of the spans of so many days, counted from the epoch, that the events lie in."""
     number = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (days * 86400))
