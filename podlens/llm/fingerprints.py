@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from podlens.llm.arrow_text import mix, text_buffers
 from podlens.llm.tables import pieces, prepare, text_bytes
@@ -111,10 +112,15 @@ def with_successors(docs: DataFrame) -> DataFrame:
     range, one number for each 16 MB of text.
     """
     n = pieces(text_bytes(docs), RANGE_BYTES, 16)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    # Ids are ordered as numbers or else as texts, with null before all of them.
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    else:
+        key = F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit(""))
     rows = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id())
-    lows = np.array(sorted(row[1] for row in ranged.agg(F.min("key")).collect()), np.int64)
+    lows = sorted(row[1] for row in ranged.agg(F.min("key")).collect())
+    lows = np.array(lows, np.int64 if not lows or isinstance(lows[0], int) else object)
 
     @F.pandas_udf("array<int>")
     def parts(keys: pd.Series) -> pd.Series:
@@ -135,8 +141,8 @@ def edited_fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
     """Fingerprints of each text and of the text with its last quarter replaced, and their likeness.
 
     The last ``floor(n / 4)`` code points give way to the first as many of the document with the next
-    larger id (or to all of it); the largest id is followed by the smallest. A null text counts as
-    empty. A null id comes before all others. Rows that repeat an id follow one another, ordered by a
+    larger id (or to all of it); the largest id is followed by the smallest. Ids that are no integers are
+    ordered as texts. A null text counts as empty. A null id comes before all others. Rows that repeat an id follow one another, ordered by a
     hash of the text. An empty table gives no rows.
     """
     prepare(docs.sparkSession)

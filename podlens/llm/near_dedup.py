@@ -19,9 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from podlens.llm.arrow_text import Words, cached, mix, slices, text_buffers, windows
 from podlens.llm.blobs import deal, pack, pack_plain, unpack, unpack_plain
+from podlens.llm.merkle import ranked
 from podlens.llm.tables import blocked, pieces, prepare, scattered, store, text_bytes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -387,9 +389,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is what links join, and is named by its smallest id. Null texts count as empty; all empty texts
     are equal. Texts without a word that are not equal are not similar. Rows that share an id are one
     document, whose text is that with the smallest digest. Rows without an id are not in the result.
-    An empty table gives no rows. Columns other than ``doc_id`` and ``text`` are not read.
+    Ids that are no integers are numbered in their own order first. An empty table gives no rows. Columns
+    other than ``doc_id`` and ``text`` are not read.
     """
     prepare(docs.sparkSession)
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _by_number(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"))
     n_bytes = text_bytes(docs)
@@ -426,3 +431,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     _, found = near_links(rest, state, links, signed, weighed)
     found = named.join(found.withColumnRenamed("node", "same_text"), "same_text", "left")
     return found.select(F.col("doc").alias("doc_id"), "same_text", F.coalesce("class", "same_text").alias("class_id"))
+
+
+def _by_number(docs: DataFrame) -> DataFrame:
+    """The near duplicates of documents whose ids are of any type that has an order."""
+    ids = docs.filter("doc_id is not null").select(F.lit("").alias("tree"), "doc_id").distinct()
+    numbers = store(ranked(ids, ["doc_id"]).select("doc_id", F.col("rank").alias("number")), "numbers")
+    texts = docs.select("doc_id", "text").join(numbers, "doc_id").select(F.col("number").alias("doc_id"), "text")
+    found = near_duplicates(texts)
+    for name in ("doc_id", "same_text", "class_id"):
+        named = numbers.select(F.col("number").alias(name), F.col("doc_id").alias("named"))
+        found = found.join(named, name).drop(name).withColumnRenamed("named", name)
+    return found.select("doc_id", "same_text", "class_id")

@@ -580,3 +580,112 @@ def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert all(root[i] == root[found[i]] for i in range(80))
+
+
+@pytest.mark.parametrize("window", [4, 13, 16, 20, 40])
+def test_passages_of_any_width_are_removed(spark, window):
+    rng = np.random.default_rng(window)
+
+    def words(n):
+        return " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+
+    shared = [words(2 * window - 2) for _ in range(6)]
+    rows = [(i, f"{words(int(rng.integers(0, 9)))} {shared[i % 6]} {words(int(rng.integers(0, 9)))}") for i in range(60)]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()
+    kept = {row["doc_id"]: row["kept"] for row in found}
+    expected = {i: " ".join(words) for (i, _), words in zip(rows, brute.repeats(rows, window))}
+    assert kept == expected and sum(row["n_removed"] for row in found) > 54 * window
+
+
+@pytest.mark.parametrize("loose", [0, 600])
+def test_no_group_that_fits_is_split(spark, loose):
+    rows = [(i, f"text of the group {i % 300} " + "x" * (40 + i % 300)) for i in range(6000)]
+    rows += [(10000 + i, f"a text of its own {i}") for i in range(loose)]
+    found = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    shards, sizes = defaultdict(set), Counter()
+    for row in found:
+        shards[row["text_crc32"]].add(row["shard"])
+        sizes[row["shard"]] += row["size"]
+    assert len(shards) == 300 + loose and all(len(own) == 1 for own in shards.values())
+    largest = 20 * (len("text of the group 299 ") + 340)
+    assert len(found) == len(rows) and max(sizes.values()) - min(sizes.values()) < largest
+
+
+def test_ids_of_any_type(spark, docs, texts):
+    """Texts as ids: the same classes, and successors in the order of the texts."""
+    named = docs.select(F.format_string("id-%05d", "doc_id").alias("doc_id"), "text")
+    number = {f"id-{i:05d}": i for i in texts}
+    whole = {row["doc_id"]: (row["same_text"], row["class_id"]) for row in near_duplicates(docs).collect()}
+    found = {number[r["doc_id"]]: (number[r["same_text"]], number[r["class_id"]]) for r in near_duplicates(named).collect()}
+    assert found == whole
+    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    whole = {row["doc_id"]: [row[n] for n in names] for row in edited_fingerprints(docs).collect()}
+    rows = edited_fingerprints(named.unionAll(spark.createDataFrame([(None, "x")], "doc_id string, text string")))
+    last = max(whole)
+    found = {number.get(row["doc_id"]): [row[n] for n in names] for row in rows.collect()}
+    assert {i: row for i, row in found.items() if i not in (None, last)} == {i: row for i, row in whole.items() if i != last}
+    assert found[None][0] == 1 and found[last][0] == whole[last][0]
+
+
+def weighted_likeness(rows):
+    """The weighted Jaccard similarity of each pair (2 i, 2 i + 1), from its definition."""
+    held = [brute.shingles(text) for _, text in rows]
+    seen = Counter(s for own in held for s in own)
+
+    def weight(shingle):
+        return 1 + 0.1 * math.log(len(rows) / seen[shingle]) / math.log(len(rows))
+
+    for a, b in zip(held[::2], held[1::2]):
+        low = sum(min(a[s], b[s]) * weight(s) for s in a.keys() & b.keys())
+        high = sum(max(a[s], b[s]) * weight(s) for s in a.keys() | b.keys())
+        yield low / high
+
+
+def test_recall_by_similarity(spark):
+    """Made copies with a few words replaced: all from 0.8 up are found, none below it."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(500):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, int(rng.integers(60, 400)))]
+        copy = list(words)
+        for at in rng.choice(len(words), max(1, round(len(words) * rng.uniform(0.0, 0.035))), replace=False):
+            copy[at] = f"n{rng.integers(0, 100_000)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    classes = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by_band, wrong = defaultdict(list), 0
+    for i, similarity in enumerate(weighted_likeness(rows)):
+        joined = classes[2 * i] == classes[2 * i + 1]
+        if similarity >= 0.8:
+            by_band[int(similarity * 20)].append(joined)
+        else:
+            wrong += joined
+    assert wrong == 0 and len(by_band[16]) > 50 and all(np.mean(found) >= 0.99 for found in by_band.values())
+
+
+def test_fingerprint_likeness_and_guarantee(docs, texts):
+    """Against plain Python: likeness of the selected hashes, and a shared hash for every long shared passage."""
+    gram, window = 8, 16
+    known = {row["doc_id"]: (row["hashes"], row["positions"]) for row in fingerprints(docs).collect()}
+    order = sorted(texts)
+    rows = {row["doc_id"]: row for row in edited_fingerprints(docs).collect()}
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b)
+
+    def parts(text):
+        return {int(text[i : i + 8], 16) for i in range(0, len(text), 8)}
+
+    for doc_id, following in zip(order, [*order[1:], order[0]]):
+        row = rows[doc_id]
+        assert parts(row["fingerprint"]) == set(known[doc_id][0])
+        assert row["near_next"] == pytest.approx(jaccard(set(known[doc_id][0]), set(known[following][0])))
+        assert row["near_edited"] == pytest.approx(jaccard(parts(row["fingerprint"]), parts(row["edited_fingerprint"])))
+    # Any passage of gram + window - 1 characters that two texts share gives them a hash in common.
+    long = [i for i in order if len(texts[i]) > 400][:40]
+    for a in long:
+        passage = texts[a][100 : 100 + gram + window - 1]
+        for b in order:
+            if passage in texts[b]:
+                at = texts[b].index(passage)
+                inside = {h for h, p in zip(*known[b]) if at <= p <= at + window - 1}
+                assert inside & set(known[a][0])
