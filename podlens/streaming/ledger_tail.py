@@ -13,6 +13,7 @@ Executors must see files and ledger under the same paths.
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 import os
 import re
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from podlens.session import pickle_by_value
-from podlens.streaming.tail import SCHEMA, ByteRange, _find, _key, _stat, head_of, last_line_end, read_range
+from podlens.streaming.tail import SCHEMA, ByteRange, _find, _key, _stat, last_line_end, read_range
 
 MAGIC = re.compile(r"[*?\[]")
+MARK_BYTES = 1024
 
 
 def owned(pattern: str, shard: int, shards: int) -> Iterator[str]:
@@ -49,6 +51,17 @@ def _entries(base: str, part: str) -> list[str]:
     return glob.glob(part, root_dir=base)
 
 
+def mark_of(path: str, position: int) -> str:
+    """A digest of the bytes at the beginning of a file and just before a position in it."""
+    try:
+        with open(path, "rb") as file:
+            first = file.read(min(position, MARK_BYTES))
+            file.seek(max(0, position - MARK_BYTES))
+            return hashlib.md5(first + file.read(min(position, MARK_BYTES))).hexdigest()
+    except OSError:
+        return ""
+
+
 class Shard(InputPartition):
     """One task: the shard's part of version ``before`` is read, that of ``after`` is made."""
 
@@ -117,16 +130,16 @@ class LedgerTailReader(DataSourceStreamReader):
             if stat is None or not os.path.isfile(path) or _key(stat) in files:
                 continue
             key = _key(stat)
-            done, head = 0, ""
+            done = 0
             if key in before:
-                _, done, head = before[key]
-                # Emptied and filled again: shorter than what was read, or with another beginning.
-                if stat.st_size < done or not head_of(path, done).startswith(head):
+                _, done, mark = before[key]
+                # Emptied and filled again: shorter than what was read, or with other bytes there.
+                if stat.st_size < done or mark_of(path, done) != mark:
                     done = 0
             elif first and self.from_tail:
                 done = last_line_end(path)
             stop = max(done, last_line_end(path, done, self.max_bytes))
-            files[key] = [path, stop, head_of(path, stop)]
+            files[key] = [path, stop, mark_of(path, stop)]
             if stop > done:
                 reads.append([path, key, done, stop])
         gone = []

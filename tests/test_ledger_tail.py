@@ -64,6 +64,16 @@ def test_growing_rotated_emptied_and_lost(tmp_path):
         batch(again, first, again.latestOffset())
 
 
+def test_emptied_file_that_begins_alike(tmp_path):
+    file = tmp_path / "logs" / "a" / "0.log"
+    write(file, "x" * 2000 + "\nold1\nold2\n")
+    r = reader(tmp_path)
+    start, first = r.initialOffset(), r.latestOffset()
+    assert batch(r, start, first)[0] == ["old1", "old2", "x" * 2000]
+    write(file, "x" * 2000 + "\nnew1\nnew2\nnew3\n")
+    assert batch(r, first, r.latestOffset())[0] == ["new1", "new2", "new3", "x" * 2000]
+
+
 def test_limits_and_start_at_the_end(tmp_path):
     write(tmp_path / "logs" / "a" / "0.log", "".join(f"line{i}\n" for i in range(10)) + "x" * 50 + "\n")
     r = reader(tmp_path, maxbytesperfile="12")
