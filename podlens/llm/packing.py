@@ -23,7 +23,7 @@ FEATURES, DIMENSIONS, BITS = 512, 3, 16
 TIE_BITS = 63 - DIMENSIONS * BITS
 # Not the apostrophe, which may begin a token together with letters.
 STOPS = b".,;:!?#$%&*|+=<>()/-\"_~"
-HELD_WORDS = 300_000
+HELD_WORDS = 500_000
 ENCODE_WORDS = 512
 RANGE_TOKENS = 8_000_000
 DOCUMENTS_AT_ONCE = 64
@@ -33,6 +33,14 @@ _PLACED = "row long, part int, before long, n_tokens long"
 _PIECE = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _ends_with_letter(word: bytes) -> bool:
+    if word[-1:].isalpha():
+        return True
+    last = word.decode("utf-8", "replace")[-1:]
+    # Some letters get a mark in lower case, which would join the punctuation.
+    return last.isalpha() and last.lower().isalpha()
+
+
 class WordEncoder:
     """Token ids of texts, as bytes of 16-bit numbers, with the words seen lately kept by content.
 
@@ -59,7 +67,8 @@ class WordEncoder:
         plain, other = [], []
         for word in words:
             text = word.decode("utf-8", "replace")
-            (plain if text.isalpha() and text.lower().isalpha() else other).append((word, text))
+            letters = word.isalpha() or text.isalpha() and text.lower().isalpha()
+            (plain if letters else other).append((word, text))
         for word, text in other:
             self.held[word] = self._whole(text)
         groups = [plain[i : i + ENCODE_WORDS] for i in range(0, len(plain), ENCODE_WORDS)]
@@ -83,9 +92,7 @@ class WordEncoder:
         parts = {}
         for word in missing:
             stem = word.rstrip(STOPS)
-            last = stem.decode("utf-8", "replace")[-1:]
-            # Some letters get a mark in lower case, which would join the punctuation.
-            if len(stem) < len(word) and last.isalpha() and last.lower().isalpha() and b"<|" not in word:
+            if len(stem) < len(word) and _ends_with_letter(stem) and b"<|" not in word:
                 parts[word] = stem, word[len(stem) :]
         new = missing.difference(parts).union(*parts.values()).difference(self.held)
         if new:
@@ -129,13 +136,15 @@ def _projection() -> np.ndarray:
     return signs.reshape(FEATURES, DIMENSIONS) * 2 - 1
 
 
-def curve_place(ids: np.ndarray) -> np.ndarray:
-    """Coordinates of one document: hashed token counts, damped, scaled to length 1, projected."""
+def curve_places(found: list[bytes]) -> np.ndarray:
+    """Coordinates of documents: hashed token counts, damped, scaled to length 1, projected."""
     slot = cached("slots", lambda: (mix(np.arange(1 << 16), 5) % np.uint64(FEATURES)).astype(np.int64))
     matrix = cached("projection", _projection)
-    vector = np.sqrt(np.bincount(slot[ids], minlength=FEATURES))
-    length = np.sqrt((vector**2).sum())
-    at = (vector @ matrix) / (length or 1)
+    owner = np.repeat(np.arange(len(found)) * FEATURES, [len(ids) // 2 for ids in found])
+    slots = owner + slot[np.frombuffer(b"".join(found), "<u2")]
+    vectors = np.sqrt(np.bincount(slots, minlength=len(found) * FEATURES)).reshape(-1, FEATURES)
+    lengths = np.sqrt((vectors**2).sum(1, keepdims=True))
+    at = (vectors @ matrix) / np.where(lengths > 0, lengths, 1)
     # Projections of unit vectors lie within a few units of 0.
     return np.clip((at + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
@@ -153,7 +162,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
                 data, offsets = text_buffers(part["text"])
                 raw = data.tobytes()
                 found = encoder.encode([raw[a:b] for a, b in zip(offsets, offsets[1:])])
-                points = np.array([curve_place(np.frombuffer(ids, "<u2")) for ids in found])
+                points = curve_places(found)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["row"],
