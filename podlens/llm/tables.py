@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,40 @@ BATCH_CONF = {
 }
 
 
+# Folders that a stage made, and their names in the catalog if they have any, from the stage's begin on.
+_made: list[tuple[str, str | None]] = []
+_noting = [False]
+
+
+def _note(folder: str, name: str | None = None) -> None:
+    if _noting[0]:
+        _made.append((folder, name))
+
+
+@contextmanager
+def stage_tables(docs: DataFrame) -> Iterator[None]:
+    """Note the tables that a stage makes, and drop those of stages before it.
+
+    A stage reads what the one before wrote, so the tables behind that are not needed any more. Tables
+    that ``docs`` itself is read from stay, as they do when a stage gets an unwritten result.
+    """
+    spark, files = docs.sparkSession, docs.inputFiles() if _made else []
+    for folder, name in list(_made):
+        plain = folder.split(":", 1)[-1].lstrip("/")
+        if any(plain in file for file in files):
+            continue
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove((folder, name))
+    _noting[0] = True
+    try:
+        yield
+    finally:
+        _noting[0] = False
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the batch size of Arrow transfers."""
     for key, value in BATCH_CONF.items():
@@ -35,6 +71,7 @@ def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
+    _note(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,6 +100,7 @@ def blocked(docs: DataFrame, columns: list[str | Column], key: Column, n: int) -
     name = f"podlens_blocks_{uuid.uuid4().hex}"
     rows = docs.select(*columns, key.alias("block")).repartition(n, "block")
     path = scratch_dir(spark, "blocks")
+    _note(path, name)
     writer = rows.write.option("compression", "zstd").option("path", path)
     writer.bucketBy(n, "block").format("parquet").saveAsTable(name)
     return spark.table(name)
