@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +14,23 @@ from podlens.llm.packing import pack
 from podlens.llm.queries import tokenizer_path
 from podlens.llm.site_quality import classify
 from podlens.llm.substring_dedup import remove_repeats
-from podlens.llm.tables import documents, prepare, store
+from podlens.llm.tables import documents, prepare, stage_tables, store
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def releasing(stage: Stage) -> Stage:
+    """A stage that drops the working tables of the stages before it, whose results are written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_tables(docs):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@releasing
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, as they are."""
     prepare(spark)
@@ -22,6 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return found.filter("kept").select(*[F.col(f"carried_{name}").alias(name) for name in docs.columns])
 
 
+@releasing
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates.
 
@@ -37,6 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one.unionAll(docs.filter("doc_id is null"))
 
 
+@releasing
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document with a smaller id has.
 
@@ -53,6 +72,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return left.select(*[columns[name].alias(name) for name in docs.columns])
 
 
+@releasing
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     prepare(spark)
@@ -63,6 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("mixed_copies")))).select(*docs.columns)
 
 
+@releasing
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens, with their token ids."""
     prepare(spark)
