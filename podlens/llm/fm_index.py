@@ -1,15 +1,13 @@
 """A compressed FM-index over sequences of symbols: a wavelet matrix of the Burrows-Wheeler transform.
 
 The index answers, for many query sequences at once, how long a match starts at each place (matching
-statistics), up to a depth. Suffixes are sorted by the first 16 symbols, which is exact up to there.
+statistics), up to a depth that is given when it is built. Suffixes are sorted by more symbols than that.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SORTED_DEPTH = 16
-
 
 class BitVector:
     """Bits with the number of ones before any place."""
@@ -54,14 +52,18 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """``symbols`` are numbers from 1; 0 separates the sequences and never matches."""
+    """``symbols`` are numbers from 1; 0 separates the sequences and never matches.
+
+    Matches are told up to ``depth`` symbols.
+    """
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, depth: int):
         n = len(symbols)
         self.n_symbols = int(symbols.max(initial=0)) + 1
         ranks = {1: symbols.astype(np.int64)}
         length = 1
-        while length < SORTED_DEPTH:
+        # What suffixes share is known up to one symbol less than they are sorted by.
+        while length <= depth:
             last = ranks[length]
             following = np.zeros(n, np.int64)
             following[: max(n - length, 0)] = last[length:]
@@ -77,15 +79,15 @@ class FMIndex:
         self.size = n
 
     def _common(self, ranks: dict[int, np.ndarray], n: int) -> None:
-        """How many symbols (up to 15) each suffix shares with the one before it."""
+        """How many symbols each suffix shares with the one before it, up to one less than the sorted depth."""
         shared = np.zeros(n, np.int64)
-        for length in (8, 4, 2, 1):
-            padded = np.append(ranks[length], np.full(SORTED_DEPTH, -1))
+        for length in sorted(ranks, reverse=True)[1:]:
+            padded = np.append(ranks[length], np.full(max(ranks), -1))
             here, before = self.order + shared, np.roll(self.order, 1) + shared
             shared += np.where((padded[here] == padded[before]) & (here + length <= n), length, 0)
         if n:
             shared[0] = -1
-        self.shared = shared.astype(np.int8)
+        self.shared = shared.astype(np.int32)
 
     def blocks(self, depth: int) -> np.ndarray:
         """First rows of the blocks of suffixes that agree in ``depth`` symbols, and the end."""

@@ -180,7 +180,7 @@ def _search(window: int):
         hashes = np.zeros(len(text), np.uint64)
         hashes[inside] = alphabet[symbols]
 
-        index = FMIndex(text)
+        index = FMIndex(text, window)
         doc_of_row = np.repeat(table["first_doc"].to_numpy(), lengths + 1)[index.order]
         smallest = np.minimum.reduceat(doc_of_row, index.blocks(window)[:-1])
         matched, rows = index.matching_statistics(text, starts, ends, window)
@@ -331,7 +331,7 @@ def remove_repeats(
     table = blocked(docs, columns, scattered(spread, n_blocks), n_blocks)
 
     copies = later_copies(table)
-    stretches = repeated_stretches(table, copies, n_bytes, window)
+    stretches = repeated_stretches(table, copies, n_bytes, window, min(GRAM, window))
     distinct, crowded = _routed(stretches, route_limit)
     found = _indexed(distinct, crowded, window)
     asked = search_parts(stretches, crowded, window).select("block", "words", "single")
