@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podlens.llm.arrow_text import Words, cached, mix, slices, text_buffers
-from podlens.llm.quality_rules import CLASSES, measure
+from podlens.llm.quality_rules import N_ASCII, measure, word_hashes
 from podlens.llm.tables import prepare, store
 from podlens.session import small_side
 
@@ -27,7 +27,7 @@ from podlens.session import small_side
 MAX_LABELLED = 20_000
 # A feature counts if enough documents have it, and its log-odds and its likelihood ratio statistic (about the
 # square of its deviations from 0) are large enough.
-MIN_DOCUMENTS, MIN_LOG_ODDS, MIN_RATIO, MAX_FEATURES = 8, 1.0, 30.0, 4_000
+MIN_DOCUMENTS, MIN_LOG_ODDS, MIN_RATIO = 8, 1.0, 30.0
 EDGES = np.array([0.002, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8])
 LENGTHS = np.array([40])
 FAMILY_WORDS = 5
@@ -39,6 +39,19 @@ REJECT_ABOVE = 0.9
 LEAST_PRIOR, NO_DIFFERENCE = 0.01, 1e9
 
 
+# Frequent words of languages that the labels may be in.
+FREQUENT_WORDS = {
+    "en": "the of and to a in is that it for on was with as be by are this at from",
+    "fr": "de la le et les des un en du que est une pour dans qui au par sur pas avec",
+    "de": "der die und in den von zu das mit sich für des auf ist im nicht dem eine ein als",
+    "es": "de la que el en y los se del las por un con para una no su es al lo",
+}
+
+
+def _frequent() -> dict[str, np.ndarray]:
+    return {lang: word_hashes(words.split()) for lang, words in FREQUENT_WORDS.items()}
+
+
 def _letters() -> np.ndarray:
     """Bytes as letters in lower case; all else as spaces."""
     table = np.full(256, 32, np.uint8)
@@ -53,10 +66,12 @@ def features(data: np.ndarray, offsets: np.ndarray, langs: list) -> tuple[Words,
 
     Bins differ by the length of a text, as a short one strays further. A text without words has no shares.
     """
-    found = measure(data, offsets, langs)
+    found = measure(data, offsets, langs, cached("frequent words", _frequent))
     n_words = found["n_words"]
     size = np.maximum(found["classes"].sum(axis=1), 1)
-    shares = [found["classes"][:, k] / size for k in range(len(CLASSES))]
+    # All characters beyond ASCII are one class here.
+    shares = [found["classes"][:, k] / size for k in range(N_ASCII)]
+    shares.append(found["classes"][:, N_ASCII:].sum(axis=1) / size)
     shares += [found["n_repeat_words"] / np.maximum(n_words, 1), found["common"][:, -1] / np.maximum(n_words, 1)]
     length = np.searchsorted(LENGTHS, n_words)
     bins = [(k * 16 + np.searchsorted(EDGES, share)) * 8 + length + 1 for k, share in enumerate(shares)]
@@ -154,8 +169,8 @@ class Evidence:
             columns = [have.alias("have"), odds.alias("odds"), (2 * ratio).alias("ratio")]
             chosen = counts.filter(have > 0).select("feature", *columns)
             chosen = chosen.filter((F.col("have") >= MIN_DOCUMENTS) & (F.abs("odds") >= MIN_LOG_ODDS))
-            chosen = chosen.filter(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "feature").limit(MAX_FEATURES)
-            rows = chosen.select("feature", "odds").collect()
+            # Features of the labelled sample, whose size is bounded: eight of its documents have each.
+            rows = chosen.filter(F.col("ratio") >= MIN_RATIO).select("feature", "odds").collect()
             table = np.array([row[0] for row in rows], np.int64).view(np.uint64)
             order = np.argsort(table)
             self.tables[name] = table[order], np.array([row[1] for row in rows], np.float64)[order]
