@@ -57,7 +57,7 @@ class FMIndex:
     Matches are told up to ``depth`` symbols.
     """
 
-    def __init__(self, symbols: np.ndarray, depth: int):
+    def __init__(self, symbols: np.ndarray, depth: int = 15):
         n = len(symbols)
         self.n_symbols = int(symbols.max(initial=0)) + 1
         ranks = {1: symbols.astype(np.int64)}
