@@ -23,6 +23,8 @@ FEATURES, DIMENSIONS, BITS = 512, 3, 16
 TIE_BITS = 63 - DIMENSIONS * BITS
 # Not the apostrophe, which may begin a token together with letters.
 STOPS = b".,;:!?#$%&*|+=<>()/-\"_~"
+# Letters below this sign are in normal form C, and lower case maps each of them alone.
+PLAIN_END = "\u0250"
 HELD_WORDS = 500_000
 ENCODE_WORDS = 512
 RANGE_TOKENS = 8_000_000
@@ -49,9 +51,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges for words of plain small letters, which need no other step before them.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
@@ -64,16 +71,23 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Letters-only words are encoded many at a time: each gives one run up to a word end."""
-        plain, other = [], []
+        plain, letters = [], []
         for word in words:
             text = word.decode("utf-8", "replace")
-            letters = word.isalpha() or text.isalpha() and text.lower().isalpha()
-            (plain if letters else other).append((word, text))
-        for word, text in other:
-            self.held[word] = self._whole(text)
-        groups = [plain[i : i + ENCODE_WORDS] for i in range(0, len(plain), ENCODE_WORDS)]
+            small = text.lower()
+            if not small.isalpha() or not text.isalpha():
+                self.held[word] = self._whole(text)
+            elif small.isascii() or max(small) < PLAIN_END:
+                plain.append((word, small))
+            else:
+                letters.append((word, text))
+        self._learn_runs(plain, self.plain)
+        self._learn_runs(letters, self.tokenizer)
+
+    def _learn_runs(self, words: list[tuple[bytes, str]], tokenizer) -> None:
+        groups = [words[i : i + ENCODE_WORDS] for i in range(0, len(words), ENCODE_WORDS)]
         joined = [" ".join(text for _, text in group) for group in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        for group, found in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(found.ids, "<u2")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(group):

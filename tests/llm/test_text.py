@@ -92,3 +92,11 @@ def test_word_by_word_encoding_is_exact(words):
     text = " ".join(words).encode("utf-8", "ignore")
     found = np.frombuffer(encoder.encode([text])[0], "<u2").tolist()
     assert found == tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_every_plain_letter_is_encoded_as_in_a_whole_text():
+    encoder = WordEncoder(tokenizer_path())
+    for number in range(0x41, 0x260):
+        for text in (chr(number), f"a{chr(number)}b", f"{chr(number)}E x"):
+            whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == whole, hex(number)
