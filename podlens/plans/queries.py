@@ -218,7 +218,7 @@ def catalog_docker(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     root = scratch_dir(spark, "configs")
     rows = suppliers.select(config.alias("value"), F.concat(F.lit("id"), key).alias("folder"))
-    rows.repartition("folder").write.partitionBy("folder").text(root)
+    workload.write_configs(rows, root)
     containers = container_catalog_docker(spark, f"{root}/*/*.txt")
     return containers.select(
         "type",

@@ -9,14 +9,17 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podlens import names
 from podlens.operators.services import explode_service_domains, usable_services, validate_services
 from podlens.options import ServiceOptions
-from podlens.session import ensure_parallel, scratch_dir
+from podlens.session import ensure_parallel, scratch_dir, spread_rows
 from podlens.sources.rules import RateRule
 from podlens.sources.services import ANNOTATED
 
@@ -46,6 +49,8 @@ FROM {events}
 
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 DEFAULT_DOMAIN = "example.test"
+# One task writes about so many config files.
+CONFIGS_PER_TASK = 2_000
 SERVICE_OPTIONS = ServiceOptions(default_domain=DEFAULT_DOMAIN)
 PATH_RULES = '[{"online":["ts=online"]},{"buy":["^/purchase"]}]'
 RULES = [
@@ -153,6 +158,27 @@ def write_segments(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def write_configs(rows: DataFrame, root: str, file: str = "config.txt") -> None:
+    """Write each ``value`` to the file of its ``folder`` below ``root``, a line for each row, as the runtime does.
+
+    Tasks write their folders themselves: there are as many as containers, too many to be moved one by one
+    when a job is committed. A repeated task writes the same files.
+    """
+
+    def write(batches):
+        files, base = fs.FileSystem.from_uri(root)
+        rows = ((folder, value) for b in batches for folder, value in zip(b["folder"].to_pylist(), b["value"].to_pylist()))
+        for folder, own in groupby(rows, itemgetter(0)):
+            place = f"{base}/folder={folder}"
+            files.create_dir(place, recursive=True)
+            with files.open_output_stream(f"{place}/{file}") as target:
+                target.write("".join(f"{value}\n" for _, value in own).encode())
+        yield from ()
+
+    spread = spread_rows(rows.select("folder", "value"), CONFIGS_PER_TASK, "folder")
+    spread.sortWithinPartitions("folder").mapInArrow(write, "folder string").collect()
+
+
 def grow_logs(spark: SparkSession, sf_dir: str, root: str, phase: int, phases: int) -> None:
     """Write the lines of one phase to log files, a folder for each format and pod, as containers do.
 

@@ -113,13 +113,22 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+# About so many rows of a table are rendered, parsed or written by one task.
+TASK_ROWS = 50_000
+
+
+def spread_rows(df: DataFrame, task_rows: int, *keys: str) -> DataFrame:
+    """Deal rows by ``keys`` to as many tasks as the cluster has cores, and to more when these get too many rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // task_rows)), *keys)
+
+
 def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows by ``keys`` when the input has fewer splits than the cluster has cores.
+    """Spread rows by ``keys`` when the input has fewer splits than the cluster has cores, or too large ones.
 
-    A one-row-group file otherwise runs as one task. Inputs with enough splits are left as they
-    are, so large tables are never shuffled for this.
+    A one-row-group file otherwise runs as one task, and the tasks of a large file grow with it. Rows are
+    counted, which costs no more than the footers where ``df`` is a table. Inputs with enough splits
+    are left as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, *keys)
