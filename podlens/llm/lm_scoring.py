@@ -71,14 +71,14 @@ class Stream:
 
     def keys(self) -> np.ndarray:
         """The context of each byte, last byte first, and the byte itself; before a text stand ends."""
-        n = len(self.bytes)
-        padded = np.concatenate([np.full(DEPTH, END, np.uint8), self.bytes])
-        key = self.bytes.astype(np.uint64)
-        place = runs(np.diff(self.first))
-        for back in range(1, DEPTH + 1):
-            before = np.where(place >= back, padded[DEPTH - back : DEPTH - back + n], END).astype(np.uint64)
-            key |= before << np.uint64(8 * (DEPTH - back + 1))
-        return key
+        doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        place = np.arange(len(self.bytes)) + DEPTH * (doc + 1)
+        padded = np.full(len(self.bytes) + DEPTH * len(self.first) + 8, END, np.uint8)
+        padded[place] = self.bytes
+        # Eight bytes from each place on as one number, of which the first DEPTH count; the last is highest.
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        before = eight[place - DEPTH] & np.uint64((1 << 8 * DEPTH) - 1)
+        return before.astype(np.uint64) << np.uint64(8) | self.bytes
 
 
 def _streams(table: pa.Table):
@@ -368,7 +368,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        self.bits = max(8, int(len(keys)).bit_length() + 3)
         self.slots = np.zeros(1 << self.bits, np.int32)
         self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
 

@@ -100,3 +100,17 @@ def test_every_plain_letter_is_encoded_as_in_a_whole_text():
         for text in (chr(number), f"a{chr(number)}b", f"{chr(number)}E x"):
             whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
             assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == whole, hex(number)
+
+
+def test_context_keys():
+    from podlens.llm.lm_scoring import DEPTH, END, Stream
+
+    texts = [b"", b"Ab c", b"", b"  longer words than the depth ", b"x"]
+    offsets = np.concatenate([[0], np.cumsum([len(text) for text in texts])])
+    stream = Stream(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    expected = []
+    for a, b in zip(stream.first, stream.first[1:]):
+        own = bytes([END] * DEPTH) + bytes(stream.bytes[a:b])
+        expected += [int.from_bytes(own[i + DEPTH : i + DEPTH + 1] + own[i : i + DEPTH], "little") for i in range(b - a)]
+    assert stream.keys().dtype == np.uint64 and stream.keys().tolist() == expected
+    assert len(Stream(np.zeros(0, np.uint8), np.zeros(1, np.int64)).keys()) == 0
