@@ -12,6 +12,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from typing import NamedTuple, Protocol
 
 import pyarrow as pa
@@ -53,7 +54,11 @@ class Sent(NamedTuple):
 
 
 class Sink(Protocol):
-    """Where messages go. A sink that could send only a part must raise and see the chunk again."""
+    """Where messages go. A sink that could send only a part must raise and see the chunk again.
+
+    A sink that holds chunks back has a ``flush`` without arguments, which is called after the last chunk of a
+    task and, when it raises, tried again like a chunk.
+    """
 
     def deliver(self, messages: list[str], key: DeliveryKey) -> None: ...
 
@@ -77,6 +82,16 @@ def chunked(messages: Iterable[str], size: int) -> Iterator[list[str]]:
         yield buffer
 
 
+def _retried(call: Callable[[], None], options: DeliveryOptions) -> None:
+    for attempt in range(1, options.max_attempts + 1):
+        try:
+            return call()
+        except Exception:
+            if attempt == options.max_attempts:
+                raise
+            time.sleep(options.retry_seconds)
+
+
 def send(
     open_sink: Callable[[], Sink],
     messages: Iterable[str],
@@ -95,15 +110,10 @@ def send(
     try:
         for chunk, part in enumerate(chunked(messages, options.batch_size)):
             key = DeliveryKey(job, batch, partition, chunk, attempt_id)
-            for attempt in range(1, options.max_attempts + 1):
-                try:
-                    sink.deliver(part, key)
-                    break
-                except Exception:
-                    if attempt == options.max_attempts:
-                        raise
-                    time.sleep(options.retry_seconds)
+            _retried(partial(sink.deliver, part, key), options)
             sent, chunks = sent + len(part), chunk + 1
+        if hasattr(sink, "flush"):
+            _retried(sink.flush, options)
     finally:
         sink.close()
     return sent, chunks
@@ -147,18 +157,24 @@ def deliver_batches(
 
 
 class FileSink:
-    """Writes every chunk to a file of its own and publishes a batch by a manifest that names its files.
+    """Writes the chunks of a task to files of its own and publishes a batch by a manifest that names its files.
 
     The manifest is put in place by one rename, so a reader of :func:`published_messages` sees all of a
     batch or nothing, and of a repeated batch the old messages or the new ones. Chunks lie in
     ``chunks/job=/batch=``, manifests in ``published/job=``; the manifest of a batch is replaced when the batch is
     repeated, and files that no longer count are removed. The folder may be a path or a URI of any file
     system that Arrow knows and that renames files at once.
+
+    Chunks are held until they fill a file of ``file_bytes`` or the sink is closed or finishes, so that files grow
+    in number with the bytes sent and not with the chunks. Files are named
+    ``<partition>-<first chunk>-<last chunk>-<attempt>``.
     """
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str, file_bytes: int = 16 << 20) -> None:
         self._files, self._folder = fs.FileSystem.from_uri(folder)
         self._files.create_dir(self._folder, recursive=True)
+        self._file_bytes = file_bytes
+        self._held: dict[tuple[str, int, int, str], dict[int, bytes]] = {}
 
     def _place(self, job: str, batch: int) -> str:
         return f"{self._folder}/chunks/job={job}/batch={batch}"
@@ -171,20 +187,44 @@ class FileSink:
         self._files.move(temporary, f"{place}/{name}")
 
     def deliver(self, messages: list[str], key: DeliveryKey) -> None:
-        name = f"{key.partition}-{key.chunk}-{key.attempt}.txt"
-        self._put(self._place(key.job, key.batch), name, "".join(f"{message}\n" for message in messages).encode())
+        task = (key.job, key.batch, key.partition, key.attempt)
+        held = self._held.setdefault(task, {})
+        # A chunk that is tried again replaces itself.
+        held[key.chunk] = "".join(f"{message}\n" for message in messages).encode()
+        if sum(map(len, held.values())) >= self._file_bytes:
+            self._write(task)
+
+    def _write(self, task: tuple[str, int, int, str]) -> None:
+        """Put what is held of a task in its file; if that fails, it is still held."""
+        job, batch, partition, attempt = task
+        held = self._held[task]
+        self._put(self._place(job, batch), f"{partition}-{min(held)}-{max(held)}-{attempt}.txt", b"".join(held[i] for i in sorted(held)))
+        del self._held[task]
 
     def finish(self, job: str, batch: int, sent: dict[int, Sent]) -> None:
-        names = {f"{partition}-{chunk}-{one.attempt}.txt" for partition, one in sent.items() for chunk in range(one.chunks)}
-        place = self._place(job, batch)
+        self.flush()
+        place, names, missing = self._place(job, batch), set(), sum(one.chunks for one in sent.values())
+        for file in self._files.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+            partition, first, last, attempt = (file.base_name.removesuffix(".txt").split("-", 3) + [""] * 3)[:4]
+            one = sent.get(int(partition)) if partition.isdecimal() else None
+            if one is not None and attempt == one.attempt and int(last) < one.chunks:
+                names.add(file.base_name)
+                missing -= int(last) - int(first) + 1
+        if missing:
+            raise FileNotFoundError(f"{missing} chunks of {job}, batch {batch}, are not in {place}")
         rows = "".join(json.dumps({"job": job, "batch": batch, "file": f"job={job}/batch={batch}/{name}"}) + "\n" for name in sorted(names))
         self._put(f"{self._folder}/published/job={job}", f"{batch}.json", rows.encode())
         for file in self._files.get_file_info(fs.FileSelector(place, allow_not_found=True)):
             if file.base_name not in names:
                 self._files.delete_file(file.path)
 
+    def flush(self) -> None:
+        for task in list(self._held):
+            self._write(task)
+
     def close(self) -> None:
-        """Nothing is held open."""
+        """Write what is still held."""
+        self.flush()
 
 
 def published_messages(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 import os
 
+import pytest
+
 from podlens import session
 from podlens.plans import workload
 from podlens.session import ensure_parallel, spread_rows
 from podlens.sources.containers import container_catalog_docker
+from podlens.options import DeliveryOptions
+from podlens.streaming.sinks import DeliveryKey, FileSink, Sent, send
 
 
 def test_configs_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
@@ -34,3 +38,33 @@ def test_tasks_grow_in_number_not_in_rows(spark, monkeypatch):
     assert ensure_parallel(spark.range(1000, numPartitions=cores), "id").rdd.getNumPartitions() == 100
     assert ensure_parallel(spark.range(1000, numPartitions=100), "id").rdd.getNumPartitions() == 100
     assert ensure_parallel(spark.range(0, numPartitions=1), "id").count() == 0
+
+
+def chunk_files(folder):
+    return sorted(name for _, _, names in os.walk(f"{folder}/chunks") for name in names)
+
+
+def test_chunks_share_files(tmp_path):
+    messages, options = [f"{i:04}" for i in range(1000)], DeliveryOptions(batch_size=10, retry_seconds=0, max_attempts=2)
+    failures = [OSError("first file"), OSError("last file")]
+
+    class Flaky(FileSink):
+        def _put(self, place, name, content):
+            if failures and place.endswith("batch=0") and (len(failures) == 2 or "-99-" in name):
+                raise failures.pop(0)
+            super()._put(place, name, content)
+
+    open_sink = lambda: Flaky(str(tmp_path), file_bytes=2000)
+    assert send(open_sink, messages, "j", 0, 5, options, "a") == (1000, 100)
+    assert not failures
+    # 40 chunks of 10 messages of 5 bytes fill a file.
+    files = chunk_files(tmp_path)
+    assert files == ["5-0-39-a.txt", "5-40-79-a.txt", "5-80-99-a.txt"]
+    folder = f"{tmp_path}/chunks/job=j/batch=0"
+    assert "".join(open(f"{folder}/{name}").read() for name in files).split() == messages
+    with pytest.raises(FileNotFoundError, match="1 chunks"):
+        open_sink().finish("j", 0, {5: Sent(100, "a"), 6: Sent(1, "b")})
+    sink = open_sink()
+    sink.deliver(["x"], DeliveryKey("j", 0, 6, 0, "b"))
+    sink.finish("j", 0, {5: Sent(100, "a"), 6: Sent(1, "b")})
+    assert chunk_files(tmp_path) == [*files, "6-0-0-b.txt"]
