@@ -4,8 +4,9 @@ Documents are linked through groups (here: equal texts). A shard is a label. In
 counts its members by shard, every linked document looks for the shard where most of its group is, and
 moves there as far as the quota of that shard allows. A shard's quota is its equal part of all bytes,
 less what linked documents in it take. Documents without links then fill every shard up to the same
-number of bytes. A group larger than a shard spreads over as few shards as can hold it; a smaller one
-is one node of the graph, with all its bytes, so it starts with one label and none of its links is cut.
+number of bytes. A group larger than a shard spreads over as few shards as can hold it. All linked documents
+start with labels drawn one by one and take part in the rounds. A smaller group that full shards kept
+apart is moved as a whole when the rounds end, so that none of its links is cut.
 """
 
 from __future__ import annotations
@@ -144,13 +145,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     shared = store(counts.filter("n > 1").select("group", (F.col("bytes") <= quota).alias("fits"), "bytes"), "groups")
     members = store(rows.join(shared.select("group", "fits"), "group", "left"), "members")
     loose = members.filter("fits is null").drop("fits")
-    spread = propagate(members.filter("not fits").drop("fits"), quota, shards)
-    # A group that fits is one row with all its bytes.
+    linked = store(propagate(members.filter("fits is not null").drop("fits"), quota, shards), "propagated")
+    # A group that fits in a shard but was stopped on its way by a full one is placed whole, as one row.
+    torn = linked.groupBy("group").agg(F.count_distinct("shard").alias("shards")).filter("shards > 1")
+    torn = store(torn.join(shared.filter("fits"), "group").select("group", "bytes"), "torn")
+    settled = store(linked.join(torn, "group", "left_anti"), "settled")
     draw = F.xxhash64(F.lit("draw"), "group")
-    nodes = shared.filter("fits").select("group", F.col("bytes").alias("size"), draw.alias("draw"), draw.alias("row"))
-    nodes = store(fill_by_size(nodes.withColumn("part", _part("draw")), spread, shards), "nodes")
-    labelled = members.filter("fits").drop("fits").join(nodes.select("group", "shard"), "group")
-    labelled = store(spread.unionByName(labelled.select(*spread.columns)), "labelled")
+    nodes = torn.select("group", F.col("bytes").alias("size"), draw.alias("draw"), draw.alias("row"))
+    nodes = store(fill_by_size(nodes.withColumn("part", _part("draw")), settled, shards), "nodes")
+    gathered = linked.drop("shard").join(nodes.select("group", "shard"), "group")
+    labelled = store(settled.unionByName(gathered.select(*settled.columns)), "labelled")
     placed = store(labelled.unionByName(fill_by_size(loose, labelled, shards).select(*labelled.columns)), "shards")
     slots = with_running(placed, "shard", F.lit(1))
     return slots.select(

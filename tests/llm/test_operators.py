@@ -689,3 +689,23 @@ def test_fingerprint_likeness_and_guarantee(docs, texts):
                 at = texts[b].index(passage)
                 inside = {h for h, p in zip(*known[b]) if at <= p <= at + window - 1}
                 assert inside & set(known[a][0])
+
+
+def test_groups_propagate_from_drawn_labels(spark):
+    """With room in every shard a group gathers where most of its documents began, not where a row for it is filled in."""
+    rows = [(i, f"text of the group {i % 40}") for i in range(400)]
+    rows += [(10000 + i, f"a text of its own {i} " + "x" * 60) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    group = F.md5(F.encode("text", "utf-8"))
+    draw = F.xxhash64(F.lit("draw"), "doc_id", group)
+    began = docs.where("doc_id < 400").select("text", F.pmod(F.xxhash64(F.lit("start"), draw), F.lit(8)).alias("start"))
+    votes = defaultdict(Counter)
+    for row in began.collect():
+        votes[zlib.crc32(row["text"].encode())][row["start"]] += 1
+    assert all(len(own) > 1 for own in votes.values())
+    found = defaultdict(set)
+    for row in shard_documents(docs).collect():
+        found[row["text_crc32"]].add(row["shard"])
+    for text, own in votes.items():
+        (shard,) = found[text]
+        assert own[shard] == max(own.values())
