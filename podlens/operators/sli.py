@@ -17,7 +17,7 @@ from podlens.functions.variants import bind, flag_of, is_object, number_of, text
 from podlens.operators.parsing import line_content
 from podlens.operators.rows import settle
 from podlens.options import ParseOptions
-from podlens.session import small_side
+from podlens.session import scratch_dir, small_side
 from podlens.sources.lines import bounded_lines
 
 # Up to this many path patterns are spelled out as literals, which Spark compiles once per task; more are indexed.
@@ -199,11 +199,73 @@ def indexed_label(uri: Column, index: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(""))
 
 
+# A rule lies under a piece of the greatest of these lengths that its text has.
+PIECES = (24, 12, 6, GRAM)
+
+
+def path_rules(hosts: DataFrame) -> DataFrame:
+    """The path rules of a keyed catalog, a row each, stored in the shared scratch folder.
+
+    ``_key`` is the hash of the piece that a rule is found by, the rarest one of its text, and ``size`` the
+    length of that; rules without a text of three characters lie under the empty piece of their list.
+    """
+    spark = hosts.sparkSession
+    labels = hosts.select("paths_key", F.posexplode("paths").alias("at", "path")).dropDuplicates(["paths_key", "at"])
+    patterns = labels.select("paths_key", "at", "path.label", F.posexplode("path.regexps").alias("nth", "regexp"))
+    length = F.length("literal")
+    size = F.coalesce(*[F.when(length >= n, F.lit(n)) for n in PIECES], F.lit(0))
+    stored = scratch_dir(spark, "rules")
+    rules = settle(patterns, {"literal": required_literals(F.col("regexp"))}).withColumn("size", size)
+    rules.write.parquet(stored)
+    rules = spark.read.schema(rules.schema).parquet(stored)
+    starts = F.sequence(F.lit(1), length - F.col("size") + 1)
+    several = F.when(F.col("size") > 0, F.transform(starts, lambda i: F.substring("literal", i, F.col("size"))))
+    pieces = F.coalesce(several, F.array(F.lit("")))
+    keys = F.transform(F.array_distinct(pieces), lambda piece: F.xxhash64("paths_key", piece))
+    spread = rules.select("paths_key", "at", "nth", F.explode(keys).alias("_key"))
+    times = spread.groupBy("_key").agg(F.count("*").alias("times"))
+    chosen = spread.join(times, "_key").groupBy("paths_key", "at", "nth").agg(
+        F.min_by("_key", F.struct("times", "_key")).alias("_key")
+    )
+    return rules.join(chosen, ["paths_key", "at", "nth"])
+
+
+def joined_labels(matched: DataFrame, rules: DataFrame) -> DataFrame:
+    """As :func:`label_path`, by a join of the pieces of the URIs with the rules of :func:`path_rules`.
+
+    No row carries a list of rules: each distinct URI meets only the rules that lie under one of its pieces.
+    """
+    sizes = sorted(row["size"] for row in rules.select("size").distinct().collect())
+
+    def keys(signs: Column) -> Column:
+        def under(n: int) -> Column:
+            starts = F.when(F.size(signs) >= n, F.sequence(F.lit(1), F.size(signs) - n + 1))
+            found = F.transform(starts, lambda i: F.xxhash64("paths_key", F.array_join(F.slice(signs, i, F.lit(n)), "")))
+            return F.coalesce(found, F.array().cast("array<bigint>"))
+
+        parts = [under(n) if n else F.array(F.xxhash64("paths_key", F.lit(""))) for n in sizes]
+        return F.array_distinct(F.concat(*parts, F.array().cast("array<bigint>")))
+
+    uris = matched.where(F.col("uri").isNotNull()).select("paths_key", "uri").distinct()
+    pieces = uris.select("paths_key", "uri", F.explode(bind(F.split("uri", ""), keys)).alias("_key"))
+    uri = F.col("uri")
+    met = pieces.join(small_side(rules), ["paths_key", "_key"])
+    hits = met.where(F.contains(uri, F.col("literal")) & F.rlike(uri, F.col("regexp")))
+    labels = hits.groupBy("paths_key", "uri").agg(F.min_by("label", F.struct("at", "nth")).alias("path"))
+    kept = [name for name in matched.columns if name not in ("path", "paths", "paths_key", "path_index")]
+    rows = matched.drop("path").join(labels, ["paths_key", "uri"], "left")
+    return rows.select(*kept, F.coalesce("path", F.lit("")).alias("path"))
+
+
 def literal_rules(hosts: DataFrame) -> list[Row] | None:
     """The distinct path rules of a keyed catalog, or None when there are more than fit in literals."""
     rules = hosts.select("paths_key", "paths").dropDuplicates(["paths_key"])
-    rows = rules.limit(LITERAL_PATTERNS + 1).collect()
-    patterns = sum(len(path["regexps"]) for row in rows for path in row["paths"])
+    number = F.aggregate("paths", F.lit(0), lambda n, path: n + F.size(path["regexps"]))
+    # A long list stays where it is.
+    short = F.when(F.col("patterns") <= LITERAL_PATTERNS, F.col("paths")).alias("paths")
+    counted = rules.withColumn("patterns", number).select("paths_key", short, "patterns")
+    rows = counted.limit(LITERAL_PATTERNS + 1).collect()
+    patterns = sum(row["patterns"] for row in rows)
     return rows if len(rows) <= LITERAL_PATTERNS and patterns <= LITERAL_PATTERNS else None
 
 
@@ -235,13 +297,30 @@ def label_path(matched: DataFrame, rules: list[Row] | None = None) -> DataFrame:
 
 
 def prepared_hosts(hosts: DataFrame) -> tuple[DataFrame, list[Row] | None]:
-    """Hosts without their path rules, and these: a few as literals, more as an index beside each host."""
+    """Hosts without their path rules, and these: a few as literals, more as an index beside each host.
+
+    The index serves streams, whose rows cannot be brought together again; see :func:`labelled`.
+    """
     keyed = with_path_keys(hosts)
     rules = literal_rules(keyed)
     return (with_path_index(keyed) if rules is None else keyed.drop("paths")), rules
 
 
+def labelled(hosts: DataFrame, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Requests with ``service`` and ``path``; ``match`` joins them with the hosts.
+
+    A long list of rules stays a table, which the URIs are joined with. A stream has the lists as an index.
+    """
+    keyed = with_path_keys(hosts)
+    rules = literal_rules(keyed)
+    if rules is not None:
+        return label_path(match(keyed.drop("paths")), rules)
+    matched = match(keyed.drop("paths"))
+    if matched.isStreaming:
+        return label_path(match(with_path_index(keyed)))
+    return joined_labels(matched, path_rules(keyed))
+
+
 def indicators(requests: DataFrame, hosts: DataFrame) -> DataFrame:
     """Requests with ``service`` and ``path``; requests for unknown hosts are left out."""
-    prepared, rules = prepared_hosts(hosts)
-    return label_path(match_service(requests, prepared), rules)
+    return labelled(hosts, lambda prepared: match_service(requests, prepared))

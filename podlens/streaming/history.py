@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podlens.operators.sli import label_path, prepared_hosts
+from podlens.operators.sli import labelled
 from podlens.session import small_side
 
 FROM, UNTIL = "valid_from", "valid_to"
@@ -156,5 +156,4 @@ def as_of(rows: DataFrame, history: DataFrame, key: str = "host", event_time: st
 
 def indicators_as_of(requests: DataFrame, history: DataFrame, event_time: str = "event_time") -> DataFrame:
     """Requests with the ``service`` and ``path`` by the services in force at their time."""
-    prepared, rules = prepared_hosts(history)
-    return label_path(as_of(requests, prepared, "host", event_time), rules)
+    return labelled(history, lambda prepared: as_of(requests, prepared, "host", event_time))

@@ -413,3 +413,19 @@ def test_histogram_properties(spark):
     total = metrics.http_request_total_count(matched).agg(F.sum("value")).first()[0]
     assert detailed == 2 and total == 3
     assert names.M_TOTAL == "http_request_total_count"
+
+
+def test_long_rule_lists_do_not_travel_with_the_rows(spark):
+    """A batch meets its rules by a join: each URI is paired with few of them, and no row holds a list."""
+    rules = json.dumps([{f"c{i}": [f"^/customer/{i}/"]} for i in range(600)] + [{"all": ["/order/[0-9]*5$"]}, {"short": ["q$"]}])
+    catalog = hosts(spark, service("a.test", rules), service("b.test", rules))
+    uris = [f"/customer/{i}/order/{i % 20}" for i in range(0, 1200, 7)] + ["q", "/customer/1/q", "", "/customer/3/order/5", None]
+    requests = spark.createDataFrame([(i, h, u) for h in ("a.test", "b.test") for i, u in enumerate([*uris, uris[1]])], "id int, host string, uri string")
+    found = indicators(requests, catalog)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "path_index" not in plan and "paths#" not in plan
+    plain = label_path(match_service(requests, catalog))
+    key = ["id", "host", "uri", "path"]
+    rows = sorted(map(repr, found.select(*key).collect()))
+    assert rows == sorted(map(repr, plain.select(*key).collect()))
+    assert found.columns == plain.columns and len(rows) == 2 * len(uris) + 2
