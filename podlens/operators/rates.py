@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podlens.functions.regexes import required_literal
+from podlens.functions.variants import bind
+from podlens.operators.sli import GRAM, LITERAL_PATTERNS
 from podlens.options import RateOptions
 from podlens.session import scratch_dir, small_side
 from podlens.sources.rules import RateRule
@@ -32,12 +39,14 @@ def rate_column(
 ) -> Column:
     """The rate of the first rule that matches, else the default. A NULL name matches no pattern.
 
-    The rules are configuration, so they are written into the expression: no join, and every
-    pattern is compiled once per task.
+    The rules are configuration, so they are written into the expression: no join. Every pattern of a
+    short list is compiled once per task; a long list is a constant of which a row tries few rules.
     """
     if options.default_rate < 1:
         raise ValueError("rate must be at least one line per second")
     default = F.lit(float(options.default_rate))
+    if len(rules) > LITERAL_PATTERNS:
+        return F.coalesce(_indexed_rate(namespace, pod, _ordered(rules)), default)
     # One case with a branch for each rule: it gets longer with the list, not deeper.
     rate = F
     for rule in _ordered(rules):
@@ -45,6 +54,55 @@ def rate_column(
     return default if rate is F else rate.otherwise(default)
 
 
+_RULE = "struct<ord: int, namespace: string, pod: string, namespace_text: string, pod_text: string, rate: double>"
+
+
+def _rule_index(rules: list[RateRule]) -> str:
+    """The rules as JSON: ``always`` to be tried, and ``buckets`` by the rarest three characters of the text they need."""
+    entries = [
+        (i, r.namespace, r.pod, required_literal(r.namespace), required_literal(r.pod), float(r.rate)) for i, r in enumerate(rules)
+    ]
+    grams = []
+    for *_, namespace, pod, _ in entries:
+        text = pod if len(pod) >= GRAM else namespace
+        grams.append({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+    times = Counter(gram for own in grams for gram in own)
+    always, buckets = [], [[] for _ in range(2 * len(rules))]
+    names = ("ord", "namespace", "pod", "namespace_text", "pod_text", "rate")
+    for entry, own in zip(entries, grams):
+        gram = min(own, key=lambda gram: (times[gram], gram), default=None)
+        place = always if gram is None else buckets[zlib.crc32(gram.encode()) % len(buckets)]
+        place.append(dict(zip(names, entry)))
+    return json.dumps({"always": always, "buckets": buckets})
+
+
+def _indexed_rate(namespace: Column, pod: Column, rules: list[RateRule]) -> Column:
+    """The rate of the first rule that matches, NULL for none; only rules whose text a name may hold are tried.
+
+    The index is a constant: Spark reads its JSON once, when it optimises the query.
+    """
+    index = F.from_json(F.lit(_rule_index(rules)), f"always array<{_RULE}>, buckets array<array<{_RULE}>>")
+    buckets, size = index["buckets"], F.lit(2 * len(rules))
+
+    def found(text: Column) -> Column:
+        def under(signs: Column) -> Column:
+            starts = F.when(F.size(signs) >= GRAM, F.sequence(F.lit(0), F.size(signs) - GRAM))
+            places = F.transform(
+                starts, lambda i: F.crc32(F.concat(*[F.get(signs, i + k) for k in range(GRAM)]).cast("binary")) % size
+            )
+            return F.flatten(F.transform(F.array_distinct(places), lambda place: F.get(buckets, place.cast("int"))))
+
+        return F.coalesce(bind(F.split(text, ""), under), F.array().cast(f"array<{_RULE}>"))
+
+    def matches(rule: Column) -> Column:
+        def fits(name: Column, text: str, pattern: str) -> Column:
+            return (rule[pattern] == "") | (F.contains(name, rule[text]) & F.rlike(name, rule[pattern]))
+
+        return fits(namespace, "namespace_text", "namespace") & fits(pod, "pod_text", "pod")
+
+    return F.array_min(F.filter(F.concat(index["always"], found(pod), found(namespace)), matches))["rate"]
+
+
 def resolve_rate(
     pods: DataFrame, rules: list[RateRule], options: RateOptions = RateOptions()
 ) -> DataFrame:

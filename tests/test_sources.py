@@ -286,3 +286,22 @@ def test_lines_are_shuffled_once_for_throttling(spark):
     # What is left is a scan of the placed lines, joined with one row for each slice.
     assert "SortMergeJoin" not in plan and plan.count("Window ") == 2
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_row_tries_few_rules_of_a_long_list(spark, monkeypatch):
+    """700 rules, some without text: the rates of the plain list, from an expression without a branch for each."""
+    import podlens.operators.rates as rates
+
+    rules = [RateRule("^ns1$" if i % 5 == 0 else "", f"^pod-{i}" + "$" * (i < 500), 10.0 + i) for i in range(600)]
+    rules += [RateRule(f"team-{i}", "", 2000.0 + i) for i in range(98)]
+    rules += [RateRule("", "[0-9]{5}$", 5000.0), RateRule("é{3}", "", 6000.0)]
+    names = [("ns1", f"pod-{i}") for i in range(0, 900, 7)] + [(None, f"pod-{i}") for i in range(0, 900, 11)]
+    names += [("team-12", None), ("x-team-97", ""), ("ééé", "p"), ("", "po"), (None, None), ("ns2", "x-12345")]
+    pods = spark.createDataFrame(names, "namespace string, pod string")
+    checked = check_rules(rules)
+    found = resolve_rate(pods, checked)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WHEN (") < 20
+    rows = sorted(map(repr, found.collect()))
+    monkeypatch.setattr(rates, "LITERAL_PATTERNS", len(checked))
+    assert rows == sorted(map(repr, resolve_rate(pods, checked).collect()))
+    assert len({r.rate for r in found.collect()}) > 100
