@@ -873,7 +873,8 @@ def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container lines and journal rows by one stream with two sources, delivered together."""
     root, journal = workload.write_segments(spark, sf_dir), scratch_dir(spark, "journal")
-    _journal_text(spark, sf_dir).write.text(journal)
+    # Not more files than cores: each micro-batch takes two, whose lines are dealt to tasks again.
+    _journal_text(spark, sf_dir).coalesce(spark.sparkContext.defaultParallelism).write.text(journal)
     folder = scratch_dir(spark, "outputs")
     catalog = RefreshingTable(spark, lambda: _segment_catalog(spark, root), RefreshOptions().containers)
     emit = emit_to_sink(partial(FileSink, folder), "outputs")
@@ -900,7 +901,9 @@ def _live(spark: SparkSession, sf_dir: str, load_hosts, running) -> tuple[LiveSa
         RefreshOptions().services,
         lambda: now[0] * BATCH_DAYS * 86400.0,
     )
-    containers = workload.catalog(spark, sf_dir)
+    # Every batch asks for the containers several times.
+    workload.catalog(spark, sf_dir).write.parquet(f"{folder}/containers")
+    containers = spark.read.parquet(f"{folder}/containers")
     rules = check_rules(workload.RULES)
     options = LiveOptions(metrics=METRICS, slice_width=1000, delay_digits=3)
     live = LiveSamples(
@@ -919,9 +922,9 @@ def _live(spark: SparkSession, sf_dir: str, load_hosts, running) -> tuple[LiveSa
         live.update(batch.drop("ts"), batch_id)
         done.append(batch_id)
 
-    lines = workload.write_batches(spark, sf_dir, BATCH_DAYS)
-    job = lines.writeStream.foreachBatch(update).option("checkpointLocation", f"{folder}/checkpoint")
-    job.trigger(availableNow=True).start().awaitTermination()
+    for lines in workload.stream_spans(spark, sf_dir, BATCH_DAYS):
+        job = lines.writeStream.foreachBatch(update).option("checkpointLocation", f"{folder}/checkpoint")
+        job.trigger(availableNow=True).start().awaitTermination()
     return live, max(done)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from podlens import names
 from podlens.operators.services import explode_service_domains, usable_services, validate_services
 from podlens.options import ServiceOptions
-from podlens.session import ensure_parallel, scratch_dir, spread_rows
+from podlens.session import TASK_ROWS, ensure_parallel, scratch_dir, spread_rows
 from podlens.sources.rules import RateRule
 from podlens.sources.services import ANNOTATED
 
@@ -51,6 +52,8 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 DEFAULT_DOMAIN = "example.test"
 # One task writes about so many config files.
 CONFIGS_PER_TASK = 2_000
+# A segment file has about so many lines: a stream that takes some files at a time must not get ever more batches.
+SEGMENT_ROWS = 200_000
 SERVICE_OPTIONS = ServiceOptions(default_domain=DEFAULT_DOMAIN)
 PATH_RULES = '[{"online":["ts=online"]},{"buy":["^/purchase"]}]'
 RULES = [
@@ -136,7 +139,8 @@ def log_path():
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containers of the lines."""
-    rows = requests(spark, sf_dir).select("format", "id", "namespace", "pod", "container")
+    # Events are read as they lie: nothing is rendered here, so they need not be dealt to tasks.
+    rows = spark.sql(SPEC, events=table(spark, sf_dir, "events")).select("format", "id", "namespace", "pod", "container")
     return rows.distinct().select(
         F.col("format").alias("type"),
         "id",
@@ -151,7 +155,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_segments(spark: SparkSession, sf_dir: str) -> str:
     """The lines as text files below a fresh scratch folder, one folder per container and format."""
     root = scratch_dir(spark, "segments")
-    rows = log_lines(spark, sf_dir).select(
+    place = ("format", "namespace", "pod", "id", "container")
+    rows = spark.sql(SPEC, events=table(spark, sf_dir, "events"))
+    longest = rows.groupBy(*place).count().agg(F.max("count")).first()[0] or 0
+    # The lines of a folder are dealt to as many tasks as they fill files.
+    piece = F.pmod(F.xxhash64("event_id"), F.lit(max(1, -(-longest // SEGMENT_ROWS))))
+    dealt = spread_rows(rows, TASK_ROWS, *place, piece)
+    rows = _rendered(dealt).select(
         "value", "format", F.concat_ws("_", "namespace", "pod", "id").alias("folder"), "container"
     )
     rows.write.partitionBy("format", "folder", "container").option("lineSep", "\n").text(root)
@@ -221,22 +231,22 @@ def buckets(spark: SparkSession, sf_dir: str, days: int) -> range:
     return range(row[0] or 0, (row[1] or -1) + 1)
 
 
-def write_batches(spark: SparkSession, sf_dir: str, days: int, files: int = 4) -> DataFrame:
-    """The lines as a stream of tables, one span of days after the other, as micro-batches of ``files`` files.
+def stream_spans(spark: SparkSession, sf_dir: str, days: int) -> Iterator[DataFrame]:
+    """The lines as a stream of tables: one span of days is written after the other, to be taken as one micro-batch.
 
-    Lines have their place and time: ``seq`` and ``arrival``.
+    Every span has files enough for all cores, and more when these get too many rows. Lines have their
+    place and time: ``seq`` and ``arrival``.
     """
     root = scratch_dir(spark, "batches")
     number = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (days * 86400))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = read_lines(spark, sf_dir).select(
-        "value", "path", F.col("event_id").alias("seq"), (micros / 1e6 / REPLAY_SPEED).alias("arrival"), "ts"
-    )
     for bucket in buckets(spark, sf_dir, days):
-        # Files are streamed in the order of their times, so each span is written by itself.
-        rows.where(number == bucket).repartition(files).write.parquet(f"{root}/{bucket}")
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
-    return reader.option("recursiveFileLookup", True).parquet(root)
+        events = spread_rows(table(spark, sf_dir, "events").where(number == bucket), TASK_ROWS, "event_id")
+        rows = _rendered(spark.sql(SPEC, events=events).where(F.col("kind") != "empty")).select(
+            "value", "path", F.col("event_id").alias("seq"), (micros / 1e6 / REPLAY_SPEED).alias("arrival"), "ts"
+        )
+        rows.write.parquet(f"{root}/{bucket}")
+        yield spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(root)
 
 
 # The replay runs this many times faster than the events happened.

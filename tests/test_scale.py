@@ -68,3 +68,28 @@ def test_chunks_share_files(tmp_path):
     sink.deliver(["x"], DeliveryKey("j", 0, 6, 0, "b"))
     sink.finish("j", 0, {5: Sent(100, "a"), 6: Sent(1, "b")})
     assert chunk_files(tmp_path) == [*files, "6-0-0-b.txt"]
+
+
+def test_files_of_streams_follow_the_lines_and_spans_are_batches(spark, tmp_path, monkeypatch):
+    """Segment files do not multiply with the tasks, and each span of days is one micro-batch, however small."""
+    import glob
+
+    rows = spark.range(400, numPartitions=1).selectExpr(
+        "id event_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(if(id < 2, 0, 6)) ts", "'view' event_type",
+        "id % 24 user_id", "1.5D value", "'{}' props",
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(workload, "TASK_ROWS", 10)
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    root = workload.write_segments(spark, str(tmp_path)).removeprefix("file:")
+    files, folders = (len(glob.glob(f"{root}/*/*/*/{part}")) for part in ("*.txt", ""))
+    assert files == folders == 12
+    assert spark.read.text(root).count() == 400
+    monkeypatch.setattr(workload, "SEGMENT_ROWS", 10)
+    root = workload.write_segments(spark, str(tmp_path)).removeprefix("file:")
+    assert len(glob.glob(f"{root}/*/*/*/*.txt")) > 24
+    sizes = []
+    for lines in workload.stream_spans(spark, str(tmp_path), 5):
+        job = lines.writeStream.foreachBatch(lambda batch, _: sizes.append((batch.count(), batch.selectExpr("input_file_name()").distinct().count())))
+        job.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [size for size, _ in sizes] == [1, 391] and sizes[1][1] > 30
