@@ -293,7 +293,7 @@ def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _journal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export lines: a unit for every type but clicks, and a time that is no number for errors."""
-    events = ensure_parallel(workload.table(spark, sf_dir, "events"), "event_id")
+    events = ensure_parallel(workload.table(spark, sf_dir, "events"))
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
     return events.select(
         F.to_json(

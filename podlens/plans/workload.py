@@ -69,7 +69,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the specification."""
-    events = ensure_parallel(table(spark, sf_dir, "events"), "event_id")
+    events = ensure_parallel(table(spark, sf_dir, "events"))
     return spark.sql(SPEC, events=events)
 
 

@@ -124,11 +124,12 @@ def spread_rows(df: DataFrame, task_rows: int, *keys: str) -> DataFrame:
 
 
 def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows by ``keys`` when the input has fewer splits than the cluster has cores, or too large ones.
+    """Spread rows when the input has fewer splits than the cluster has cores, or too large ones.
 
     A one-row-group file otherwise runs as one task, and the tasks of a large file grow with it. Rows are
     counted, which costs no more than the footers where ``df`` is a table. Inputs with enough splits
-    are left as they are.
+    are left as they are. Without ``keys`` rows are dealt in turn; with them, a value (or NULL) that many
+    rows have brings all these into one task.
     """
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
     return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, *keys)

@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from podlens import session
-from podlens.plans import workload
+from podlens.plans import queries, workload
 from podlens.session import ensure_parallel, spread_rows
 from podlens.sources.containers import container_catalog_docker
 from podlens.options import DeliveryOptions
@@ -93,3 +94,24 @@ def test_files_of_streams_follow_the_lines_and_spans_are_batches(spark, tmp_path
         job = lines.writeStream.foreachBatch(lambda batch, _: sizes.append((batch.count(), batch.selectExpr("input_file_name()").distinct().count())))
         job.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [size for size, _ in sizes] == [1, 391] and sizes[1][1] > 30
+
+
+def events_of_one_id(spark, folder, n):
+    """Rows that are all alike and have no id."""
+    rows = spark.range(n, numPartitions=1).selectExpr(
+        "CAST(NULL AS BIGINT) event_id", "timestamp'2024-01-01 00:00:00' ts", "'view' event_type", "7L user_id", "1.5D value", "'{}' props"
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+
+
+# Times each event is put out.
+ROWS_PER_EVENT = {"assembled": 1}
+
+
+@pytest.mark.parametrize("name", ROWS_PER_EVENT)
+def test_equal_ids_fill_no_task(spark, tmp_path, monkeypatch, name):
+    events_of_one_id(spark, tmp_path, 400)
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    found = queries.REGISTRY[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(row["count"] for row in found) == 400 * ROWS_PER_EVENT[name]
+    assert max(row["count"] for row in found) <= 20
