@@ -115,3 +115,14 @@ def test_equal_ids_fill_no_task(spark, tmp_path, monkeypatch, name):
     found = queries.REGISTRY[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(row["count"] for row in found) == 400 * ROWS_PER_EVENT[name]
     assert max(row["count"] for row in found) <= 20
+
+
+def test_equal_ids_fill_no_task_of_the_sink(spark, tmp_path, monkeypatch):
+    events_of_one_id(spark, tmp_path, 400)
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark, label: f"{tmp_path}/{label}")
+    delivered = queries.REGISTRY["written_to_sink"](spark, str(tmp_path)).collect()
+    assert [row["n"] for row in delivered] == [400]
+    # A file for each task.
+    lines = [len(open(path).readlines()) for path in (tmp_path / "sink" / "chunks").rglob("*.txt")]
+    assert sum(lines) == 400 and max(lines) <= 20
