@@ -105,7 +105,7 @@ def events_of_one_id(spark, folder, n):
 
 
 # Times each event is put out.
-ROWS_PER_EVENT = {"assembled": 1, "json_records": 1, "united_outputs": 2}
+ROWS_PER_EVENT = {"assembled": 1, "json_records": 1, "united_outputs": 2, "kept_records_grouped": 1}
 
 
 @pytest.mark.parametrize("name", ROWS_PER_EVENT)
