@@ -124,12 +124,15 @@ def spread_rows(df: DataFrame, task_rows: int, *keys: str) -> DataFrame:
 
 
 def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows when the input has fewer splits than the cluster has cores, or too large ones.
+    """Spread rows when fewer splits than the cluster has cores hold them, or when a split holds too many.
 
-    A one-row-group file otherwise runs as one task, and the tasks of a large file grow with it. Rows are
-    counted, which costs no more than the footers where ``df`` is a table. Inputs with enough splits
-    are left as they are. Without ``keys`` rows are dealt in turn; with them, a value (or NULL) that many
-    rows have brings all these into one task.
+    A one-row-group file otherwise runs as one task, and the tasks of a large file grow with it. Spark may also
+    cut such a file into many splits, of which one gets all rows. So the rows of each split are counted,
+    which costs no more than the footers where ``df`` is a table. Inputs with enough filled splits, none too
+    large, are left as they are. Without ``keys`` rows are dealt in turn; with them, a value (or NULL) that
+    many rows have brings all these into one task.
     """
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
-    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, *keys)
+    splits = df.groupBy(F.spark_partition_id()).count()
+    rows, filled, fullest = splits.agg(F.sum("count"), F.count("*"), F.max("count")).first()
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-(rows or 0) // TASK_ROWS))
+    return df if filled >= parts and fullest <= TASK_ROWS else df.repartition(parts, *keys)

@@ -1,7 +1,10 @@
 """Work that is dealt to more tasks as tables grow."""
 
 import os
+from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,46 @@ def test_equal_ids_fill_no_task_of_the_sink(spark, tmp_path, monkeypatch):
     # A file for each task.
     lines = [len(open(path).readlines()) for path in (tmp_path / "sink" / "chunks").rglob("*.txt")]
     assert sum(lines) == 400 and max(lines) <= 20
+
+
+def events_in_one_row_group(folder, n):
+    """A file that Spark cuts into many splits, while all its rows are in one of them."""
+    day = datetime(2024, 1, 1)
+    rows = {
+        "event_id": list(range(n)), "ts": [day] * n, "user_id": [7] * n, "event_type": ["view"] * n, "value": [1.5] * n,
+        "props": [f'{{"note": "{i:0200}"}}' for i in range(n)],
+    }
+    table = pa.table(rows).set_column(1, "ts", pa.array(rows["ts"], pa.timestamp("us")))
+    pq.write_table(table, f"{folder}/events.parquet", row_group_size=n, compression="none", use_dictionary=False)
+
+
+@pytest.fixture
+def small_splits(spark):
+    changed = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "0"}
+    before = {key: spark.conf.get(key) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_empty_splits_do_not_count(spark, tmp_path, monkeypatch, small_splits):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    events_in_one_row_group(tmp_path, 400)
+    events = workload.table(spark, str(tmp_path), "events")
+    assert events.rdd.getNumPartitions() > 40
+    assert [row["count"] for row in events.groupBy(F.spark_partition_id()).count().collect()] == [400]
+    dealt = ensure_parallel(events)
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.count() == 400
+    # Splits enough with rows, one of them too large.
+    uneven = spark.range(400, numPartitions=80).union(spark.range(100, numPartitions=1))
+    assert ensure_parallel(uneven).rdd.getNumPartitions() == 50
+
+
+@pytest.mark.parametrize("name", ["json_records"])
+def test_one_row_group_fills_no_task(spark, tmp_path, monkeypatch, small_splits, name):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    events_in_one_row_group(tmp_path, 400)
+    found = queries.REGISTRY[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(found) >= 30 and max(row["count"] for row in found) <= 20
