@@ -172,3 +172,12 @@ def test_one_row_group_fills_no_task(spark, tmp_path, monkeypatch, small_splits,
     events_in_one_row_group(tmp_path, 400)
     found = queries.REGISTRY[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(found) >= 30 and max(row["count"] for row in found) <= 20
+
+
+def test_one_row_group_fills_no_task_of_the_sink(spark, tmp_path, monkeypatch, small_splits):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    events_in_one_row_group(tmp_path, 400)
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark, label: f"{tmp_path}/{label}")
+    assert sum(row["n"] for row in queries.REGISTRY["written_to_sink"](spark, str(tmp_path)).collect()) > 300
+    lines = [len(open(path).readlines()) for path in (tmp_path / "sink" / "chunks").rglob("*.txt")]
+    assert len(lines) >= 30 and max(lines) <= 20
