@@ -166,7 +166,7 @@ def test_empty_splits_do_not_count(spark, tmp_path, monkeypatch, small_splits):
     assert ensure_parallel(uneven).rdd.getNumPartitions() == 50
 
 
-@pytest.mark.parametrize("name", ["json_records"])
+@pytest.mark.parametrize("name", ["json_records", "united_outputs"])
 def test_one_row_group_fills_no_task(spark, tmp_path, monkeypatch, small_splits, name):
     monkeypatch.setattr(session, "TASK_ROWS", 10)
     events_in_one_row_group(tmp_path, 400)
