@@ -181,3 +181,21 @@ def test_one_row_group_fills_no_task_of_the_sink(spark, tmp_path, monkeypatch, s
     assert sum(row["n"] for row in queries.REGISTRY["written_to_sink"](spark, str(tmp_path)).collect()) > 300
     lines = [len(open(path).readlines()) for path in (tmp_path / "sink" / "chunks").rglob("*.txt")]
     assert len(lines) >= 30 and max(lines) <= 20
+
+
+def test_messages_are_built_once(spark, tmp_path, monkeypatch):
+    events_of_one_id(spark, tmp_path, 400)
+    built, record_lines = spark.sparkContext.accumulator(0), queries.record_lines
+
+    def counted(lines):
+        def count(batches):
+            for batch in batches:
+                built.add(batch.num_rows)
+                yield batch
+
+        return record_lines(lines).mapInArrow(count, "value string")
+
+    monkeypatch.setattr(queries, "record_lines", counted)
+    delivered = queries.REGISTRY["delivered_batches"](spark, str(tmp_path)).collect()
+    assert [row["n"] for row in delivered] == [800]
+    assert built.value == 400
