@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from podlens import names
 from podlens.functions.documents import document, document_value, struct_type
 from podlens.functions.lines import cri_time, docker_time, event_time
 from podlens.functions.numbers import float_text, integer_text
+from podlens.functions.pieces import GRAM, SIZES, passed, piece_keys, sieve
 from podlens.functions.regexes import required_literals
 from podlens.functions.upstream import total_time_text
 from podlens.functions.variants import bind, flag_of, is_object, number_of, text_of
@@ -139,7 +142,6 @@ def first_label(uri: Column, paths: Column) -> Column:
 
 _RULE = "struct<ord: int, label: string, regexp: string, literal: string>"
 _INDEX = f"struct<always: array<{_RULE}>, buckets: array<array<{_RULE}>>>"
-GRAM = 3
 
 
 def with_path_index(hosts: DataFrame) -> DataFrame:
@@ -199,62 +201,102 @@ def indexed_label(uri: Column, index: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(""))
 
 
-# A rule lies under a piece of the greatest of these lengths that its text has.
-PIECES = (24, 12, 6, GRAM)
+def path_lists(hosts: DataFrame) -> DataFrame:
+    """``(paths_key, at, label, regexps)``: the path rules of a keyed catalog, a row each in the order of ``at``."""
+    listed = hosts.select("paths_key", F.posexplode("paths").alias("at", "path"))
+    return listed.select("paths_key", F.col("at").cast("bigint").alias("at"), "path.label", "path.regexps")
 
 
-def path_rules(hosts: DataFrame) -> DataFrame:
-    """The path rules of a keyed catalog, a row each, stored in the shared scratch folder.
+def path_rules(lists: DataFrame) -> tuple[list[Row], DataFrame | None]:
+    """The patterns of :func:`path_lists`: a few to be tried on every URI, and a table of the others, if there are.
 
-    ``_key`` is the hash of the piece that a rule is found by, the rarest one of its text, and ``size`` the
-    length of that; rules without a text of three characters lie under the empty piece of their list.
+    A rule of the table lies under ``_key``, the rarest piece of its text among those of one length, the greatest
+    that the text has. Patterns of a length that few have are not worth the pieces of all URIs; like those that have
+    too short a text they are tried as they are, up to :data:`LITERAL_PATTERNS` in all.
     """
-    spark = hosts.sparkSession
-    labels = hosts.select("paths_key", F.posexplode("paths").alias("at", "path")).dropDuplicates(["paths_key", "at"])
-    patterns = labels.select("paths_key", "at", "path.label", F.posexplode("path.regexps").alias("nth", "regexp"))
-    length = F.length("literal")
-    size = F.coalesce(*[F.when(length >= n, F.lit(n)) for n in PIECES], F.lit(0))
-    stored = scratch_dir(spark, "rules")
-    rules = settle(patterns, {"literal": required_literals(F.col("regexp"))}).withColumn("size", size)
-    rules.write.parquet(stored)
-    rules = spark.read.schema(rules.schema).parquet(stored)
-    starts = F.sequence(F.lit(1), length - F.col("size") + 1)
-    several = F.when(F.col("size") > 0, F.transform(starts, lambda i: F.substring("literal", i, F.col("size"))))
-    pieces = F.coalesce(several, F.array(F.lit("")))
-    keys = F.transform(F.array_distinct(pieces), lambda piece: F.xxhash64("paths_key", piece))
-    spread = rules.select("paths_key", "at", "nth", F.explode(keys).alias("_key"))
-    times = spread.groupBy("_key").agg(F.count("*").alias("times"))
-    chosen = spread.join(times, "_key").groupBy("paths_key", "at", "nth").agg(
-        F.min_by("_key", F.struct("times", "_key")).alias("_key")
-    )
-    return rules.join(chosen, ["paths_key", "at", "nth"])
-
-
-def joined_labels(matched: DataFrame, rules: DataFrame) -> DataFrame:
-    """As :func:`label_path`, by a join of the pieces of the URIs with the rules of :func:`path_rules`.
-
-    No row carries a list of rules: each distinct URI meets only the rules that lie under one of its pieces.
+    spark = lists.sparkSession
+    patterns = lists.select("paths_key", "at", "label", F.posexplode("regexps").alias("nth", "regexp"))
+    # Of equal patterns of a list the first one counts.
+    rule = F.min(F.struct("at", "nth", "label")).alias("rule")
+    first = patterns.where(F.col("regexp").isNotNull()).groupBy("paths_key", "regexp").agg(rule)
+    length = F.octet_length("literal")
+    size = F.coalesce(*[F.when(length >= n, F.lit(n)) for n in SIZES], F.lit(0))
+    rules = settle(first, {"literal": required_literals(F.col("regexp"))}).withColumn("size", size)
+    rules = _stored(rules.select("paths_key", "rule.*", "regexp", "literal", "size"), "patterns")
+    few, tried = [], 0
+    for row in sorted(rules.groupBy("size").count().collect(), key=lambda row: row["count"]):
+        tried += row["count"]
+        if tried <= LITERAL_PATTERNS:
+            few.append(row["size"])
+    rest = rules.where(~F.col("size").isin(few)) if few else rules
+    literal = rules.where(F.col("size").isin(few)).collect() if few else []
+    if tried <= LITERAL_PATTERNS:
+        return literal, None
+    name = ["paths_key", "at", "nth"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, sizes = (batch[column].to_numpy(zero_copy_only=False) for column in ("paths_key", "size"))
+            for rows, keys in piece_keys(batch["literal"], lists, {0, *SIZES}, sizes):
+                yield _taken(batch.select(name), rows, keys)
+
+    pieces = rest.select(*name, "literal", "size").mapInArrow(spread, "paths_key bigint, at bigint, nth int, _key bigint")
+    times = pieces.groupBy("_key").agg(F.count("*").alias("times"))
+    # Files tell the size of packed rows, by which Spark would broadcast too much.
+    chosen = pieces.join(times.hint("merge"), "_key").groupBy(*name).agg(F.min_by("_key", F.struct("times", "_key")).alias("_key"))
+    return literal, _stored(rest.join(chosen.hint("merge"), name), "rules")
+
+
+def _stored(rows: DataFrame, label: str) -> DataFrame:
+    stored = scratch_dir(rows.sparkSession, label)
+    rows.write.parquet(stored)
+    return rows.sparkSession.read.schema(rows.schema).parquet(stored)
+
+
+def _taken(batch: pa.RecordBatch, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """These rows, each with a key."""
+    columns = [column.take(pa.array(rows)) for column in batch.columns]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64))], [*batch.schema.names, "_key"])
+
+
+def _tried(rules: list[Row], at: str) -> Column:
+    """The first of some patterns that is found in the URI, as ``(at, nth, label)``, or NULL."""
+    uri, found = F.col("uri"), F
+    for row in sorted(rules, key=lambda row: (row["at"], row["nth"])):
+        hit = (F.col("paths_key") == row["paths_key"]) & F.contains(uri, F.lit(row["literal"])) & uri.rlike(row["regexp"])
+        rule = F.struct(F.lit(row["at"]).alias("at"), F.lit(row["nth"]).alias("nth"), F.lit(row["label"]).alias("label"))
+        found = found.when(hit, rule.cast(at))
+    return (F.lit(None) if found is F else found).cast(at)
+
+
+def joined_labels(matched: DataFrame, tried: list[Row], rules: DataFrame | None) -> DataFrame:
+    """As :func:`label_path`, by the two parts of :func:`path_rules`.
+
+    No row carries a list of rules. The distinct URIs are joined with the table by those of their pieces that some
+    rule lies under, so the join takes in about as many rows as there are URIs that a text of a rule is found in.
     """
-    sizes = sorted(row["size"] for row in rules.select("size").distinct().collect())
-
-    def keys(signs: Column) -> Column:
-        def under(n: int) -> Column:
-            starts = F.when(F.size(signs) >= n, F.sequence(F.lit(1), F.size(signs) - n + 1))
-            found = F.transform(starts, lambda i: F.xxhash64("paths_key", F.array_join(F.slice(signs, i, F.lit(n)), "")))
-            return F.coalesce(found, F.array().cast("array<bigint>"))
-
-        parts = [under(n) if n else F.array(F.xxhash64("paths_key", F.lit(""))) for n in sizes]
-        return F.array_distinct(F.concat(*parts, F.array().cast("array<bigint>")))
-
-    uris = matched.where(F.col("uri").isNotNull()).select("paths_key", "uri").distinct()
-    pieces = uris.select("paths_key", "uri", F.explode(bind(F.split("uri", ""), keys)).alias("_key"))
-    uri = F.col("uri")
-    met = pieces.join(small_side(rules), ["paths_key", "_key"])
-    hits = met.where(F.contains(uri, F.col("literal")) & F.rlike(uri, F.col("regexp")))
-    labels = hits.groupBy("paths_key", "uri").agg(F.min_by("label", F.struct("at", "nth")).alias("path"))
     kept = [name for name in matched.columns if name not in ("path", "paths", "paths_key", "path_index")]
-    rows = matched.drop("path").join(labels, ["paths_key", "uri"], "left")
-    return rows.select(*kept, F.coalesce("path", F.lit("")).alias("path"))
+    kind = "struct<at: bigint, nth: int, label: string>"
+    first, rows = _tried(tried, kind), matched.drop("path")
+    if rules is not None:
+        sizes = {row["size"] for row in rules.select("size").distinct().collect()}
+        keys = rules.select("_key").distinct().toArrow()["_key"].to_numpy()
+        words = matched.sparkSession.sparkContext.broadcast(sieve(keys.view(np.uint64)))
+
+        def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch["paths_key"].to_numpy(zero_copy_only=False)
+                for places, keys in piece_keys(batch["uri"], lists, sizes):
+                    found = passed(keys, words.value)
+                    yield _taken(batch, places[found], keys[found])
+
+        uris = matched.where(F.col("uri").isNotNull()).select("paths_key", "uri").distinct()
+        pieces = uris.mapInArrow(sifted, "paths_key bigint, uri string, _key bigint")
+        met = pieces.join(rules.hint("merge"), ["paths_key", "_key"])
+        hits = met.where(F.contains("uri", F.col("literal")) & F.rlike(F.col("uri"), F.col("regexp")))
+        labels = hits.groupBy("paths_key", "uri").agg(F.min(F.struct("at", "nth", "label").cast(kind)).alias("_joined"))
+        rows, first = rows.join(labels, ["paths_key", "uri"], "left"), F.least(first, F.col("_joined"))
+    return rows.select(*kept, F.coalesce(first["label"], F.lit("")).alias("path"))
 
 
 def literal_rules(hosts: DataFrame) -> list[Row] | None:
@@ -306,11 +348,14 @@ def prepared_hosts(hosts: DataFrame) -> tuple[DataFrame, list[Row] | None]:
     return (with_path_index(keyed) if rules is None else keyed.drop("paths")), rules
 
 
-def labelled(hosts: DataFrame, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def labelled(hosts: DataFrame, match: Callable[[DataFrame], DataFrame], lists: DataFrame | None = None) -> DataFrame:
     """Requests with ``service`` and ``path``; ``match`` joins them with the hosts.
 
     A long list of rules stays a table, which the URIs are joined with. A stream has the lists as an index.
+    ``lists`` are the rules of hosts that have a ``paths_key`` in place of ``paths``; see :func:`indicators`.
     """
+    if lists is not None:
+        return joined_labels(match(hosts), *path_rules(lists))
     keyed = with_path_keys(hosts)
     rules = literal_rules(keyed)
     if rules is not None:
@@ -318,9 +363,14 @@ def labelled(hosts: DataFrame, match: Callable[[DataFrame], DataFrame]) -> DataF
     matched = match(keyed.drop("paths"))
     if matched.isStreaming:
         return label_path(match(with_path_index(keyed)))
-    return joined_labels(matched, path_rules(keyed))
+    return joined_labels(matched, *path_rules(path_lists(keyed)))
+
 
+def indicators(requests: DataFrame, hosts: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """Requests with ``service`` and ``path``; requests for unknown hosts are left out.
 
-def indicators(requests: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Requests with ``service`` and ``path``; requests for unknown hosts are left out."""
-    return labelled(hosts, lambda prepared: match_service(requests, prepared))
+    A list of rules that is too long for one row may stand in ``lists``, for requests that are no stream: hosts then
+    name theirs by a whole number, ``paths_key``, and ``lists`` has a row ``(paths_key, at, label, regexps)`` for each
+    rule, in the order of the whole number ``at``, which is never NULL where there is a pattern.
+    """
+    return labelled(hosts, lambda prepared: match_service(requests, prepared), lists)

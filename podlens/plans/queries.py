@@ -661,23 +661,26 @@ def labelled_paths_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def labelled_paths_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A path rule for every customer and one for all of them behind these, over the orders."""
+    """A path rule for every customer and one for all of them behind these, over the orders.
+
+    The rules are a row each: as one list they would have to fit in the memory of one task.
+    """
     customers = workload.table(spark, sf_dir, "customer")
-    rule = F.struct(
-        F.col("c_custkey").alias("at"),
+    own = customers.select(
+        F.lit(0).cast("bigint").alias("paths_key"),
+        F.col("c_custkey").cast("bigint").alias("at"),
         F.concat(F.lit("c"), F.col("c_custkey")).alias("label"),
         F.array(F.concat(F.lit("^/customer/"), F.col("c_custkey"), F.lit("/"))).alias("regexps"),
     )
-    own = customers.agg(F.array_sort(F.collect_list(rule)).alias("rules"))
-    last = F.array(F.struct(F.lit("all").alias("label"), F.array(F.lit("/order/[0-9]*5$")).alias("regexps")))
-    paths = F.concat(F.transform("rules", lambda r: F.struct(r["label"].alias("label"), r["regexps"].alias("regexps"))), last)
-    hosts = own.select(F.lit("shop").alias("host"), F.lit("shop").alias("service"), paths.alias("paths"))
+    last = F.array(F.lit("/order/[0-9]*5$")).alias("regexps")
+    shop = spark.range(1).select(F.col("id").alias("paths_key"), F.lit("shop").alias("host"), F.lit("shop").alias("service"))
+    lists = own.unionByName(shop.select("paths_key", F.lit(2**63 - 1).alias("at"), F.lit("all").alias("label"), last))
     orders = workload.table(spark, sf_dir, "orders")
     # Some of the paths name a customer that does not exist.
     customer = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("no"), "o_custkey")).otherwise(F.col("o_custkey").cast("string"))
     uri = F.concat(F.lit("/customer/"), customer, F.lit("/order/"), "o_orderkey")
     requests = orders.select("o_orderkey", F.lit("shop").alias("host"), uri.alias("uri"))
-    return indicators(requests, hosts).select("o_orderkey", "path")
+    return indicators(requests, shop, lists).select("o_orderkey", "path")
 
 
 # Metrics

@@ -1,12 +1,15 @@
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from podlens import names
+from podlens.functions import pieces
 from podlens.functions.domains import split_domains
 from podlens.functions.regexes import java_pattern, required_literal
 from podlens.operators import metrics
@@ -21,6 +24,7 @@ from podlens.operators.sli import (
     prepared_hosts,
 )
 from podlens.options import MetricOptions, ParseOptions, ServiceOptions, parse_buckets
+from podlens.plans import queries
 from podlens.sources.rules import InvalidRules, RateRule, check_rules
 from podlens.sources.services import ANNOTATED, load_exported_services, load_service_annotations
 
@@ -429,3 +433,74 @@ def test_long_rule_lists_do_not_travel_with_the_rows(spark):
     rows = sorted(map(repr, found.select(*key).collect()))
     assert rows == sorted(map(repr, plain.select(*key).collect()))
     assert found.columns == plain.columns and len(rows) == 2 * len(uris) + 2
+
+
+def test_no_row_holds_the_rules_of_all_customers(spark, tmp_path, monkeypatch):
+    spark.range(500).selectExpr("nullif(id, 7) c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(900).selectExpr("id o_orderkey", "id o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    catalogs = []
+
+    def kept(requests, *tables):
+        catalogs.extend(tables)
+        return indicators(requests, *tables)
+
+    monkeypatch.setattr(queries, "indicators", kept)
+    found = {r.o_orderkey: r.path for r in queries.REGISTRY["labelled_paths_indexed"](spark, str(tmp_path)).collect()}
+    own = {i: f"c{i}" for i in range(500) if i % 7}
+    assert found == {i: own.get(i, "all" if i % 10 == 5 else "") for i in range(900)}
+    sizes = [row[0] for table in catalogs for row in table.select(F.octet_length(F.to_json(F.struct("*")))).collect()]
+    assert max(sizes) < 200
+
+
+def test_rules_in_a_table_of_their_own(spark):
+    """The same labels as lists in the rows of the hosts, also when rules come twice or patterns are NULL."""
+    rng = random.Random(2)
+    parts = ["/item/", "/user/long/name/", "é", "[0-9]+", "/v1", "(a|b)", "-"]
+    made = [[rng.choice(["^", ""]) + "".join(rng.choices(parts, k=3)) + str(rng.randrange(99)) for _ in range(2)] for _ in range(700)]
+    made += [["q$", "^/none"], ["[0-9]{3}"], [None], [], *made[:50]]
+    uris = ["".join(rng.choices(["/item/", "/user/long/name/", "é", "17", "5", "/v1", "a", "-", "q"], k=7)) for _ in range(300)] + ["", "/v1", None]
+    requests = spark.createDataFrame([(h, u) for u in uris for h in ("a", "b", "c", "x")], "host string, uri string")
+    for n in (len(made), 40, 0):
+        lists = {1: made[:n], 2: made[:n][::-1], 3: []}
+        rows = [(key, at, f"l{at}", regexps) for key, rules in lists.items() for at, regexps in enumerate(rules)]
+        table = spark.createDataFrame(rows, "paths_key long, at long, label string, regexps array<string>")
+        hosts = spark.createDataFrame([("a", "s", 1), ("b", "s", 2), ("c", "s", 3)], "host string, service string, paths_key long")
+        whole = [(host, "s", [(f"l{at}", regexps) for at, regexps in enumerate(rules)]) for host, rules in zip("abc", lists.values())]
+        plain = label_path(match_service(requests, spark.createDataFrame(
+            whole, "host string, service string, paths array<struct<label: string, regexps: array<string>>>"
+        )))
+        found = indicators(requests, hosts, table)
+        key = ["host", "uri", "service", "path"]
+        assert found.columns == plain.columns
+        assert sorted(map(repr, found.select(*key).collect())) == sorted(map(repr, plain.select(*key).collect()))
+
+
+def test_pieces_that_nothing_lies_under_do_not_pass(monkeypatch):
+    monkeypatch.setattr(pieces, "SLICE", 100)
+    texts = ["", "ab", "/customer/12345/", "é/customer/12345/x", "x" * 300, None]
+    array = pa.array(["left out", *texts[:-1]])[1:]
+    lists = np.array([4, 4, 4, 4, -1], np.int64)
+
+    def keys(array, lists, sizes, own=None):
+        return {(row, key) for rows, found in pieces.piece_keys(array, lists, sizes, own) for row, key in zip(rows.tolist(), found.tolist())}
+
+    for n in (*pieces.SIZES, 0):
+        found = keys(array, lists, {n})
+        raw = [text.encode() for text in texts[:-1]]
+        windows = {(row, text[i : i + n]) for row, text in enumerate(raw) for i in range(len(text) - n + 1 if n else 1)}
+        assert len(found) == len(windows)
+        # Equal pieces of one list have one key, others do not.
+        of_list = {(window, int(lists[row])) for row, window in windows}
+        assert len({key for _, key in found}) == len(of_list)
+    assert keys(array, lists, {0, *pieces.SIZES}, np.array([0, 3, 6, 12, 24])) == (
+        keys(array[:1], lists[:1], {0})
+        | {(2, key) for _, key in keys(array[2:3], lists[2:3], {6})}
+        | {(3, key) for _, key in keys(array[3:4], lists[3:4], {12})}
+        | {(4, key) for _, key in keys(array[4:], lists[4:], {24})}
+    )
+    assert not keys(array[:0], lists[:0], {0, 3})
+    some = np.array(sorted({key for _, key in keys(pa.array([f"/customer/{i}/" for i in range(10_000, 15_000)]), np.zeros(5000, np.int64), {12})}), np.uint64)
+    table, others = pieces.sieve(some[::2]), some[1::2]
+    assert len(some) > 5000 and pieces.passed(some[::2], table).all()
+    assert pieces.passed(others, table).mean() < 0.02
+    assert pieces.passed(some[:9], pieces.sieve(some[:1])).tolist()[0]
