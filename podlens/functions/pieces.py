@@ -16,7 +16,7 @@ GRAM = 3
 # The lengths of pieces in bytes, each twice the next.
 SIZES = (24, 12, 6, GRAM)
 # About so many bytes of texts are hashed at once; every byte takes some numbers of eight.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 # Where the bits of a key lie in its word of the table.
